@@ -265,12 +265,14 @@ def _subsequence(text: str) -> str:
     return q("(?is)" + ".*".join("[" + c + "]" if not c.isalnum() else c for c in text))
 
 
-# A path character that may stay as it is when a path is escaped again.
-_PATH_ESCAPED = (
-    "array_to_string(list_transform(string_split({p}, '/'), lambda s: "
-    "replace(replace(replace(replace(replace(replace(replace(replace(replace("
-    "url_encode(s), '%24', '$'), '%26', '&'), '%2B', '+'), '%2C', ','), '%3A', ':'), '%3B', ';'), '%3D', '='), '%40', '@'), '%2F', '/')), '/')"
-)
+def _escaped_path(path: str) -> str:
+    """A path, escaped again unless it is well formed."""
+    escaped = f"url_encode({path})"
+    for c in "/~$&+,:;=@":
+        escaped = f"replace({escaped}, '%{ord(c):02X}', '{c}')"
+    clean = q("[A-Za-z0-9_.~$&+,/:;=@!'()*\\[\\]-]*")
+    return f"case when regexp_full_match({path}, {clean}) then {path} else {escaped} end"
+
 
 _HEADER_TEXTS = """texts as (
   select 'e' || event_id as req_id, props as text from events
@@ -325,7 +327,7 @@ ORACLES.update({
                cast(403 as integer) as status, logs from verdicts where blocked""",
     "scan_corpus": """
         select 'doc ' || doc_id as title, 'POST' as method, '/check?source=' || source as url, 'target' as host,
-               'Content-Type=text/plain;Content-Length=7' as headers,
+               'Content-Length=7;Content-Type=text/plain' as headers,
                regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g') as body
         from documents join labels using (doc_id)""",
     "directive_rules": """
@@ -348,6 +350,9 @@ ORACLES.update({
         select conv_id, string_agg(name || '=' || v, ';' order by name) as headers from joined group by conv_id""",
     "client_ip": f"{TRAFFIC_POSTS} select req_id, client_ip from requests",
     "split_url": f"""{TRAFFIC} select req_id, path, query, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) as host from requests""",
+    "canonical_url": f"""
+        with words as (select doc_id, '/' || regexp_replace(text, '[\\x00-\\x1F\\x7F%?#]', ' ', 'g') as path from documents)
+        select cast(doc_id as varchar) as req_id, md5({_escaped_path('path')} || '?q=a b#c') as url_md5 from words""",
     "extract_args": f"""{TRAFFIC_POSTS}
         select req_id, array_to_string(list_transform({_args()}, lambda a: a.k || '=' || a.v), '|') as args from requests""",
     "body_size": f"{TRAFFIC} select req_id, cast(octet_length(encode(body)) as bigint) as bytes from requests",

@@ -277,7 +277,7 @@ def split_url(spark, sf_dir):
 def canonical_url(spark, sf_dir):
     """Document words as paths: what may not stand in a path is escaped."""
     words = T.table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.lit("/"), F.regexp_replace("text", r"[\r\n\t%]", " "), F.lit("?q=a b#c")).alias("p")
+        "doc_id", F.concat(F.lit("/"), F.regexp_replace("text", r"[\x00-\x1F\x7F%?#]", " "), F.lit("?q=a b#c")).alias("p")
     )
     found = Q.map_columns(words.withColumn("m", F.lit("GET")), {"id": "doc_id", "method": "m", "path": "p"})
     return found.select("req_id", F.md5("url").alias("url_md5"))
@@ -569,7 +569,7 @@ def diff_details(spark, sf_dir):
         f(F.col(f"result{s}")).alias(f"{name}{s}")
         for s in (1, 2)
         for name, f in {
-            "id": lambda r: r["req_id"], "ip": lambda r: r["client_ip"], "bytes": lambda r: X.body_size(r["body"]),
+            "id": lambda r: r["req_id"], "ip": lambda r: r["client_ip"], "bytes": lambda r: F.when(r.isNotNull(), X.body_size(r["body"])),
             "logs": lambda r: F.coalesce(r["logs"], F.lit("not blocked")),
         }.items()
     ]

@@ -13,9 +13,9 @@ from reqsieve.sources.capture import record_id
 from reqsieve.sources.requests import request_problem, with_url_parts
 from reqsieve.sources.uris import resolve_uri
 
-_LOOSE = "method string, url string, headers map<string,string>, body string"
-_TYPED = "method variant, url variant, headers map<string,variant>, body variant"
-_OPTIONS = {"allowSingleQuotes": "false"}
+_LOOSE = "method string, url string, headers map<string,string>, body string, broken string"
+_TYPED = "method variant, url variant, headers map<string,variant>, body variant, broken string"
+_OPTIONS = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "broken"}
 # A value may not be followed by anything else on its line.
 _OBJECT = r"(?s)^\s*\{.*\}\s*$"
 
@@ -39,7 +39,7 @@ def parse_ndjson(lines: DataFrame, strict: bool = True) -> DataFrame:
     """
     plain = F.from_json("value", _LOOSE, _OPTIONS)
     decoded = lines.withColumn("j", F.when(F.col("value").rlike(_OBJECT), plain))
-    broken = F.col("j").isNull()
+    broken = F.col("j").isNull() | F.col("j.broken").isNotNull()
     if strict:
         typed = F.from_json("value", _TYPED, _OPTIONS)
         decoded = decoded.withColumn("typed", typed)
@@ -47,7 +47,7 @@ def parse_ndjson(lines: DataFrame, strict: bool = True) -> DataFrame:
             _is_text(F.col("typed.method")) & _is_text(F.col("typed.url")) & _is_text(F.col("typed.body"))
             & F.forall(F.coalesce(F.map_values("typed.headers"), F.array().cast("array<variant>")), _is_text)
         )
-        broken = broken | F.col("typed").isNull() | wrong_type
+        broken = broken | F.col("typed.broken").isNotNull() | wrong_type
     method = F.coalesce(F.nullif(F.col("j.method"), F.lit("")), F.lit("GET"))
     target = as_text(F.col("j.url"))
     columns = {
