@@ -30,6 +30,7 @@ def traffic_hash_of_sql(text: str) -> str:
 
 
 SMALL_SOURCE_BYTES = 64 * 1024 * 1024
+SMALL_SOURCE_FILES = 1000
 
 
 def files_hash(spark: SparkSession, path: str) -> str:
@@ -43,7 +44,7 @@ def files_hash(spark: SparkSession, path: str) -> str:
     size = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
     if size.n == 0:
         raise FileNotFoundError(path)
-    if size.bytes <= SMALL_SOURCE_BYTES:
+    if size.bytes <= SMALL_SOURCE_BYTES and size.n <= SMALL_SOURCE_FILES:
         digest = F.sha2("content", 256)
         if size.n == 1:
             return files.select(digest.alias("h")).first().h[:12]

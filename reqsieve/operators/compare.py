@@ -126,6 +126,7 @@ def diff_details(diff: DataFrame, v1: DataFrame, v2: DataFrame) -> DataFrame:
     """Both whole results of every change next to each other; NULL means not blocked.
 
     Results are looked up by key, side and id. The id spreads a hot key over the tasks.
+    Both runs are read a second time here, so give it stored ones.
     """
     wanted = diff.select(
         "req_key", "diff_type", "method", "url",

@@ -205,7 +205,7 @@ def spread(requests: DataFrame, partitions: int | None = None) -> DataFrame:
     wanted = partitions or requests.sparkSession.sparkContext.defaultParallelism
     if requests.isStreaming or requests.rdd.getNumPartitions() >= 2 * wanted:
         return requests
-    return requests.repartition(wanted, "req_id")
+    return requests.repartition(wanted)
 
 
 def match_patterns(requests: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame:

@@ -68,6 +68,7 @@ def request_label() -> Column:
 def group_examples(df: DataFrame, key: Column, label: Column, order: list[Column], n: int = 5) -> DataFrame:
     """Per group: its size, its first ``n`` members and how many more there are.
 
+    ``df`` is read twice, so give it stored rows and not an analysis still to be run.
     The size comes from a plain aggregation and the members from a rank filter, which
     Spark applies before the shuffle too: of a group of any size, a task sends ``n`` rows.
     """

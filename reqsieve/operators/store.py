@@ -60,11 +60,19 @@ def read_verdicts(spark: SparkSession, root: str, run_id: str | None = None) ->
     return verdicts if run_id is None else verdicts.where(F.col("run_id") == run_id)
 
 
-def write_run(verdicts: DataFrame, traffic_hash: str, rules_hash: str, root: str, run_id: str | None = None) -> dict:
+MANY_FILES = 2000
+
+
+def write_run(
+    verdicts: DataFrame, traffic_hash: str, rules_hash: str, root: str,
+    run_id: str | None = None, many_files: int = MANY_FILES,
+) -> dict:
     """Store the blocked verdicts of a run and its totals, in one pass over the traffic.
 
     The counts are taken by the tasks that write. Spark counts the successful attempt of
-    such a task only, so lost executors and speculation do not disturb the totals.
+    such a task only, so lost executors and speculation do not disturb the totals. A run
+    of more than ``many_files`` tasks would leave as many small files: those go to a side
+    folder first and are joined into files of the size Spark advises.
     """
     spark = verdicts.sparkSession
     run_id = run_id or uuid.uuid4().hex
@@ -72,9 +80,16 @@ def write_run(verdicts: DataFrame, traffic_hash: str, rules_hash: str, root: str
     counted = verdicts.observe(
         seen, F.count(F.lit(1)).alias("total"), F.count_if("blocked").alias("blocked")
     )
+    schema = StructType.fromDDL(VERDICT)
+    kept = counted.where("blocked").select(*schema.fieldNames())
     place = f"{root}/verdicts/traffic_hash={traffic_hash}/rules_hash={rules_hash}/run_id={run_id}"
-    columns = StructType.fromDDL(VERDICT).fieldNames()
-    counted.where("blocked").select(*columns).write.mode("overwrite").parquet(place)
+    if kept.rdd.getNumPartitions() <= many_files:
+        kept.write.mode("overwrite").parquet(place)
+    else:
+        parts = f"{root}/_parts/{run_id}"
+        kept.write.mode("overwrite").parquet(parts)
+        spark.read.schema(schema).parquet(parts).hint("rebalance").write.mode("overwrite").parquet(place)
+        _remove(spark, parts)
     run = {
         "run_id": run_id, "traffic_hash": traffic_hash, "rules_hash": rules_hash, "finished_at": _now(),
         "total_requests": seen.get["total"], "blocked_requests": seen.get["blocked"],
@@ -83,6 +98,11 @@ def write_run(verdicts: DataFrame, traffic_hash: str, rules_hash: str, root: str
     return run
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def export_results(verdicts: DataFrame, path: str) -> None:
     """Blocked verdicts as JSON lines, each line one result of a report."""
     verdicts.where("blocked").select(

@@ -62,6 +62,20 @@ def run(spark: SparkSession, sf_dir: str, rules=T.RULES_V1) -> DataFrame:
     return M.analyze(spread_requests(spark, sf_dir), rules).where("blocked")
 
 
+def stored_runs(spark: SparkSession, sf_dir: str, *rule_sets) -> list[DataFrame]:
+    """Blocked verdicts of the given traffic, stored first.
+
+    For reports that look at a run more than once: the traffic is matched once per rule
+    set, and the reports read the stored verdicts.
+    """
+    root, requests = shared_dir(spark), spread_requests(spark, sf_dir)
+    found = []
+    for i, rules in enumerate(rule_sets):
+        done = S.write_run(M.analyze(requests, rules), "traffic00000", f"rules000000{i}", root)
+        found.append(S.read_verdicts(spark, root, done["run_id"]))
+    return found
+
+
 def all_posts_and_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.spread(Q.union_sources(T.requests(spark, sf_dir), T.posts(spark, sf_dir)))
 
@@ -563,7 +577,7 @@ def diff_titles(spark, sf_dir):
 
 @query
 def diff_details(spark, sf_dir):
-    v1, v2 = _two_runs(spark, sf_dir)
+    v1, v2 = stored_runs(spark, sf_dir, T.RULES_V1, T.RULES_V2)
     d = Cmp.diff_details(Cmp.diff_runs(v1, v2), v1, v2)
     shown = [
         f(F.col(f"result{s}")).alias(f"{name}{s}")
@@ -594,7 +608,8 @@ def diff_group_by_rule(spark, sf_dir):
 @query
 def diff_group_examples(spark, sf_dir):
     label = F.concat(F.col("method"), F.lit(" "), F.col("url"))
-    g = R.group_examples(_diff(spark, sf_dir), Cmp.diff_rule_key(), label, [F.col("req_key")])
+    d = Cmp.diff_runs(*stored_runs(spark, sf_dir, T.RULES_V1, T.RULES_V2))
+    g = R.group_examples(d, Cmp.diff_rule_key(), label, [F.col("req_key")])
     return g.withColumn("examples", F.array_join("examples", "|"))
 
 
@@ -643,13 +658,13 @@ def group_by_user_agent(spark, sf_dir):
 
 @query
 def group_examples(spark, sf_dir):
-    g = R.verdict_examples(run(spark, sf_dir), "rule")
+    g = R.verdict_examples(*stored_runs(spark, sf_dir, T.RULES_V1), by="rule")
     return g.withColumn("examples", F.array_join("examples", "|"))
 
 
 @query
 def group_examples_by_ip(spark, sf_dir):
-    g = R.verdict_examples(run(spark, sf_dir, T.RULES_V2), "ip", n=3)
+    g = R.verdict_examples(*stored_runs(spark, sf_dir, T.RULES_V2), by="ip", n=3)
     return g.withColumn("examples", F.array_join("examples", "|"))
 
 

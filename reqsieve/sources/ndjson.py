@@ -24,6 +24,21 @@ def _is_text(value: Column) -> Column:
     return value.isNull() | F.schema_of_variant(value).isin("STRING", "VOID")
 
 
+def _decode(strict: bool) -> tuple[Column, dict[str, Column]]:
+    """``(is broken, fields)`` of the parsed column ``j``."""
+    fields = {name: F.col(f"j.{name}") for name in ("method", "url", "headers", "body")}
+    broken = F.col("j").isNull() | F.col("j.broken").isNotNull()
+    if not strict:
+        return broken, fields
+    header_values = F.coalesce(F.map_values("j.headers"), F.array().cast("array<variant>"))
+    typed = F.forall(header_values, _is_text)
+    for name in ("method", "url", "body"):
+        typed = typed & _is_text(fields[name])
+        fields[name] = fields[name].cast("string")
+    fields["headers"] = F.transform_values("j.headers", lambda k, v: v.cast("string"))
+    return broken | ~typed, fields
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(resolve_uri(path)).select(
         F.monotonically_increasing_id().alias("req_seq"),
@@ -37,19 +52,11 @@ def parse_ndjson(lines: DataFrame, strict: bool = True) -> DataFrame:
 
     ``strict`` also refuses lines in which a field has another type than text.
     """
-    plain = F.from_json("value", _LOOSE, _OPTIONS)
-    decoded = lines.withColumn("j", F.when(F.col("value").rlike(_OBJECT), plain))
-    broken = F.col("j").isNull() | F.col("j.broken").isNotNull()
-    if strict:
-        typed = F.from_json("value", _TYPED, _OPTIONS)
-        decoded = decoded.withColumn("typed", typed)
-        wrong_type = ~(
-            _is_text(F.col("typed.method")) & _is_text(F.col("typed.url")) & _is_text(F.col("typed.body"))
-            & F.forall(F.coalesce(F.map_values("typed.headers"), F.array().cast("array<variant>")), _is_text)
-        )
-        broken = broken | F.col("typed.broken").isNotNull() | wrong_type
-    method = F.coalesce(F.nullif(F.col("j.method"), F.lit("")), F.lit("GET"))
-    target = as_text(F.col("j.url"))
+    parsed = F.from_json("value", _TYPED if strict else _LOOSE, _OPTIONS)
+    decoded = lines.withColumn("j", F.when(F.col("value").rlike(_OBJECT), parsed))
+    broken, fields = _decode(strict)
+    method = F.coalesce(F.nullif(fields["method"], F.lit("")), F.lit("GET"))
+    target = as_text(fields["url"])
     columns = {
         "req_id": record_id(F.col("file"), F.col("req_seq"), F.col("value")),
         "req_seq": F.col("req_seq"),
@@ -57,8 +64,8 @@ def parse_ndjson(lines: DataFrame, strict: bool = True) -> DataFrame:
         "url": canonical_url(target),
         "host": url_host(target),
         "proto": F.lit("HTTP/1.1"),
-        "headers": F.coalesce(canonical_headers(F.col("j.headers")), empty_headers()),
-        "body": as_text(F.col("j.body")),
+        "headers": F.coalesce(canonical_headers(fields["headers"]), empty_headers()),
+        "body": as_text(fields["body"]),
         "client_ip": F.lit(""),
         "ts": F.lit(""),
     }

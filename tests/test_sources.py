@@ -1,0 +1,194 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from fixtures import CAPTURE_1, CORPUS, PATTERN_RULES, write_capture, write_ndjson
+from reqsieve.sources import capture, corpus, ndjson, reports, requests, rules, tables, uris
+
+
+def test_capture(spark, tmp_path):
+    post = ("1 " + "b" * 40 + " 1 1\nPOST /x?y=1 HTTP/1.1\r\nhost: e.com\r\nX-A: 1\r\nx-a:  2 \r\nContent-Length: 3\r\n\r\n"
+            "abc\n\nmore\n🐵🙈🙉\n")
+    answer = "2 " + "b" * 40 + " 1 1\nHTTP/1.1 200 OK\r\n\r\nhi\n🐵🙈🙉\n"
+    absolute = "1 " + "c" * 40 + " 1 1\nGET http://other.com/z HTTP/1.0\nHost: e.com\n"
+    path = write_capture(tmp_path / "t.gor", CAPTURE_1, post + answer + absolute)
+    rows = capture.scan_capture(spark, path).orderBy("req_seq").collect()
+    assert [(r.method, r.url, r.host) for r in rows] == [
+        ("GET", "/test?param=hello", "example.com"),
+        ("GET", "/test?param=<script>alert(1)</script>", "example.com"),
+        ("POST", "/x?y=1", "e.com"),
+        ("GET", "http://other.com/z", "other.com"),
+    ]
+    assert rows[2].headers == {"X-A": "1, 2", "Content-Length": "3"}
+    assert rows[2].body == "abc\n\nmore" and rows[2].path == "/x" and rows[2].query == "y=1" and rows[2].proto == "HTTP/1.1"
+    good, rejected = requests.split_malformed(capture.parse_capture(capture.read_capture(spark, path)))
+    assert good.count() == 4
+    assert [r.problem for r in rejected.collect()] == ["malformed request"]
+    again = capture.scan_capture(spark, path).orderBy("req_seq").collect()
+    assert [r.req_id for r in rows] == [r.req_id for r in again] and len({r.req_id for r in rows}) == 4
+
+
+@pytest.mark.parametrize("line, problem", [
+    ("GET /a", "malformed request"), ("GET noslash HTTP/1.1", "bad target"), ("G@T /a HTTP/1.1", "bad method"),
+    ("GET /%zz HTTP/1.1", "bad escape in path"), ("OPTIONS * HTTP/1.1", None),
+])
+def test_capture_rejects(spark, tmp_path, line, problem):
+    path = write_capture(tmp_path / "t.gor", [line])
+    assert capture.parse_capture(capture.read_capture(spark, path)).first().problem == problem
+
+
+def test_capture_is_split_and_whole(spark, tmp_path):
+    """A file cut into many splits gives every record once."""
+    path = write_capture(tmp_path / "t.gor", [f"GET /n/{i} HTTP/1.1" for i in range(5000)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = capture.scan_capture(spark, path)
+        assert found.rdd.getNumPartitions() > 10
+        assert found.select("url").distinct().count() == found.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ndjson(spark, tmp_path):
+    extra = ["{broken", "", '{"method":1,"url":"/n"}', '{"method":"GET","url":"/h","headers":{"a":1}}',
+             '{"method":"GET","url":"/a\\u0001"}', '{"url":"/default","headers":null,"other":5}', '{"method":"GET","url":"/x"} trailing']
+    path = write_ndjson(tmp_path / "t.custom", extra=extra)
+    rows = ndjson.scan_ndjson(spark, path).orderBy("req_seq").collect()
+    assert [(r.method, r.path, r.host) for r in rows] == [
+        ("GET", "/", "example.com"), ("GET", "/search", "example.com"), ("POST", "/comment", "example.com"),
+        ("GET", "/user", "example.com"), ("GET", "/default", ""),
+    ]
+    assert rows[1].headers["Host"] == "example.com"
+    loose = ndjson.scan_ndjson(spark, path, strict=False)
+    assert {r.url for r in loose.collect()} >= {"/n", "/h"}
+    _, rejected = requests.split_malformed(ndjson.parse_ndjson(ndjson.read_lines(spark, path)))
+    assert {r.problem for r in rejected.collect()} == {"malformed json", "control character in url"}
+
+
+def test_parquet_mapping(spark, folder):
+    rows = [("GET", "/api/users", "example.com", "HTTP/1.1", '{"content-type":"application/json"}', "1.2.3.4", bytearray(b"abc"), None),
+            ("POST", "/api/login", "example.com", "HTTP/1.1", None, "5.6.7.8", None, None),
+            (None, "/x", "", "", "", "", None, None), ("GET", None, "", "", "", "", None, None), ("GET", "/%z", "", "", "", "", None, None)]
+    schema = "method string, path string, host string, proto string, headers string, client_ip string, body binary, t timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    mapping = {k: k for k in ("method", "path", "host", "proto", "headers", "client_ip", "body")}
+    found = tables.scan_parquet(spark, folder, {**mapping, "timestamp": "t"}).orderBy("req_id").collect()
+    assert [(r.method, r.url, r.body, r.client_ip, r.headers) for r in found] == [
+        ("GET", "/api/users", "abc", "1.2.3.4", {"Content-Type": "application/json"}), ("POST", "/api/login", "", "5.6.7.8", {}),
+    ]
+    assert found[0].req_id != found[1].req_id and [r.req_seq for r in found] == [0, 1]
+
+
+def test_minimal_mapping_and_errors(spark):
+    df = spark.createDataFrame([("GET", "/a?b=1")], "m string, p string")
+    row = requests.map_columns(df, {"method": "m", "path": "p", "host": "nope"}).first()
+    assert (row.method, row.path, row.query, row.host, row.headers, row.body) == ("GET", "/a", "b=1", "", {}, "")
+    for bad in ({"method": "m"}, {"path": "p"}, {"method": "m", "path": "p", "colour": "c"}):
+        with pytest.raises(ValueError):
+            requests.map_columns(df, bad)
+    with pytest.raises(ValueError):
+        tables.scan_sql(spark, " ", {"method": "m", "path": "p"})
+
+
+def test_map_columns_takes_header_maps(spark):
+    df = spark.sql("select 'GET' as m, '/' as p, map('x-a', '1', 'X-A', '2', 'b', null) as h")
+    assert requests.map_columns(df, {"method": "m", "path": "p", "headers": "h"}).first().headers == {"X-A": "2", "B": ""}
+
+
+def test_partitions_are_pruned(spark, folder):
+    df = spark.range(100).selectExpr("id", "concat('/p', id) as path", "'GET' as method",
+                                     "concat('10.0.0.', id % 2) as host", "2026 as year", "cast(id % 4 as int) as month")
+    df.write.partitionBy("host", "year", "month").parquet(folder)
+    mapping = {"id": "id", "method": "method", "path": "path", "host": "host"}
+    found = tables.scan_parquet(spark, f"{folder}/host=*", mapping, base_path=folder, where="host = '10.0.0.1' and month = 3")
+    assert found.count() == 25 and {r.host for r in found.collect()} == {"10.0.0.1"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(host" in plan and "month" in plan.split("PartitionFilters")[1]
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir):
+    found = tables.scan_parquet(spark, f"{sf_dir}/documents.parquet", {"id": "doc_id", "method": "lang", "path": "source"},
+                                where="doc_id > 10").select("url")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(doc_id,10)" in plan
+    assert "text" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("uri, path", [
+    ("ref+s3://my-bucket/path/to/file.gor", "s3a://my-bucket/path/to/file.gor"), ("ref+s3://bucket/key", "s3a://bucket/key"),
+    ("s3a://b/k", "s3a://b/k"), ("ref+s3://bucket/", None), ("ref+s3://", None), ("ref+s3://bucket-only", None),
+])
+def test_object_uris(uri, path):
+    if path is None:
+        with pytest.raises(ValueError):
+            uris.resolve_uri(uri)
+    else:
+        assert uris.resolve_uri(uri) == path
+
+
+def test_local_uris(tmp_path):
+    assert uris.resolve_uri(str(tmp_path)) == str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        uris.resolve_uri("/nonexistent/file.gor")
+
+
+def test_rule_file(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps(PATTERN_RULES, indent=2))
+    loaded = rules.load_rules(rules.scan_rules(spark, str(path)))
+    assert [(r.ord, r.id, r.location, r.action, r.severity) for r in loaded][0] == (1, "1001", "all", "block", "HIGH")
+    assert loaded[4].tags == ("scanner", "recon") and len(loaded) == 5
+    PATTERN_BAD = {"engine": "custom", "rules": [PATTERN_RULES["rules"][0], {**PATTERN_RULES["rules"][1], "id": "77", "pattern": "(open"}]}
+    path.write_text(json.dumps(PATTERN_BAD))
+    with pytest.raises(ValueError, match="rule 77"):
+        rules.load_rules(rules.scan_rules(spark, str(path)))
+
+
+def test_directive_rules_from_csv(spark, tmp_path):
+    path = tmp_path / "rules.csv"
+    path.write_text('ord,id,variable,selector,operator,pattern,phase,action,status,msg,tags,chain_to\n'
+                    '2,20,ARGS,,contains,"a ""quoted"" <b>",2,deny,403,M,x y,\n1,10,REQUEST_METHOD,,streq,GET,1,deny,401,N,,2\n')
+    loaded = rules.load_rules(rules.scan_directive_rules(spark, str(path)))
+    assert [(r.ord, r.id, r.pattern, r.status, r.tags, r.chain_to) for r in loaded] == [
+        (1, "10", "GET", 401, (), 2), (2, "20", 'a "quoted" <b>', 403, ("x", "y"), None)]
+    assert {r.dialect for r in loaded} == {"directive"}
+    assert rules.rules_hash(loaded) == rules.rules_hash(reversed(loaded)) != rules.rules_hash(loaded[:1])
+
+
+def test_corpus(spark, tmp_path):
+    (tmp_path / "03-injection.http").write_text(CORPUS)
+    (tmp_path / "bonus.http").write_text("### First\nGET /a HTTP/1.1\nHost: {{host}}\n")
+    rows = corpus.scan_attack_corpus(spark, str(tmp_path), "here:80").orderBy("category", "req_seq").collect()
+    assert len(rows) == 15 and {r.category for r in rows} == {"03-injection", "bonus"}
+    union = rows[1]
+    assert union.title == "Union with spaces 2001" and union.host == "here:80"
+    assert union.query == "id=1' UNION SELECT name,3 FROM users--"
+    assert rows[2].body == "username=admin' OR '1'='1&password=anything"
+    assert rows[2].headers == {"Content-Type": "application/x-www-form-urlencoded", "Content-Length": "42"}
+
+
+def test_report_document(spark, tmp_path):
+    result = {"id": "u1", "request": {"method": "GET", "url": "/t?x=<", "headers": {"A": "b"}, "body": ""}, "blocked": True,
+              "rules_triggered": [{"id": "1", "msg": "M", "severity": "HIGH", "tags": ["t"]}],
+              "interruption": {"action": "deny", "status": 403}, "logs": "[HIGH] Rule 1: M\n"}
+    document = {"metadata": {"timestamp": "2026-02-19T11:57:09.322453+01:00", "total_requests": 2, "blocked_requests": 1},
+                "results": [result]}
+    path = tmp_path / "cb4004b7dd82-a1b2c3d4e5f6.json"
+    path.write_text(json.dumps(document, indent=2))
+    runs, verdicts = reports.scan_report(spark, str(path))
+    run, verdict = runs.first(), verdicts.first()
+    assert (run.total_requests, run.blocked_requests, run.run_id) == (2, 1, "cb4004b7dd82-a1b2c3d4e5f6")
+    assert run.finished_at.isoformat() == "2026-02-19T10:57:09.322453"
+    assert verdict.blocked and verdict.client_ip == "" and verdict.path == "/t" and verdict.headers == {"A": "b"}
+    assert verdict.rules_triggered[0].tags == ["t"] and verdict.interruption.status == 403 and verdict.run_id == run.run_id
+
+
+def test_sources_join_up(spark):
+    a = requests.map_columns(spark.sql("select 'GET' as m, '/a' as p"), {"method": "m", "path": "p"})
+    b = requests.map_columns(spark.sql("select 'PUT' as m, '/b' as p"), {"method": "m", "path": "p"}).drop("ts")
+    assert {r.method for r in requests.union_sources(a, b).collect()} == {"GET", "PUT"}
+    assert requests.require_fields(a.withColumn("method", F.lit(""))).count() == 0
