@@ -78,8 +78,8 @@ def swapped_baseline(state: DataFrame, directory: str) -> str:
 def freshness(runs: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     """Age of every run in whole seconds, and whether it may be reused (TTL 0: always)."""
     finished = F.col("finished_at").cast("timestamp")
-    age = F.unix_timestamp(now) - F.unix_timestamp(finished)
     micros = F.unix_micros(now) - F.unix_micros(finished)
+    age = F.floor(micros / 1_000_000).cast("long")
     fresh = F.lit(True) if ttl_seconds == 0 else micros <= ttl_seconds * 1_000_000
     return runs.withColumns({"age_seconds": age, "fresh": fresh})
 

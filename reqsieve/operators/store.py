@@ -36,13 +36,10 @@ def _now() -> datetime:
 
 def _read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log table, empty as long as nothing was appended."""
-    schema = StructType.fromDDL(schema)
-    try:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def _append(spark: SparkSession, path: str, schema: str, row: tuple) -> None:
