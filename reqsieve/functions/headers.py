@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reqsieve.functions.once import bind
+
 TOKEN = r"[!#$%&'*+.^_`|~0-9A-Za-z-]+"
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _MEMBER = rf"\s*{_STRING}\s*:\s*(?:{_STRING}|null)\s*"
 # A JSON object whose values are all strings (or null).
 STRING_OBJECT = rf"(?s)^\s*\{{(?:{_MEMBER}(?:,{_MEMBER})*+|\s*)\}}\s*$"
 
+# Header names in canonical form, one per line.
+_NAME = r"[A-Z0-9!#$%&'*+.^_`|~][a-z0-9!#$%&'*+.^_`|~]*+"
+_CANONICAL_NAMES = rf"^(?:{_NAME}(?:-{_NAME})*+(?:\n|\z))*+\z"
+
 
 def canonical_name(name: Column) -> Column:
     """``x-forwarded-for`` to ``X-Forwarded-For``; names that are no tokens stay."""
@@ -24,38 +30,53 @@ def empty_headers() -> Column:
 
 def join_header_values(entries: Column) -> Column:
     """``array<struct<name,value>>`` to a map; values of a repeated name are joined with ``, ``."""
+
+    def joined(named: Column) -> Column:
+        def of(name: Column) -> Column:
+            same = F.filter(named, lambda e: e["name"] == name)
+            values = F.array_join(F.transform(same, lambda e: e["value"]), ", ")
+            return F.struct(name.alias("k"), values.alias("v"))
+
+        names = F.array_distinct(F.transform(named, lambda e: e["name"]))
+        repeated = F.map_from_entries(F.transform(names, of))
+        return F.when(F.size(names) == F.size(named), F.map_from_entries(named)).otherwise(repeated)
+
     named = F.transform(
         entries,
         lambda e: F.struct(canonical_name(e["name"]).alias("name"), e["value"].alias("value")),
     )
-    names = F.array_distinct(F.transform(named, lambda e: e["name"]))
-    joined = F.transform(
-        names,
-        lambda n: F.struct(
-            n.alias("k"),
-            F.array_join(
-                F.transform(F.filter(named, lambda e: e["name"] == n), lambda e: e["value"]), ", "
-            ).alias("v"),
-        ),
-    )
-    return F.map_from_entries(joined)
+    return bind(named, joined)
 
 
 def canonical_headers(headers: Column) -> Column:
     """Map with canonical names; NULL values become empty, the last of equal names wins."""
-    entries = F.transform(
-        F.map_entries(headers),
-        lambda e: F.struct(
-            canonical_name(e["key"]).alias("k"), F.coalesce(e["value"], F.lit("")).alias("v")
-        ),
-    )
-    names = F.transform(entries, lambda e: e["k"])
-    last = F.transform(
-        F.array_distinct(names),
-        lambda n: F.element_at(F.filter(entries, lambda e: e["k"] == n), -1),
+
+    def renamed(entries: Column) -> Column:
+        names = F.array_distinct(F.transform(entries, lambda e: e["k"]))
+        last = F.transform(
+            names, lambda n: F.element_at(F.filter(entries, lambda e: e["k"] == n), -1)
+        )
+        return F.map_from_entries(F.when(F.size(names) == F.size(entries), entries).otherwise(last))
+
+    def entries_of(m: Column) -> Column:
+        return F.transform(
+            F.map_entries(m),
+            lambda e: F.struct(
+                canonical_name(e["key"]).alias("k"), F.coalesce(e["value"], F.lit("")).alias("v")
+            ),
+        )
+
+    return bind(headers, lambda m: F.when(_is_canonical(m), m).otherwise(bind(entries_of(m), renamed)))
+
+
+def _is_canonical(m: Column) -> Column:
+    """Are all names canonical and different, and all values there? True for most traffic."""
+    keys = F.map_keys(m)
+    there = F.forall(F.map_values(m), lambda v: v.isNotNull())
+    return (
+        F.array_join(keys, "\n").rlike(_CANONICAL_NAMES)
+        & (F.size(F.array_distinct(keys)) == F.size(keys)) & there
     )
-    distinct = F.size(F.array_distinct(names)) == F.size(names)
-    return F.map_from_entries(F.when(distinct, entries).otherwise(last))
 
 
 def parse_headers(text: Column, strict: bool = True) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqsieve.functions.headers import client_ip
+from reqsieve.functions.once import once
 from reqsieve.functions.regex import matches
 from reqsieve.functions.text import SEVERITY_NAMES
 from reqsieve.functions.urls import extract_args, is_form, url_target
@@ -185,17 +186,6 @@ def _carried(requests: DataFrame) -> list[str]:
     return REQUEST_COLUMNS + [c for c in requests.columns if c not in REQUEST_COLUMNS]
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are evaluated exactly once per row.
-
-    A filter on a verdict would be pushed below the projection that makes it, along with
-    a copy of all the matching. A generator of one row is a place it cannot pass.
-    """
-    for name, value in columns.items():
-        df = df.select("*", F.stack(F.lit(1), value).alias(name))
-    return df
-
-
 def spread(requests: DataFrame, partitions: int | None = None) -> DataFrame:
     """Spread requests over all cores when they come in too few partitions.
 
@@ -211,7 +201,7 @@ def spread(requests: DataFrame, partitions: int | None = None) -> DataFrame:
 def match_patterns(requests: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame:
     """Verdicts by pattern rules: all rules are tested, a ``block`` rule blocks with 403."""
     rules = load_rules(rules)
-    matched = _once(requests, __hits=pattern_hits(rules))
+    matched = once(requests, __hits=pattern_hits(rules))
     blocking = [i for i, r in enumerate(rules) if r.action == "block"]
     blocked = F.arrays_overlap("__hits", F.array(*[F.lit(i) for i in blocking])) if blocking else F.lit(False)
     known = _triggered_constant(rules, lambda r: r.severity)
@@ -234,7 +224,7 @@ def match_directives(
     heads = evaluation_order(rules)
     first, others = directive_hits(heads, {r.ord: r for r in rules})
     carried = _carried(requests)
-    matched = _once(
+    matched = once(
         with_directive_variables(requests, body_access, body_visibility),
         __first=first, __others=others,
     )

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqsieve.functions.headers import header
+from reqsieve.functions.once import once
 from reqsieve.functions.urls import canonical_url, url_host
 from reqsieve.schemas import REQUEST_COLUMNS
 from reqsieve.sources.messages import (
-    header_lines, headers_of, headers_ok, message_body, message_head, request_line,
+    header_lines, headers_of, headers_ok, message_body, message_head, message_parts, request_line,
 )
 from reqsieve.sources.requests import request_problem, with_url_parts
 from reqsieve.sources.uris import resolve_uri
@@ -28,10 +29,12 @@ def record_id(*parts: Column) -> Column:
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
     """One row per record. The separator is the line separator, so big files are split."""
     records = spark.read.option("lineSep", f"\n{SEPARATOR}\n").text(resolve_uri(path))
+    # Separators at the edges of a file are not between records.
+    inner = F.regexp_replace("value", rf"^(?:\n?{SEPARATOR}\n)+|\n?{SEPARATOR}\n?\z", "")
     return records.select(
         F.monotonically_increasing_id().alias("req_seq"),
         F.col("_metadata.file_path").alias("file"),
-        F.regexp_replace("value", rf"^(?:\n?{SEPARATOR}\n)+|\n?{SEPARATOR}\n?\z", "").alias("value"),
+        F.when(F.contains(F.col("value"), F.lit(SEPARATOR)), inner).otherwise(F.col("value")).alias("value"),
     )
 
 
@@ -40,17 +43,16 @@ def parse_capture(records: DataFrame) -> DataFrame:
 
     Records of other kinds (responses) are left out.
     """
-    message = F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1)
-    head = message_head(F.col("message"))
-    line = request_line(F.col("head"))
-    parts = (
-        records.where(F.col("value").rlike(_REQUEST_RECORD))
-        .withColumn("message", message)
-        .withColumn("head", head)
-        .withColumn("line", line)
-        .withColumn("lines", header_lines(F.col("head")))
-        .withColumn("all_headers", headers_of(F.col("lines")))
-        .withColumn("target", F.regexp_extract("line", _REQUEST_LINE, 2))
+    requests = records.where(F.col("value").rlike(_REQUEST_RECORD))
+    split = once(
+        requests,
+        parts=message_parts(F.substr("value", F.instr("value", "\n") + 1)),
+        head=message_head(F.col("parts")),
+        lines=header_lines(F.col("head")),
+        all_headers=headers_of(F.col("lines")),
+    )
+    lines = split.withColumn("line", request_line(F.col("head"))).withColumn(
+        "target", F.regexp_extract("line", _REQUEST_LINE, 2)
     )
     method = F.regexp_extract("line", _REQUEST_LINE, 1)
     well_formed = F.col("line").rlike(_REQUEST_LINE) & headers_ok(F.col("lines"))
@@ -69,11 +71,11 @@ def parse_capture(records: DataFrame) -> DataFrame:
         ),
         "proto": F.regexp_extract("line", _REQUEST_LINE, 3),
         "headers": F.map_filter("all_headers", lambda k, v: k != "Host"),
-        "body": message_body(F.col("message")),
+        "body": message_body(F.col("parts")),
         "client_ip": F.lit(""),
         "ts": F.lit(""),
     }
-    named = parts.select(
+    named = lines.select(
         *[value.alias(name) for name, value in columns.items()],
         problem.alias("problem"),
         F.col("value").alias("raw"),

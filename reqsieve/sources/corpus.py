@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reqsieve.functions.headers import header
 from reqsieve.sources.capture import record_id
-from reqsieve.sources.messages import header_lines, headers_of, message_body, message_head, request_line
+from reqsieve.sources.messages import header_lines, headers_of, message_body, message_head, message_parts, request_line
 from reqsieve.sources.requests import with_url_parts
 from reqsieve.sources.uris import resolve_uri
 
@@ -32,13 +32,13 @@ def scan_attack_corpus(spark: SparkSession, path: str, host: str = "localhost")
         )
         .withColumn("title", F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1)))
         .withColumn(
-            "message",
-            F.replace(
+            "parts",
+            message_parts(F.replace(
                 F.regexp_replace(F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1), r"[\r\n]+\z", ""),
                 F.lit("{{host}}"), F.lit(host),
-            ),
+            )),
         )
-        .withColumn("head", message_head(F.col("message")))
+        .withColumn("head", message_head(F.col("parts")))
         .withColumn("line", request_line(F.col("head")))
         .where(F.col("line").rlike(_REQUEST_LINE))
         .withColumn("all_headers", headers_of(header_lines(F.col("head"))))
@@ -52,7 +52,7 @@ def scan_attack_corpus(spark: SparkSession, path: str, host: str = "localhost")
         "host": header(F.col("all_headers"), "Host"),
         "proto": F.regexp_extract("line", _REQUEST_LINE, 3),
         "headers": F.map_filter("all_headers", lambda k, v: k != "Host"),
-        "body": message_body(F.col("message")),
+        "body": message_body(F.col("parts")),
         "client_ip": F.lit(""),
         "ts": F.lit(""),
     }

@@ -11,16 +11,22 @@ _LINE = r"\r?\n"
 _HEADER = rf"(?s)^{TOKEN}:.*$"
 
 
-def message_head(message: Column) -> Column:
+def message_parts(message: Column) -> Column:
+    """Head and body of a message, parted by the first empty line.
+
+    The body is all that follows; a declared length is not looked at.
+    """
+    return F.split(message, rf"{_LINE}{_LINE}", 2)
+
+
+def message_head(parts: Column) -> Column:
     """Request line and headers, with folded header lines joined."""
-    head = F.element_at(F.split(message, rf"{_LINE}{_LINE}", 2), 1)
-    head = F.regexp_replace(head, r"(?:\r?\n)+\z", "")
-    return F.regexp_replace(head, rf"{_LINE}[ \t]+", " ")
+    head = F.regexp_replace(parts[0], r"(?:\r?\n)+\z", "")
+    return F.when(head.rlike(r"\n[ \t]"), F.regexp_replace(head, rf"{_LINE}[ \t]+", " ")).otherwise(head)
 
 
-def message_body(message: Column) -> Column:
-    """All that follows the first empty line; a declared length is not looked at."""
-    return F.coalesce(F.try_element_at(F.split(message, rf"{_LINE}{_LINE}", 2), F.lit(2)), F.lit(""))
+def message_body(parts: Column) -> Column:
+    return F.coalesce(F.get(parts, 1), F.lit(""))
 
 
 def request_line(head: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqsieve.functions.headers import canonical_headers, empty_headers
+from reqsieve.functions.once import once
 from reqsieve.functions.text import as_text
 from reqsieve.functions.urls import canonical_url, url_host
 from reqsieve.schemas import REQUEST_COLUMNS
@@ -53,7 +54,7 @@ def parse_ndjson(lines: DataFrame, strict: bool = True) -> DataFrame:
     ``strict`` also refuses lines in which a field has another type than text.
     """
     parsed = F.from_json("value", _TYPED if strict else _LOOSE, _OPTIONS)
-    decoded = lines.withColumn("j", F.when(F.col("value").rlike(_OBJECT), parsed))
+    decoded = once(lines, j=F.when(F.col("value").rlike(_OBJECT), parsed))
     broken, fields = _decode(strict)
     method = F.coalesce(F.nullif(fields["method"], F.lit("")), F.lit("GET"))
     target = as_text(fields["url"])
