@@ -132,6 +132,26 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
+def _without_case(pattern: str) -> str | None:
+    """The inside of a pattern that is one ``(?i:...)`` group or starts with ``(?i)``."""
+    if pattern.startswith("(?i)"):
+        return pattern[4:]
+    if not pattern.startswith("(?i:"):
+        return None
+    depth, in_class, end = 0, False, 0
+    for m in _TOKEN.finditer(pattern):
+        kind, tok = m.lastgroup, m.group()
+        if kind == "char" and tok in "[]":
+            in_class = tok == "["
+        elif not in_class:
+            opens = kind in ("named", "special") or (kind == "flags" and tok[-1] == ":") or (kind == "char" and tok == "(")
+            depth += opens - (kind == "char" and tok == ")")
+        if depth == 0:
+            end = m.end()
+            break
+    return pattern[4:-1] if end == len(pattern) else None
+
+
 def required_literals(pattern: str) -> tuple[list[str], bool] | None:
     """``(literals, exact)``: every match holds one of ``literals``.
 
@@ -148,16 +168,15 @@ def required_literals(pattern: str) -> tuple[list[str], bool] | None:
 
     for m in _TOKEN.finditer(pattern):
         kind, tok = m.lastgroup, m.group()
-        if kind == "flags":
-            if "i" in tok:
-                return None
         if in_class:
             if kind == "char" and tok == "]" and not fresh:
                 in_class = False
             fresh = fresh and kind == "char" and tok == "^"
             continue
-        opens = kind in ("named", "special") or (kind == "flags" and tok.endswith(":"))
-        if opens or (kind == "char" and tok == "("):
+        if kind == "flags" and tok.endswith(")"):
+            # Flags for the rest of the pattern change what its text means.
+            return None
+        if kind in ("named", "special", "flags") or (kind == "char" and tok == "("):
             depth += 1
             cut()
         elif kind == "char" and tok == ")":
@@ -184,15 +203,38 @@ def required_literals(pattern: str) -> tuple[list[str], bool] | None:
     return (longest, exact) if all(longest) else None
 
 
+def caseless_literals(pattern: str) -> list[str] | None:
+    """What the lower-case form of any text matched by a caseless pattern must hold.
+
+    Text is cut at ``s``, which a long s matches too without being its upper case, and at
+    anything outside ASCII.
+    """
+    inside = _without_case(pattern)
+    known = inside is not None and required_literals(inside)
+    if not known:
+        return None
+    parts = [max(re.split(r"[sS]|[^\x00-\x7F]", text), key=len).lower() for text in known[0]]
+    return parts if all(parts) else None
+
+
+_MOST_ALTERNATIVES = 8
+
+
 def matches(value: Column, pattern: str) -> Column:
     """True where the RE2 ``pattern`` is found anywhere in ``value``."""
     regex = to_java(pattern)
+
+    def holds(text: Column, literals: list[str]) -> Column:
+        return reduce(or_, [F.contains(text, F.lit(part)) for part in literals])
+
     known = required_literals(pattern)
-    if known is None or len(known[0]) > 8:
-        return value.rlike(regex)
-    literals, exact = known
-    present = reduce(or_, [F.contains(value, F.lit(text)) for text in literals])
-    return present if exact else present & value.rlike(regex)
+    if known and len(known[0]) <= _MOST_ALTERNATIVES:
+        literals, exact = known
+        return holds(value, literals) if exact else holds(value, literals) & value.rlike(regex)
+    literals = caseless_literals(pattern)
+    if literals and len(literals) <= _MOST_ALTERNATIVES:
+        return holds(F.lower(value), literals) & value.rlike(regex)
+    return value.rlike(regex)
 
 
 def subsequence(value: Column, text: str) -> Column:

@@ -186,18 +186,6 @@ def _carried(requests: DataFrame) -> list[str]:
     return REQUEST_COLUMNS + [c for c in requests.columns if c not in REQUEST_COLUMNS]
 
 
-def spread(requests: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Spread requests over all cores when they come in too few partitions.
-
-    Matching is bound by CPU, so a few big files or row groups would leave most cores
-    idle. Sources with enough partitions are left alone, without a shuffle.
-    """
-    wanted = partitions or requests.sparkSession.sparkContext.defaultParallelism
-    if requests.isStreaming or requests.rdd.getNumPartitions() >= 2 * wanted:
-        return requests
-    return requests.repartition(wanted)
-
-
 def match_patterns(requests: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame:
     """Verdicts by pattern rules: all rules are tested, a ``block`` rule blocks with 403."""
     rules = load_rules(rules)

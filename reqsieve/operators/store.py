@@ -27,6 +27,7 @@ from reqsieve.operators.catalog import baseline_state, freshness, latest_run, sw
 from reqsieve.operators.compare import diff_runs
 from reqsieve.operators.matching import analyze
 from reqsieve.schemas import BASELINE_EVENT, QUERY_RESULT, RUN, VERDICT
+from reqsieve.session import estimated_partitions
 from reqsieve.sources.rules import Rule, load_rules, rules_hash
 
 
@@ -80,7 +81,7 @@ def write_run(
     schema = StructType.fromDDL(VERDICT)
     kept = counted.where("blocked").select(*schema.fieldNames())
     place = f"{root}/verdicts/traffic_hash={traffic_hash}/rules_hash={rules_hash}/run_id={run_id}"
-    if kept.rdd.getNumPartitions() <= many_files:
+    if estimated_partitions(verdicts) <= many_files:
         kept.write.mode("overwrite").parquet(place)
     else:
         parts = f"{root}/_parts/{run_id}"

@@ -344,10 +344,14 @@ ORACLES.update({
         select req_id, {map_text(_header_map("coalesce(text, '')"))} as strict,
                {map_text(_header_map("coalesce(text, '')", strict=False))} as lenient from texts""",
     "join_header_values": """
-        with joined as (
-          select conv_id, 'X-' || upper(role[1:1]) || lower(role[2:]) as name, string_agg(md5(text), ', ' order by turn, md5(text)) as v
-          from conversations group by conv_id, role)
-        select conv_id, string_agg(name || '=' || v, ';' order by name) as headers from joined group by conv_id""",
+        with entries as (
+          select doc_id, 1 as pos, 'X-' || upper(lang[1:1]) || lower(lang[2:]) as name, source as v from documents
+          union all select doc_id, 2, 'Accept', lang from documents
+          union all select doc_id, 3, case when doc_id % 2 = 0 then 'X-' || upper(lang[1:1]) || lower(lang[2:]) else 'X-Other' end,
+                           cast(n_chars as varchar) from documents
+          union all select doc_id, 4, 'not a token', '' from documents),
+        joined as (select doc_id, name, string_agg(v, ', ' order by pos) as v from entries group by doc_id, name)
+        select doc_id, string_agg(name || '=' || v, ';' order by name) as headers from joined group by doc_id""",
     "client_ip": f"{TRAFFIC_POSTS} select req_id, client_ip from requests",
     "split_url": f"""{TRAFFIC} select req_id, path, query, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) as host from requests""",
     "canonical_url": f"""

@@ -54,7 +54,8 @@ def flat_verdicts(v: DataFrame) -> DataFrame:
 
 
 def spread_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.spread(T.requests(spark, sf_dir))
+    raw = Q.spread(T.raw_requests(spark, sf_dir))
+    return Q.map_columns(Q.usable_rows(raw, T.MAPPING), T.MAPPING)
 
 
 def run(spark: SparkSession, sf_dir: str, rules=T.RULES_V1) -> DataFrame:
@@ -77,7 +78,8 @@ def stored_runs(spark: SparkSession, sf_dir: str, *rule_sets) -> list[DataFrame]
 
 
 def all_posts_and_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.spread(Q.union_sources(T.requests(spark, sf_dir), T.posts(spark, sf_dir)))
+    raw = Q.spread(Q.union_sources(T.raw_requests(spark, sf_dir), T.raw_posts(spark, sf_dir)))
+    return Q.map_columns(Q.usable_rows(raw, T.MAPPING), T.MAPPING)
 
 
 # Sources
@@ -118,7 +120,7 @@ def scan_partitioned(spark, sf_dir):
         "req_path": F.concat(F.lit("/"), F.col("event_type"), F.lit("?user="), F.col("user_id")),
         "verb": F.lit("GET"),
     })
-    days.repartition("year", "month", "day").write.partitionBy("year", "month", "day").parquet(root)
+    days.hint("rebalance", "year", "month", "day").write.partitionBy("year", "month", "day").parquet(root)
     found = Tab.scan_parquet(
         spark, root, {"id": "event_id", "method": "verb", "path": "req_path"}, base_path=root,
         where="year = 2024 and month = 1 and day <= 15",
@@ -130,7 +132,7 @@ def scan_partitioned(spark, sf_dir):
 def scan_capture(spark, sf_dir):
     """Write requests as a capture with response records in between, and read it back."""
     root = shared_dir(spark)
-    source = Q.union_sources(T.requests(spark, sf_dir), T.posts(spark, sf_dir))
+    source = all_posts_and_requests(spark, sf_dir)
     lines = F.array_join(
         F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n"))), ""
     )
@@ -148,7 +150,7 @@ def scan_capture(spark, sf_dir):
 def scan_ndjson(spark, sf_dir):
     """Write requests as JSON lines, every tenth one broken, and read them back."""
     root = shared_dir(spark)
-    source = Q.union_sources(T.requests(spark, sf_dir), T.posts(spark, sf_dir))
+    source = all_posts_and_requests(spark, sf_dir)
     good = F.to_json(F.struct("method", "url", "headers", "body"))
     broken = F.col("req_id").rlike("7$")
     line = F.when(broken, F.concat(F.lit("{"), good)).otherwise(good)
@@ -257,19 +259,22 @@ def _header_texts(spark, sf_dir):
 @query
 def parse_headers(spark, sf_dir):
     strict, lenient = H.parse_headers(F.col("text")), H.parse_headers(F.col("text"), strict=False)
-    return _header_texts(spark, sf_dir).select(
+    return Q.spread(_header_texts(spark, sf_dir)).select(
         "req_id", map_text(strict).alias("strict"), map_text(lenient).alias("lenient")
     )
 
 
 @query
 def join_header_values(spark, sf_dir):
-    """Turns of a conversation as repeated headers named by role."""
-    turns = T.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("x-"), F.col("role")).alias("name"),
-                                             F.md5("text").alias("value")))).alias("entries")
+    """Properties of a document as headers, some of them twice."""
+    entries = F.expr("""array(
+        named_struct('name', concat('x-', lang), 'value', source),
+        named_struct('name', 'accept', 'value', lang),
+        named_struct('name', concat('X-', upper(if(doc_id % 2 = 0, lang, 'other'))), 'value', cast(n_chars as string)),
+        named_struct('name', 'not a token', 'value', ''))""")
+    return T.table(spark, sf_dir, "documents").select(
+        "doc_id", map_text(H.join_header_values(entries)).alias("headers")
     )
-    return turns.select("conv_id", map_text(H.join_header_values(F.col("entries"))).alias("headers"))
 
 
 @query
@@ -300,7 +305,7 @@ def canonical_url(spark, sf_dir):
 @query
 def extract_args(spark, sf_dir):
     args = U.extract_args(F.col("query"), F.col("body"), F.col("headers"))
-    found = Q.union_sources(T.requests(spark, sf_dir), T.posts(spark, sf_dir)).select("req_id", args.alias("args"))
+    found = all_posts_and_requests(spark, sf_dir).select("req_id", args.alias("args"))
     text = F.array_join(F.transform("args", lambda a: F.concat(a["k"], F.lit("="), a["v"])), "|")
     return found.select("req_id", text.alias("args"))
 
@@ -357,12 +362,12 @@ def severity_name(spark, sf_dir):
 
 @query
 def list_requests(spark, sf_dir):
-    return R.list_requests(T.requests(spark, sf_dir), "req_id")
+    return R.list_requests(spread_requests(spark, sf_dir), "req_id")
 
 
 @query
 def list_requests_more(spark, sf_dir):
-    listed = R.list_requests(T.requests(spark, sf_dir), "req_id", more=True)
+    listed = R.list_requests(spread_requests(spark, sf_dir), "req_id", more=True)
     return listed.withColumns({"headers": F.array_join("headers", ";"), "body": F.md5("body")})
 
 
@@ -427,7 +432,7 @@ def match_headers(spark, sf_dir):
              Rules.Rule(2, "h2", "Plain text", "^text/plain$", location="headers"),
              Rules.Rule(3, "h3", "Name, not value", "X-Forwarded-For", location="headers"),
              Rules.Rule(4, "h4", "Unknown place", ".", location="cookies")]
-    return M.match_pairs(T.requests(spark, sf_dir), rules)
+    return M.match_pairs(spread_requests(spark, sf_dir), rules)
 
 
 @query
@@ -751,7 +756,7 @@ def analyze_or_reuse(spark, sf_dir):
 def _stream_source(spark, sf_dir) -> str:
     """The requests as JSON-lines files."""
     root = shared_dir(spark)
-    source = Q.union_sources(T.requests(spark, sf_dir), T.posts(spark, sf_dir))
+    source = all_posts_and_requests(spark, sf_dir)
     source.select(F.to_json(F.struct("method", "url", "headers", "body")).alias("value")).write.text(root)
     return root
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "reqsieve", **settings: str) -> SparkSession:
@@ -31,8 +32,6 @@ def shared_dir(spark: SparkSession) -> str:
     On a cluster that setting names a folder all executors reach. Only a local session
     without it gets a folder of this machine.
     """
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -40,3 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="reqsieve-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/reqsieve-{uuid.uuid4().hex}"
+
+
+def estimated_partitions(df: DataFrame) -> int:
+    """About how many tasks will produce a table, from the size Spark expects it to have.
+
+    Only plans are looked at. Asking for the real number would run the shuffles below.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return size // spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split) + 1

@@ -13,6 +13,7 @@ from reqsieve.functions.headers import TOKEN, canonical_headers, empty_headers,
 from reqsieve.functions.text import as_text
 from reqsieve.functions.urls import canonical_url, url_path, url_problem, url_query
 from reqsieve.schemas import REQUEST_COLUMNS
+from reqsieve.session import estimated_partitions
 
 LOGICAL_FIELDS = ["method", "path", "host", "proto", "headers", "body", "client_ip", "timestamp"]
 
@@ -87,6 +88,32 @@ def with_url_parts(df: DataFrame) -> DataFrame:
     return parts.select(*REQUEST_COLUMNS, *[c for c in df.columns if c not in REQUEST_COLUMNS])
 
 
+def spread(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread rows over all cores when they come in too few partitions.
+
+    Parsing and matching are bound by CPU, so a few big files or row groups would leave
+    most cores idle. Best applied to the rows as read. Sources big enough to keep all
+    cores busy are left alone, so the shuffle never moves more than a split per core.
+    """
+    wanted = partitions or rows.sparkSession.sparkContext.defaultParallelism
+    if rows.isStreaming or estimated_partitions(rows) >= wanted:
+        return rows
+    return rows.repartition(wanted)
+
+
+def with_req_id(requests: DataFrame, random: bool = False) -> DataFrame:
+    """Give requests new ids: a hash of position and content, the same on every run, or
+    a random one."""
+    parts = ["req_seq", "method", "url", "host", "body", "client_ip", "ts"]
+    fixed = F.sha2(F.concat_ws("\x1f", *parts), 256)
+    return requests.withColumn("req_id", F.uuid() if random else fixed)
+
+
+def with_timestamp(requests: DataFrame) -> DataFrame:
+    """Add the capture time as a timestamp, NULL where the text is none."""
+    return requests.withColumn("ts_at", F.try_to_timestamp("ts"))
+
+
 def require_fields(df: DataFrame) -> DataFrame:
     """Keep requests that have a method and a URL."""
     return df.where((F.col("method") != "") & (F.col("url") != ""))

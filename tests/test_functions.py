@@ -40,6 +40,10 @@ def one(spark, column, **values):
     (r"\bcat\b", "concat", False),
     ("(?i:licen[sc]e)", "LICENSE", True),
     ("(?i:k)", "\u212a", True),
+    ("(?i:ask)", "A\u017f\u212a", True),
+    ("(?i:DROP\\s+table)", "x drop  TABLE y", True),
+    ("(?i)drop table", "Drop Tablet", True),
+    ("(?i:drop table)", "droptable", False),
     (r"\pL+\d", "é1", True),
     (r"\p{Greek}", "λ", True),
     (r"\P{Greek}", "λ", False),
@@ -68,6 +72,8 @@ def test_patterns_outside_the_dialect_are_refused(pattern):
     ("abc?", (["ab"], False)),
     ("a|b*", None),
     ("(?i)abc", None),
+    ("(?i:abc)", None),
+    ("(?i:abc).*://", (["://"], False)),
     ("(abc)", None),
     ("(?:a|b)cd", (["cd"], False)),
 ])
@@ -92,6 +98,27 @@ def test_required_literals_never_exclude_a_match(atoms, value):
         assert found == holds
 
 
+@pytest.mark.parametrize("pattern, expected", [
+    ("(?i:licen[sc]e)", ["licen"]), ("(?i)DROP\\s+Table", ["table"]), ("(?i:union.*select)", ["elect"]),
+    ("(?i:a|b)", ["a", "b"]), ("(?i:a)|(?i:b)", None), ("(?i:s)", None), ("(?i:a)b", None), ("abc", None),
+    ("(?i:(?:https?|file)://(?:x|y))", ["://"]), ("(?i:[)]x)", ["x"]), ("(?i:a[)]b)c", None),
+])
+def test_caseless_literals(pattern, expected):
+    assert regex.caseless_literals(pattern) == expected
+
+
+_CASELESS = st.lists(st.sampled_from(["a", "B", "s", "k", "ab", "[ab]", ".", "a?", "(?:a|b)", "|", "K"]), min_size=1, max_size=4)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_CASELESS, st.text("abABsS\u017fkK\u212a", max_size=6), st.booleans())
+def test_caseless_literals_never_exclude_a_match(atoms, value, grouped):
+    inside = "".join(atoms)
+    known = regex.caseless_literals(f"(?i:{inside})" if grouped else f"(?i){inside}")
+    if known and re.search(inside, value, re.IGNORECASE):
+        assert any(part in value.lower() for part in known)
+
+
 def test_subsequence(spark):
     for needle, value, found in [("gts", "GET /TeSt", True), ("tsg", "GET /test", False), ("a.b", "xA..b", True), ("[+]", "[+] GET", True)]:
         assert one(spark, regex.subsequence(F.col("v"), needle), v=value) is found

@@ -196,12 +196,16 @@ def test_bodies_are_not_read_for_url_rules(spark, sf_dir):
     assert "html" not in plan and ",text" not in plan
 
 
-def test_spread_only_when_needed(spark, sf_dir):
-    few = T.requests(spark, sf_dir)
-    many = few.repartition(64)
-    assert matching.spread(few).rdd.getNumPartitions() == 4
-    assert matching.spread(many) is many
-    assert matching.spread(few).count() == few.count()
+def test_spread_only_when_needed(spark, sf_dir, monkeypatch):
+    few = T.raw_requests(spark, sf_dir)
+    assert requests.spread(few).rdd.getNumPartitions() == 4
+    assert requests.spread(few).count() == few.count()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        assert requests.spread(few) is few
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_many_rules(spark, sf_dir):

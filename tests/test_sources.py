@@ -192,3 +192,13 @@ def test_sources_join_up(spark):
     b = requests.map_columns(spark.sql("select 'PUT' as m, '/b' as p"), {"method": "m", "path": "p"}).drop("ts")
     assert {r.method for r in requests.union_sources(a, b).collect()} == {"GET", "PUT"}
     assert requests.require_fields(a.withColumn("method", F.lit(""))).count() == 0
+
+
+def test_ids_and_times(spark):
+    df = spark.sql("select 'GET' as m, '/a' as p, '2026-03-10 14:35:00' as t union all select 'GET', '/b', 'noon'")
+    mapped = requests.map_columns(df, {"method": "m", "path": "p", "timestamp": "t"})
+    one, two = (sorted(r.req_id for r in requests.with_req_id(mapped).collect()) for _ in range(2))
+    assert one == two and len(set(one)) == 2
+    assert len(requests.with_req_id(mapped, random=True).first().req_id) == 36
+    times = {r.url: r.ts_at for r in requests.with_timestamp(mapped).collect()}
+    assert times["/a"].hour == 14 and times["/b"] is None
