@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reqsieve.functions.identity import DEFAULT_TTL, sql_hash
-from reqsieve.operators.catalog import baseline_state, freshness, latest_run, swapped_baseline
+from reqsieve.operators.catalog import baseline_state, freshness, latest_run, store_stats, swapped_baseline
 from reqsieve.operators.compare import diff_runs
 from reqsieve.operators.matching import analyze
 from reqsieve.schemas import BASELINE_EVENT, QUERY_RESULT, RUN, VERDICT
@@ -197,3 +197,18 @@ def diff_against_baseline(spark: SparkSession, root: str, traffic_hash: str, dir
     if newest is None:
         raise ValueError("no analysis results found")
     return diff_runs(read_verdicts(spark, root, base.current), read_verdicts(spark, root, newest.run_id))
+
+
+def status(spark: SparkSession, root: str, traffic_hash: str, directory: str = "") -> dict:
+    """Newest run of a traffic source and its age, number of runs, baseline, stored results."""
+    runs = read_runs(spark, root).where(F.col("traffic_hash") == traffic_hash)
+    newest = freshness(latest_run(runs), F.current_timestamp(), 0).first()
+    baseline = read_baseline(spark, root).where(F.col("directory") == directory).first()
+    return {
+        "runs": runs.count(),
+        "latest": newest and newest.run_id,
+        "age_seconds": newest and newest.age_seconds,
+        "baseline": baseline and baseline.current,
+        "previous_baseline": baseline and baseline.previous,
+        **store_stats(read_query_results(spark, root)).first().asDict(),
+    }

@@ -380,7 +380,7 @@ ORACLES.update({
                case when host = '' then '-' when length(host) > 30 then substr(host, 1, 29) || '…' else host end as host,
                coalesce(nullif(remote, ''), '-') as client_ip from requests""",
     "list_requests_more": f"""{TRAFFIC}
-        select row_number() over (order by req_id) as n, method, url_decode(path) as path, host, '' as proto, remote as client_ip,
+        select row_number() over (order by req_id) as n, method, url_decode(path) as path, host, 'HTTP/1.1' as proto, remote as client_ip,
                '' as date, {map_text('headers').replace("'='", "': '")} as headers,
                cast(octet_length(encode(body)) as bigint) as body_bytes, md5(body) as body from requests""",
     "limit": f"{TRAFFIC} select req_id, method, url from requests order by req_id limit 100",

@@ -11,7 +11,7 @@ from pyspark.sql.types import MapType
 
 from reqsieve.functions.headers import TOKEN, canonical_headers, empty_headers, parse_headers
 from reqsieve.functions.text import as_text
-from reqsieve.functions.urls import canonical_url, url_path, url_problem, url_query
+from reqsieve.functions.urls import canonical_url, url_host, url_path, url_problem, url_query
 from reqsieve.schemas import REQUEST_COLUMNS
 from reqsieve.session import estimated_partitions
 
@@ -32,23 +32,26 @@ def _text(df: DataFrame, mapping: Mapping[str, str], field: str) -> Column:
 
 
 def usable_rows(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    """Rows that will make a request: with a method and a path that parses.
+    """Rows that will make a request: with a method and a path that are well formed.
 
     Looks at the physical columns, so the filter runs before any mapping.
     """
     check_mapping(mapping)
     method, path = _text(df, mapping, "method"), _text(df, mapping, "path")
-    return df.where((method != "") & (path != "") & url_problem(path).isNull())
+    return df.where((path != "") & request_problem(method, path).isNull())
 
 
 def map_columns(df: DataFrame, mapping: Mapping[str, str], strict_headers: bool = True) -> DataFrame:
     """Select the request columns from a table, by column name.
 
     ``mapping`` goes from logical field to physical column. A field that is not mapped
-    or whose column is missing reads as empty, and so does NULL. Two more keys name the
+    or whose column is missing reads as empty, and so does NULL; only, without a mapping
+    the host is the one in the URL and the protocol is HTTP/1.1. Two more keys name the
     columns to take ``req_id`` (else a hash of the content) and ``req_seq`` (else 0) from.
     """
     check_mapping(mapping)
+    host = _text(df, mapping, "host") if mapping.get("host") else url_host(_text(df, mapping, "path"))
+    proto = _text(df, mapping, "proto") if mapping.get("proto") else F.lit("HTTP/1.1")
 
     def text(field: str) -> Column:
         return _text(df, mapping, field)
@@ -72,8 +75,8 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str], strict_headers: bool
         seq.cast("long").alias("req_seq"),
         text("method").alias("method"),
         canonical_url(text("path")).alias("url"),
-        text("host").alias("host"),
-        text("proto").alias("proto"),
+        host.alias("host"),
+        proto.alias("proto"),
         headers.alias("headers"),
         text("body").alias("body"),
         text("client_ip").alias("client_ip"),

@@ -265,6 +265,10 @@ def test_baseline_workflow(spark, folder):
     store.swap_baseline(spark, folder)
     state = store.read_baseline(spark, folder).first()
     assert (state.current, state.previous) == (first, second)
+    now = store.status(spark, folder, "t")
+    assert now.pop("age_seconds") >= 0
+    assert now == {"runs": 2, "latest": second, "baseline": first, "previous_baseline": second, "entries": 0, "total_mb": 0.0}
+    assert store.status(spark, folder, "unknown")["latest"] is None
     with pytest.raises(ValueError):
         store.diff_against_baseline(spark, folder, "unknown")
 

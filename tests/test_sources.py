@@ -72,7 +72,7 @@ def test_ndjson(spark, tmp_path):
 def test_parquet_mapping(spark, folder):
     rows = [("GET", "/api/users", "example.com", "HTTP/1.1", '{"content-type":"application/json"}', "1.2.3.4", bytearray(b"abc"), None),
             ("POST", "/api/login", "example.com", "HTTP/1.1", None, "5.6.7.8", None, None),
-            (None, "/x", "", "", "", "", None, None), ("GET", None, "", "", "", "", None, None), ("GET", "/%z", "", "", "", "", None, None)]
+            (None, "/x", "", "", "", "", None, None), ("GET", None, "", "", "", "", None, None), ("GET", "/%z", "", "", "", "", None, None), ("G T", "/y", "", "", "", "", None, None)]
     schema = "method string, path string, host string, proto string, headers string, client_ip string, body binary, t timestamp"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
     mapping = {k: k for k in ("method", "path", "host", "proto", "headers", "client_ip", "body")}
@@ -87,6 +87,9 @@ def test_minimal_mapping_and_errors(spark):
     df = spark.createDataFrame([("GET", "/a?b=1")], "m string, p string")
     row = requests.map_columns(df, {"method": "m", "path": "p", "host": "nope"}).first()
     assert (row.method, row.path, row.query, row.host, row.headers, row.body) == ("GET", "/a", "b=1", "", {}, "")
+    assert row.proto == "HTTP/1.1"
+    absolute = spark.sql("select 'GET' as m, 'http://h:80/a' as p")
+    assert requests.map_columns(absolute, {"method": "m", "path": "p"}).first().host == "h:80"
     for bad in ({"method": "m"}, {"path": "p"}, {"method": "m", "path": "p", "colour": "c"}):
         with pytest.raises(ValueError):
             requests.map_columns(df, bad)
