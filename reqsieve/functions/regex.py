@@ -70,7 +70,8 @@ def _flags(tok: str) -> str:
 
 def to_java(pattern: str) -> str:
     """The Java spelling of an RE2 pattern (for searching, not for capturing)."""
-    multiline = re.search(r"\(\?[a-zA-Z]*m", pattern) is not None
+    # Is ^ and $ about lines? One answer per open group.
+    by_line = [False]
     out, in_class, class_start, after_repeat = ["(?d)"], False, False, False
     for m in _TOKEN.finditer(pattern):
         kind, tok = m.lastgroup, m.group()
@@ -101,8 +102,15 @@ def to_java(pattern: str) -> str:
             else:
                 raise ValueError(f"unknown character class {tok}")
         elif kind == "named":
+            by_line.append(by_line[-1])
             tok = "(?:"
         elif kind == "flags":
+            on, _, off = tok.partition("-")
+            lines = "m" in on or (by_line[-1] and "m" not in off)
+            if tok[-1] == ":":
+                by_line.append(lines)
+            else:
+                by_line[-1] = lines
             tok = _flags(tok)
         elif kind == "special":
             raise ValueError(f"group {tok} is not supported in rule patterns")
@@ -122,10 +130,14 @@ def to_java(pattern: str) -> str:
                 in_class = class_start = True
             elif tok == "{":
                 tok = r"\{"
+            elif tok == "(":
+                by_line.append(by_line[-1])
+            elif tok == ")" and len(by_line) > 1:
+                by_line.pop()
             elif tok == "$":
-                tok = r"(?=\n|\z)" if multiline else r"\z"
-            elif tok == "^" and multiline:
-                tok = r"(?:\A|(?<=\n))"
+                tok = r"(?=\n|\z)" if by_line[-1] else r"\z"
+            elif tok == "^":
+                tok = r"(?:\A|(?<=\n))" if by_line[-1] else r"\A"
         out.append(tok)
     if in_class:
         raise ValueError("missing closing ]")

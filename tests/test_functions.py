@@ -230,3 +230,36 @@ def test_source_identity(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("value, seconds", [("24h", 86400), ("1h30m", 5400), ("0", 0), ("90s", 90), ("", 86400), (None, 86400), ("soon", 86400), ("2d", 86400)])
 def test_durations(value, seconds):
     assert identity.duration_seconds(value) == seconds
+
+
+_PIECES = [
+    "a", "b", ".", "[ab]", "[^a]", r"\s", r"\S", r"\d", r"\w", r"\W", r"\b", "^", "$", "(?i:A)", "(?:ab|c)", "a*", "b+?", "c{1,2}",
+    "[[:alpha:]]", "[^[:space:]]", r"\.", r"\$", "{", "[&&a]", "[]b]", "[[]", "(?s:.)", "(?m:^b)", "(?m:a$)", "|", r"\x41", "(?P<n>b)",
+    r"[\s\d]", r"\v", r"\pL", "(?i:s)", "(?U:a+)", "(?m)", "(?-m:^a)", "(a$|b)",
+]
+_VALUES = ["", "a", "b\n", "ab c", "A\tb", "1.2", "a\x0bb", "x\r\ny", "$[a]", "{b}", "&&", "_b_", "éa", "ſ", "cc\nb", "AaBb", "]", "\x41b"]
+
+
+def test_patterns_agree_with_another_re2(spark):
+    """Random patterns over all values: Spark with translated patterns and DuckDB's RE2."""
+    import random
+
+    import duckdb
+
+    rng, patterns = random.Random(11), set()
+    while len(patterns) < 400:
+        patterns.add("".join(rng.choice(_PIECES) for _ in range(rng.randrange(1, 5))))
+    con, usable, expected = duckdb.connect(), [], {}
+    for pattern in sorted(patterns):
+        try:
+            rows = con.execute("select list(regexp_matches(v, ?) order by i) from (select unnest(?) as v, unnest(range(?)) as i)",
+                               [pattern, _VALUES, len(_VALUES)]).fetchall()
+        except duckdb.Error:
+            continue
+        usable.append(pattern)
+        expected[pattern] = rows[0][0]
+    assert len(usable) > 300
+    df = spark.createDataFrame(list(enumerate(_VALUES)), "i int, v string").orderBy("i")
+    rows = df.select(*[regex.matches(F.col("v"), p).alias(str(n)) for n, p in enumerate(usable)]).collect()
+    wrong = {p: [v for v, r, e in zip(_VALUES, rows, expected[p]) if r[n] != e] for n, p in enumerate(usable)}
+    assert {p: v for p, v in wrong.items() if v} == {}
