@@ -510,6 +510,11 @@ ORACLES.update({
     "stream_analyze": f"""{TRAFFIC_POSTS}, {verdict_cte(RULES_V1)}
         select method, url, case when coalesce(headers['X-Forwarded-For'], '') <> '' then client_ip else '' end as client_ip,
                rules, logs from verdicts where blocked""",
+    "stream_parquet": f"""
+        with requests as (
+          select cast(doc_id as varchar) as req_id, lang as method, source as url, text as body,
+                 map([]::varchar[], []::varchar[]) as headers from documents), {verdict_cte(RULES_V2)}
+        select req_id, method, url, rules from verdicts where blocked""",
     "stream_totals": f"""{TRAFFIC_POSTS}, {verdict_cte(RULES_V1)}
         select count(*) as total_requests, count(*) filter (where blocked) as blocked_requests from verdicts""",
 })

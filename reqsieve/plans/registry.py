@@ -775,3 +775,13 @@ def stream_totals(spark, sf_dir):
     requests = Stream.stream_ndjson(spark, _stream_source(spark, sf_dir), files_per_trigger=3)
     Stream.stream_totals(requests, T.RULES_V1, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return Stream.read_stream_totals(spark, f"{root}/out")
+
+
+@query
+def stream_parquet(spark, sf_dir):
+    """The documents as a stream of requests."""
+    root = shared_dir(spark)
+    columns = {"id": "doc_id", "method": "lang", "path": "source", "body": "text"}
+    requests = Stream.stream_parquet(spark, sf_dir, columns, files="documents.parquet")
+    Stream.stream_analyze(requests, T.RULES_V2, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("req_id", "method", "url", rule_ids().alias("rules"))

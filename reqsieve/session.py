@@ -41,12 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/reqsieve-{uuid.uuid4().hex}"
 
 
-def estimated_partitions(df: DataFrame) -> int:
-    """About how many tasks will produce a table, from the size Spark expects it to have.
+def estimated_bytes(df: DataFrame) -> int:
+    """The size Spark expects a table to have.
 
-    Only plans are looked at. Asking for the real number would run the shuffles below.
+    Only plans are looked at: asking for the partitions of a table would run its shuffles.
     """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def estimated_partitions(df: DataFrame) -> int:
+    """About how many tasks will read a table."""
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    return size // spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split) + 1
+    return estimated_bytes(df) // spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split) + 1

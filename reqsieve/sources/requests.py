@@ -13,7 +13,7 @@ from reqsieve.functions.headers import TOKEN, canonical_headers, empty_headers,
 from reqsieve.functions.text import as_text
 from reqsieve.functions.urls import canonical_url, url_host, url_path, url_problem, url_query
 from reqsieve.schemas import REQUEST_COLUMNS
-from reqsieve.session import estimated_partitions
+from reqsieve.session import estimated_bytes, estimated_partitions
 
 LOGICAL_FIELDS = ["method", "path", "host", "proto", "headers", "body", "client_ip", "timestamp"]
 
@@ -91,6 +91,9 @@ def with_url_parts(df: DataFrame) -> DataFrame:
     return parts.select(*REQUEST_COLUMNS, *[c for c in df.columns if c not in REQUEST_COLUMNS])
 
 
+SMALLEST_TASK_BYTES = 256 * 1024
+
+
 def spread(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     """Spread rows over all cores when they come in too few partitions.
 
@@ -98,10 +101,11 @@ def spread(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     most cores idle. Best applied to the rows as read. Sources big enough to keep all
     cores busy are left alone, so the shuffle never moves more than a split per core.
     """
-    wanted = partitions or rows.sparkSession.sparkContext.defaultParallelism
-    if rows.isStreaming or estimated_partitions(rows) >= wanted:
+    if rows.isStreaming:
         return rows
-    return rows.repartition(wanted)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    wanted = partitions or min(cores, estimated_bytes(rows) // SMALLEST_TASK_BYTES + 1)
+    return rows if estimated_partitions(rows) >= wanted else rows.repartition(wanted)
 
 
 def with_req_id(requests: DataFrame, random: bool = False) -> DataFrame:

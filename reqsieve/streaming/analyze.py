@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from reqsieve.operators.matching import analyze
 from reqsieve.operators.reports import totals
 from reqsieve.schemas import REQUEST_COLUMNS
 from reqsieve.sources.ndjson import parse_ndjson
+from reqsieve.sources.requests import map_columns, usable_rows
 from reqsieve.sources.rules import Rule
 
 
@@ -27,6 +28,16 @@ def stream_ndjson(spark: SparkSession, in_dir: str, files_per_trigger: int = 100
     return parse_ndjson(lines, strict).where(F.col("problem").isNull()).select(*REQUEST_COLUMNS)
 
 
+def stream_parquet(
+    spark: SparkSession, in_dir: str, columns: Mapping[str, str], files: str = "*.parquet", files_per_trigger: int = 1000
+) -> DataFrame:
+    """Requests of parquet files as a stream, by column mapping. The layout is that of the files there now."""
+    schema = spark.read.option("pathGlobFilter", files).parquet(in_dir).schema
+    options = {"pathGlobFilter": files, "maxFilesPerTrigger": files_per_trigger}
+    rows = spark.readStream.schema(schema).options(**options).parquet(in_dir)
+    return map_columns(usable_rows(rows, columns), columns)
+
+
 def stream_analyze(
     requests: DataFrame, rules: DataFrame | Iterable[Rule], out_dir: str, checkpoint: str, **options
 ) -> StreamingQuery:

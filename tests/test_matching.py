@@ -198,7 +198,9 @@ def test_bodies_are_not_read_for_url_rules(spark, sf_dir):
 
 def test_spread_only_when_needed(spark, sf_dir, monkeypatch):
     few = T.raw_requests(spark, sf_dir)
-    assert requests.spread(few).rdd.getNumPartitions() == 4
+    assert 1 < requests.spread(few).rdd.getNumPartitions() <= 4
+    assert requests.spread(few, 3).rdd.getNumPartitions() == 3
+    assert requests.spread(few.limit(1)).rdd.getNumPartitions() == 1
     assert requests.spread(few).count() == few.count()
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
