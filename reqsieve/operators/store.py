@@ -110,6 +110,15 @@ def export_results(verdicts: DataFrame, path: str) -> None:
     ).write.mode("overwrite").json(path)
 
 
+def export_run(spark: SparkSession, root: str, run_id: str, path: str) -> None:
+    """A stored run as report lines: ``path/results`` and one line in ``path/metadata``."""
+    export_results(read_verdicts(spark, root, run_id), f"{path}/results")
+    run = read_runs(spark, root).where(F.col("run_id") == run_id)
+    metadata = run.select(F.col("finished_at").alias("timestamp"), "total_requests", "blocked_requests",
+                          "traffic_hash", "rules_hash")
+    metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
 def read_query_results(spark: SparkSession, root: str) -> DataFrame:
     """The newest stored result of every query."""
     log = _read_log(spark, f"{root}/query_results", QUERY_RESULT)

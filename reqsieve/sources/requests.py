@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
@@ -141,6 +141,14 @@ def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.where(F.col("problem").isNotNull())
 
 
+def observe_rejected(parsed: DataFrame, seen: Observation) -> DataFrame:
+    """Requests of parsed records, counting ``records`` and ``rejected`` ones as they pass by."""
+    counted = parsed.observe(
+        seen, F.count(F.lit(1)).alias("records"), F.count_if(F.col("problem").isNotNull()).alias("rejected")
+    )
+    return split_malformed(counted)[0]
+
+
 def union_sources(*sources: DataFrame) -> DataFrame:
     """Several request tables analysed as one."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)

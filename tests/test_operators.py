@@ -203,6 +203,14 @@ def test_export_comes_back(spark, folder):
     assert sorted(map(str, back.select(pick).collect())) == sorted(map(str, v.where("blocked").select(pick).collect()))
 
 
+def test_a_run_is_exported(spark, folder):
+    done = store.write_run(analyze(_traffic(spark), RULES), "t", "r", folder)
+    store.export_run(spark, folder, done["run_id"], f"{folder}/export")
+    assert scan_results(spark, f"{folder}/export/results").count() == 13
+    row = spark.read.json(f"{folder}/export/metadata").first()
+    assert (row.total_requests, row.blocked_requests, row.traffic_hash, row.rules_hash) == (40, 13, "t", "r")
+
+
 def test_fresh_runs_are_reused(spark, folder):
     calls = []
 
@@ -277,3 +285,11 @@ def test_verdict_rows_carry_no_order_dependence(spark, sf_dir):
     a = analyze(T.requests(spark, sf_dir), T.RULES_V1).select("req_id", "logs").collect()
     b = analyze(T.requests(spark, sf_dir).repartition(13), T.RULES_V1).select("req_id", "logs").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_scratch_folders_are_shared(spark):
+    from reqsieve.session import shared_dir
+
+    one, two = shared_dir(spark), shared_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert one != two and one.startswith(base) and two.startswith(base)

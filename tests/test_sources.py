@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from fixtures import CAPTURE_1, CORPUS, PATTERN_RULES, write_capture, write_ndjson
@@ -65,6 +66,9 @@ def test_ndjson(spark, tmp_path):
     assert rows[1].headers["Host"] == "example.com"
     loose = ndjson.scan_ndjson(spark, path, strict=False)
     assert {r.url for r in loose.collect()} >= {"/n", "/h"}
+    seen = Observation("lines")
+    assert requests.observe_rejected(ndjson.parse_ndjson(ndjson.read_lines(spark, path)), seen).count() == 5
+    assert seen.get == {"records": 11, "rejected": 6}
     _, rejected = requests.split_malformed(ndjson.parse_ndjson(ndjson.read_lines(spark, path)))
     assert {r.problem for r in rejected.collect()} == {"malformed json", "control character in url"}
 
