@@ -19,6 +19,7 @@ from reqsieve.sources.uris import resolve_uri
 SEPARATOR = "🐵🙈🙉"
 # The id line of a request starts with 1 and is longer than 40 characters.
 _REQUEST_RECORD = r"(?s)^1[^\n]{40,}\n."
+_UNSEPARATED = r"\n(?=1 [0-9a-f]{24,} [0-9]+(?: [0-9]+)?\r?\n)"
 _REQUEST_LINE = r"^([^ ]*) ([^ ]*) (HTTP/\d+\.\d+)$"
 
 
@@ -27,14 +28,18 @@ def record_id(*parts: Column) -> Column:
 
 
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record. The separator is the line separator, so big files are split."""
-    records = spark.read.option("lineSep", f"\n{SEPARATOR}\n").text(resolve_uri(path))
+    """One row per record. The separator is the line separator, so big files are split.
+
+    A new id line starts a new record also where the separator is missing.
+    """
+    text = spark.read.option("lineSep", f"\n{SEPARATOR}\n").text(resolve_uri(path))
+    value = F.col("value")
     # Separators at the edges of a file are not between records.
-    inner = F.regexp_replace("value", rf"^(?:\n?{SEPARATOR}\n)+|\n?{SEPARATOR}\n?\z", "")
-    return records.select(
-        F.monotonically_increasing_id().alias("req_seq"),
-        F.col("_metadata.file_path").alias("file"),
-        F.when(F.contains(F.col("value"), F.lit(SEPARATOR)), inner).otherwise(F.col("value")).alias("value"),
+    inner = F.regexp_replace(value, rf"^(?:\n?{SEPARATOR}\n)+|\n?{SEPARATOR}\n?\z", "")
+    whole = F.when(F.contains(value, F.lit(SEPARATOR)), inner).otherwise(value)
+    pieces = F.when(F.contains(value, F.lit("\n1 ")), F.split(whole, _UNSEPARATED)).otherwise(F.array(whole))
+    return text.select(F.col("_metadata.file_path").alias("file"), F.explode(pieces).alias("value")).select(
+        F.monotonically_increasing_id().alias("req_seq"), "file", "value"
     )
 
 

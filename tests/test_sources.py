@@ -41,6 +41,16 @@ def test_capture_rejects(spark, tmp_path, line, problem):
     assert capture.parse_capture(capture.read_capture(spark, path)).first().problem == problem
 
 
+def test_capture_without_separators(spark, tmp_path):
+    path = tmp_path / "t.gor"
+    one = "1 " + "a" * 40 + " 1700000000000000000 0\nPOST /one HTTP/1.1\r\nHost: h\r\n\r\nline\n1 is not an id line but quite a long one indeed\n"
+    two = "1 " + "b" * 40 + " 1700000000000000001 0\nGET /two HTTP/1.1\r\nHost: h\r\n\r\n"
+    path.write_text("🐵🙈🙉\n" + one + two, newline="")
+    rows = capture.scan_capture(spark, str(path)).orderBy("req_seq").collect()
+    assert [r.url for r in rows] == ["/one", "/two"]
+    assert rows[0].body == "line\n1 is not an id line but quite a long one indeed"
+
+
 def test_capture_is_split_and_whole(spark, tmp_path):
     """A file cut into many splits gives every record once."""
     path = write_capture(tmp_path / "t.gor", [f"GET /n/{i} HTTP/1.1" for i in range(5000)])
