@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 from check import compare, connect
+from reqsieve.plans.oracles import ORACLES
+from reqsieve.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,13 +16,13 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert contract.entry(spark).columns == ["key", "n"] and contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
     assert compare(spark, con, sf_dir, name) is None
