@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqsieve.llm import archives, near_copies, token_files
+from reqsieve.llm import archives, near_copies, suffix_tree, token_files
 from reqsieve.llm.stored import documents
 from reqsieve.session import shared_dir
 
@@ -24,6 +24,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability by the suffix tree and by word counts."""
+    return suffix_tree.score(documents(spark, sf_dir))
+
+
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose sets of three-word shingles are similar to 85 percent or more."""
     return near_copies.near_copies(documents(spark, sf_dir), width=3, percent=85)
@@ -38,6 +43,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_suffix_tree": op3_suffix_tree,
     "op7_near_copies": op7_near_copies,
     "op10_tokens": op10_tokens,
 }
