@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqsieve.llm import archives, near_copies, suffix_tree, token_files
+from reqsieve.llm import archives, leaks, near_copies, suffix_tree, token_files
 from reqsieve.llm.stored import documents
 from reqsieve.session import shared_dir
 
@@ -34,6 +34,11 @@ def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents."""
+    return leaks.find_leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token files, read back."""
     path = shared_dir(spark)
@@ -45,6 +50,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_suffix_tree": op3_suffix_tree,
     "op7_near_copies": op7_near_copies,
+    "op8_leaks": op8_leaks,
     "op10_tokens": op10_tokens,
 }
 
