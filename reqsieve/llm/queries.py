@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqsieve.llm import archives, leaks, near_copies, suffix_tree, token_files
+from reqsieve.llm import archives, leaks, mixing, near_copies, suffix_tree, token_files
 from reqsieve.llm.stored import documents
 from reqsieve.session import shared_dir
 
@@ -39,6 +39,11 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, sources weighing 1, 2 and 3 in turn."""
+    return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token files, read back."""
     path = shared_dir(spark)
@@ -51,6 +56,7 @@ QUERIES = {
     "op3_suffix_tree": op3_suffix_tree,
     "op7_near_copies": op7_near_copies,
     "op8_leaks": op8_leaks,
+    "op9_mixing": op9_mixing,
     "op10_tokens": op10_tokens,
 }
 
