@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reqsieve.llm import archives, leaks, mixing, near_copies, suffix_tree, token_files
+from reqsieve.llm import archives, leaks, line_rules, line_windows, mixing, near_copies, suffix_tree, token_files
 from reqsieve.llm.stored import documents
 from reqsieve.session import shared_dir
 
@@ -29,6 +30,18 @@ def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(documents(spark, sf_dir))
 
 
+def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without passages that earlier documents have."""
+    found = line_windows.drop_repeated_windows(documents(spark, sf_dir))
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", "n_lines", "n_removed", F.length(text).alias("n_kept_chars"), F.md5(text).alias("text_md5"))
+
+
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents judged alone and by the lines they share with others of their source."""
+    return line_rules.rules(documents(spark, sf_dir))
+
+
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose sets of three-word shingles are similar to 85 percent or more."""
     return near_copies.near_copies(documents(spark, sf_dir), width=3, percent=85)
@@ -54,10 +67,15 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_suffix_tree": op3_suffix_tree,
+    "op5_line_windows": op5_line_windows,
+    "op6_line_rules": op6_line_rules,
     "op7_near_copies": op7_near_copies,
     "op8_leaks": op8_leaks,
     "op9_mixing": op9_mixing,
     "op10_tokens": op10_tokens,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_line_windows": line_windows.ORACLE,
+    "op6_line_rules": line_rules.ORACLE,
+}
