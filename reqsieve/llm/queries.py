@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqsieve.llm import archives, leaks, line_rules, line_windows, mixing, near_copies, suffix_tree, token_files
+from reqsieve.llm import archives, languages, leaks, line_rules, line_windows, mixing, near_copies, suffix_tree, token_files
 from reqsieve.llm.stored import documents
 from reqsieve.session import shared_dir
 
@@ -16,6 +16,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents, whose source is their host."""
+    return languages.identify(documents(spark, sf_dir))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over web pages, with markup and addresses."""
+    return languages.of_pages(documents(spark, sf_dir, "pages"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as ARC files, converted to WARC and read back."""
     arc, warc = shared_dir(spark), shared_dir(spark)
@@ -65,6 +75,8 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_languages": op1_languages,
+    "page_languages": page_languages,
     "op2_warc": op2_warc,
     "op3_suffix_tree": op3_suffix_tree,
     "op5_line_windows": op5_line_windows,
