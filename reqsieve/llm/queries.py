@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqsieve.llm import archives, languages, leaks, line_rules, line_windows, mixing, near_copies, suffix_tree, token_files
+from reqsieve.llm import archives, languages, leaks, line_rules, line_windows, mixing, near_copies, preferences, suffix_tree, token_files
 from reqsieve.llm.stored import documents
 from reqsieve.session import shared_dir
 
@@ -40,6 +40,11 @@ def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(documents(spark, sf_dir))
 
 
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents, learnt from pairs of labelled ones."""
+    return preferences.rank(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without passages that earlier documents have."""
     found = line_windows.drop_repeated_windows(documents(spark, sf_dir))
@@ -79,6 +84,7 @@ QUERIES = {
     "page_languages": page_languages,
     "op2_warc": op2_warc,
     "op3_suffix_tree": op3_suffix_tree,
+    "op4_preferences": op4_preferences,
     "op5_line_windows": op5_line_windows,
     "op6_line_rules": op6_line_rules,
     "op7_near_copies": op7_near_copies,
