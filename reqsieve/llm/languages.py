@@ -245,3 +245,13 @@ def of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     visible = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", " ")
     declared = F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z_-]+)""", 1)
     return identify(pages.select(F.col(id_col), visible.alias("text"), declared.alias("lang"), F.col(url_col).alias("source")), id_col, **options)
+
+
+def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang",
+                      address_col: str = "source", **options) -> DataFrame:
+    """The documents whose language is clear enough, as they are. Equal rows are decided alike."""
+    used = [id_col, text_col, declared_col, address_col]
+    mark = F.xxhash64(*[x for c in used for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+    found = identify(docs.withColumn("__mark", mark), id_col, text_col, declared_col, address_col, keep=("__mark",), **options)
+    rejected = found.where(~F.col("kept")).select("__mark").distinct()
+    return docs.withColumn("__mark", mark).join(rejected, "__mark", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

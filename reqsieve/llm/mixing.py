@@ -18,7 +18,7 @@ are refused. Blocks are one row per ``BLOCK_DOCS`` documents and stay on the exe
 
 Defined results: a null text has no words. A null id is told apart by its text. Rows with one id are always taken
 together. A source without words takes nothing; an empty table gives no rows. Everything follows from the
-rows and the seed: reruns agree, in whatever order the rows are read. Other columns are kept by ``mixed_rows``.
+rows and the seed: reruns agree, in whatever order the rows are read. Other columns are kept by ``mixed_rows`` and ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -221,12 +221,18 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents as often as the mix draws them, with ``epoch, shard, order``.
+    """``document`` (a row of ``docs``) as often as the mix draws it, with ``epoch, shard, order``.
 
     A shard is what has its number, sorted by ``order``.
     """
     mix = plan(sized_docs(docs, id_col, text_col, source_col), **options)
-    row = only(docs, row=F.struct(*[F.col(f"`{c}`") for c in docs.columns]), source=F.col(source_col).cast("string"), mark=_mark(id_col, text_col))
-    found = drawn(row, mix).select("row", "mark", F.inline("draws"))
+    row = only(docs, document=F.struct(*[F.col(f"`{c}`") for c in docs.columns]), source=F.col(source_col).cast("string"), mark=_mark(id_col, text_col))
+    found = drawn(row, mix).select("document", "mark", F.inline("draws"))
     order = F.expr(f"xxhash64({mix.seed + 2}, shard, epoch, mark)")
-    return found.select("row.*", F.col("epoch"), F.col("shard"), order.alias("order"))
+    return found.select("document", "epoch", "shard", order.alias("order"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents as the mix draws them, shard after shard, each in its order."""
+    rows = mixed_rows(docs, **options)
+    return rows.repartitionByRange(F.col("shard"), F.col("order")).sortWithinPartitions("shard", "order").select("document.*")

@@ -101,11 +101,13 @@ def test_targets():
 def test_rows_are_copied_as_drawn(spark, odd):
     docs = odd.withColumn("target", odd.lang)
     rows = mixing.mixed_rows(docs, block_docs=2, shards=2)
-    assert rows.columns == [*docs.columns, "epoch", "shard", "order"]
-    got = Counter(tuple(r)[:6] for r in rows.collect())
+    assert rows.columns == ["document", "epoch", "shard", "order"] and rows.select("document.*").columns == docs.columns
+    got = Counter(r.document for r in rows.collect())
     by = mixing.mix_documents(docs, block_docs=2, shards=2).collect()
     assert sum(got.values()) == sum(len(r.draws) for r in by)
     assert all(n <= 6 for n in got.values())
+    shards = mixing.mixed_documents(docs, block_docs=2, shards=2)
+    assert shards.columns == docs.columns and Counter(shards.collect()) == got
     off = Counter()
     for r in by:
         off[r.source, r.target] += r.taken
@@ -113,4 +115,4 @@ def test_rows_are_copied_as_drawn(spark, odd):
 
 
 def test_empty_table(spark, odd):
-    assert mixing.mix_documents(odd.limit(0)).count() == 0 and mixing.mixed_rows(odd.limit(0)).count() == 0
+    assert mixing.mix_documents(odd.limit(0)).count() == 0 and mixing.mixed_documents(odd.limit(0)).count() == 0
