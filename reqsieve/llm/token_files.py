@@ -28,26 +28,30 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reqsieve.llm.stored import only, parts_for, settle
+from reqsieve.llm.words import Slice, hash_spans, slices
 
 #: Text that goes into one file. A task holds one file in memory.
 FILE_BYTES = 24 << 20
-#: Entries that a worker keeps of what it has encoded; it starts anew beyond.
-CACHE_ENTRIES = 500_000
-
-# The split of byte-level BPE into pieces that are encoded one by one.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-_SAFE_BREAK = regex.compile(r"(?<=[^\s᠎​]) (?=[^\s᠎​])")
-_LATIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-ɏ]*")
+#: Stretches between spaces whose ids a worker keeps; it starts anew beyond.
+KEPT_STRETCHES = 2_000_000
+#: Text that is encoded at a time.
+ENCODED_BYTES = 2_000_000
+
+_CODE = {2: "H", 4: "I"}
+_JOINING = "\u180e\u200b"
+#: What a stretch is: after a space, the first of several, or a whole text.
+SPACED, FIRST, ALONE = 0, 1, 2
+_ROLE = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 _TRAILER = struct.Struct("<QQQ")
 
 
@@ -61,8 +65,9 @@ class Encoder:
     """Texts to the bytes of their ids, the same as ``Tokenizer.encode`` gives.
 
     A byte-level BPE tokenizer encodes the pieces of a text one by one and always starts a piece at
-    a space between two other characters. So what lies between such spaces is encoded once and kept.
-    Any other kind of tokenizer encodes whole texts.
+    a space between two other characters. So what lies between such spaces is encoded once and kept,
+    by a 64-bit hash of its bytes. Texts with other white space beside spaces, and all texts of any
+    other kind of tokenizer, are encoded as a whole.
     """
 
     def __init__(self, path: str, width: int):
@@ -78,55 +83,93 @@ class Encoder:
             and not any(said.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"])
         )
-        self.marks = [t["content"] for t in said["added_tokens"]]
-        self.pieces, self.spaced = _Kept(self._plain), _Kept(self._spaced)
-        self.split = regex.compile(PIECES)
+        self.known = Known(self.kind)
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _by_piece(self, text: str) -> bytes:
-        if text.isalpha() or not _LATIN.fullmatch(text) or any(m in text for m in self.marks):
-            return self._plain(text)
-        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
-
-    def _spaced(self, text: str) -> bytes:
-        if not text or text[0].isspace() or text[-1].isspace() or text[0] in "᠎​" or text[-1] in "᠎​":
-            raise _Unsafe
-        if text.isalpha():
-            return self.pieces[" " + text]
-        return self._by_piece(" " + text)
-
-    def __call__(self, text: str) -> bytes:
+    def stretches(self, texts: list[str], roles: list[int]) -> list[bytes | None]:
+        """The ids of what lies between two spaces; None if a space beside it may be part of a longer piece."""
+        wanted, place, out = [], [], [None] * len(texts)
+        for i, (text, role) in enumerate(zip(texts, roles)):
+            if role == SPACED:
+                if not text.isalpha() and (not text or text[0].isspace() or text[-1].isspace() or text[0] in _JOINING or text[-1] in _JOINING):
+                    continue
+                text = " " + text
+            elif role == FIRST and (not text or text[-1].isspace() or text[-1] in _JOINING):
+                continue
+            wanted.append(text)
+            place.append(i)
+        code = _CODE[self.kind.itemsize]
+        for i, made in zip(place, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
+            out[i] = array(code, made.ids).tobytes()
+        return out
+
+    def texts(self, part: Slice) -> pa.Array:
+        """The ids of all texts of a slice, as binary values."""
         if not self.by_piece:
-            return self._plain(text)
-        first, *rest = text.split(" ")
-        try:
-            if rest and (not first or first[-1].isspace() or first[-1] in "᠎​"):
-                raise _Unsafe
-            return self._by_piece(first) + b"".join(map(self.spaced.__getitem__, rest))
-        except _Unsafe:
-            first, *rest = _SAFE_BREAK.split(text)
-            return self._by_piece(first) + b"".join([self._by_piece(" " + x) for x in rest])
+            return pa.array([self._plain(part.text(i)) for i in range(len(part))], pa.binary())
+        space = np.flatnonzero(part.data == 0x20)
+        counts = np.diff(np.searchsorted(space, part.bounds)) + 1
+        begins = np.concatenate(([0], np.cumsum(counts)))
+        starts, ends = np.empty(begins[-1], np.int64), np.empty(begins[-1], np.int64)
+        first, last = np.zeros(begins[-1], bool), np.zeros(begins[-1], bool)
+        first[begins[:-1]] = last[begins[1:] - 1] = True
+        starts[first], starts[~first] = part.bounds[:-1], space + 1
+        ends[last], ends[~last] = part.bounds[1:], space
+        role = np.where(first, np.where(last, ALONE, FIRST), SPACED)
+        keys, where, each = np.unique(
+            hash_spans(part.data, starts, ends) ^ _ROLE[role], return_index=True, return_inverse=True)
+        data = part.data.tobytes()
+
+        def make(new: np.ndarray) -> list[bytes | None]:
+            place = where[new]
+            return self.stretches([data[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist())], role[place].tolist())
+
+        at, size = self.known.find(keys, make)
+        size = size[each]
+        unsafe = np.unique(np.searchsorted(begins, np.flatnonzero(size < 0), "right") - 1)
+        size = np.maximum(size, 0)
+        cuts = np.concatenate(([0], np.cumsum(size)))
+        ids = self.known.ids[np.repeat(at[each] - cuts[:-1], size) + np.arange(cuts[-1])]
+        offsets = cuts[begins] * self.kind.itemsize
+        if not len(unsafe):
+            return pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+        data = ids.tobytes()
+        rows = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        for i in unsafe.tolist():
+            rows[i] = self._plain(part.text(i))
+        return pa.array(rows, pa.binary())
 
     def trim(self) -> None:
-        for kept in (self.pieces, self.spaced):
-            if len(kept) > CACHE_ENTRIES:
-                kept.clear()
-
-
-class _Unsafe(Exception):
-    """A space here may be part of a longer piece."""
-
-
-class _Kept(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        made = self[key] = self.make(key)
-        return made
+        if len(self.known.keys) > KEPT_STRETCHES:
+            self.known = Known(self.kind)
+
+
+class Known:
+    """Ids by 64-bit key, in arrays: sorted keys, and where their ids are (size -1: none)."""
+
+    def __init__(self, kind: np.dtype):
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, kind)
+
+    def find(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of sorted keys are; ``make`` gives those of the keys at some places, as bytes or None."""
+        place = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != keys[inside]
+        if new.any():
+            made = make(np.flatnonzero(new))
+            size = np.array([-1 if m is None else len(m) // self.ids.itemsize for m in made])
+            held = np.maximum(size, 0)
+            at = len(self.ids) + np.cumsum(held) - held
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(m for m in made if m), self.ids.dtype)])
+            self.keys = np.insert(self.keys, place[new], keys[new])
+            self.at = np.insert(self.at, place[new], at)
+            self.size = np.insert(self.size, place[new], size)
+            place = np.searchsorted(self.keys, keys)
+        return self.at[place], self.size[place]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -152,21 +195,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     width = item_bytes(tokenizer_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text, ids, sizes = encoder(tokenizer_path, width), [], []
+        known, ids, sizes = encoder(tokenizer_path, width), [], []
         for batch in batches:
-            rows: list[bytes] = []
-            held = 0
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                row = encode_text(text.as_py() or "")
-                ids.append(doc_id.as_py())
-                sizes.append(len(row) // width + 1)
-                rows.append(row)
-                held += len(row)
-                if held > 4 << 20:
-                    yield pa.record_batch([pa.array(rows, pa.binary())], ["ids"])
-                    rows, held = [], 0
-                    encode_text.trim()
-            yield pa.record_batch([pa.array(rows, pa.binary())], ["ids"])
+            for part in slices(batch.column(1), ENCODED_BYTES, lower=False):
+                rows = known.texts(part)
+                ids += batch.column(0).slice(part.first, len(part)).to_pylist()
+                sizes += (pc.binary_length(rows).to_numpy() // width + 1).tolist()
+                yield pa.record_batch([rows], ["ids"])
+                known.trim()
         if ids:
             yield pa.record_batch([pa.array([_index(ids, sizes, width)], pa.binary())], ["ids"])
 

@@ -52,7 +52,7 @@ def _grow(n: int) -> None:
 
 @dataclass
 class Slice:
-    """Some texts of a batch: their bytes one after the other, lower-cased."""
+    """Some texts of a batch: their bytes one after the other."""
 
     first: int            # row of the batch
     data: np.ndarray      # bytes
@@ -61,6 +61,9 @@ class Slice:
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
+    def text(self, i: int) -> str:
+        return self.data[self.bounds[i]: self.bounds[i + 1]].tobytes().decode()
+
     def words(self) -> Words:
         inside = ~_SPACE[self.data]
         cuts = np.zeros(len(self.data) + 1, bool)
@@ -84,10 +87,15 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64 bits for each word."""
-        data = self.of.data
-        _grow(len(data) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _POWER[: len(data)], dtype=np.uint64)))
-        return mix((sums[self.ends] - sums[self.starts]) * _INVERSE[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        return hash_spans(self.of.data, self.starts, self.ends)
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each stretch of bytes."""
+    _grow(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _POWER[: len(data)], dtype=np.uint64, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _INVERSE[starts] + (ends - starts).astype(np.uint64))
 
 
 def hash_word(word: bytes) -> int:
@@ -96,18 +104,21 @@ def hash_word(word: bytes) -> int:
     return int(mix(np.array([(total + len(word)) % (1 << 64)], np.uint64))[0])
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The texts of an Arrow column, null as empty, in pieces of about ``limit`` bytes."""
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
+def slices(texts: pa.Array, limit: int = SLICE_BYTES, lower: bool = True) -> Iterator[Slice]:
+    """The texts of an Arrow column, null as empty, lower-cased, in pieces of about ``limit`` bytes."""
+    if texts.null_count or texts.type not in (pa.string(), pa.binary()):
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[texts.offset: texts.offset + len(texts) + 1]
+    kind = np.int32 if texts.type in (pa.string(), pa.binary()) else np.int64
+    bounds = np.frombuffer(offsets, kind)[texts.offset: texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    bounds = bounds.astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + limit, "right")) - 1)
         last = min(last, len(texts))
         part = data[bounds[first]: bounds[last]]
-        yield Slice(first, _LOWER[part], bounds[first: last + 1] - bounds[first])
+        yield Slice(first, _LOWER[part] if lower else part, bounds[first: last + 1] - bounds[first])
         first = last
 
 

@@ -7,11 +7,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from reqsieve.llm import token_files
 from reqsieve.llm.queries import QUERIES, tokenizer_path
+from reqsieve.llm.words import slices
 
 
 def expected(rows):
@@ -57,16 +59,20 @@ def test_empty_table(spark, table, folder):
     assert token_files.read_tokens(spark, folder).count() == 0
 
 
-def test_encoder_agrees_with_the_tokenizer():
+def encoded(encode, texts, limit=10_000):
+    return [x for part in slices(pa.array(texts), limit, lower=False) for x in encode.texts(part).to_pylist()]
+
+
+@pytest.mark.parametrize("limit", [1, 100, 100_000])
+def test_encoder_agrees_with_the_tokenizer(limit):
     encode = token_files.Encoder(tokenizer_path(), 2)
-    parts = [*"ab Z'9  \n\t.é \x1c\x85​᠎中😀'!|*<", "<|endoftext|>", "'s", "'ll", " the", "foo", ".\nBar"]
+    parts = [*"ab Z'9  \n\t.é\xa0\x1c\x85\u180e\u200b中😀'!|*<", "<|endoftext|>", "'s", "'ll", " the", "foo", ".\nBar", " a", ". "]
     draw = random.Random(3)
-    for _ in range(5000):
-        text = "".join(draw.choices(parts, k=draw.randint(0, 9)))
-        assert encode(text) == encode._plain(text), text
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 9))) for _ in range(5000)] + [None]
+    assert encoded(encode, texts, limit) == [encode._plain(t or "") for t in texts]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json"])
 def test_other_tokenizers_encode_whole_texts(name):
     encode = token_files.Encoder(tokenizer_path(name), 2)
-    assert not encode.by_piece and encode("a b  c") == encode._plain("a b  c")
+    assert not encode.by_piece and encoded(encode, ["a b  c"]) == [encode._plain("a b  c")]
