@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reqsieve.functions.text import as_text
@@ -30,35 +30,55 @@ def traffic_hash_of_sql(text: str) -> str:
     return sql_hash(text)[:12]
 
 
-SMALL_SOURCE_BYTES = 64 * 1024 * 1024
-SMALL_SOURCE_FILES = 1000
+#: Bits of a line's hash that enter an identity, twice; products with line numbers stay below 38 digits.
+_LINE_BITS = 40
+
+
+def _line_hash(start: int) -> Column:
+    digits = _LINE_BITS // 4
+    return F.conv(F.substring(F.md5("value"), start, digits), 16, 10).cast("decimal(38,0)")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``file, bytes, lines, digest``: the content of every file, in which the order of lines counts.
+
+    The same at any size and however files are split: lines are hashed where they are read and
+    enter with their numbers, as sums that are put together per split, split by split and file
+    by file. No task holds a file.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(resolve_uri(path))
+    hashes = {"a": _line_hash(1), "b": _line_hash(1 + _LINE_BITS // 4)}
+    lines = text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"),
+        *[h.alias(n) for n, h in hashes.items()],
+    )
+    at = F.col("at").cast("decimal(38,0)") % F.lit(1 << 33)
+    splits = lines.groupBy("file", "bytes", "start").agg(
+        F.count(F.lit(1)).alias("lines"), F.min(at).alias("first"),
+        *[F.sum(n).alias(n) for n in hashes], *[F.sum(F.col(n) * at).alias(f"{n}_at") for n in hashes],
+    )
+    before = F.coalesce(
+        F.sum("lines").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = splits.withColumn("shift", (before - F.col("first")).cast("decimal(38,0)"))
+    placed = [F.sum(F.col(f"{n}_at") + F.col(n) * F.col("shift")) for n in hashes]
+    files = shifted.groupBy("file", "bytes").agg(
+        F.sum("lines").alias("lines"), F.concat_ws(":", *[F.sum(n) for n in hashes], *placed).alias("sums"))
+    return files.select(
+        "file", "bytes", "lines", F.sha2(F.concat_ws(":", F.col("bytes"), F.col("lines"), F.col("sums")), 256).alias("digest"))
 
 
 def files_hash(spark: SparkSession, path: str) -> str:
     """12-character identity of the content of a file, or of all files below a path.
 
-    One small file gives the hash of its bytes, small files together the hash of their
-    sorted hashes. Anything larger is hashed by line on the executors, so that no task
-    ever holds a whole capture.
+    Names and places of the files are not part of it, their number and borders are.
     """
-    path = resolve_uri(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    size = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
-    if size.n == 0:
+    part = F.conv(F.substring("digest", 1, 14), 16, 10).cast("decimal(38,0)")
+    total = file_digests(spark, path).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum(part).alias("sum"), F.max("digest").alias("most")).first()
+    if not total.n:
         raise FileNotFoundError(path)
-    if size.bytes <= SMALL_SOURCE_BYTES and size.n <= SMALL_SOURCE_FILES:
-        digest = F.sha2("content", 256)
-        if size.n == 1:
-            return files.select(digest.alias("h")).first().h[:12]
-        digests = sorted(r.h for r in files.select(digest.alias("h")).collect())
-        return sql_hash("\n".join(digests))[:12]
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    total = lines.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("sum"),
-        F.bit_xor(F.xxhash64("value")).alias("xor"),
-    ).first()
-    return sql_hash(f"{size.n}:{size.bytes}:{total.n}:{total.sum}:{total.xor}")[:12]
+    return sql_hash(f"{total.n}:{total.bytes}:{total.sum}:{total.most}")[:12]
 
 
 def run_name(traffic: Column, rules: Column) -> Column:

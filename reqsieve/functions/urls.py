@@ -37,21 +37,28 @@ def _relative(url: Column) -> Column:
     return url.startswith("/")
 
 
-def url_host(url: Column) -> Column:
-    """Host (with port) of an absolute URL, else empty."""
+def url_host(url: Column, authority: bool = False) -> Column:
+    """Host (with port) of an absolute URL, else empty.
+
+    With ``authority`` what follows ``//`` is a host too; in a request line it is a path.
+    """
     host = F.regexp_extract(url, rf"{_SCHEME}(?:[^/?#@]*@)?([^/?#]*)", 1)
-    return F.when(_relative(url), F.lit("")).otherwise(host)
+    found = F.when(_relative(url), F.lit("")).otherwise(host)
+    if not authority:
+        return found
+    return F.when(url.startswith("//"), F.regexp_extract(url, r"^//(?:[^/?#@]*@)?([^/?#]*)", 1)).otherwise(found)
 
 
-def url_target(url: Column) -> Column:
+def url_target(url: Column, authority: bool = False) -> Column:
     """Path and query of a URL, without scheme, host and fragment."""
     bare = without_fragment(url)
-    return F.when(_relative(url), bare).otherwise(F.regexp_replace(bare, rf"{_SCHEME}[^/?]*", ""))
+    target = F.when(_relative(url), bare).otherwise(F.regexp_replace(bare, rf"{_SCHEME}[^/?]*", ""))
+    return F.when(bare.startswith("//"), F.regexp_replace(bare, "^//[^/?]*", "")).otherwise(target) if authority else target
 
 
-def url_path(url: Column) -> Column:
+def url_path(url: Column, authority: bool = False) -> Column:
     """Path as written, without query and fragment."""
-    return F.substring_index(url_target(url), "?", 1)
+    return F.substring_index(url_target(url, authority), "?", 1)
 
 
 def url_query(url: Column) -> Column:

@@ -32,14 +32,25 @@ def with_key(verdicts: DataFrame) -> DataFrame:
 
 
 def _order() -> Column:
-    return F.struct(F.col("req_seq"), F.col("req_id"))
+    """Capture order; a result without a number comes before all others."""
+    return F.struct(F.coalesce("req_seq", F.lit(-(1 << 63))).alias("req_seq"), F.col("req_id"))
+
+
+def _last(verdicts: DataFrame) -> DataFrame:
+    """``req_key, o``: where the last result of every request stands."""
+    return with_key(verdicts).select("req_key", _order().alias("o")).groupBy("req_key").agg(F.max("o").alias("o"))
+
+
+def _whole(verdicts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The results at the wanted places. Only here do whole rows take part."""
+    rows = with_key(verdicts).select("req_key", _order().alias("o"), *[F.col(c) for c in verdicts.columns])
+    keys = ["req_key", "o"]
+    return rows.join(wanted, keys, "left_semi").dropDuplicates(keys).select("req_key", *verdicts.columns)
 
 
 def dedupe_by_key(verdicts: DataFrame) -> DataFrame:
-    """One result per request key: the last in capture order."""
-    row = F.struct(*verdicts.columns)
-    last = with_key(verdicts).groupBy("req_key").agg(F.max_by(row, _order()).alias("r"))
-    return last.select("req_key", "r.*")
+    """One result per request key: the last in capture order. Reads the results twice."""
+    return _whole(verdicts, _last(verdicts))
 
 
 def rules_equal(a: Column, b: Column) -> Column:
@@ -89,9 +100,9 @@ def diff_runs(v1: DataFrame, v2: DataFrame) -> DataFrame:
 
 
 def _only_in(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Keys of ``left`` that ``right`` lacks; keys are made unique before they meet."""
+    """Keys of ``left`` that ``right`` lacks; keys are made unique before they meet, and rows come last."""
     keys = with_key(right).select("req_key").distinct()
-    return dedupe_by_key(left).join(keys, "req_key", "left_anti")
+    return _whole(left, _last(left).join(keys, "req_key", "left_anti"))
 
 
 def added(v1: DataFrame, v2: DataFrame) -> DataFrame:
@@ -137,10 +148,10 @@ def diff_details(diff: DataFrame, v1: DataFrame, v2: DataFrame) -> DataFrame:
     ).select("req_key", "diff_type", "method", "url", "w.*").where(F.col("req_id").isNotNull())
     shown = ["headers", "body", "client_ip", "rules_triggered", "interruption", "logs"]
     full = with_key(v1).withColumn("side", F.lit(1)).unionByName(with_key(v2).withColumn("side", F.lit(2)))
-    full = full.select("req_key", "side", "req_id", "req_seq", F.struct("req_id", *shown).alias("r"))
+    full = full.select("req_key", "side", "req_id", _order().alias("o"), F.struct("req_id", *shown).alias("r"))
     found = wanted.join(full, ["req_key", "side", "req_id"])
     sides = found.groupBy("req_key", "diff_type", "method", "url").agg(*[
-        F.max_by(F.when(F.col("side") == s, F.col("r")), F.when(F.col("side") == s, F.col("req_seq"))).alias(f"result{s}")
+        F.max_by(F.when(F.col("side") == s, F.col("r")), F.when(F.col("side") == s, F.col("o"))).alias(f"result{s}")
         for s in (1, 2)
     ])
     return sides.withColumn("mark", _choose(F.col("diff_type"), MARKS))

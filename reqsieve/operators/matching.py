@@ -21,7 +21,7 @@ from reqsieve.functions.headers import client_ip
 from reqsieve.functions.once import once
 from reqsieve.functions.regex import matches
 from reqsieve.functions.text import SEVERITY_NAMES
-from reqsieve.functions.urls import extract_args, is_form, url_target
+from reqsieve.functions.urls import extract_args, is_form, without_fragment
 from reqsieve.schemas import INTERRUPTION, REQUEST_COLUMNS, TRIGGERED
 from reqsieve.sources.rules import Rule, load_rules
 
@@ -59,19 +59,20 @@ def pattern_condition(rule: Rule) -> Column:
     return places[rule.location]() if rule.location in places else F.lit(False)
 
 
-def _one_directive(rule: Rule) -> Column:
+def _one_directive(rule: Rule, phase: int) -> Column:
+    """Condition of one rule; in phase 1 the body has not been read yet."""
     def check(value: Column) -> Column:
         return test(value, rule.operator, rule.pattern)
 
     if rule.variable == "ARGS":
-        return F.exists("__args", check)
+        return F.exists("__args" if phase > 1 else "__query_args", check)
     if rule.variable == "REQUEST_BODY":
-        return F.coalesce(check(F.col("__body")), F.lit(False))
+        return F.coalesce(check(F.col("__body")), F.lit(False)) if phase > 1 else F.lit(False)
     if rule.variable == "REQUEST_HEADERS":
         if not rule.selector:
-            return any_value(F.col("headers"), check)
+            return F.exists(F.flatten(F.map_values("__header_values")), check)
         name = "-".join(part.capitalize() for part in rule.selector.split("-"))
-        return F.coalesce(check(F.try_element_at("headers", F.lit(name))), F.lit(False))
+        return F.coalesce(F.exists(F.try_element_at("__header_values", F.lit(name)), check), F.lit(False))
     if rule.variable == "REQUEST_URI":
         return check(F.col("__uri"))
     if rule.variable == "REQUEST_METHOD":
@@ -81,10 +82,10 @@ def _one_directive(rule: Rule) -> Column:
 
 def directive_condition(rule: Rule, by_ord: Mapping[int, Rule]) -> Column:
     """Predicate of a directive rule together with the conditions chained to it."""
-    conditions, link = [_one_directive(rule)], rule
+    conditions, link = [_one_directive(rule, rule.phase)], rule
     while link.chain_to is not None:
         link = by_ord[link.chain_to]
-        conditions.append(_one_directive(link))
+        conditions.append(_one_directive(link, rule.phase))
     return reduce(and_, conditions)
 
 
@@ -137,10 +138,15 @@ def with_directive_variables(requests: DataFrame, body_access: bool, body_visibi
         "form": is_form(F.col("headers")), "always": F.lit(True), "never": F.lit(False),
     }[body_visibility if body_access else "never"]
     args = extract_args(F.col("query"), F.col("body"), F.col("headers"), body_access)
+    query = extract_args(F.col("query"), F.col("body"), F.col("headers"), body_access=False)
+    one_each = F.transform_values("headers", lambda k, v: F.array(v))
+    asked = F.contains(without_fragment(F.col("url")), F.lit("?"))
     return requests.withColumns({
         "__args": F.transform(args, lambda a: a["v"]),
+        "__query_args": F.transform(query, lambda a: a["v"]),
         "__body": F.when(visible, F.col("body")),
-        "__uri": url_target(F.col("url")),
+        "__header_values": F.col("header_values") if "header_values" in requests.columns else one_each,
+        "__uri": F.concat(F.col("path"), F.when(asked, F.concat(F.lit("?"), F.col("query"))).otherwise(F.lit(""))),
     })
 
 
@@ -205,8 +211,9 @@ def match_directives(
 ) -> DataFrame:
     """Verdicts by directive rules: phase by phase, until the first rule that denies.
 
-    ``body_access`` makes form arguments and the request body visible to rules;
-    ``body_visibility`` says which bodies ``REQUEST_BODY`` stands for.
+    ``body_access`` makes form arguments and the request body visible to rules from phase 2 on;
+    ``body_visibility`` says which bodies ``REQUEST_BODY`` stands for. Headers are looked at
+    value by value where the source has them in ``header_values``.
     """
     rules = load_rules(rules)
     heads = evaluation_order(rules)

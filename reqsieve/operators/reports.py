@@ -119,7 +119,7 @@ def numbered(df: DataFrame, *order: str, blocks: int | None = None) -> DataFrame
     before it. The cuts only decide how even the blocks are, never a number.
     """
     spark = df.sparkSession
-    blocks = blocks or min(1024, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(F.struct(*order).alias("o"))
     coarse = max(1, round(blocks ** 0.5))
     fine = -(-blocks // coarse)
@@ -159,7 +159,7 @@ def _cut_points(keys: DataFrame, blocks: int) -> list:
     """At most ``blocks - 1`` ordered values that split the keys about evenly."""
     total = keys.count()
     wanted = blocks * 20
-    if total < 10_000 or blocks < 2:
+    if not total or blocks < 2:
         return []
     sample = keys.sample(min(1.0, wanted / total), seed=7).limit(4 * wanted).collect()
     values = sorted({tuple(r.o) for r in sample})

@@ -27,7 +27,7 @@ from reqsieve.operators.catalog import baseline_state, freshness, latest_run, st
 from reqsieve.operators.compare import diff_runs
 from reqsieve.operators.matching import analyze
 from reqsieve.schemas import BASELINE_EVENT, QUERY_RESULT, RUN, VERDICT
-from reqsieve.session import estimated_partitions
+from reqsieve.session import children, exists, remove
 from reqsieve.sources.rules import Rule, load_rules, rules_hash
 
 
@@ -37,10 +37,7 @@ def _now() -> datetime:
 
 def _read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log table, empty as long as nothing was appended."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def _append(spark: SparkSession, path: str, schema: str, row: tuple) -> None:
@@ -52,25 +49,31 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_verdicts(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
-    """Stored verdicts, of all runs or of one (which reads only its directory)."""
+    """Stored verdicts, of all runs or of one (whose directory alone is listed and read)."""
     schema = StructType.fromDDL(VERDICT + ", traffic_hash string, rules_hash string, run_id string")
-    verdicts = spark.read.schema(schema).parquet(f"{root}/verdicts")
-    return verdicts if run_id is None else verdicts.where(F.col("run_id") == run_id)
+    reader = spark.read.schema(schema).option("basePath", f"{root}/verdicts")
+    if run_id is None:
+        return reader.parquet(f"{root}/verdicts")
+    run = read_runs(spark, root).where(F.col("run_id") == run_id).first()
+    if run is None:
+        return spark.createDataFrame([], schema)
+    return reader.parquet(_place(root, run.traffic_hash, run.rules_hash, run_id))
 
 
-MANY_FILES = 2000
+def _place(root: str, traffic_hash: str, rules_hash: str, run_id: str) -> str:
+    return f"{root}/verdicts/traffic_hash={traffic_hash}/rules_hash={rules_hash}/run_id={run_id}"
 
 
 def write_run(
     verdicts: DataFrame, traffic_hash: str, rules_hash: str, root: str,
-    run_id: str | None = None, many_files: int = MANY_FILES,
+    run_id: str | None = None,
 ) -> dict:
     """Store the blocked verdicts of a run and its totals, in one pass over the traffic.
 
     The counts are taken by the tasks that write. Spark counts the successful attempt of
-    such a task only, so lost executors and speculation do not disturb the totals. A run
-    of more than ``many_files`` tasks would leave as many small files: those go to a side
-    folder first and are joined into files of the size Spark advises.
+    such a task only, so lost executors and speculation do not disturb the totals. Every task
+    leaves a file, however few of its requests are blocked: they go to a side folder first
+    and are joined into files of the size Spark advises.
     """
     spark = verdicts.sparkSession
     run_id = run_id or uuid.uuid4().hex
@@ -80,14 +83,11 @@ def write_run(
     )
     schema = StructType.fromDDL(VERDICT)
     kept = counted.where("blocked").select(*schema.fieldNames())
-    place = f"{root}/verdicts/traffic_hash={traffic_hash}/rules_hash={rules_hash}/run_id={run_id}"
-    if estimated_partitions(verdicts) <= many_files:
-        kept.write.mode("overwrite").parquet(place)
-    else:
-        parts = f"{root}/_parts/{run_id}"
-        kept.write.mode("overwrite").parquet(parts)
-        spark.read.schema(schema).parquet(parts).hint("rebalance").write.mode("overwrite").parquet(place)
-        _remove(spark, parts)
+    parts = f"{root}/_parts/{run_id}"
+    kept.write.mode("overwrite").parquet(parts)
+    stored = spark.read.schema(schema).parquet(parts).hint("rebalance")
+    stored.write.mode("overwrite").parquet(_place(root, traffic_hash, rules_hash, run_id))
+    remove(spark, parts)
     run = {
         "run_id": run_id, "traffic_hash": traffic_hash, "rules_hash": rules_hash, "finished_at": _now(),
         "total_requests": seen.get["total"], "blocked_requests": seen.get["blocked"],
@@ -96,11 +96,6 @@ def write_run(
     return run
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def export_results(verdicts: DataFrame, path: str) -> None:
     """Blocked verdicts as JSON lines, each line one result of a report."""
     verdicts.where("blocked").select(
@@ -141,7 +136,7 @@ def materialize(spark: SparkSession, sql: str, root: str, ttl_seconds: int = DEF
 
     Otherwise the query runs, its result is stored, and then read from the store. When
     storing fails the query itself is returned. A refreshed result gets a place of its
-    own, so that readers of the old one are not disturbed.
+    own; stale ones of the same query are dropped when the next one is complete.
     """
     stored = lookup(spark, sql, root, ttl_seconds)
     if stored is not None:
@@ -153,6 +148,9 @@ def materialize(spark: SparkSession, sql: str, root: str, ttl_seconds: int = DEF
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(location)
         size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
         _append(spark, f"{root}/query_results", QUERY_RESULT, (key, sql, location, size, _now()))
+        for version in children(spark, f"{root}/results/{key}"):
+            if version != location.rpartition("/")[2]:
+                remove(spark, f"{root}/results/{key}/{version}")
     except Exception:
         return result
     return spark.read.parquet(location)
@@ -174,17 +172,27 @@ def analyze_or_reuse(
     ttl_seconds: int = DEFAULT_TTL,
     **options,
 ) -> str:
-    """Run id of a fresh run of this traffic with these rules; analyses when there is none."""
+    """Run id of a fresh run of this traffic with these rules and options; analyses when there is none."""
     rules = load_rules(rules)
-    identity = rules_hash(rules)
+    identity = rules_hash(rules, **options)
     found = find_fresh_run(spark, root, traffic_hash, identity, ttl_seconds)
     if found is not None:
         return found
     return write_run(analyze(requests(), rules, **options), traffic_hash, identity, root)["run_id"]
 
 
-def set_baseline(spark: SparkSession, root: str, name: str, directory: str = "") -> None:
-    """Record a run as the baseline."""
+def set_baseline(spark: SparkSession, root: str, name: str | None = None, directory: str = "", traffic_hash: str | None = None) -> None:
+    """Record a run as the baseline: the named one, or the newest (of a traffic source)."""
+    runs = read_runs(spark, root)
+    if traffic_hash is not None:
+        runs = runs.where(F.col("traffic_hash") == traffic_hash)
+    if name is None:
+        newest = runs.orderBy(F.desc("finished_at"), F.desc("run_id")).first()
+        if newest is None:
+            raise ValueError("no analysis results found")
+        name = newest.run_id
+    elif runs.where(F.col("run_id") == name).isEmpty():
+        raise ValueError(f"no run {name}")
     _append(spark, f"{root}/baseline_log", BASELINE_EVENT, (directory, name, _now()))
 
 

@@ -194,9 +194,11 @@ def _args(body_access: bool = True) -> str:
     return f"list_concat({from_query}, case when {_IS_FORM} then {_pairs_of('body')} else [] end)"
 
 
-def _directive(rule: Rule, visibility: str) -> str:
+def _directive(rule: Rule, visibility: str, phase: int) -> str:
     if rule.variable == "ARGS":
-        return _any("args", rule)
+        return _any("args" if phase > 1 else "query_args", rule)
+    if rule.variable == "REQUEST_BODY" and phase == 1:
+        return "false"
     if rule.variable == "REQUEST_BODY":
         visible = {"form": _IS_FORM, "always": "true", "never": "false"}[visibility]
         return f"({visible} and {_test('body', rule.operator, rule.pattern)})"
@@ -217,10 +219,10 @@ def directive_cte(rules: list[Rule], visibility: str = "form", body_access: bool
     heads = sorted((r for r in rules if r.ord not in chained), key=lambda r: (r.phase, r.ord))
     cases = []
     for i, head in enumerate(heads):
-        conditions, link = [_directive(head, visibility)], head
+        conditions, link = [_directive(head, visibility, head.phase)], head
         while link.chain_to:
             link = by_ord[link.chain_to]
-            conditions.append(_directive(link, visibility))
+            conditions.append(_directive(link, visibility, head.phase))
         severity = int(head.severity or 0)
         cases.append(
             f"case when {' and '.join(conditions)} then {{'pos': {i}, 'id': {q(head.id)}, 'msg': {q(head.msg)}, "
@@ -228,7 +230,8 @@ def directive_cte(rules: list[Rule], visibility: str = "form", body_access: bool
             f"'status': {head.status}}} end"
         )
     return f"""
-    with_args as (select *, list_transform({_args(body_access)}, lambda a: a.v) as args from requests),
+    with_args as (select *, list_transform({_args(body_access)}, lambda a: a.v) as args,
+                  list_transform({_args(False)}, lambda a: a.v) as query_args from requests),
     all_hits as (select *, list_filter([{', '.join(cases)}], lambda h: h is not null) as every from with_args),
     cut as (select *, list_min(list_transform(list_filter(every, lambda h: h.action = 'deny'), lambda h: h.pos)) as stop
             from all_hits),
@@ -328,8 +331,32 @@ ORACLES.update({
     "scan_corpus": """
         select 'doc ' || doc_id as title, 'POST' as method, '/check?source=' || source as url, 'target' as host,
                'Content-Length=7;Content-Type=text/plain' as headers,
-               regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g') as body
+               regexp_replace(text, '[\r\n]+$', '') as body
         from documents join labels using (doc_id)""",
+    "rule_file": """
+        select cast(row_number() over (order by item_id) as integer) as ord, cast(item_id as varchar) as id, substr(text, 1, 20) as msg,
+               case when item_id % 2 = 0 then 'url' else 'body' end as location, 'rx' as operator,
+               '[' || lower(substr(text, 2, 3)) || ']x' as pattern, 'block' as action, 403 as status, 'LOW' as severity,
+               't ' || (item_id % 3) as tags from benchmark""",
+    "rules_identity": """
+        with rules as (
+          select string_agg('{"action": "deny", "chain_to": null, "dialect": "directive", "id": "' || item_id || '", "location": "", "msg": "m", ' ||
+                 '"operator": "contains", "ord": ' || item_id || ', "pattern": ' || to_json(text) || ', "phase": 2, "selector": "", "severity": "", ' ||
+                 '"status": 403, "tags": [], "variable": "ARGS"}', ', ' order by item_id) as t from benchmark)
+        select v as visibility, substr(sha256('[[' || t || '], {"body_access": true, "body_visibility": "' || v || '"}]'), 1, 12) as hash
+        from rules, (values ('form'), ('always')) x(v)""",
+    "traffic_identity": """
+        with lines as (
+          select row_number() over (order by c_custkey) - 1 as i, c_custkey || '|' || c_name as v from customer
+        ), hashes as (
+          select i, v, cast(('0x' || substr(md5(v), 1, 10)) as hugeint) as a, cast(('0x' || substr(md5(v), 11, 10)) as hugeint) as b from lines
+        ), sums as (
+          select cast(sum(octet_length(encode(v)) + 1) as bigint) as bytes, count(*) as n, sum(a) as a, sum(b) as b, sum(a * i) as ai, sum(b * i) as bi from hashes
+        ), files as (
+          select bytes, n as lines, sha256(bytes || ':' || n || ':' || a || ':' || b || ':' || ai || ':' || bi) as digest from sums
+        )
+        select bytes, lines, digest,
+               substr(sha256('1:' || bytes || ':' || cast(('0x' || substr(digest, 1, 14)) as hugeint) || ':' || digest), 1, 12) as hash from files""",
     "directive_rules": """
         select cast(item_id as integer) as ord, cast(item_id as varchar) as id, 'directive' as dialect, 'ARGS' as variable,
                'contains' as operator, text as pattern, 'deny' as action, cast(null as integer) as status from benchmark""",
@@ -355,8 +382,21 @@ ORACLES.update({
     "client_ip": f"{TRAFFIC_POSTS} select req_id, client_ip from requests",
     "split_url": f"""{TRAFFIC} select req_id, path, query, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) as host from requests""",
     "canonical_url": f"""
-        with words as (select doc_id, '/' || regexp_replace(text, '[\\x00-\\x1F\\x7F%?#]', ' ', 'g') as path from documents)
-        select cast(doc_id as varchar) as req_id, md5({_escaped_path('path')} || '?q=a b#c') as url_md5 from words""",
+        with lines as (
+          select doc_id || '-' || unnest(range(len(string_split(text, chr(10))))) as req_id, unnest(string_split(text, chr(10))) as line from documents
+          union all select doc_id || '--1', text from documents
+        ), urls as (
+          select req_id, '/' || line || '?q=a b#c' as url from lines
+        ), parts as (
+          select *, regexp_extract(url, '^([^?#]*)', 1) as path from urls
+        )
+        select req_id, md5(case
+          when regexp_matches(url, '[\\x00-\\x1F\\x7F]') or regexp_matches(regexp_replace(path, '%[0-9A-Fa-f][0-9A-Fa-f]', '', 'g'), '%') then url
+          else {_escaped_path('path')} || substr(url, length(path) + 1) end) as url_md5 from parts""",
+    "split_authority": """
+        select cast(doc_id as varchar) as req_id, source || ':80' as host, '/' || lang as path, 'a=' || doc_id as query from documents""",
+    "with_req_id": f"""{TRAFFIC}
+        select sha256(concat_ws(chr(31), '0', method, url, host, body, remote, '')) as req_id, url from requests""",
     "extract_args": f"""{TRAFFIC_POSTS}
         select req_id, array_to_string(list_transform({_args()}, lambda a: a.k || '=' || a.v), '|') as args from requests""",
     "body_size": f"{TRAFFIC} select req_id, cast(octet_length(encode(body)) as bigint) as bytes from requests",
@@ -392,7 +432,7 @@ ORACLES.update({
         where ts between timestamp '2024-01-03 00:00:00' and timestamp '2024-01-09 12:00:00'""",
     "search": f"""{V1}
         select req_id, url from verdicts where blocked and
-          regexp_matches(method || ' ' || url || ' ' || array_to_string(list_transform(hits, lambda h: h.tags), ' '), {_subsequence('PoSt.Fr')})""",
+          regexp_matches(method || ' ' || url || ' ' || array_to_string(list_transform(hits, lambda h: h.tags), ' '), {_subsequence('PoSt/deSrcPII')})""",
     "search_groups": f"""{V1}
         select {_IP_KEY} as key, count(*) as n from verdicts where blocked and regexp_matches({_IP_KEY}, {_subsequence('1.4')})
         group by 1""",

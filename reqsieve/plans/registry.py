@@ -200,7 +200,7 @@ def scan_corpus(spark, sf_dir):
     block = F.concat(
         F.lit("### doc "), F.col("doc_id"), F.lit("\nPOST /check?source="), F.col("source"),
         F.lit(" HTTP/1.1\nHost: {{host}}\nContent-Type: text/plain\nContent-Length: 7\n\n"),
-        F.regexp_replace("text", r"\s+", " "), F.lit("\n"),
+        F.col("text"), F.lit("\n"),
     )
     labelled.select(block.alias("value")).write.text(root)
     found = corpus.scan_attack_corpus(spark, root, "target")
@@ -221,6 +221,39 @@ def directive_rules(spark, sf_dir):
     return rows.select("ord", "id", "dialect", "variable", "operator", "pattern", "action", "status")
 
 
+@query
+def rule_file(spark, sf_dir):
+    """A rule file made of the benchmark items, read from where its URI says."""
+    root = shared_dir(spark)
+    items = T.table(spark, sf_dir, "benchmark").selectExpr(
+        "item_id as o", """named_struct('id', cast(item_id as string), 'name', substr(text, 1, 20), 'pattern', concat('[', lower(substr(text, 2, 3)), ']x'),
+           'location', if(item_id % 2 = 0, 'url', 'body'), 'action', 'block', 'severity', 'LOW', 'tags', array('t', cast(item_id % 3 as string))) as r""")
+    rules = items.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda x: x["r"]).alias("rules"))
+    rules.select(F.lit("regex").alias("engine"), "rules").write.json(root)
+    rows = Rules.scan_rules(spark, root)
+    return rows.select("ord", "id", "msg", "location", "operator", "pattern", "action", "status", "severity", F.array_join("tags", " ").alias("tags"))
+
+
+@query
+def rules_identity(spark, sf_dir):
+    """Identities of the rule table made of the benchmark items, matched in two ways."""
+    items = T.table(spark, sf_dir, "benchmark").selectExpr(
+        "cast(item_id as int) as ord", "cast(item_id as string) as id", "'m' as msg", "'ARGS' as variable", "'contains' as operator",
+        "text as pattern", "'directive' as dialect", "'deny' as action")
+    rules = Rules.load_rules(items)
+    return spark.createDataFrame([(v, Rules.rules_hash(rules, body_visibility=v)) for v in ("form", "always")], "visibility string, hash string")
+
+
+@query
+def traffic_identity(spark, sf_dir):
+    """Identity of a file of all customers, line by line."""
+    root = shared_dir(spark)
+    line = F.concat_ws("|", "c_custkey", "c_name")
+    T.table(spark, sf_dir, "customer").orderBy("c_custkey").select(line.alias("value")).coalesce(1).write.text(root)
+    found = I.file_digests(spark, root)
+    return found.select("bytes", "lines", "digest", F.lit(I.files_hash(spark, root)).alias("hash"))
+
+
 # Projections
 
 
@@ -294,14 +327,28 @@ def split_url(spark, sf_dir):
 
 @query
 def canonical_url(spark, sf_dir):
-    """Document words as paths: what may not stand in a path is escaped."""
-    words = T.table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.lit("/"), F.regexp_replace("text", r"[\x00-\x1F\x7F%?#]", " "), F.lit("?q=a b#c")).alias("p")
-    )
-    found = Q.map_columns(words.withColumn("m", F.lit("GET")), {"id": "doc_id", "method": "m", "path": "p"})
+    """Texts and each of their lines as paths: what may not stand in a path is escaped."""
+    docs = T.table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).unionByName(
+        docs.select("doc_id", F.lit(-1).alias("i"), F.col("text").alias("line")))
+    paths = lines.select(
+        F.concat_ws("-", "doc_id", "i").alias("id"), F.concat(F.lit("/"), "line", F.lit("?q=a b#c")).alias("p"), F.lit("GET").alias("m"))
+    found = Q.map_columns(paths, {"id": "id", "method": "m", "path": "p"})
     return found.select("req_id", F.md5("url").alias("url_md5"))
 
 
+@query
+def split_authority(spark, sf_dir):
+    """Sources of documents as hosts that stand in the path column."""
+    urls = T.table(spark, sf_dir, "documents").selectExpr("doc_id", "'GET' as m", "concat('//u@', source, ':80/', lang, '?a=', doc_id, '#x') as p")
+    return Q.map_columns(urls, {"id": "doc_id", "method": "m", "path": "p"}).select("req_id", "host", "path", "query")
+
+
+@query
+def with_req_id(spark, sf_dir):
+    return Q.with_req_id(T.requests(spark, sf_dir)).select("req_id", "url")
+
+
 @query
 def extract_args(spark, sf_dir):
     args = U.extract_args(F.col("query"), F.col("body"), F.col("headers"))
@@ -399,7 +446,7 @@ def filter_time_window(spark, sf_dir):
 
 @query
 def search(spark, sf_dir):
-    return R.search(run(spark, sf_dir), "PoSt.Fr").select("req_id", "url")
+    return R.search(run(spark, sf_dir), "PoSt/deSrcPII").select("req_id", "url")
 
 
 @query

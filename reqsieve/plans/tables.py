@@ -66,6 +66,9 @@ DIRECTIVES = _directives([
     (8, "307", 2, "ARGS", "", "streq", "assistant", "deny", 409, "9", "Assistant turn", "role", None),
     (9, "308", 2, "REQUEST_BODY", "", "contains", "the", "log", 403, "7", "Common word", "text", None),
     (10, "309", 1, "REQUEST_URI", "", "rx", r"(?:\.html|/)$", "deny", 404, "6", "Page address", "page", None),
+    (11, "310", 1, "REQUEST_BODY", "", "contains", "e", "deny", 400, "2", "No body in phase one", "phase", None),
+    (12, "311", 1, "ARGS", "", "streq", "user", "deny", 400, "2", "No form in phase one", "phase", None),
+    (13, "312", 1, "ARGS", "", "rx", "^3[0-9]$", "log", 403, "4", "Query argument in phase one", "phase", None),
 ])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "8", app: str = "reqsieve", **settings: str) -> SparkSession:
@@ -41,16 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/reqsieve-{uuid.uuid4().hex}"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The size Spark expects a table to have.
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    Only plans are looked at: asking for the partitions of a table would run its shuffles.
-    """
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything at a path (or pattern) of any file system that Spark reads?"""
+    place, system = _file_system(spark, path)
+    return system.exists(place) or bool(system.globStatus(place))
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder."""
+    place, system = _file_system(spark, path)
+    return [status.getPath().getName() for status in system.listStatus(place)]
 
 
-def estimated_partitions(df: DataFrame) -> int:
-    """About how many tasks will read a table."""
-    spark = df.sparkSession
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    return estimated_bytes(df) // spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split) + 1
+def remove(spark: SparkSession, path: str) -> None:
+    place, system = _file_system(spark, path)
+    system.delete(place, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reqsieve.functions.headers import header
@@ -10,7 +10,7 @@ from reqsieve.functions.once import once
 from reqsieve.functions.urls import canonical_url, url_host
 from reqsieve.schemas import REQUEST_COLUMNS
 from reqsieve.sources.messages import (
-    header_lines, headers_of, headers_ok, message_body, message_head, message_parts, request_line,
+    header_lines, header_values_of, headers_of, headers_ok, message_body, message_head, message_parts, request_line,
 )
 from reqsieve.sources.requests import request_problem, with_url_parts
 from reqsieve.sources.uris import resolve_uri
@@ -19,28 +19,50 @@ from reqsieve.sources.uris import resolve_uri
 SEPARATOR = "🐵🙈🙉"
 # The id line of a request starts with 1 and is longer than 40 characters.
 _REQUEST_RECORD = r"(?s)^1[^\n]{40,}\n."
+# Fixed value: kind, id and time in nanoseconds of an id line.
+_ID_LINE = r"^1 [0-9a-f]+ ([0-9]{1,18}|[0-8][0-9]{18})(?![0-9])"
 _UNSEPARATED = r"\n(?=1 [0-9a-f]{24,} [0-9]+(?: [0-9]+)?\r?\n)"
-_REQUEST_LINE = r"^([^ ]*) ([^ ]*) (HTTP/\d+\.\d+)$"
+_PROTOCOL = r"^HTTP/\d+\.\d+$"
 
 
 def record_id(*parts: Column) -> Column:
+    """An id made of a record's file and content: the same however the file is split."""
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
+def with_line_numbers(lines: DataFrame) -> DataFrame:
+    """``req_seq`` of lines read with ``file, start`` (of their split) and ``at``: their order.
+
+    Files by name, then lines by number, whatever the splits are. Lines are counted per split
+    first; the counts are one row per split.
+    """
+    splits = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    earlier = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = splits.select("file", "start", (F.coalesce(earlier, F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(shifts, ["file", "start"]).withColumn("req_seq", F.col("at") + F.col("shift")).drop("start", "at", "shift")
+
+
+def places() -> list[Column]:
+    """Where a line was read, for ``with_line_numbers``."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("at")]
+
+
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
     """One row per record. The separator is the line separator, so big files are split.
 
-    A new id line starts a new record also where the separator is missing.
+    Lines of the file may end in either way. A new id line starts a new record also where
+    the separator is missing. ``req_seq`` is the time in the id line, 0 where there is none.
     """
-    text = spark.read.option("lineSep", f"\n{SEPARATOR}\n").text(resolve_uri(path))
+    text = spark.read.option("lineSep", f"\n{SEPARATOR}").text(resolve_uri(path))
     value = F.col("value")
-    # Separators at the edges of a file are not between records.
-    inner = F.regexp_replace(value, rf"^(?:\n?{SEPARATOR}\n)+|\n?{SEPARATOR}\n?\z", "")
-    whole = F.when(F.contains(value, F.lit(SEPARATOR)), inner).otherwise(value)
-    pieces = F.when(F.contains(value, F.lit("\n1 ")), F.split(whole, _UNSEPARATED)).otherwise(F.array(whole))
-    return text.select(F.col("_metadata.file_path").alias("file"), F.explode(pieces).alias("value")).select(
-        F.monotonically_increasing_id().alias("req_seq"), "file", "value"
-    )
+    # Separators at the edges of a file are not between records; what is left of a line end goes.
+    inner = F.regexp_replace(value, rf"^(?:\r?\n)?(?:{SEPARATOR}\r?\n)*", "")
+    inner = F.regexp_replace(inner, rf"(?:\r?\n{SEPARATOR})?\r?\z", "")
+    pieces = F.when(F.contains(value, F.lit("\n1 ")), F.split(inner, _UNSEPARATED)).otherwise(F.array(inner))
+    records = text.select(F.col("_metadata.file_path").alias("file"), F.explode(pieces).alias("value"))
+    time = F.regexp_extract("value", _ID_LINE, 1).try_cast("long")
+    return records.select(F.coalesce(time, F.lit(0)).alias("req_seq"), "file", "value")
 
 
 def parse_capture(records: DataFrame) -> DataFrame:
@@ -56,25 +78,26 @@ def parse_capture(records: DataFrame) -> DataFrame:
         lines=header_lines(F.col("head")),
         all_headers=headers_of(F.col("lines")),
     )
-    lines = split.withColumn("line", request_line(F.col("head"))).withColumn(
-        "target", F.regexp_extract("line", _REQUEST_LINE, 2)
-    )
-    method = F.regexp_extract("line", _REQUEST_LINE, 1)
-    well_formed = F.col("line").rlike(_REQUEST_LINE) & headers_ok(F.col("lines"))
+    # Three parts or none: the line is taken apart once.
+    words = F.split(request_line(F.col("head")), " ")
+    words = F.when((F.size(words) == 3) & F.get(words, 2).rlike(_PROTOCOL), words).otherwise(F.array(F.lit(""), F.lit(""), F.lit("")))
+    lines = once(split, words=words).withColumn("target", F.get("words", 1))
+    method = F.get("words", 0)
+    well_formed = (F.get("words", 2) != "") & headers_ok(F.col("lines"))
     problem = (
         F.when(~well_formed, F.lit("malformed request"))
         .when(~F.col("target").rlike(r"^(/|\*$|[A-Za-z][A-Za-z0-9+.\-]*://)"), F.lit("bad target"))
         .otherwise(request_problem(method, F.col("target")))
     )
     columns = {
-        "req_id": record_id(F.col("file"), F.col("req_seq"), F.col("value")),
+        "req_id": record_id(F.col("file"), F.col("value")),
         "req_seq": F.col("req_seq"),
         "method": method,
         "url": canonical_url(F.col("target")),
         "host": F.coalesce(
             F.nullif(url_host(F.col("target")), F.lit("")), header(F.col("all_headers"), "Host")
         ),
-        "proto": F.regexp_extract("line", _REQUEST_LINE, 3),
+        "proto": F.get("words", 2),
         "headers": F.map_filter("all_headers", lambda k, v: k != "Host"),
         "body": message_body(F.col("parts")),
         "client_ip": F.lit(""),
@@ -82,6 +105,7 @@ def parse_capture(records: DataFrame) -> DataFrame:
     }
     named = lines.select(
         *[value.alias(name) for name, value in columns.items()],
+        F.map_filter(header_values_of(F.col("lines")), lambda k, v: k != "Host").alias("header_values"),
         problem.alias("problem"),
         F.col("value").alias("raw"),
     )
@@ -89,6 +113,6 @@ def parse_capture(records: DataFrame) -> DataFrame:
 
 
 def scan_capture(spark: SparkSession, path: str) -> DataFrame:
-    """Requests of capture files; unreadable records are skipped."""
+    """Requests of capture files, with ``header_values``; unreadable records are skipped."""
     parsed = parse_capture(read_capture(spark, path))
-    return parsed.where(F.col("problem").isNull()).select(*REQUEST_COLUMNS)
+    return parsed.where(F.col("problem").isNull()).select(*REQUEST_COLUMNS, "header_values")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reqsieve.functions.headers import TOKEN, empty_headers, join_header_values
+from reqsieve.functions.headers import TOKEN, canonical_name, empty_headers, join_header_values
+from reqsieve.functions.once import bind
 
 _LINE = r"\r?\n"
 _HEADER = rf"(?s)^{TOKEN}:.*$"
@@ -42,13 +43,28 @@ def headers_ok(lines: Column) -> Column:
     return F.forall(lines, lambda line: line.rlike(_HEADER))
 
 
-def headers_of(lines: Column) -> Column:
-    """Header lines to a map."""
-    entries = F.transform(
+def _entries(lines: Column) -> Column:
+    return F.transform(
         F.filter(lines, lambda line: line.rlike(_HEADER)),
         lambda line: F.struct(
             F.substring_index(line, ":", 1).alias("name"),
             F.regexp_extract(line, r"(?s)^[^:]*:[ \t]*(.*?)[ \t]*$", 1).alias("value"),
         ),
     )
-    return F.coalesce(join_header_values(entries), empty_headers())
+
+
+def headers_of(lines: Column) -> Column:
+    """Header lines to a map."""
+    return F.coalesce(join_header_values(_entries(lines)), empty_headers())
+
+
+def header_values_of(lines: Column) -> Column:
+    """Header lines to a map with every value of a repeated name by itself."""
+    named = F.transform(_entries(lines), lambda e: F.struct(canonical_name(e["name"]).alias("name"), e["value"].alias("value")))
+
+    def grouped(entries: Column) -> Column:
+        names = F.array_distinct(F.transform(entries, lambda e: e["name"]))
+        return F.map_from_entries(F.transform(names, lambda n: F.struct(
+            n.alias("k"), F.transform(F.filter(entries, lambda e: e["name"] == n), lambda e: e["value"]).alias("v"))))
+
+    return bind(named, grouped)

@@ -10,7 +10,7 @@ from reqsieve.functions.once import once
 from reqsieve.functions.text import as_text
 from reqsieve.functions.urls import canonical_url, url_host
 from reqsieve.schemas import REQUEST_COLUMNS
-from reqsieve.sources.capture import record_id
+from reqsieve.sources.capture import places, record_id, with_line_numbers
 from reqsieve.sources.requests import request_problem, with_url_parts
 from reqsieve.sources.uris import resolve_uri
 
@@ -21,6 +21,18 @@ _OPTIONS = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "broken"}
 _OBJECT = r"(?s)^\s*\{.*\}\s*$"
 
 
+_NAMES = ("method", "url", "headers", "body")
+_OTHER_CASE = rf'(?<!\\)"(?!(?:{"|".join(_NAMES)})")(?i:{"|".join(_NAMES)})"\s*:'
+
+
+def _plain_names(line: Column) -> Column:
+    """Field names count in any case. Header names do anyway, so it does not matter where the name stands."""
+    plain = line
+    for name in _NAMES:
+        plain = F.regexp_replace(plain, rf'(?<!\\)"(?i:{name})"(?=\s*:)', f'"{name}"')
+    return F.when(line.rlike(_OTHER_CASE), plain).otherwise(line)
+
+
 def _is_text(value: Column) -> Column:
     return value.isNull() | F.schema_of_variant(value).isin("STRING", "VOID")
 
@@ -41,11 +53,8 @@ def _decode(strict: bool) -> tuple[Column, dict[str, Column]]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(resolve_uri(path)).select(
-        F.monotonically_increasing_id().alias("req_seq"),
-        F.col("_metadata.file_path").alias("file"),
-        "value",
-    )
+    """One row per line; ``req_seq`` follows the names of the files and the order of their lines."""
+    return with_line_numbers(spark.read.text(resolve_uri(path)).select(*places(), "value"))
 
 
 def parse_ndjson(lines: DataFrame, strict: bool = True) -> DataFrame:
@@ -53,17 +62,17 @@ def parse_ndjson(lines: DataFrame, strict: bool = True) -> DataFrame:
 
     ``strict`` also refuses lines in which a field has another type than text.
     """
-    parsed = F.from_json("value", _TYPED if strict else _LOOSE, _OPTIONS)
+    parsed = F.from_json(_plain_names(F.col("value")), _TYPED if strict else _LOOSE, _OPTIONS)
     decoded = once(lines, j=F.when(F.col("value").rlike(_OBJECT), parsed))
     broken, fields = _decode(strict)
     method = F.coalesce(F.nullif(fields["method"], F.lit("")), F.lit("GET"))
     target = as_text(fields["url"])
     columns = {
-        "req_id": record_id(F.col("file"), F.col("req_seq"), F.col("value")),
+        "req_id": record_id(F.col("file"), F.col("value")),
         "req_seq": F.col("req_seq"),
         "method": method,
         "url": canonical_url(target),
-        "host": url_host(target),
+        "host": url_host(target, authority=True),
         "proto": F.lit("HTTP/1.1"),
         "headers": F.coalesce(canonical_headers(fields["headers"]), empty_headers()),
         "body": as_text(fields["body"]),
@@ -76,7 +85,7 @@ def parse_ndjson(lines: DataFrame, strict: bool = True) -> DataFrame:
         problem.alias("problem"),
         F.col("value").alias("raw"),
     )
-    return with_url_parts(named)
+    return with_url_parts(named, authority=True)
 
 
 def scan_ndjson(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

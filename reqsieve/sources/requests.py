@@ -13,7 +13,6 @@ from reqsieve.functions.headers import TOKEN, canonical_headers, empty_headers,
 from reqsieve.functions.text import as_text
 from reqsieve.functions.urls import canonical_url, url_host, url_path, url_problem, url_query
 from reqsieve.schemas import REQUEST_COLUMNS
-from reqsieve.session import estimated_bytes, estimated_partitions
 
 LOGICAL_FIELDS = ["method", "path", "host", "proto", "headers", "body", "client_ip", "timestamp"]
 
@@ -47,10 +46,11 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str], strict_headers: bool
     ``mapping`` goes from logical field to physical column. A field that is not mapped
     or whose column is missing reads as empty, and so does NULL; only, without a mapping
     the host is the one in the URL and the protocol is HTTP/1.1. Two more keys name the
-    columns to take ``req_id`` (else a hash of the content) and ``req_seq`` (else 0) from.
+    columns to take ``req_id`` (else a hash of the content) and ``req_seq`` from (else, and
+    where a value is no number, 0).
     """
     check_mapping(mapping)
-    host = _text(df, mapping, "host") if mapping.get("host") else url_host(_text(df, mapping, "path"))
+    host = _text(df, mapping, "host") if mapping.get("host") else url_host(_text(df, mapping, "path"), authority=True)
     proto = _text(df, mapping, "proto") if mapping.get("proto") else F.lit("HTTP/1.1")
 
     def text(field: str) -> Column:
@@ -72,7 +72,7 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str], strict_headers: bool
     seq = F.col(f"`{mapping['seq']}`") if mapping.get("seq") in df.columns else F.lit(0)
     named = df.select(
         req_id.alias("req_id"),
-        seq.cast("long").alias("req_seq"),
+        F.coalesce(seq.try_cast("long"), F.lit(0)).alias("req_seq"),
         text("method").alias("method"),
         canonical_url(text("path")).alias("url"),
         host.alias("host"),
@@ -82,30 +82,34 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str], strict_headers: bool
         text("client_ip").alias("client_ip"),
         text("timestamp").alias("ts"),
     )
-    return with_url_parts(named)
+    return with_url_parts(named, authority=True)
 
 
-def with_url_parts(df: DataFrame) -> DataFrame:
+def with_url_parts(df: DataFrame, authority: bool = False) -> DataFrame:
     """Add path and query, and put the request columns first."""
-    parts = df.withColumns({"path": url_path(F.col("url")), "query": url_query(F.col("url"))})
+    parts = df.withColumns({"path": url_path(F.col("url"), authority), "query": url_query(F.col("url"))})
     return parts.select(*REQUEST_COLUMNS, *[c for c in df.columns if c not in REQUEST_COLUMNS])
 
 
-SMALLEST_TASK_BYTES = 256 * 1024
-
-
 def spread(rows: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Spread rows over all cores when they come in too few partitions.
+    """Spread rows over all cores when they come in fewer partitions.
 
     Parsing and matching are bound by CPU, so a few big files or row groups would leave
-    most cores idle. Best applied to the rows as read. Sources big enough to keep all
-    cores busy are left alone, so the shuffle never moves more than a split per core.
+    most cores idle. Best applied to the rows as read: a table that is shuffled anyway has
+    as many tasks as its shuffle, and so is left alone, as is one with a task for every core.
     """
     if rows.isStreaming:
         return rows
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    wanted = partitions or min(cores, estimated_bytes(rows) // SMALLEST_TASK_BYTES + 1)
-    return rows if estimated_partitions(rows) >= wanted else rows.repartition(wanted)
+    plan = rows._jdf.queryExecution().executedPlan()
+    if partitions is None and plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return rows
+    wanted = partitions or rows.sparkSession.sparkContext.defaultParallelism
+    return rows if partitions is None and _scanned_in(rows) >= wanted else rows.repartition(wanted)
+
+
+def _scanned_in(rows: DataFrame) -> int:
+    """The number of tasks of a table that needs no shuffle; nothing runs to find it."""
+    return rows._jdf.queryExecution().toRdd().getNumPartitions()
 
 
 def with_req_id(requests: DataFrame, random: bool = False) -> DataFrame:

@@ -96,9 +96,29 @@ def load_rules(rules: DataFrame | Iterable[Rule]) -> list[Rule]:
             given = {k: v for k, v in row.asDict().items() if v is not None}
             given["tags"] = tuple(given.get("tags", ()))
             loaded.append(Rule(**{**defaults, **given}))
-        _compile(rules.sparkSession, loaded)
-        return loaded
-    return sorted(rules, key=lambda r: r.ord)
+    else:
+        loaded = sorted(rules, key=lambda r: r.ord)
+    _check_chains(loaded)
+    _compile(SparkSession.active(), loaded)
+    return loaded
+
+
+def _check_chains(rules: list[Rule]) -> None:
+    """Every chain names rules that are there, and ends."""
+    by_ord = {r.ord: r for r in rules}
+    for rule in rules:
+        seen, link = {rule.ord}, rule
+        while link.chain_to is not None:
+            if link.chain_to not in by_ord:
+                raise ValueError(f"rule {link.id}: chained to rule {link.chain_to}, which does not exist")
+            if link.chain_to in seen:
+                raise ValueError(f"rule {rule.id}: its chain never ends")
+            link = by_ord[link.chain_to]
+            seen.add(link.ord)
+
+
+#: Patterns that have been compiled once already.
+_COMPILED: set[str] = set()
 
 
 def _compile(spark: SparkSession, rules: list[Rule]) -> None:
@@ -107,11 +127,13 @@ def _compile(spark: SparkSession, rules: list[Rule]) -> None:
 
     regexes = []
     for rule in rules:
-        if rule.operator == "rx":
+        if rule.operator == "rx" and rule.pattern not in _COMPILED:
             try:
                 regexes.append((rule, to_java(rule.pattern)))
             except ValueError as error:
                 fail(rule, error)
+    if not regexes:
+        return
     one = spark.range(1)
     try:
         one.select(*[F.lit("").rlike(regex) for _, regex in regexes]).collect()
@@ -122,9 +144,18 @@ def _compile(spark: SparkSession, rules: list[Rule]) -> None:
             except Exception as error:
                 fail(rule, error)
         raise
+    _COMPILED.update(rule.pattern for rule, _ in regexes)
+
+
+#: How directive rules are matched if nothing is said.
+MATCHING_DEFAULTS = {"body_access": True, "body_visibility": "form"}
 
 
-def rules_hash(rules: Iterable[Rule]) -> str:
-    """12-character identity of a rule set."""
-    text = json.dumps([asdict(r) for r in sorted(rules, key=lambda r: r.ord)], sort_keys=True)
+def rules_hash(rules: Iterable[Rule], **options) -> str:
+    """12-character identity of a rule set and of the options it is matched with.
+
+    Options that are left out count with their defaults.
+    """
+    rows = [asdict(r) for r in sorted(rules, key=lambda r: r.ord)]
+    text = json.dumps([rows, MATCHING_DEFAULTS | options], sort_keys=True, ensure_ascii=False)
     return hashlib.sha256(text.encode()).hexdigest()[:12]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import glob
-import os
+from pyspark.sql import SparkSession
+
+from reqsieve.session import exists
 
 _OBJECT_STORE = "ref+s3://"
 
@@ -11,7 +12,8 @@ _OBJECT_STORE = "ref+s3://"
 def resolve_uri(uri: str) -> str:
     """A path Spark can read: ``ref+s3://bucket/key`` becomes ``s3a://bucket/key``.
 
-    Other schemes pass through; a local path must exist.
+    Other schemes pass through; a path without one must exist in the file system that Spark
+    reads such paths from.
     """
     if uri.startswith(_OBJECT_STORE):
         bucket, _, key = uri[len(_OBJECT_STORE):].partition("/")
@@ -20,7 +22,6 @@ def resolve_uri(uri: str) -> str:
         return f"s3a://{bucket}/{key}"
     if "://" in uri:
         return uri
-    local = uri.removeprefix("file:")
-    if not os.path.exists(local) and not glob.glob(local):
-        raise FileNotFoundError(f"local file does not exist: {uri}")
+    if not exists(SparkSession.active(), uri):
+        raise FileNotFoundError(f"file does not exist: {uri}")
     return uri

@@ -14,6 +14,7 @@ from reqsieve.schemas import REQUEST_COLUMNS
 from reqsieve.sources.ndjson import parse_ndjson
 from reqsieve.sources.requests import map_columns, usable_rows
 from reqsieve.sources.rules import Rule
+from reqsieve.sources.uris import resolve_uri
 
 
 def stream_ndjson(spark: SparkSession, in_dir: str, files_per_trigger: int = 1000, strict: bool = True) -> DataFrame:
@@ -22,7 +23,7 @@ def stream_ndjson(spark: SparkSession, in_dir: str, files_per_trigger: int = 100
     A position in a file is not known to a stream, so the id comes from file and line
     text, and there is no sequence number.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(in_dir).select(
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(resolve_uri(in_dir)).select(
         F.lit(0).cast("long").alias("req_seq"), F.col("_metadata.file_path").alias("file"), "value"
     )
     return parse_ndjson(lines, strict).where(F.col("problem").isNull()).select(*REQUEST_COLUMNS)
@@ -32,6 +33,7 @@ def stream_parquet(
     spark: SparkSession, in_dir: str, columns: Mapping[str, str], files: str = "*.parquet", files_per_trigger: int = 1000
 ) -> DataFrame:
     """Requests of parquet files as a stream, by column mapping. The layout is that of the files there now."""
+    in_dir = resolve_uri(in_dir)
     schema = spark.read.option("pathGlobFilter", files).parquet(in_dir).schema
     options = {"pathGlobFilter": files, "maxFilesPerTrigger": files_per_trigger}
     rows = spark.readStream.schema(schema).options(**options).parquet(in_dir)

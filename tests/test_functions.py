@@ -212,16 +212,32 @@ def test_run_names(spark):
     assert one(spark, identity.run_name(F.lit("a"), F.lit("b")), v="") == "a-b"
 
 
-def test_source_identity(spark, tmp_path, monkeypatch):
+def test_source_identity(spark, tmp_path):
     a, b = tmp_path / "a", tmp_path / "b"
     a.write_text("GET /test HTTP/1.1\r\nHost: example.com\r\n\r\n")
     b.write_text("GET /test HTTP/1.1\r\nHost: example.org\r\n\r\n")
     one_file = identity.files_hash(spark, str(a))
     assert len(one_file) == 12 and one_file == identity.files_hash(spark, str(a)) != identity.files_hash(spark, str(b))
     both = identity.files_hash(spark, str(tmp_path))
-    monkeypatch.setattr(identity, "SMALL_SOURCE_BYTES", 1)
-    assert len({both, one_file, identity.files_hash(spark, str(a)), identity.files_hash(spark, str(b))}) == 4
-    assert identity.files_hash(spark, str(a)) == identity.files_hash(spark, str(a))
+    assert len({both, one_file, identity.files_hash(spark, str(b))}) == 3
+    lines = [f"line {i}" for i in range(500)]
+    before, found = spark.conf.get("spark.sql.files.maxPartitionBytes"), {}
+    try:
+        for size in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for change in ("none", "exchanged", "split"):
+                place = tmp_path / f"{size}-{change}"
+                place.mkdir()
+                now = [*lines]
+                if change == "exchanged":
+                    now[10], now[400] = now[400], now[10]
+                cut = 250 if change == "split" else 500
+                (place / "z").write_text("\n".join(now[:cut]) + "\n")
+                (place / "y").write_text("\n".join(now[cut:]))
+                found[size, change] = identity.files_hash(spark, str(place))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(set(found.values())) == 3 and all(found["128m", c] == found["1k", c] for c in ("none", "exchanged", "split"))
     with pytest.raises(Exception):
         identity.files_hash(spark, str(tmp_path / "missing"))
     assert identity.traffic_hash_of_sql("SELECT 1") != identity.traffic_hash_of_sql("SELECT 2")

@@ -12,7 +12,7 @@ from fixtures import (
 from reqsieve.operators import coverage, matching, reports
 from reqsieve.plans import tables as T
 from reqsieve.sources import capture, corpus, ndjson, requests
-from reqsieve.sources.rules import Rule
+from reqsieve.sources.rules import Rule, load_rules, rules_hash
 
 PATTERNS = [
     Rule(i + 1, r["id"], r["name"], r["pattern"], location=r["location"], action=r["action"], severity=r["severity"], tags=tuple(r["tags"]))
@@ -200,12 +200,14 @@ def test_spread_only_when_needed(spark, sf_dir, monkeypatch):
     few = T.raw_requests(spark, sf_dir)
     assert 1 < requests.spread(few).rdd.getNumPartitions() <= 4
     assert requests.spread(few, 3).rdd.getNumPartitions() == 3
-    assert requests.spread(few.limit(1)).rdd.getNumPartitions() == 1
+    shuffled = few.groupBy("host").count()
+    assert requests.spread(shuffled) is shuffled
     assert requests.spread(few).count() == few.count()
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
     try:
-        assert requests.spread(few) is few
+        many = T.raw_requests(spark, sf_dir)
+        assert requests.spread(many) is many
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
@@ -215,3 +217,44 @@ def test_many_rules(spark, sf_dir):
     hits = matching.match_pairs(T.requests(spark, sf_dir), rules)
     want = T.requests(spark, sf_dir).where("path = '/error' and cast(regexp_extract(url, 'user=(\\\\d+)', 1) as int) < 150").count()
     assert hits.count() >= want > 0
+
+
+def _directive(ord, variable, pattern, phase=2, selector="", chain_to=None, operator="contains"):
+    return Rule(ord, f"d{ord}", "m", pattern, dialect="directive", variable=variable, selector=selector, operator=operator,
+                phase=phase, action="deny", chain_to=chain_to)
+
+
+def test_phase_one_sees_no_body(spark):
+    rows = spark.createDataFrame([("POST", "/?q=one", "a=two", {"Content-Type": "application/x-www-form-urlencoded"})],
+                                 "method string, url string, body string, headers map<string,string>")
+    post = requests.map_columns(rows, {"method": "method", "path": "url", "body": "body", "headers": "headers"})
+
+    def blocked(*rules):
+        return matching.match_directives(post, rules).first().blocked
+
+    assert blocked(_directive(1, "ARGS", "one", 1)) and blocked(_directive(1, "ARGS", "two"))
+    assert not blocked(_directive(1, "ARGS", "two", 1)) and not blocked(_directive(1, "REQUEST_BODY", "two", 1))
+    assert blocked(_directive(1, "REQUEST_BODY", "two")) and not blocked(_directive(1, "ARGS", "one", 1, chain_to=2), _directive(2, "REQUEST_BODY", "two"))
+
+
+def test_repeated_headers_count_one_by_one(spark, tmp_path):
+    path = tmp_path / "t.gor"
+    path.write_text("1 " + "a" * 40 + " 1 1\nGET / HTTP/1.1\r\nX-A: foo\r\nx-a: bar\r\n\r\n\n🐵🙈🙉\n", newline="")
+    found = capture.scan_capture(spark, str(path))
+    for rule in (_directive(1, "REQUEST_HEADERS", "foo", 1, "X-A", operator="streq"), _directive(1, "REQUEST_HEADERS", "bar", 1, operator="streq")):
+        assert matching.match_directives(found, [rule]).first().blocked
+    assert not matching.match_directives(found, [_directive(1, "REQUEST_HEADERS", "foo, bar", 1, "X-A")]).first().blocked
+
+
+def test_chains_that_never_end_and_bad_patterns(spark):
+    with pytest.raises(ValueError, match="never ends"):
+        load_rules([_directive(1, "ARGS", "a", chain_to=2), _directive(2, "ARGS", "a", chain_to=1)])
+    with pytest.raises(ValueError, match="does not exist"):
+        load_rules([_directive(1, "ARGS", "a", chain_to=9)])
+    with pytest.raises(ValueError, match="rule r1"):
+        load_rules([Rule(1, "r1", "m", "(")])
+
+
+def test_options_are_part_of_the_identity():
+    rules = [_directive(1, "REQUEST_BODY", "a")]
+    assert rules_hash(rules) == rules_hash(rules, body_visibility="form") != rules_hash(rules, body_visibility="always")

@@ -23,6 +23,11 @@ def test_entry(spark):
     assert contract.entry(spark).columns == ["key", "n"] and contract.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql_gives_rows(name):
+    assert connect("/root/testdata/sf0.01").execute(ORACLES[name]).fetchone() is not None
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
     assert compare(spark, con, sf_dir, name) is None

@@ -7,14 +7,15 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from fixtures import CAPTURE_1, CORPUS, PATTERN_RULES, write_capture, write_ndjson
+from reqsieve.operators import compare
 from reqsieve.sources import capture, corpus, ndjson, reports, requests, rules, tables, uris
 
 
 def test_capture(spark, tmp_path):
-    post = ("1 " + "b" * 40 + " 1 1\nPOST /x?y=1 HTTP/1.1\r\nhost: e.com\r\nX-A: 1\r\nx-a:  2 \r\nContent-Length: 3\r\n\r\n"
+    post = ("1 " + "b" * 40 + " 1900000000000000001 1\nPOST /x?y=1 HTTP/1.1\r\nhost: e.com\r\nX-A: 1\r\nx-a:  2 \r\nContent-Length: 3\r\n\r\n"
             "abc\n\nmore\n🐵🙈🙉\n")
     answer = "2 " + "b" * 40 + " 1 1\nHTTP/1.1 200 OK\r\n\r\nhi\n🐵🙈🙉\n"
-    absolute = "1 " + "c" * 40 + " 1 1\nGET http://other.com/z HTTP/1.0\nHost: e.com\n"
+    absolute = "1 " + "c" * 40 + " 1900000000000000002 1\nGET http://other.com/z HTTP/1.0\nHost: e.com\n"
     path = write_capture(tmp_path / "t.gor", CAPTURE_1, post + answer + absolute)
     rows = capture.scan_capture(spark, path).orderBy("req_seq").collect()
     assert [(r.method, r.url, r.host) for r in rows] == [
@@ -32,6 +33,64 @@ def test_capture(spark, tmp_path):
     assert [r.req_id for r in rows] == [r.req_id for r in again] and len({r.req_id for r in rows}) == 4
 
 
+def _records(n, end):
+    return "".join(
+        f"1 {i:040x} {1000 + i} 1{end}POST /{i} HTTP/1.1\r\nX-A: one{i}\r\nX-A: two\r\n\r\nbody {i}{end}more{end}🐵🙈🙉{end}" for i in range(n))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_captures_of_either_line_end_are_split(spark, tmp_path, end):
+    path = tmp_path / "t.gor"
+    path.write_text(_records(400, end), newline="")
+    found = {}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "7k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = capture.scan_capture(spark, str(path))
+            assert (read.rdd.getNumPartitions() > 1) == (size == "7k")
+            found[size] = [tuple(r) for r in read.orderBy("req_seq").select("req_id", "req_seq", "url", "body", "header_values").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found["128m"] == found["7k"] and len(found["7k"]) == 400
+    assert [r[1:4] for r in found["7k"]] == [(1000 + i, f"/{i}", f"body {i}{end}more") for i in range(400)]
+    assert found["7k"][3][4] == {"X-A": ["one3", "two"]}
+
+
+def test_ids_and_order_of_lines_do_not_depend_on_splits(spark, tmp_path):
+    for name in ("b", "c"):
+        lines = [json.dumps({"method": "GET", "url": f"/{i % 50}", "body": name * (i % 50)}) for i in range(300)]
+        (tmp_path / name).write_text("\n".join(lines))
+    before, found = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("128m", "3k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = ndjson.scan_ndjson(spark, str(tmp_path))
+            rows = [tuple(r) for r in read.orderBy("req_seq").select("req_id", "req_seq", "url", "body").collect()]
+            assert [r[1] for r in rows] == list(range(600)) and rows[0][3] == "" and rows[1][3] == "b" and rows[301][3] == "c"
+            last = sorted((r.req_key, r.req_id, r.req_seq) for r in compare.dedupe_by_key(read.withColumn("rules_triggered", F.array())).collect())
+            found.append((rows, last))
+        assert found[0] == found[1] and len(found[0][1]) == 99
+        (tmp_path / "a").write_text(json.dumps({"method": "GET", "url": "/new"}))
+        more = {r.req_id for r in ndjson.scan_ndjson(spark, str(tmp_path)).collect()}
+        assert {r[0] for r in found[0][0]} < more
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_field_names_in_any_case(spark, tmp_path):
+    path = tmp_path / "t"
+    path.write_text('{"Method":"POST","URL":"/x","HEADERS":{"body":"1"},"body":"a \\"Body\\": b"}\n')
+    (row,) = ndjson.scan_ndjson(spark, str(path)).collect()
+    assert (row.method, row.url, row.headers, row.body) == ("POST", "/x", {"Body": "1"}, 'a "Body": b')
+
+
+def test_double_slashes_and_numbers_that_are_none(spark):
+    df = spark.createDataFrame([("GET", "//evil.example/p?q=1", "x"), ("GET", "/a", None), ("GET", "/b", "7")], "m string, p string, n string")
+    rows = requests.map_columns(df, {"method": "m", "path": "p", "seq": "n"}).collect()
+    assert [(r.host, r.path, r.query, r.req_seq) for r in rows] == [("evil.example", "/p", "q=1", 0), ("", "/a", "", 0), ("", "/b", "", 7)]
+
+
 @pytest.mark.parametrize("line, problem", [
     ("GET /a", "malformed request"), ("GET noslash HTTP/1.1", "bad target"), ("G@T /a HTTP/1.1", "bad method"),
     ("GET /%zz HTTP/1.1", "bad escape in path"), ("OPTIONS * HTTP/1.1", None),
