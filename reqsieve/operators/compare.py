@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reqsieve.functions.identity import request_key
 from reqsieve.functions.text import placeholder
+from reqsieve.session import written
 
 # The mark, list entry and group name of each kind of change.
 MARKS = {"added": "[+]", "removed": "[-]", "modified": "[~]"}
@@ -100,9 +101,13 @@ def diff_runs(v1: DataFrame, v2: DataFrame) -> DataFrame:
 
 
 def _only_in(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Keys of ``left`` that ``right`` lacks; keys are made unique before they meet, and rows come last."""
+    """Keys of ``left`` that ``right`` lacks; keys are made unique before they meet, and rows come last.
+
+    The places of the rows are written down first: where they are few, Spark plans to send
+    them to the rows, and no body is shuffled.
+    """
     keys = with_key(right).select("req_key").distinct()
-    return _whole(left, _last(left).join(keys, "req_key", "left_anti"))
+    return _whole(left, written(_last(left).join(keys, "req_key", "left_anti")))
 
 
 def added(v1: DataFrame, v2: DataFrame) -> DataFrame:
@@ -137,7 +142,8 @@ def diff_details(diff: DataFrame, v1: DataFrame, v2: DataFrame) -> DataFrame:
     """Both whole results of every change next to each other; NULL means not blocked.
 
     Results are looked up by key, side and id. The id spreads a hot key over the tasks.
-    Both runs are read a second time here, so give it stored ones.
+    The changes are written down first, so that few of them are sent to the results and only
+    changed results are shuffled. Both runs are read a second time here, so give it stored ones.
     """
     wanted = diff.select(
         "req_key", "diff_type", "method", "url",
@@ -149,7 +155,7 @@ def diff_details(diff: DataFrame, v1: DataFrame, v2: DataFrame) -> DataFrame:
     shown = ["headers", "body", "client_ip", "rules_triggered", "interruption", "logs"]
     full = with_key(v1).withColumn("side", F.lit(1)).unionByName(with_key(v2).withColumn("side", F.lit(2)))
     full = full.select("req_key", "side", "req_id", _order().alias("o"), F.struct("req_id", *shown).alias("r"))
-    found = wanted.join(full, ["req_key", "side", "req_id"])
+    found = full.join(written(wanted), ["req_key", "side", "req_id"])
     sides = found.groupBy("req_key", "diff_type", "method", "url").agg(*[
         F.max_by(F.when(F.col("side") == s, F.col("r")), F.when(F.col("side") == s, F.col("o"))).alias(f"result{s}")
         for s in (1, 2)

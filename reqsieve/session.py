@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "reqsieve", **settings: str) -> SparkSession:
@@ -41,6 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/reqsieve-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read back: Spark knows its size when it plans what uses it."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())

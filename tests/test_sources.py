@@ -242,9 +242,9 @@ def test_corpus(spark, tmp_path):
     assert len(rows) == 15 and {r.category for r in rows} == {"03-injection", "bonus"}
     union = rows[1]
     assert union.title == "Union with spaces 2001" and union.host == "here:80"
-    assert union.query == "id=1' UNION SELECT name,3 FROM users--"
-    assert rows[2].body == "username=admin' OR '1'='1&password=anything"
-    assert rows[2].headers == {"Content-Type": "application/x-www-form-urlencoded", "Content-Length": "42"}
+    assert union.query == "row=8' UNION SELECT title,2 FROM books--"
+    assert rows[2].body == "reader=guest' or '1'='1&pin=none"
+    assert rows[2].headers == {"Content-Type": "application/x-www-form-urlencoded", "Content-Length": "31"}
 
 
 def test_report_document(spark, tmp_path):
