@@ -124,10 +124,6 @@ def verdicts(spark: SparkSession, sf_dir: str, rules: list[Rule] = RULES_V1) ->
     return analyze(requests(spark, sf_dir), rules)
 
 
-def blocked(spark: SparkSession, sf_dir: str, rules: list[Rule] = RULES_V1) -> DataFrame:
-    return verdicts(spark, sf_dir, rules).where("blocked")
-
-
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as runs: customers are traffic sources, priorities are rule sets."""
     return table(spark, sf_dir, "orders").select(

@@ -9,6 +9,7 @@ from reqsieve.functions.headers import header
 from reqsieve.functions.once import once
 from reqsieve.functions.urls import canonical_url, url_host
 from reqsieve.schemas import REQUEST_COLUMNS
+from reqsieve.session import written
 from reqsieve.sources.messages import (
     header_lines, header_values_of, headers_of, headers_ok, message_body, message_head, message_parts, request_line,
 )
@@ -34,11 +35,12 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     """``req_seq`` of lines read with ``file, start`` (of their split) and ``at``: their order.
 
     Files by name, then lines by number, whatever the splits are. Lines are counted per split
-    first; the counts are one row per split.
+    first; the counts are one row per split and written down, so that Spark knows them to be
+    small and leaves the lines where they were read.
     """
     splits = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     earlier = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = splits.select("file", "start", (F.coalesce(earlier, F.lit(0)) - F.col("first")).alias("shift"))
+    shifts = written(splits.select("file", "start", (F.coalesce(earlier, F.lit(0)) - F.col("first")).alias("shift")))
     return lines.join(shifts, ["file", "start"]).withColumn("req_seq", F.col("at") + F.col("shift")).drop("start", "at", "shift")
 
 
