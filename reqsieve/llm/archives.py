@@ -4,10 +4,11 @@
 field list of their version block and by declared lengths, ``convert`` writes the equivalent WARC
 records with synthesised ids, dates, types and digests, and ``read_warc`` reads those back.
 
-Which of the records with equal payloads is the ``response`` is decided over all archives: ids and
-digests are grouped without the payloads, then each record gets its decision by its own place. So a
-payload that makes up a third of all records is a group of narrow rows that is aggregated before
-the shuffle, and payloads are shuffled once, evenly.
+Which of the records with equal payloads is the ``response`` is decided over all archives: digests are
+grouped without the payloads, so a payload that makes up a third of all records is a group of narrow rows
+that is aggregated before the shuffle. The places of the revisits are written down, and the records are
+read again and meet them by their own places: where Spark finds the written table small, payloads stay where
+they were read, else they are shuffled once, evenly.
 
 Files are written by Spark's text writer, a row per record; the separator after a row is the end
 that the format gives to a record. Files are read as whole files, one at a time in a task: an
@@ -48,9 +49,11 @@ NUMBER, LENGTH = "X-Record-Number", "X-Payload-Length"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
+#: How archives are written: packed, in little time.
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 #: Records in bytes that are handed to Spark at a time.
 BATCH_BYTES = 4 << 20
-_UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0  -     　]")
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0\s]")
 _DATE = re.compile(rb"\d{8,14}")
 
 
@@ -103,7 +106,7 @@ def write_arc(pages: DataFrame, path: str, number: str = "page_id", url: str = "
     (
         only(pages, number=F.col(number).cast("long"), url=url, payload=F.col(payload).cast("binary"))
         .mapInArrow(lambda b: _batched(rows(b), "record"), "record binary").select(F.col("record").cast("string"))
-        .write.option("lineSep", "\n").option("compression", "gzip").text(path)
+        .write.options(lineSep="\n", **PACKED).text(path)
     )
 
 
@@ -201,8 +204,8 @@ def iso_date(date: str) -> str:
 
 
 PLACE = "archive long, at long"
-NARROW = f"{PLACE}, record_id string, uri string, date string, number long, digest string, payload_bytes long"
-WIDE = f"{PLACE}, ip string, mime string, head binary, payload binary"
+NARROW = f"{PLACE}, record_id string, number long, digest string, payload_bytes long"
+WIDE = f"{PLACE}, record_id string, uri string, date string, digest string, payload_bytes long, ip string, mime string, head binary, payload binary"
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
@@ -225,12 +228,13 @@ def arc_records(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
                 size, archive = 0, archive.as_py()
                 for r in parse_arc(unpacked(content.as_buffer().to_pybytes())):
                     f = r.fields
-                    made.append((archive, r.at, f["IP-address"], f["Content-type"], r.head, r.payload) if payloads else (
-                        archive, r.at, record_id(archive, r.at, f), f["URL"], iso_date(f["Archive-date"]), r.number,
-                        digest(r.payload), len(r.payload)))
-                    size += len(r.payload) if payloads else 300
+                    name, digest_, length = record_id(archive, r.at, f), digest(r.payload), len(r.payload)
+                    made.append(
+                        (archive, r.at, name, f["URL"], iso_date(f["Archive-date"]), digest_, length, f["IP-address"], f["Content-type"], r.head, r.payload)
+                        if payloads else (archive, r.at, name, r.number, digest_, length))
+                    size += length if payloads else 300
                     if size > BATCH_BYTES:
-                        yield pa.record_batch(list(map(list, zip(*made))), schema=schema)
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*made), schema.types)], schema=schema)
                         made, size = [], 0
                 if made:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*made), schema.types)], schema=schema)
@@ -262,10 +266,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_byte
         .agg(F.max(F.struct("number", "archive", "at", "record_id")).alias("last"))
         .select("digest", F.col("last.record_id").alias("refers_to"))
     )
-    decided = narrow.join(last, "digest", "left").withColumn(
-        "refers_to", F.when((F.col("payload_bytes") >= min_revisit_bytes) & (F.col("refers_to") != F.col("record_id")), F.col("refers_to")))
+    revisits = settle(
+        narrow.where(F.col("payload_bytes") >= min_revisit_bytes).join(last, "digest")
+        .where(F.col("refers_to") != F.col("record_id")).select("archive", "at", "refers_to"))
     wide = arc_records(spark, arc_path, payloads=True)
-    rows = decided.join(wide, ["archive", "at"]).select(
+    rows = wide.join(revisits, ["archive", "at"], "left").select(
         "record_id", "uri", "date", "ip", "digest", "payload_bytes", "refers_to", "mime", "head",
         F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"))
 
@@ -287,7 +292,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_byte
 
     (
         rows.mapInArrow(lambda b: _batched(write(b), "record"), "record binary").select(F.col("record").cast("string"))
-        .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+        .write.options(lineSep="\r\n\r\n", **PACKED).text(warc_path)
     )
 
 
