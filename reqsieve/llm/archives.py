@@ -347,3 +347,19 @@ def page_records(spark: SparkSession, warc_path: str) -> DataFrame:
         F.col("record_id").alias("refers_to_id"), F.col("number").alias("refers_to"))
     return read.join(responses, "refers_to_id", "left").select(
         F.col("number").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "date", "record_id")
+
+
+#: ``page_records`` over the table ``pages``: base32 is four characters for every five hex digits.
+ORACLE = """
+with hashed as (
+    select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as best from pages
+), groups as (
+    select *, list_transform(range(8), lambda i: cast('0x' || substr(h, cast(5 * i + 1 as bigint), 5) as integer)) as g from hashed
+)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes,
+       array_to_string(list_transform(g, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), '')), '') as payload_digest,
+       case when page_id = best then 'response' else 'revisit' end as record_type,
+       case when page_id <> best then best end as refers_to
+from groups
+"""

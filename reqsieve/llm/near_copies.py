@@ -221,3 +221,30 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     found = docs.withColumn("__key", F.col(id_col).cast("long"))
     named = found.join(kept, F.col("__key") == F.col("__id"), "left_semi").withColumn("__nr", first).where("__nr = 1")
     return named.drop("__key", "__nr").union(docs.where(F.col(id_col).isNull()))
+
+
+#: Three-word shingles and 85 percent over the table ``documents``, all pairs that share a shingle compared.
+ORACLE = r"""
+with recursive texts as (
+    select doc_id, trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from documents
+), words as (
+    select doc_id, case when t = '' then [] else regexp_split_to_array(t, '[\x20\x09-\x0D]+') end as w from texts
+), shingles as (
+    select distinct doc_id, unnest(case
+        when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id
+), met as (
+    select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), links as (
+    select a, b from met join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * met.n >= 85 * (x.n + y.n - met.n)
+), edges as (select a, b from links union all select b, a from links
+), reached as (
+    select distinct a as doc_id, a as c from edges
+    union
+    select e.b, r.c from reached r join edges e on e.a = r.doc_id
+), least as (select doc_id, min(c) as c from reached group by doc_id)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(l.c, d.doc_id) as component_id, coalesce(l.c, d.doc_id) = d.doc_id as kept
+from documents d left join sizes s on s.doc_id = d.doc_id left join least l on l.doc_id = d.doc_id
+"""

@@ -94,6 +94,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc": archives.ORACLE,
     "op5_line_windows": line_windows.ORACLE,
     "op6_line_rules": line_rules.ORACLE,
+    "op7_near_copies": near_copies.ORACLE,
 }
