@@ -253,5 +253,6 @@ def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     used = [id_col, text_col, declared_col, address_col]
     mark = F.xxhash64(*[x for c in used for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
     found = identify(docs.withColumn("__mark", mark), id_col, text_col, declared_col, address_col, keep=("__mark",), **options)
-    rejected = found.where(~F.col("kept")).select("__mark").distinct()
+    # Written down, so that Spark knows its size and leaves the texts where they are if it is small.
+    rejected = settle(found.where(~F.col("kept")).select("__mark").distinct())
     return docs.withColumn("__mark", mark).join(rejected, "__mark", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -156,7 +156,8 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
         passes = min(most, int(target // r.size)) if r.size else 0
         rest = max(0, round(target) - passes * r.size) if r.size and passes < most else 0
         rows.append((r.source, nr, r.size, target, max(1, -(-r.n // block_docs)), passes, rest))
-    sources = spark.createDataFrame(rows, "source string, nr int, source_size long, target double, blocks long, passes int, rest long")
+    # Written down, as the other tables of a mix, so that Spark knows their sizes.
+    sources = settle(spark.createDataFrame(rows, "source string, nr int, source_size long, target double, blocks long, passes int, rest long"))
 
     placed = _placed(sized, sources, seed)
     totals = placed.groupBy("nr", "block").agg(F.sum("size").alias("words"))
