@@ -3,12 +3,14 @@
 Each text is first judged alone: its words, the characters in them, symbols, lines that repeat earlier ones, and
 words in three-word windows that occur more than once. Then every line, lower-cased and without white space around
 it, is hashed, and the documents of its host that have it are counted. A line in more than ``LINE_SHARE`` of the
-host's documents, and in more than ``LINE_DOCS`` of them, is boilerplate and counts as removed. A document
-that loses more than ``LOST_PERCENT`` of its words so is rejected, as is one that fails alone.
+host's documents, and in more than ``LINE_DOCS`` of them, is boilerplate and is removed. A document
+that loses more than ``LOST_PERCENT`` of its words so is rejected, as is one that fails alone. ``rules`` gives the
+verdicts and what they rest on, ``without_frequent_lines`` the documents that are kept, without these lines. Both
+limits hold at once, so a host with ``LINE_DOCS`` documents or fewer loses no line.
 
 Lines are counted after they have been reduced to one row per document and line, so a line that a third of
 all documents share is many rows only of different documents, which are added up before the shuffle. Nothing
-but hashes and counts is shuffled.
+but hashes and counts is shuffled; texts meet the positions of their removed lines in one join.
 
 Defined results: a null text is empty; null hosts are one host. Repeated rows (equal ids, hosts and texts) are one
 document, and each is returned. Documents with no lines lose nothing. Other columns are ignored. An empty
@@ -61,19 +63,24 @@ def repeated_words(words: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """array<struct<line, key, words>> of the lines with a word."""
-    each = F.transform(F.split(text, "\n", -1), lambda line: bind(_trimmed(line), lambda t: F.struct(
+    """array<struct<line, key, words, position>> of the lines with a word."""
+    each = F.transform(F.split(text, "\n", -1), lambda line, i: bind(_trimmed(line), lambda t: F.struct(
         line.alias("line"), F.xxhash64(F.lower(t)).alias("h1"), F.xxhash64(F.lit(7), F.lower(t)).alias("h2"),
-        F.size(split_words(t)).alias("words"))))
+        F.size(split_words(t)).alias("words"), i.alias("i"))))
     return F.filter(each, lambda x: x["words"] > 0)
 
 
+def _doc(id_col: str, text_col: str, host_col: str) -> Column:
+    """What equal rows have in common."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col(host_col).isNull(), F.col(host_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """What a text says alone, and its lines as hashes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(host_col).isNull(), F.col(host_col)).alias("host"),
-        F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col(host_col).isNull(), F.col(host_col), text).alias("doc"), text.alias("text"))
+        _doc(id_col, text_col, host_col).alias("doc"), text.alias("text"))
     rows = once(rows, words=split_words(_trimmed(F.col("text"))), lines=_lines(F.col("text")))
     return rows.select(
         "doc_id", "host", "doc", F.size("words").cast("long").alias("n_words"),
@@ -81,28 +88,47 @@ def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
         (F.length("text") - F.length(F.regexp_replace("text", SYMBOL, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct(F.col("lines.line")))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.transform("lines", lambda x: F.struct(x["h1"], x["h2"], x["words"])).alias("lines"))
+        F.transform("lines", lambda x: F.struct(x["h1"], x["h2"], x["words"], x["i"])).alias("lines"))
 
 
-def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_share: float = LINE_SHARE,
-          line_docs: int = LINE_DOCS, lost_percent: int = LOST_PERCENT) -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept``, a row per document."""
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_share: float = LINE_SHARE,
+             line_docs: int = LINE_DOCS, lost_percent: int = LOST_PERCENT) -> DataFrame:
+    """What ``rules`` gives, with ``doc`` (alike for equal rows) and ``removed``, the positions of removed lines or null."""
     base = settle(judged(docs, id_col, text_col, host_col))
-    lines = base.select("host", "doc", "n_words", F.inline("lines")).distinct().groupBy("host", "doc", "h1", "h2").agg(F.count("*").alias("n"))
+    lines = base.select("host", "doc", "n_words", F.inline("lines")).select("host", "doc", "n_words", "h1", "h2", "words").distinct().groupBy(
+        "host", "doc", "h1", "h2").agg(F.count("*").alias("n"))
     in_docs = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
     hosts = base.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("of"))
     frequent = settle(in_docs.join(hosts, "host").where(F.col("docs") > line_share * F.col("of")).select("host", "h1", "h2"))
     each = base.select("host", "doc", F.inline("lines"))
-    copies = base.groupBy("doc").agg(F.count("*").alias("copies"))
-    lost = each.join(frequent, ["host", "h1", "h2"], "left_semi").groupBy("doc").agg(F.sum("words").alias("words"))
-    removed = lost.join(copies, "doc").select("doc", (F.col("words") / F.col("copies")).cast("long").alias("n_removed_words"))
+    lost = each.join(frequent, ["host", "h1", "h2"], "left_semi").groupBy("doc").agg(  # of one document
+        F.array_sort(F.collect_set(F.struct("i", "words"))).alias("lost"))
+    removed = lost.select("doc", F.col("lost.i").alias("removed"), F.aggregate(
+        "lost", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("n_removed_words"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     n_removed = F.coalesce("n_removed_words", F.lit(0).cast("long"))
     return base.drop("lines").join(removed, "doc", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "doc", "removed", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         n_removed.alias("n_removed_words"), (~failed & (100 * n_removed <= lost_percent * F.col("n_words"))).alias("kept"))
 
 
+def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept``, a row per document."""
+    return verdicts(docs, id_col, text_col, host_col, **limits).drop("doc", "removed")
+
+
+def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The documents that are kept, without the lines that count as removed. Other columns stay."""
+    found = verdicts(docs, id_col, text_col, host_col, **limits).where("not kept or removed is not null")
+    # Written down, so that Spark knows its size and leaves the texts where they are if it is small.
+    changed = settle(found.select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept"), F.col("removed").alias("__removed")).distinct())
+    at = docs.withColumn("__at", _doc(id_col, text_col, host_col))
+    joined = at.join(changed, F.col("__at") == F.col("__doc"), "left").where(F.coalesce("__kept", F.lit(True)))
+    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains("__removed", i)), "\n")
+    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(left)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 #: The same over the table ``documents``, with exact lines and windows in place of hashes.
 ORACLE = rf"""
 with texts as (

@@ -107,3 +107,47 @@ def test_rules_of_odd_rows(spark, odd):
     got = Counter(tuple(r) for r in line_rules.rules(odd).collect())
     assert got == rules_by_loop(rows, line_rules.LINE_SHARE, line_rules.LINE_DOCS, line_rules.LOST_PERCENT)
     assert line_rules.rules(odd.limit(0)).count() == 0
+
+
+def without_by_loop(rows, share, least, lost):
+    """The kept rows (id, host, text) without their frequent lines."""
+    docs, hosts, lines = set(rows), Counter(), defaultdict(set)
+    for r in docs:
+        hosts[r[1]] += 1
+        for line in (r[2] or "").split("\n"):
+            lines[r[1], line.strip(SPACE).lower()].add(r)
+    kept = {v[0] for v in rules_by_loop(rows, share, least, lost) if v[-1]}
+    stays = lambda h, x: not split(x) or (n := len(lines[h, x.strip(SPACE).lower()])) <= least or n <= share * hosts[h]
+    return Counter((i, h, "\n".join(x for x in t.split("\n") if stays(h, x))) for i, h, t in rows if i in kept)
+
+
+def pages_of_hosts():
+    """A hot host whose lines are frequent at production parameters, and a small one; some documents are mostly such lines."""
+    draw, rows = random.Random(8), []
+    common = ["Share this page with all your friends now", " ALL rights\treserved by the owner\r", "menu home about contact help"]
+    for i, host in enumerate(["hot"] * 400 + ["small"] * 90):
+        own = [" ".join(f"w{draw.randint(0, 5000)}" for _ in range(12)) for _ in range(5)]
+        body = [*own, "", *draw.sample(common, 2), *(common * 10 if i % 9 == 0 else [])]
+        draw.shuffle(body)
+        rows.append((i, host, "\n".join(body)))
+    return rows
+
+
+def test_documents_without_frequent_lines(spark, table):
+    rows = pages_of_hosts()
+    rows += [rows[1], rows[1], (900, "hot", None), (901, "hot", "")]
+    df = table([(*r, 7) for r in rows], "doc_id long, source string, text string, removed int").repartition(3)
+    got = line_rules.without_frequent_lines(df)
+    assert got.columns == df.columns
+    kept = got.collect()
+    assert Counter((r.doc_id, r.source, r.text) for r in kept) == without_by_loop(rows, line_rules.LINE_SHARE, line_rules.LINE_DOCS, line_rules.LOST_PERCENT)
+    verdicts, text = {r.doc_id: r for r in line_rules.rules(df).collect()}, {r[0]: r[2] for r in rows}
+    assert {r.doc_id for r in kept} == {i for i, v in verdicts.items() if v.kept}
+    assert all(len(split(text[r.doc_id])) - len(split(r.text)) == verdicts[r.doc_id].n_removed_words for r in kept)
+    assert line_rules.without_frequent_lines(df.limit(0)).count() == 0
+
+
+def test_odd_rows_without_frequent_lines(spark, odd):
+    got = line_rules.without_frequent_lines(odd.withColumn("kept", odd.lang))
+    ids = {r.doc_id for r in line_rules.rules(odd).where("kept").collect()}
+    assert got.columns == [*odd.columns, "kept"] and {r.doc_id for r in got.collect()} == ids
