@@ -127,7 +127,7 @@ def pages_of_hosts():
     common = ["Share this page with all your friends now", " ALL rights\treserved by the owner\r", "menu home about contact help"]
     for i, host in enumerate(["hot"] * 400 + ["small"] * 90):
         own = [" ".join(f"w{draw.randint(0, 5000)}" for _ in range(12)) for _ in range(5)]
-        body = [*own, "", *draw.sample(common, 2), *(common * 10 if i % 9 == 0 else [])]
+        body = [*own, "", *draw.sample(common, 2), *([" ".join(f"l{k}" for k in range(90))] if i % 3 == 0 else [])]
         draw.shuffle(body)
         rows.append((i, host, "\n".join(body)))
     return rows
@@ -151,3 +151,13 @@ def test_odd_rows_without_frequent_lines(spark, odd):
     got = line_rules.without_frequent_lines(odd.withColumn("kept", odd.lang))
     ids = {r.doc_id for r in line_rules.rules(odd).where("kept").collect()}
     assert got.columns == [*odd.columns, "kept"] and {r.doc_id for r in got.collect()} == ids
+
+
+def test_production_limits(spark, table):
+    """Lines go and documents are rejected in the hot host; a host with no more than LINE_DOCS documents loses nothing."""
+    rows = pages_of_hosts()
+    got = line_rules.rules(table(rows, "doc_id long, source string, text string")).collect()
+    assert Counter(map(tuple, got)) == rules_by_loop(rows, line_rules.LINE_SHARE, line_rules.LINE_DOCS, line_rules.LOST_PERCENT)
+    hot = [r for r in got if r.doc_id < 400]
+    assert all(r.n_removed_words for r in hot) and {r.kept for r in hot if not r.base_failed} == {True, False}
+    assert not any(r.n_removed_words for r in got if r.doc_id >= 400)
