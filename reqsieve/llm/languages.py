@@ -11,12 +11,18 @@ The posterior of a language is the product of four things:
 
 The last three come from one grouped aggregation of the languages that the texts alone suggest (as shares, so that
 a text of unclear language counts for each a little), and a row's own share is taken out before it meets
-them. Languages are those that at least ``LEAST_SHARE`` of the declaring rows declare, so at most 200; the text model
-has one table of ``BUCKETS`` numbers for each. Texts are read twice and never shuffled; a row is a few numbers
+them. Languages are those that at least ``LEAST_DOCS`` rows declare, or the share ``LEAST_SHARE`` of the declaring rows
+where that is fewer, so a rare language stays one however much there is of others. The text model has one row of
+``BUCKETS`` numbers for each (64 KB), and a row of the table a number for each, so both grow with the languages declared.
+
+Beside them stands an unknown language, for texts that fit no model better than chance: all buckets alike, with the prior
+``UNKNOWN``, and for declarations and suffixes how often they occur at all. A text of a language that too few rows
+declare is rejected so where its letters are unlike those of all others; where they are like, it gets the nearest one. Texts are read twice and never shuffled; a row is a few numbers
 from then on, and a host that has a third of all rows is a few sums that meet these rows in one join.
 
 Defined results: a text without letters says nothing; it is rejected, as is one whose best language has a
-posterior below ``LEAST_CONFIDENCE``. A null or unusable declaration or address is no evidence. Without any
+posterior below ``LEAST_CONFIDENCE``. A text whose best language is the unknown one is rejected with a null language and
+the posterior of the unknown one. A null or unusable declaration or address is no evidence. Without any
 declared language the result is null and all is rejected. Each row gives a row; repeated rows count as often as they
 occur. An empty table gives no rows. Other columns are ignored.
 """
@@ -35,6 +41,9 @@ from reqsieve.llm.words import Slice, slices
 
 BUCKETS = 1 << 14
 LEAST_SHARE = 0.005
+LEAST_DOCS = 20
+#: Prior of the unknown language.
+UNKNOWN = 1e-3
 LEAST_CONFIDENCE = 0.5
 TEMPER = 1 / 3
 #: Pseudo-counts: of the text model, of declarations, of suffixes, and of the levels of the host prior.
@@ -90,16 +99,17 @@ def text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), BUCKETS), np.int64)
+        sums = {}
         for batch in batches:
             language = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()])
             for part in slices(batch.column(0)):
                 found, begins = neighbours(part)
                 of = np.repeat(language[part.first: part.first + len(part)], np.diff(begins))
                 for i in np.unique(of[of >= 0]):
-                    sums[i] += np.bincount(found[of == i], minlength=BUCKETS)
-        at, where = np.nonzero(sums)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(where.astype(np.int32)), pa.array(sums[at, where])], ["language", "bucket", "n"])
+                    sums[i] = sums.get(i, 0) + np.bincount(found[of == i], minlength=BUCKETS)
+        for i, n in sums.items():
+            where = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(np.full(len(where), i, np.int32)), pa.array(where.astype(np.int32)), pa.array(n[where])], ["language", "bucket", "n"])
 
     declared = rows.where(F.col("declared").isin(languages)).select("text", "declared")
     found = declared.mapInArrow(count, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
@@ -134,14 +144,15 @@ def identify(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = dict(rows.dtypes)["doc_id"]
     said = rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n")).collect()  # codes of two or three letters
     total = sum(r.n for r in said)
-    languages = sorted(r.declared for r in said if r.n >= LEAST_SHARE * total)
+    languages = sorted(r.declared for r in said if r.n >= min(LEAST_DOCS, LEAST_SHARE * total))
     kept = [F.col(f"kept_{c}").alias(c) for c in keep]
     if not languages:
         return rows.select(F.col("doc_id").alias(id_col), "declared", nothing.alias("language"), F.lit(0.0).alias("confidence"),
                            F.lit(0).cast("long").alias("n_letters"), F.lit(False).alias("kept"), *kept)
     width, number = len(languages), {name: i for i, name in enumerate(languages)}
     declares = np.array([next(r.n for r in said if r.declared == x) for x in languages], float)
-    first_prior = np.log(declares / declares.sum())
+    first_prior = np.log(np.append(declares / declares.sum(), UNKNOWN))
+    frequencies = {r.declared: r.n / total for r in said}
     model = spark.sparkContext.broadcast(text_model(rows, languages))
     extra = [c for c in rows.columns if c.startswith("kept_")]
     extra_types = "".join(f", {c} {dict(rows.dtypes)[c]}" for c in extra)
@@ -151,12 +162,13 @@ def identify(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for part in slices(batch.column(1)):
                 found, begins = neighbours(part)
-                logs = np.empty((len(part), width))
+                logs = np.empty((len(part), width + 1))
                 for i in range(width):
                     sums = np.concatenate(([0.0], np.cumsum(table[i][found], dtype=np.float64)))
                     logs[:, i] = TEMPER * (sums[begins[1:]] - sums[begins[:-1]])
                 letters = np.diff(begins)
-                share = np.where(letters[:, None] > 0, _shares(logs + first_prior), 0.0)
+                logs[:, width] = np.where(letters > 0, -TEMPER * np.log(BUCKETS) * letters, -np.inf)
+                share = np.where(letters[:, None] > 0, _shares(logs + first_prior), 0.0)[:, :width]
                 size = len(part)
                 yield pa.record_batch(
                     [batch.column(0).slice(part.first, size), *[batch.column(i).slice(part.first, size) for i in range(2, batch.num_columns)],
@@ -183,12 +195,12 @@ def identify(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(resummed(hosts, suffix_of(F.col("host")), "suffix"), "suffix", "left"))
     everywhere = np.array(summed(alone).first(), float)
     by_declared = {r.declared: np.array(r[1:], float) for r in summed(alone.where("declared is not null"), "declared").collect()}
-    context = (languages, number, everywhere, by_declared, [x for x in by_declared if x not in number])
+    context = (languages, number, everywhere, by_declared, [x for x in by_declared if x not in number], frequencies)
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            logs, share = _matrix(column["logs"], width), _matrix(column["share"], width)
+            logs, share = _matrix(column["logs"], width + 1), _matrix(column["share"], width)
             host, domain, suffix = (_matrix(column[n], width) for n in ("host_sums", "domain_sums", "suffix_sums"))
             total_logs = logs + fused(share, host, domain, suffix, column["suffix_known"].to_numpy(zero_copy_only=False).astype(bool),
                                       column["declared"].to_pylist(), *context)
@@ -197,8 +209,8 @@ def identify(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             confidence = after[np.arange(len(best)), best]
             letters = column["n_letters"].to_numpy()
             yield pa.record_batch([
-                column["doc_id"], column["declared"], pa.array([languages[i] for i in best], pa.string()), pa.array(confidence),
-                column["n_letters"], pa.array((letters > 0) & (confidence >= least_confidence)), *[column[c] for c in extra],
+                column["doc_id"], column["declared"], pa.array([languages[i] if i < width else None for i in best], pa.string()), pa.array(confidence),
+                column["n_letters"], pa.array((letters > 0) & (best < width) & (confidence >= least_confidence)), *[column[c] for c in extra],
             ], [id_col, "declared", "language", "confidence", "n_letters", "kept", *extra])
 
     none = F.array(*[F.lit(0.0)] * width)
@@ -211,8 +223,9 @@ def identify(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def fused(share: np.ndarray, host: np.ndarray, domain: np.ndarray, suffix: np.ndarray, suffix_known: np.ndarray, declared: list[str | None],
-          languages: list[str], number: dict[str, int], everywhere: np.ndarray, by_declared: dict[str, np.ndarray], others: list[str]) -> np.ndarray:
-    """log of prior, suffix and declaration for rows (by languages), each without the row's own share."""
+          languages: list[str], number: dict[str, int], everywhere: np.ndarray, by_declared: dict[str, np.ndarray], others: list[str],
+          frequencies: dict[str, float]) -> np.ndarray:
+    """log of prior, suffix and declaration for rows (by languages, the unknown one last), each without the row's own share."""
 
     def without(sums: np.ndarray) -> np.ndarray:
         return np.maximum(sums - np.where(sums.sum(axis=1, keepdims=True) > 0, share, 0.0), 0.0)
@@ -221,12 +234,13 @@ def fused(share: np.ndarray, host: np.ndarray, domain: np.ndarray, suffix: np.nd
     prior = overall / overall.sum(axis=1, keepdims=True)
     for sums in (without(domain), without(host)):
         prior = (sums + LEVEL_ADDED * prior) / (sums.sum(axis=1, keepdims=True) + LEVEL_ADDED)
-    out = np.log(prior)
+    out, unknown = np.log(prior), np.full(len(share), np.log(UNKNOWN))
 
     there = without(suffix)
     frequency = (there.sum(axis=1, keepdims=True) + 1.0) / (everywhere.sum() + 1.0)
     likely = (there + LEVEL_ADDED * frequency) / (overall + LEVEL_ADDED)
     out += np.where(suffix_known[:, None], np.log(likely), 0.0)
+    unknown += np.where(suffix_known, np.log(frequency[:, 0]), 0.0)
 
     names = len(languages) + len(others)
     for name in {x for x in declared if x is not None}:
@@ -236,7 +250,8 @@ def fused(share: np.ndarray, host: np.ndarray, domain: np.ndarray, suffix: np.nd
             own[number[name]] = names
         seen = np.maximum(by_declared[name] - share[rows], 0.0)
         out[rows] += np.log((seen + DECLARED_ADDED * (1 + own)) / (overall[rows] + DECLARED_ADDED * 2 * names))
-    return out
+        unknown[rows] += np.log(frequencies[name])
+    return np.column_stack((out, unknown))
 
 
 def of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -129,3 +130,25 @@ def test_parts_of_addresses(spark, table):
     host = languages.host_of(df.a)
     got = [tuple(r) for r in df.select(host, languages.domain_of(host), languages.suffix_of(host)).collect()]
     assert got == [("www.ex.co.de", "co.de", "de"), ("src0", "src0", None), ("1.2.3.4", "3.4", None), *[(None, None, None)] * 3]
+
+
+def test_rare_and_unknown_languages(spark, table):
+    """A tenth of a percent is a language, three documents are not: they are rejected, not given another one."""
+    draw = random.Random(5)
+
+    def maker():
+        syllables = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(60)]
+        stems = ["".join(draw.choice(syllables) for _ in range(draw.randint(1, 3))) for _ in range(300)]
+        return lambda: " ".join(draw.choice(stems) for _ in range(30))
+
+    rows = []
+    for lang, n in (("aa", 12_000), ("bb", 7_965), ("rr", 20), ("uu", 3)):
+        text = maker()
+        rows += [(len(rows) + k, text(), lang, f"h{k % 9}.org") for k in range(n)]
+    rows += [(len(rows), rows[19_970][1], "aa", "h1.org"), (len(rows) + 1, rows[19_971][1], None, None)]
+    got = {r.doc_id: r for r in languages.identify(table(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()}
+    for i, _, lang, _ in rows[:-2]:
+        assert (got[i].language, got[i].kept) == ((None, False) if lang == "uu" else (lang, True)), rows[i]
+    assert all((got[i].language, got[i].kept) == ("rr", True) for i, *_ in rows[-2:])
+    docs = table(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in docs.exceptAll(languages.drop_unidentified(docs)).collect()} == {i for i, _, lang, _ in rows if lang == "uu"}
