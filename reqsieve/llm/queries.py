@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqsieve.llm import archives, languages, leaks, line_rules, line_windows, mixing, near_copies, preferences, suffix_tree, token_files
+from reqsieve.llm import archives, languages, leaks, line_rules, line_windows, mixing, near_copies, negatives, preferences, suffix_tree, token_files
 from reqsieve.llm.stored import documents
 from reqsieve.session import shared_dir
 
@@ -79,6 +79,11 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector."""
+    return negatives.mine(documents(spark, sf_dir, "embeddings"), label=negatives.shifted_label())
+
+
 QUERIES = {
     "op1_languages": op1_languages,
     "page_languages": page_languages,
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_leaks": op8_leaks,
     "op9_mixing": op9_mixing,
     "op10_tokens": op10_tokens,
+    "op11_negatives": op11_negatives,
 }
 
 ORACLES = {
@@ -98,4 +104,5 @@ ORACLES = {
     "op5_line_windows": line_windows.ORACLE,
     "op6_line_rules": line_rules.ORACLE,
     "op7_near_copies": near_copies.ORACLE,
+    "op11_negatives": negatives.ORACLE,
 }
