@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqsieve.llm import archives, languages, leaks, line_rules, line_windows, mixing, near_copies, negatives, preferences, suffix_tree, token_files
+from reqsieve.llm import archives, languages, leaks, line_rules, line_windows, mixing, near_copies, negatives, preferences, ranked_search, suffix_tree, token_files
 from reqsieve.llm.stored import documents
 from reqsieve.session import shared_dir
 
@@ -84,6 +84,11 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(documents(spark, sf_dir, "embeddings"), label=negatives.shifted_label())
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents for every benchmark item."""
+    return ranked_search.rank_documents(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_languages": op1_languages,
     "page_languages": page_languages,
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_tokens": op10_tokens,
     "op11_negatives": op11_negatives,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLES = {
@@ -105,4 +111,5 @@ ORACLES = {
     "op6_line_rules": line_rules.ORACLE,
     "op7_near_copies": near_copies.ORACLE,
     "op11_negatives": negatives.ORACLE,
+    "op12_ranked_search": ranked_search.ORACLE,
 }
