@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqsieve.llm import archives, languages, leaks, line_rules, line_windows, mixing, near_copies, negatives, preferences, ranked_search, suffix_tree, token_files
+from reqsieve.llm import archives, languages, leaks, line_rules, line_windows, mixing, near_copies, negatives, preferences, ranked_search, set_join, suffix_tree, token_files
 from reqsieve.llm.stored import documents
 from reqsieve.session import shared_dir
 
@@ -89,6 +89,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by sets of three-word shingles that are similar to 90 percent or more."""
+    return set_join.join_sets(documents(spark, sf_dir), width=3, percent=90)
+
+
 QUERIES = {
     "op1_languages": op1_languages,
     "page_languages": page_languages,
@@ -103,6 +108,7 @@ QUERIES = {
     "op10_tokens": op10_tokens,
     "op11_negatives": op11_negatives,
     "op12_ranked_search": op12_ranked_search,
+    "op13_set_join": op13_set_join,
 }
 
 ORACLES = {
@@ -112,4 +118,5 @@ ORACLES = {
     "op7_near_copies": near_copies.ORACLE,
     "op11_negatives": negatives.ORACLE,
     "op12_ranked_search": ranked_search.ORACLE,
+    "op13_set_join": set_join.ORACLE,
 }
