@@ -1,18 +1,18 @@
 """Joining documents by the Jaccard similarity of their shingle sets, skipping by set relations (operator 13).
 
 1. Texts become sets of shingle hashes; equal sets are one class, named by a number of its own. A class keeps its
-   size and its head: its least hashes, as many as step 3 needs.
-2. Relations. Classes that share one of their least hashes are compared with the first of their group (large groups
-   are cut into parts with a first of their own, and these with the first of all), exactly, on the full sets. Pairs at the
-   least similarity are links. A class within ``RADIUS`` of such a first one is its follower; what is no follower leads.
-3. Index. Only leaders are indexed. At the least similarity that two leaders need so that a follower of one can link
-   with a follower of the other, at most D hashes of a set are not in the other, so the first e + 1 common hashes are
-   in both heads of D + e + 1. Without its e most frequent hashes a head still shares one with the other's: these D + 1
-   are looked up. Lists whose classes are all linked already are skipped.
-4. Skipping. Every list is cut into blocks of classes of like size and like position of the hash, with the least and the
-   greatest of them as a header. Both sets have the hash at known positions, so they differ by at least the difference of
-   what is before it and of what is after it: blocks whose headers differ by too much are never opened, and in those that
-   are opened the same test leaves pairs out one by one. The heads' common range excludes more pairs; the full sets confirm.
+   size and its head: its least hashes, as many as step 2 needs.
+2. Lookups. Of two sets that can matter to each other at most D hashes of one are not in the other, so their first e + 1
+   common hashes are in both heads of D + e + 1. Without its e most frequent hashes a head still shares one with the
+   other's. These D + 1 hashes are looked up; those that no other set has are known to be so, and most sets have no more.
+3. Relations. In every list the class with the fewest hashes of its own is the hub (long lists are cut into parts with
+   hubs of their own, and these have a hub), and all are compared with it on the full sets. Pairs at the least
+   similarity are links. A class within ``RADIUS`` of a hub is its follower; what is no follower leads.
+4. Index. Leaders in lists that hold several components are indexed with their full sets, rarest hashes first, by the
+   first D + 1. Lists are cut into blocks of classes of like size and like position of the hash, with the least and
+   greatest of them as a header. In the list of the first hash that two sets share, all that stands before it differs, and
+   what comes after it differs by the difference of its size at least: block pairs whose headers exceed what the
+   similarity allows are never opened, and in opened ones the same test leaves out pairs. The full sets confirm the rest.
 5. Derived answers. A confirmed pair of leaders that are no link, but near enough for their followers, gives the
    followers' answers: the common part of a follower and the other leader is the leader's, less the hashes it lost that the
    other has, plus those it gained. Applied to one side and then to the other, this gives all pairs of followers.
@@ -39,18 +39,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqsieve.llm.components import components
-from reqsieve.llm.near_copies import shingles
+from reqsieve.llm.near_copies import least_overlap, shingles
 from reqsieve.llm.stored import only, settle
 from reqsieve.llm.words import lists, slices
 
 #: Words of a shingle, and the similarity in percent from which two sets are linked.
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Distance in percent up to which a class follows another one.
-RADIUS = 2
-#: Share of a set in percent by which its head is longer than its lookups: so many frequent hashes are not looked up.
-SPARE = 4
-#: Least hashes by which groups are made, and parts of a group.
-GROUPS, PARTS = 3, 64
+RADIUS = 1
+#: Least hashes by which the similarity with a hub is estimated, and parts of a list.
+SKETCH, PARTS = 32, 64
 #: Classes of a block, about.
 BLOCK = 256
 
@@ -62,7 +60,8 @@ def _lookups(n, percent: int):
 
 
 def _head(n: int, percent: int) -> int:
-    return min(n, _lookups(n, percent) + (n * SPARE + 99) // 100)
+    """As many hashes as are looked up, and as many frequent ones that are not."""
+    return min(n, max(SKETCH, 2 * _lookups(n, percent)))
 
 
 SIGNATURE = "doc_id long, n_shingles long, key1 long, key2 long, head array<long>"
@@ -106,33 +105,40 @@ def _linked(common: Column, na: Column, nb: Column, percent: int) -> Column:
     return common * 100 >= (na + nb - common) * percent
 
 
-def _group_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Each class with the first of its part of a group, and the firsts of parts with the first of all."""
-    held = classes.select("node", "n", F.explode(F.slice("head", 1, GROUPS)).alias("value"), F.pmod(F.xxhash64("node"), F.lit(PARTS)).alias("part"))
-    parts = held.groupBy("value", "part").agg(F.min(F.struct("node", "n")).alias("hub"))
-    inner = held.join(parts, ["value", "part"]).select("hub", "node", "n")
+def _lists(classes: DataFrame, percent: int) -> DataFrame:
+    """``value, node, n, own``: the lookups of each class that others have too; own: hashes of its head that no other has."""
+    held = classes.select(F.explode("head").alias("value"), "node")
+    shared = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    entries = F.array_sort(F.collect_list(F.struct("df", "value")))  # at most as many as a head has
+    found = held.join(shared, "value").groupBy("node").agg(entries.alias("e"))
+    sizes = classes.select("node", "n", F.size("head").alias("m"))
+    own = F.col("m") - F.size("e")
+    first = F.greatest(F.lit(0), F.expr(f"n - (n * {percent - 2 * RADIUS} + 99) div 100 + 1") - own).cast("int")
+    looked = settle(found.join(sizes, "node").select("node", "n", own.alias("own"), F.explode(F.slice("e", 1, first)).alias("e")).select(
+        F.col("e.value").alias("value"), "node", "n", "own"))
+    several = looked.groupBy("value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("value")
+    return settle(looked.join(several, "value", "left_semi"))
+
+
+def _hub_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Each class with the hub of its part of a list, and these with the hub of the list, where they seem similar.
+
+    Pairs that are missed here are found by the index.
+    """
+    hub = F.min(F.struct("own", "node", "n"))
+    held = members.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+    parts = held.groupBy("value", "part").agg(hub.alias("hub"))
     tops = parts.groupBy("value").agg(F.min("hub").alias("top"))
+    inner = held.join(parts, ["value", "part"]).select("hub", "node", "n")
     outer = parts.join(tops, "value").select(F.col("top").alias("hub"), F.col("hub.node").alias("node"), F.col("hub.n").alias("n"))
     fits = (F.col("hub.node") != F.col("node")) & (F.least("hub.n", "n") * 100 >= F.greatest("hub.n", "n") * percent)
-    return inner.union(outer).where(fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-
-
-def _plausible(pairs: DataFrame, classes: DataFrame, distance: Column | float) -> DataFrame:
-    """Pairs whose heads, where both are known, do not differ by more than the distance allows."""
-    out = pairs
+    pairs = inner.union(outer).where(fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     for side in "ab":
-        out = out.join(classes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("head").alias(f"h{side}")), side)
-
-    def end(side: str) -> Column:
-        whole = F.size(f"h{side}") == F.col(f"n{side}")
-        return F.when(whole, F.lit((1 << 63) - 1)).otherwise(F.element_at(f"h{side}", -1))
-
-    out = out.withColumn("end", F.least(end("a"), end("b")))
-    known = [F.filter(f"h{side}", lambda x: x <= F.col("end")) for side in "ab"]
-    out = out.select(*pairs.columns, "na", "nb", known[0].alias("ka"), known[1].alias("kb"))
-    differ = F.size("ka") + F.size("kb") - 2 * F.size(F.array_intersect("ka", "kb"))
-    d = F.lit(distance) if not isinstance(distance, Column) else distance
-    return out.where(differ * (2 - d) <= (F.col("na") + F.col("nb")) * (d + 1e-6)).select(*pairs.columns)
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.slice("head", 1, SKETCH).alias(f"k{side}")), side)
+    union = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, SKETCH)
+    hits = F.size(F.array_intersect(F.array_intersect("ka", "kb"), union))
+    asked = F.least(F.lit(least_overlap(SKETCH, percent)), F.floor(F.size(union) * percent / 100))
+    return pairs.where(hits >= asked).select("a", "b")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -144,16 +150,20 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
 
 
-def _looked_up(leaders: DataFrame, percent: int) -> DataFrame:
-    """``value, node, component, n, reach, pos``: the lookups of each leader in lists that can still link something."""
-    held = leaders.select("node", "component", "n", "reach", F.size("head").alias("m"), F.posexplode("head").alias("pos", "value"))
+def _indexed(leaders: DataFrame, percent: int) -> DataFrame:
+    """``value, node, component, n, reach, pos``: the first hashes of each leader, where they can still link something.
+
+    ``pos``: how many hashes of the set come before, in the order of all.
+    """
+    held = leaders.select(F.explode("shingles").alias("value"), "node", "component")
     shared = held.groupBy("value").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("joins")).where("df > 1")
-    entries = F.array_sort(F.collect_list(F.struct("df", "value", "pos", "joins")))  # at most as many as a head has
-    found = held.join(shared, "value").groupBy("node", "component", "n", "reach", "m").agg(entries.alias("e"))
-    least = ((F.col("n") * (percent - 2 * RADIUS) + 99) / 100).cast("long")
-    first = F.greatest(F.lit(0), F.col("n") - least + 1 - (F.col("m") - F.size("e"))).cast("int")
-    return found.select("node", "component", "n", "reach", F.explode(F.slice("e", 1, first)).alias("e")).where("e.joins").select(
-        F.col("e.value").alias("value"), "node", "component", "n", "reach", F.col("e.pos").cast("long").alias("pos"))
+    entries = F.array_sort(F.collect_list(F.struct("df", "value", "joins")))  # of one text
+    found = held.select("value", "node").join(shared, "value").groupBy("node").agg(entries.alias("e"))
+    about = leaders.select("node", "component", "n", "reach")
+    own = F.col("n") - F.size("e")
+    first = F.greatest(F.lit(0), F.expr(f"n - (n * {percent - 2 * RADIUS} + 99) div 100 + 1") - own).cast("int")
+    cut = found.join(about, "node").select(*about.columns, own.alias("own"), F.posexplode(F.slice("e", 1, first)).alias("at", "e"))
+    return cut.where("e.joins").select(F.col("e.value").alias("value"), *about.columns, (F.col("own") + F.col("at")).alias("pos"))
 
 
 def _blocks(entries: DataFrame, percent: int) -> DataFrame:
@@ -168,7 +178,7 @@ def _blocks(entries: DataFrame, percent: int) -> DataFrame:
     rest = F.col("n") - F.col("pos")
     return cut.groupBy(*key, "cut").agg(
         *[F.collect_list(c).alias(c) for c in ("node", "component", "n", "pos", "reach")],
-        F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"),
+        F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"),
         F.min(rest).alias("r0"), F.max(rest).alias("r1"), F.max("reach").alias("far"),
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("least"))
 
@@ -184,7 +194,7 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
                 x, y = ([batch.column(k * len(columns) + j)[i].values.to_numpy() for j in range(len(columns))] for k in (0, 1))
                 (node, comp, n, pos, reach), (node2, comp2, n2, pos2, reach2) = ([v[:, None] for v in x], [v[None, :] for v in y])
                 distance = (100 - percent) / 100 + reach + reach2
-                differ = np.abs(pos - pos2) + np.abs((n - pos) - (n2 - pos2))
+                differ = pos + pos2 + np.abs((n - pos) - (n2 - pos2))  # so many at least, if this is the first common hash
                 fit = (comp != comp2) & (differ * (2 - distance) <= (n + n2) * (distance + 1e-6))
                 fit &= np.minimum(n, n2) >= (1 - distance - 1e-6) * np.maximum(n, n2)
                 at = np.nonzero(fit)
@@ -205,7 +215,7 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
 
     distance = F.lit((100 - percent) / 100 + 1e-6) + F.col("x.far") + F.col("y.far")
     several = (F.col("x.c0") != F.col("y.c0")) | (F.col("x.c1") != F.col("y.c1")) | (F.col("x.c0") != F.col("x.c1"))
-    near = (apart("p0", "p1") + apart("r0", "r1")) * (2 - distance) <= (F.col("x.n1") + F.col("y.n1")) * distance
+    near = (F.col("x.p0") + F.col("y.p0") + apart("r0", "r1")) * (2 - distance) <= (F.col("x.n1") + F.col("y.n1")) * distance
     sizes = (F.col("x.n1") >= (1 - distance) * F.col("y.n0")) & (F.col("y.n1") >= (1 - distance) * F.col("x.n0"))
     open_ = x.join(y, (F.col("x.value") == F.col("y.value")) & ordered & several & near & sizes)
     both = open_.select(*[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "xy" for c in columns])
@@ -243,26 +253,26 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     names = classes.select("node", "least", "key1", "key2")
 
     # relations
-    first = settle(_plausible(_group_pairs(classes, percent), classes, gap))
-    sets = _full_sets(texts, width, names.join(_nodes(first), "node", "left_semi"))
-    related = settle(_compared(first, sets).where(_linked(F.col("common"), F.col("na"), F.col("nb"), percent)))
+    members = _lists(classes, percent)
+    sets = _full_sets(texts, width, names.join(members.select("node").distinct(), "node", "left_semi"))
+    related = _compared(_hub_pairs(members, classes, percent), sets)
+    related = settle(related.where(_linked(F.col("common"), F.col("na"), F.col("nb"), percent)))
     linked = settle(components(related))
     close = related.where(_linked(F.col("common"), F.col("na"), F.col("nb"), 100 - RADIUS))
     beside = close.join(close.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     far = (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
     followers = settle(beside.groupBy("b").agg(F.min(F.struct("a", far.alias("far"))).alias("to")).select("b", "to.a", "to.far"))
     reach = followers.groupBy(F.col("a").alias("node")).agg(F.max("far").alias("reach"))
-    leaders = settle(
-        classes.join(followers.select(F.col("b").alias("node")), "node", "left_anti").join(linked, "node", "left").join(reach, "node", "left")
-        .select("node", "n", "head", F.coalesce("component", "node").alias("component"), F.coalesce("reach", F.lit(0.0)).alias("reach")))
 
     # index and answers of leaders
-    blocks = settle(_blocks(settle(_looked_up(leaders, percent)), percent))
-    pairs = settle(_plausible(_block_pairs(blocks, percent), leaders, F.col("distance")))
-    more = names.join(_nodes(pairs), "node", "left_semi").join(sets, "node", "left_anti")
-    sets = sets.union(_full_sets(texts, width, more))
+    placed = members.select("value", "node", "n").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_lists = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
+    leading = placed.join(open_lists, "value", "left_semi").select("node", "component", "n").distinct()
+    leading = leading.join(followers.select(F.col("b").alias("node")), "node", "left_anti").join(reach, "node", "left")
+    leaders = settle(leading.withColumn("reach", F.coalesce("reach", F.lit(0.0))).join(sets, "node"))
+    blocks = settle(_blocks(settle(_indexed(leaders, percent)), percent))
     common, na, nb = F.col("common"), F.col("na"), F.col("nb")
-    answers = settle(_compared(pairs, sets).where(_near(common, na, nb, F.col("distance"))))
+    answers = settle(_compared(_block_pairs(blocks, percent), sets).where(_near(common, na, nb, F.col("distance"))))
     found = related.select("a", "b").union(answers.where(_linked(common, na, nb, percent)).select("a", "b"))
 
     # answers of followers
