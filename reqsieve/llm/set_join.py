@@ -12,7 +12,8 @@
    first D + 1. Lists are cut into blocks of classes of like size and like position of the hash, with the least and
    greatest of them as a header. In the list of the first hash that two sets share, all that stands before it differs, and
    what comes after it differs by the difference of its size at least: block pairs whose headers exceed what the
-   similarity allows are never opened, and in opened ones the same test leaves out pairs. The full sets confirm the rest.
+   similarity allows are never opened, and in opened ones the same test leaves out pairs, as do the bits that say where
+   a set has an odd number of hashes. The full sets confirm the rest.
 5. Derived answers. A confirmed pair of leaders that are no link, but near enough for their followers, gives the
    followers' answers: the common part of a follower and the other leader is the leader's, less the hashes it lost that the
    other has, plus those it gained. Applied to one side and then to the other, this gives all pairs of followers.
@@ -49,6 +50,8 @@ SHINGLE_WORDS, PERCENT = 5, 80
 RADIUS = 1
 #: Least hashes by which the similarity with a hub is estimated, and parts of a list.
 SKETCH, PARTS = 32, 64
+#: Parts of all hashes, a power of two.
+ODD_BITS = 512
 #: Classes of a block, about.
 BLOCK = 256
 
@@ -64,24 +67,33 @@ def _head(n: int, percent: int) -> int:
     return min(n, max(SKETCH, 2 * _lookups(n, percent)))
 
 
-SIGNATURE = "doc_id long, n_shingles long, key1 long, key2 long, head array<long>"
+SIGNATURE = "doc_id long, n_shingles long, key1 long, key2 long, head array<long>, odd binary"
+
+
+def odd_bits(hashes: np.ndarray) -> bytes:
+    """Of each of ``ODD_BITS`` parts of all hashes, does the set have an odd number? Sets differ by a hash at least where this does."""
+    return np.packbits(np.bincount(hashes & (ODD_BITS - 1), minlength=ODD_BITS) & 1).tobytes()
 
 
 def _named(batches: Iterator[pa.RecordBatch], width: int, kept) -> Iterator[pa.RecordBatch]:
-    """Id, size and name of each text's set, and of its ascending hashes as many as ``kept`` says."""
+    """Id, size and name of each text's set, and of its ascending hashes as many as ``kept`` says.
+
+    Of whole sets also their ``odd_bits``.
+    """
     for batch in batches:
         for part in slices(batch.column(1)):
-            sizes, names, some = [], [], []
+            sizes, names, some, odd = [], [], [], []
             for found in shingles(part.words(), width):
                 sizes.append(len(found))
                 names.append(xxhash.xxh128_digest(found.tobytes()))
-                some.append(found[: kept(len(found))])
+                some.append(found if kept is None else found[: kept(len(found))])
+                odd.append(odd_bits(found) if kept is None else None)
             name = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
             bounds = np.concatenate(([0], np.cumsum([len(s) for s in some])))
             yield pa.record_batch(
                 [batch.column(0).slice(part.first, len(part)), pa.array(sizes, pa.int64()), pa.array(name[:, 0].copy()),
-                 pa.array(name[:, 1].copy()), lists(np.concatenate(some), bounds)],
-                ["doc_id", "n_shingles", "key1", "key2", "head"])
+                 pa.array(name[:, 1].copy()), lists(np.concatenate(some), bounds), pa.array(odd, pa.binary())],
+                ["doc_id", "n_shingles", "key1", "key2", "head", "odd"])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,11 +101,12 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _full_sets(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """``node, shingles`` of the wanted classes (``node, least, key1, key2``), from a document of each."""
+    """``node, shingles, odd`` of the wanted classes (``node, least, key1, key2``), from a document of each."""
     found = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
-        lambda batches: _named(batches, width, lambda n: n), SIGNATURE)
+        lambda batches: _named(batches, width, None), SIGNATURE)
     named = wanted.select("node", F.col("least").alias("doc_id"), "key1", "key2")
-    return settle(found.join(named, ["doc_id", "key1", "key2"]).groupBy("node").agg(F.first("head").alias("shingles")))
+    return settle(found.join(named, ["doc_id", "key1", "key2"]).groupBy("node").agg(
+        F.first("head").alias("shingles"), F.first("odd").alias("odd")))
 
 
 def _near(common: Column, na: Column, nb: Column, distance: Column | float) -> Column:
@@ -151,7 +164,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _indexed(leaders: DataFrame, percent: int) -> DataFrame:
-    """``value, node, component, n, reach, pos``: the first hashes of each leader, where they can still link something.
+    """``value, node, component, n, reach, odd, pos``: the first hashes of each leader, where they can still link something.
 
     ``pos``: how many hashes of the set come before, in the order of all.
     """
@@ -159,13 +172,16 @@ def _indexed(leaders: DataFrame, percent: int) -> DataFrame:
     shared = held.groupBy("value").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("joins")).where("df > 1")
     entries = F.array_sort(F.collect_list(F.struct("df", "value", "joins")))  # of one text
     found = held.select("value", "node").join(shared, "value").groupBy("node").agg(entries.alias("e"))
-    about = leaders.select("node", "component", "n", "reach")
+    about = leaders.select("node", "component", "n", "reach", "odd")
     own = F.col("n") - F.size("e")
     first = F.greatest(F.lit(0), F.expr(f"n - (n * {percent - 2 * RADIUS} + 99) div 100 + 1") - own).cast("int")
     cut = found.join(about, "node").select(*about.columns, own.alias("own"), F.posexplode(F.slice("e", 1, first)).alias("at", "e"))
     return cut.where("e.joins").select(F.col("e.value").alias("value"), *about.columns, (F.col("own") + F.col("at")).alias("pos"))
 
 
+ENTRY = ("node", "component", "n", "pos", "reach", "odd")
+
+
 def _blocks(entries: DataFrame, percent: int) -> DataFrame:
     """Lists in blocks of about ``BLOCK`` entries of like size and position, with headers."""
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log((percent - 2 * RADIUS) / 100))
@@ -177,7 +193,7 @@ def _blocks(entries: DataFrame, percent: int) -> DataFrame:
         "cut", F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("cuts", F.lit(1).cast("long"))))
     rest = F.col("n") - F.col("pos")
     return cut.groupBy(*key, "cut").agg(
-        *[F.collect_list(c).alias(c) for c in ("node", "component", "n", "pos", "reach")],
+        *[F.collect_list(c).alias(c) for c in ENTRY],
         F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"),
         F.min(rest).alias("r0"), F.max(rest).alias("r1"), F.max("reach").alias("far"),
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("least"))
@@ -185,19 +201,24 @@ def _blocks(entries: DataFrame, percent: int) -> DataFrame:
 
 def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     """``a, b, distance``: pairs in different components that sizes and positions allow."""
-    columns = ["node", "component", "n", "pos", "reach"]
+    def side(batch: pa.RecordBatch, at: int, i: int) -> list[np.ndarray]:
+        *numbers, odd = [batch.column(at + j)[i].values for j in range(len(ENTRY))]
+        bits = np.frombuffer(b"".join(odd.to_pylist()), np.uint64).reshape(len(odd), -1)
+        return [*[v.to_numpy() for v in numbers], bits]
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {"a": [], "b": [], "distance": []}
             for i in range(batch.num_rows):
-                x, y = ([batch.column(k * len(columns) + j)[i].values.to_numpy() for j in range(len(columns))] for k in (0, 1))
-                (node, comp, n, pos, reach), (node2, comp2, n2, pos2, reach2) = ([v[:, None] for v in x], [v[None, :] for v in y])
+                x, y = side(batch, 0, i), side(batch, len(ENTRY), i)
+                (node, comp, n, pos, reach), (node2, comp2, n2, pos2, reach2) = ([v[:, None] for v in x[:5]], [v[None, :] for v in y[:5]])
                 distance = (100 - percent) / 100 + reach + reach2
-                differ = pos + pos2 + np.abs((n - pos) - (n2 - pos2))  # so many at least, if this is the first common hash
-                fit = (comp != comp2) & (differ * (2 - distance) <= (n + n2) * (distance + 1e-6))
+                most = (n + n2) * (distance + 1e-6) / (2 - distance)  # hashes that the sets may differ by
+                fit = (comp != comp2) & (pos + pos2 + np.abs((n - pos) - (n2 - pos2)) <= most)  # if this is the first common hash
                 fit &= np.minimum(n, n2) >= (1 - distance - 1e-6) * np.maximum(n, n2)
                 at = np.nonzero(fit)
+                near = np.bitwise_count(x[5][at[0]] ^ y[5][at[1]]).sum(axis=1) <= most[at]
+                at = at[0][near], at[1][near]
                 a, b = x[0][at[0]], y[0][at[1]]
                 out["a"].append(np.minimum(a, b))
                 out["b"].append(np.maximum(a, b))
@@ -218,7 +239,7 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     near = (F.col("x.p0") + F.col("y.p0") + apart("r0", "r1")) * (2 - distance) <= (F.col("x.n1") + F.col("y.n1")) * distance
     sizes = (F.col("x.n1") >= (1 - distance) * F.col("y.n0")) & (F.col("y.n1") >= (1 - distance) * F.col("x.n0"))
     open_ = x.join(y, (F.col("x.value") == F.col("y.value")) & ordered & several & near & sizes)
-    both = open_.select(*[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "xy" for c in columns])
+    both = open_.select(*[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "xy" for c in ENTRY])
     return both.mapInArrow(opened, "a long, b long, distance double").distinct()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,16 @@ def test_derived_answers_are_exact(spark):
     assert {r.y: r.common for r in made.collect()} == {k: len(set(sets[k]) & set(sets[5])) for k in (0, 1, 2)}
 
 
+def test_odd_bits_never_differ_by_more_than_the_sets():
+    draw = np.random.default_rng(3)
+    for share in (0.01, 0.1, 0.5):
+        a, b = draw.integers(-2**63, 2**63, 700), draw.integers(-2**63, 2**63, 700)
+        b = np.where(draw.random(700) < share, b, a)
+        bits = [np.frombuffer(set_join.odd_bits(np.unique(x)), np.uint64) for x in (a, b)]
+        differ = len(set(a.tolist()) ^ set(b.tolist()))
+        assert differ / 4 < np.bitwise_count(bits[0] ^ bits[1]).sum() <= differ
+
+
 def test_large_group_is_split(table, monkeypatch):
     monkeypatch.setattr(set_join, "BLOCK", 4)
     draw = random.Random(4)
@@ -127,13 +138,15 @@ def test_large_group_is_split(table, monkeypatch):
 
 
 def test_blocks_that_are_far_apart_are_not_opened(spark):
-    rows = [(7, i, i, 400, 10, 0.0) for i in range(50)] + [(7, 100 + i, 100 + i, 400, 39, 0.0) for i in range(50)]
-    entries = spark.createDataFrame(rows, "value long, node long, component long, n long, pos long, reach double")
+    odd = set_join.odd_bits(np.arange(400))
+    rows = [(7, i, i, 400, 10, 0.0, odd) for i in range(50)] + [(7, 100 + i, 100 + i, 400, 39, 0.0, odd) for i in range(50)]
+    rows += [(7, 200, 200, 400, 10, 0.0, set_join.odd_bits(np.arange(50, 450))), (7, 201, 201, 400, 10, 0.0, set_join.odd_bits(np.arange(10, 410)))]
+    entries = spark.createDataFrame(rows, "value long, node long, component long, n long, pos long, reach double, odd binary")
     blocks = set_join._blocks(entries, 90)
     assert blocks.count() == 2
     plan = set_join._block_pairs(blocks, 90)
-    # first ones may differ by 10 + 10 hashes of 42, the others would by 39 + 39, or by 10 + 39
-    assert {(r.a, r.b) for r in plan.collect()} == {(a, b) for b in range(50) for a in range(b)}
+    # first ones may differ by 10 + 10 hashes of 42, the others would by 39 + 39, or by 10 + 39; 200 differs by 100 from all, 201 by 20
+    assert {(r.a, r.b) for r in plan.collect()} == {(a, b) for b in [*range(50), 201] for a in range(min(b, 50))}
 
 
 def test_one_id_with_different_texts(table):
