@@ -1,14 +1,15 @@
 """Near-copies by bottom-k sketches of one hash function (operator 7).
 
 1. Every text becomes the set of its shingle hashes; its sketch is the k least of them. Texts with equal
-   sets form a class, named by its least id, and only classes go on.
+   sets form a class, which gets a number, and only classes go on.
 2. Inverted lists of the retained values. Two sets with a similarity of t share at least o retained values
    (o: all but a millionth of such pairs do; for small sets it is exact), so whatever the common order of the
    values is, two sketches of m values share one of their first m - o + 1. The order is by list length, rarest
    first: a passage in very many texts, or the common part of many copies, comes last and is seldom needed.
-3. In every list the member with the fewest values of its own is the hub. The estimate from the union
-   sketch filters the pairs of hubs and members, and the exact similarity of the full sets confirms them.
-   So a list makes as many pairs as it has members, however long it is.
+3. In every list the member with the fewest values of its own is the hub: long lists are cut into parts with
+   hubs of their own, and these have a hub. The estimate from the union sketch filters the pairs of hubs and
+   members, and the exact similarity of the full sets confirms them. So a list makes as many pairs as it has
+   members, however long it is.
 4. What the hubs have linked is one component. Lists that still hold several are searched exactly: the full
    sets of their members, shingles rarest first, meet in the first n - tn + 1 of them, if their positions
    allow the overlap that t asks for; the exact similarity confirms. No list is cut, no partner is capped.
@@ -18,7 +19,8 @@ Hashes of shingles have 64 bits, names of sets 128.
 
 Defined results: documents without words, and rows without an id, have no links; rows without an id have
 no component and are kept. Repeated rows are in one class and each is returned. Rows with one id and
-different texts are placed by their texts. Other columns are ignored. An empty table gives no rows.
+different texts are placed by their texts; ``keep_one`` keeps a row of that id for each of its sets that is the first of
+its group. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from reqsieve.llm.words import Words, lists, mix, signed, slices
 
 #: Retained values of a sketch.
 RETAINED = 32
+#: Parts of a list.
+PARTS = 64
 #: Words of a shingle, and the similarity in percent from which two sets are linked.
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Share of pairs at the least similarity that may have fewer values in common than is asked for.
@@ -67,11 +71,17 @@ def shingles(words: Words, width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.int64)
 
 
-SIGNATURE = "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>"
+SIGNATURE = "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>, tag1 long, tag2 long"
+
+
+def _tags(text_col: str) -> dict[str, Column]:
+    """Two words that stand for a text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return {"tag1": F.xxhash64(text), "tag2": F.xxhash64(F.lit(1), text)}
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, retained: int) -> DataFrame:
-    """One row per document: size and name of its set, and its sketch."""
+    """One row per document: size and name of its set, its sketch, and what stands for its text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,25 +95,31 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, retained
                 bounds = np.concatenate(([0], np.cumsum([len(k) for k in kept])))
                 yield pa.record_batch(
                     [batch.column(0).slice(part.first, len(part)), pa.array(sizes, pa.int64()), pa.array(name[:, 0].copy()),
-                     pa.array(name[:, 1].copy()), lists(np.concatenate(kept), bounds)],
-                    ["doc_id", "n_shingles", "key1", "key2", "sketch"])
+                     pa.array(name[:, 1].copy()), lists(np.concatenate(kept), bounds),
+                     *[batch.column(i).slice(part.first, len(part)) for i in (2, 3)]],
+                    ["doc_id", "n_shingles", "key1", "key2", "sketch", "tag1", "tag2"])
 
-    return only(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col).cast("string")).mapInArrow(rows, SIGNATURE)
+    texts = only(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"), **_tags(text_col))
+    return texts.mapInArrow(rows, SIGNATURE)
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """``node, shingles`` of the documents whose ids are wanted."""
+    """``node, shingles`` of the wanted classes (``node, least, key1, key2``), from a document of each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1)):
                 found = list(shingles(part.words(), width))
+                name = np.frombuffer(b"".join(xxhash.xxh128_digest(f.tobytes()) for f in found), "<i8").reshape(-1, 2)
                 bounds = np.concatenate(([0], np.cumsum([len(f) for f in found])))
-                yield pa.record_batch([batch.column(0).slice(part.first, len(part)), lists(np.concatenate(found), bounds)],
-                                      ["node", "shingles"])
+                yield pa.record_batch([batch.column(0).slice(part.first, len(part)), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()),
+                                       lists(np.concatenate(found), bounds)], ["least", "key1", "key2", "shingles"])
 
-    texts = only(docs, node=F.col(id_col).cast("long"), text=F.col(text_col).cast("string"))
-    return texts.join(wanted, "node", "left_semi").mapInArrow(rows, "node long, shingles array<long>")
+    texts = only(docs, least=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
+    found = texts.join(wanted.select("least").distinct(), "least", "left_semi").mapInArrow(
+        rows, "least long, key1 long, key2 long, shingles array<long>")
+    named = wanted.select("node", "least", "key1", "key2")
+    return found.join(named, ["least", "key1", "key2"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def least_overlap(k: int, percent: int, missed: float = MISSED) -> int:
@@ -147,9 +163,14 @@ def _rare_first(classes: DataFrame, retained: int, percent: int) -> DataFrame:
 
 
 def _hub_pairs(lists_: DataFrame, classes: DataFrame, retained: int, percent: int) -> DataFrame:
-    """Each list's hub with its members, where the union sketch says they may be similar enough."""
-    hubs = lists_.groupBy("value").agg(F.min(F.struct("own", "node", "n")).alias("hub"))
-    pairs = lists_.join(hubs, "value").where((F.col("node") != F.col("hub.node")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
+    """Members with the hubs of their parts of lists, and these with the lists' hubs, where the union sketch says they may be similar enough."""
+    hub = F.min(F.struct("own", "node", "n")).alias("hub")
+    held = lists_.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+    parts = held.groupBy("value", "part").agg(hub)
+    tops = parts.groupBy("value").agg(F.min("hub").alias("top"))
+    inner = held.join(parts, ["value", "part"]).select("hub", "node", "n")
+    outer = parts.join(tops, "value").select(F.col("top").alias("hub"), F.col("hub.node").alias("node"), F.col("hub.n").alias("n"))
+    pairs = inner.union(outer).where((F.col("node") != F.col("hub.node")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
     pairs = pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     sketches = classes.select("node", "sketch")
     union = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, retained)
@@ -179,18 +200,19 @@ def _exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return a.join(b, met).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS,
-                percent: int = PERCENT, retained: int = RETAINED) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, a row per row of ``docs``."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, retained: int) -> DataFrame:
+    """The signatures of all documents with their ``component_id``."""
     signed_docs = settle(signatures(docs, id_col, text_col, width, retained))
     named = signed_docs.where("doc_id is not null and n_shingles > 0")
     classes = settle(named.groupBy("key1", "key2").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+    ).withColumn("node", F.monotonically_increasing_id()))
 
     prefixes = settle(_rare_first(classes, retained, percent))
     several = prefixes.groupBy("value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("value")
     members = settle(prefixes.join(several, "value", "left_semi"))
-    sets = settle(full_sets(docs, id_col, text_col, width, members.select("node").distinct()))
+    wanted = classes.select("node", "least", "key1", "key2").join(members.select("node").distinct(), "node", "left_semi")
+    sets = settle(full_sets(docs, id_col, text_col, width, wanted))
 
     links = _confirmed(_hub_pairs(members, classes, retained, percent), sets, percent)
     linked = settle(components(links))
@@ -201,26 +223,39 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = _confirmed(_exact_pairs(rest, sets, percent), sets, percent)
 
     found = components(links.union(more)) if not more.isEmpty() else linked
-    of_class = classes.join(found, "node", "left").select(
-        "key1", "key2", F.coalesce("component", "node").alias("component_id"))
-    placed_docs = signed_docs.select("doc_id", "n_shingles", "key1", "key2").withColumn(
-        "linked", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    yes = placed_docs.where("linked").join(of_class, ["key1", "key2"])
-    no = placed_docs.where("not linked").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", "component_id"]
-    return yes.select(columns).union(no.select(columns)).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of which ``near_copies`` keeps one per group; of rows with one id the one with the least text."""
+    held = classes.join(found, "node", "left").select("key1", "key2", "least", "component")
+    ids = held.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = held.join(ids, "component", "left").select("key1", "key2", F.coalesce("component_id", "least").alias("component_id"))
+    there = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    rows = signed_docs.drop("sketch")
+    yes = rows.where(there).join(of_class, ["key1", "key2"]).select(*rows.columns, "component_id")
+    return yes.union(rows.where(~there).withColumn("component_id", F.col("doc_id")))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS,
+                percent: int = PERCENT, retained: int = RETAINED) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, a row per row of ``docs``."""
+    return _placed(docs, id_col, text_col, width, percent, retained).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS,
+             percent: int = PERCENT, retained: int = RETAINED) -> DataFrame:
+    """The documents of which ``near_copies`` keeps one per group, and all without an id.
+
+    Of rows with one id and one set, one stays: a text of which there are several sets under that id gives one for each.
+    """
     from pyspark.sql import Window
 
-    kept = near_copies(docs, id_col, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    first = F.row_number().over(Window.partitionBy("__key").orderBy("text"))
-    found = docs.withColumn("__key", F.col(id_col).cast("long"))
-    named = found.join(kept, F.col("__key") == F.col("__id"), "left_semi").withColumn("__nr", first).where("__nr = 1")
-    return named.drop("__key", "__nr").union(docs.where(F.col(id_col).isNull()))
+    kept = _placed(docs, id_col, text_col, width, percent, retained).where("doc_id = component_id")
+    kept = kept.groupBy("doc_id", "key1", "key2").agg(F.min(F.struct("tag1", "tag2")).alias("tag")).select(
+        F.col("doc_id").alias("__id"), F.col("tag.tag1").alias("__tag1"), F.col("tag.tag2").alias("__tag2")).distinct()
+    tags = _tags(text_col)
+    mark, hashable = ["__id", "__tag1", "__tag2"], [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    found = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__tag1": tags["tag1"], "__tag2": tags["tag2"]})
+    first = F.row_number().over(Window.partitionBy(*mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in hashable])))
+    named = found.join(kept, mark, "left_semi").withColumn("__nr", first).where("__nr = 1")
+    return named.drop(*mark, "__nr").union(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 #: Three-word shingles and 85 percent over the table ``documents``, all pairs that share a shingle compared.

@@ -102,6 +102,22 @@ def test_one_of_each_group_stays(spark, odd):
     assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11] and ids.count(None) == 2
 
 
+def test_one_id_with_different_texts(table):
+    """Two groups under one id: each keeps one of its texts."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "c d e"), (1, a), (1, a + " "), (5, b)]
+    df = table(rows, "doc_id long, text string")
+    assert [r[0::2] for r in found(near_copies.near_copies(df))] == [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 4), (5, 1)]
+    kept = sorted((r.doc_id, r.text.strip()) for r in near_copies.keep_one(df).collect())
+    assert kept == [(1, a), (1, b), (4, "c d e")]
+
+
+def test_hubs_of_parts(table, monkeypatch):
+    monkeypatch.setattr(near_copies, "PARTS", 3)
+    rows = groups(4)
+    assert found(near_copies.near_copies(table(rows, "doc_id long, text string"), width=3, percent=85)) == expected(rows)
+
+
 def test_least_overlap():
     assert near_copies.least_overlap(32, 100) == 32
     assert 10 < near_copies.least_overlap(32, 85) < 20
