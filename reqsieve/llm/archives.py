@@ -17,8 +17,9 @@ archive must stay below the 2 GB that a value can hold.
 Defined results: a null url becomes ``urn:unknown``, white space and controls in urls are escaped; a
 null payload is an empty one; a null number gives a record without number. Repeated rows are records
 of their own. Of records with equal payloads and equal greatest numbers, the last in the order of
-archives is the response. Bytes between records that no header line explains are skipped. An empty
-table gives archives without records. Other columns are ignored.
+archives is the response. Bytes between records that no header line explains are skipped, and so are WARC records
+without a type, an id or a length that the file holds; a revisit without digest or length has null there. Numbers
+are longs; others count as none. An empty table gives archives without records. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,7 +134,8 @@ class Record:
     @property
     def number(self) -> int | None:
         said = self.names.get(NUMBER.lower(), "")
-        return int(said) if re.fullmatch(r"-?\d{1,18}", said) else None
+        number = int(said) if re.fullmatch(r"-?\d{1,19}", said) else None
+        return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
 
 
 def header_fields(head: bytes) -> dict[str, str]:
@@ -297,18 +299,35 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_byte
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of a WARC file: fields by lower-case names, and the block."""
+    """The records of a WARC file: fields by lower-case names, and the block.
+
+    What has no length that the file holds, no type or no id is skipped up to the next record.
+    """
     at = data.find(b"WARC/1.")
     while 0 <= at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
         fields = header_fields(data[at:end])
-        length = int(fields["content-length"])
+        said = fields.get("content-length", "")
+        length = int(said) if re.fullmatch(r"[0-9]{1,18}", said) else -1
+        if not 0 <= length <= len(data) - end - 4 or not fields.get("warc-type") or not fields.get("warc-record-id"):
+            at = data.find(b"WARC/1.", at + 1)
+            continue
         yield fields, data[end + 4: end + 4 + length]
         at = data.find(b"WARC/1.", end + 4 + length)
 
 
+def _said_digest(fields: dict[str, str]) -> str | None:
+    said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    return said or None
+
+
+def _said_length(fields: dict[str, str]) -> int | None:
+    said = fields.get(LENGTH.lower(), "")
+    return int(said) if re.fullmatch(r"[0-9]{1,18}", said) else None
+
+
 WARC_ROW = ("record_id string, record_type string, uri string, date string, number long, payload_digest string, "
             "payload_bytes long, refers_to_id string")
 
@@ -328,9 +347,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     number = Record(0, {}, head, b"", header_fields(head)).number
                     made.append({
                         "record_id": f["warc-record-id"].strip("<>"), "record_type": kind, "uri": f.get("warc-target-uri"),
-                        "date": f["warc-date"], "number": number,
-                        "payload_digest": digest(payload) if kept else f["warc-payload-digest"].removeprefix("sha1:"),
-                        "payload_bytes": len(payload) if kept else int(f[LENGTH.lower()]),
+                        "date": f.get("warc-date"), "number": number,
+                        "payload_digest": digest(payload) if kept else _said_digest(f),
+                        "payload_bytes": len(payload) if kept else _said_length(f),
                         "refers_to_id": f.get("warc-refers-to", "").strip("<>") or None,
                     })
                 if made:

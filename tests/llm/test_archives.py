@@ -70,6 +70,32 @@ def test_small_payloads_stay(spark, table, tmp_path):
         (1, "response"), (2, "response"), (3, "revisit"), (4, "response")}
 
 
+def test_numbers_of_any_size(spark, table, tmp_path):
+    ids = [-(1 << 63), (1 << 63) - 1, 1234567890123456789, -1234567890123456789, 0, 10**18]
+    df = table([(i, "u", "same") for i in ids], "page_id long, url string, html string").repartition(3)
+    found, *_ = round_trip(spark, df, tmp_path)
+    assert tuples(found) == expected([(i, "same") for i in ids])
+    beyond = archives.Record(0, {}, b"", b"", {archives.NUMBER.lower(): str(1 << 63)})
+    assert beyond.number is None
+
+
+def test_damaged_warc_records_are_skipped(spark, tmp_path):
+    def record(kind, block=b"HTTP/1.1 200 OK\r\nX-Record-Number: 5\r\n\r\nbody", **change):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1>", "WARC-Date": "2000-01-01T00:00:00Z", "Content-Length": str(len(block))} | change
+        return "\r\n".join(["WARC/1.0", *[f"{k}: {v}" for k, v in fields.items() if v is not None], "", ""]).encode() + block + b"\r\n\r\n"
+
+    bad = [{"Content-Length": None}, {"Content-Length": "x"}, {"Content-Length": "-1"}, {"Content-Length": "99999999"}, {"WARC-Type": None},
+           {"WARC-Record-ID": None}]
+    data = b"".join([record("response", **{k.replace("_", "-"): v for k, v in c.items()}) for c in bad])
+    data += record("revisit", **{"WARC-Record-ID": "<urn:uuid:2>"}) + record("response", **{"WARC-Date": None}) + b"WARC/1.0\r\nWARC-Type: x"
+    (tmp_path / "warc").mkdir()
+    (tmp_path / "warc" / "part-00000-x.warc").write_bytes(data)
+    rows = archives.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert [(r.record_type, r.record_id, r.number, r.payload_bytes, r.date) for r in rows] == [
+        ("revisit", "urn:uuid:2", 5, None, "2000-01-01T00:00:00Z"), ("response", "urn:uuid:1", 5, 4, None)]
+    assert archives.page_records(spark, str(tmp_path / "warc")).count() == 2
+
+
 def test_empty_table(spark, table, tmp_path):
     df = table([], "page_id long, url string, html string")
     found, *_ = round_trip(spark, df, tmp_path)
