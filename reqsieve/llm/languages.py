@@ -11,9 +11,13 @@ The posterior of a language is the product of four things:
 
 The last three come from one grouped aggregation of the languages that the texts alone suggest (as shares, so that
 a text of unclear language counts for each a little), and a row's own share is taken out before it meets
-them. Languages are those that at least ``LEAST_DOCS`` rows declare, or the share ``LEAST_SHARE`` of the declaring rows
-where that is fewer, so a rare language stays one however much there is of others. The text model has one row of
-``BUCKETS`` numbers for each (64 KB), and a row of the table a number for each, so both grow with the languages declared.
+them. A declared code is a language if at least ``LEAST_DOCS`` rows declare it and their letters differ from every mixture of
+the languages that more rows declare: the divergence from the nearest mixture must exceed ``MARGIN`` and what so few
+letters on both sides show by chance. So codes that are declared at random, on texts of one language or of many, are evidence like
+any declaration, but no languages, and a rare language stays one however much there is of others. Codes of at least the
+share ``LEAST_SHARE`` (200 at most) are tested one after the other, the rarer ones in tasks and only against the languages
+among these. The text model has one row of ``BUCKETS`` numbers (64 KB) for each language, and a row of the table a number
+for each; letters are counted in a table, a code and bucket a row, and tasks hold the counts of ``HELD`` codes.
 
 Beside them stands an unknown language, for texts that fit no model better than chance: all buckets alike, with the prior
 ``UNKNOWN``, and for declarations and suffixes how often they occur at all. A text of a language that too few rows
@@ -41,7 +45,13 @@ from reqsieve.llm.words import Slice, slices
 
 BUCKETS = 1 << 14
 LEAST_SHARE = 0.005
-LEAST_DOCS = 20
+LEAST_DOCS = 5
+#: Divergence (in nats) from the nearest mixture of others that makes a language; how much more than by chance it has to be.
+MARGIN, DISPERSION = 0.05, 8.0
+#: Steps to the nearest mixture.
+ROUNDS = 50
+#: Codes whose letters a task counts at a time.
+HELD = 64
 #: Prior of the unknown language.
 UNKNOWN = 1e-3
 LEAST_CONFIDENCE = 0.5
@@ -94,29 +104,90 @@ def bucket(code: np.ndarray) -> np.ndarray:
     return (code.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 14)
 
 
-def text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """log likelihoods by language and bucket, from all rows that declare one of the languages."""
-    number = {name: i for i, name in enumerate(languages)}
+def letter_counts(rows: DataFrame, codes: list[str]) -> DataFrame:
+    """``code, bucket, n``: the letters of all rows that declare one of the codes, numbered as listed."""
+    number = {name: i for i, name in enumerate(codes)}
+
+    def given(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, n in sums.items():
+            where = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(np.full(len(where), i, np.int32)), pa.array(where.astype(np.int32)), pa.array(n[where])], ["code", "bucket", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {}
         for batch in batches:
-            language = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()])
+            declared = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()])
             for part in slices(batch.column(0)):
                 found, begins = neighbours(part)
-                of = np.repeat(language[part.first: part.first + len(part)], np.diff(begins))
-                for i in np.unique(of[of >= 0]):
-                    sums[i] = sums.get(i, 0) + np.bincount(found[of == i], minlength=BUCKETS)
-        for i, n in sums.items():
-            where = np.flatnonzero(n)
-            yield pa.record_batch([pa.array(np.full(len(where), i, np.int32)), pa.array(where.astype(np.int32)), pa.array(n[where])], ["language", "bucket", "n"])
-
-    declared = rows.where(F.col("declared").isin(languages)).select("text", "declared")
-    found = declared.mapInArrow(count, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
-    sums = np.full((len(languages), BUCKETS), TEXT_ADDED)
-    for batch in found.toArrow().to_batches():  # at most a number per language and bucket
-        sums[batch.column(0).to_numpy(), batch.column(1).to_numpy()] += batch.column(2).to_numpy()
-    return np.log(sums / sums.sum(axis=1, keepdims=True)).astype(np.float32)
+                of = np.repeat(declared[part.first: part.first + len(part)], np.diff(begins))
+                order = np.argsort(of, kind="stable")
+                of, found = of[order], found[order]
+                cuts = np.flatnonzero(np.diff(of, prepend=-1))
+                for lo, hi in zip(cuts, np.append(cuts[1:], len(of))):
+                    i = int(of[lo])
+                    sums[i] = sums.get(i, 0) + np.bincount(found[lo:hi], minlength=BUCKETS)
+                    if len(sums) > HELD:
+                        yield from given(sums)
+                        sums = {}
+        yield from given(sums)
+
+    declared = rows.where("declared is not null").select("text", "declared")
+    if len(codes) <= HELD:
+        declared = declared.where(F.col("declared").isin(codes))
+    found = declared.mapInArrow(count, "code int, bucket int, n long").where("code >= 0")
+    return settle(found.groupBy("code", "bucket").agg(F.sum("n").alias("n")))
+
+
+def differs(counts: np.ndarray, known: np.ndarray, letters: np.ndarray) -> bool:
+    """Do letters (counts by bucket) differ from every mixture of the known languages (chances by bucket, and from how many letters)?"""
+    at = np.flatnonzero(counts)
+    if not len(at) or not len(known):
+        return len(at) > 0
+    total, chances = counts.sum(), known[:, at].astype(float)
+    share, weights = counts[at] / total, np.full(len(known), 1 / len(known))
+    for _ in range(ROUNDS):
+        weights = weights * (chances @ (share / (weights @ chances)))
+    divergence = (share * np.log(share / (weights @ chances))).sum()
+    by_chance = (len(at) - 1) / 2 * (1 / total + (weights / letters).sum())
+    return bool(divergence > MARGIN + DISPERSION * by_chance)
+
+
+def _chances(counts: DataFrame, wanted: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the wanted codes by bucket, and the smoothed chances that they give."""
+    place = np.full(max(wanted) + 1, -1)
+    place[wanted] = np.arange(len(wanted))
+    sums = np.zeros((len(wanted), BUCKETS))
+    for batch in counts.where(F.col("code").isin(wanted)).toArrow().to_batches():  # at most a number per code and bucket
+        sums[place[batch.column(0).to_numpy()], batch.column(1).to_numpy()] += batch.column(2).to_numpy()
+    return sums, (sums + TEXT_ADDED) / (sums.sum(axis=1, keepdims=True) + TEXT_ADDED * BUCKETS)
+
+
+def text_model(rows: DataFrame, said: dict[str, int]) -> tuple[list[str], np.ndarray]:
+    """The languages among the declared codes (with their rows), and log likelihoods by language and bucket."""
+    codes = sorted((c for c, n in said.items() if n >= LEAST_DOCS), key=lambda c: (-said[c], c))
+    if not codes:
+        return [], np.zeros((0, BUCKETS), np.float32)
+    counts, total = letter_counts(rows, codes), sum(said.values())
+    large = [i for i, c in enumerate(codes) if said[c] >= LEAST_SHARE * total] or [0]
+    sums, chances = _chances(counts, large)
+    found: list[int] = []
+    for i in large:
+        if differs(sums[i], chances[found], sums[found].sum(axis=1)):
+            found.append(i)
+    if len(large) < len(codes):
+        core = rows.sparkSession.sparkContext.broadcast((chances[found].astype(np.float32), sums[found].sum(axis=1)))
+
+        def tested(table: pa.Table) -> pa.Table:
+            own = np.zeros(BUCKETS)
+            own[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+            code = table.column("code").slice(0, 1).cast(pa.int32())
+            return pa.table({"code": code if differs(own, *core.value) else code.slice(0, 0)})
+
+        rare = counts.where(F.col("code") >= len(large)).groupBy("code").applyInArrow(tested, "code int")
+        found += [r.code for r in rare.collect()]  # codes of two or three letters
+    names = sorted(codes[i] for i in found)
+    _, chances = _chances(counts, [codes.index(c) for c in names]) if names else (None, np.zeros((0, BUCKETS)))
+    return names, np.log(chances).astype(np.float32)
 
 
 def _shares(logs: np.ndarray) -> np.ndarray:
@@ -142,18 +213,19 @@ def identify(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         declared=declared_language(F.col(declared_col).cast("string")) if declared_col else nothing,
         host=host_of(F.col(address_col).cast("string")) if address_col else nothing, **{f"kept_{c}": c for c in keep})
     id_type = dict(rows.dtypes)["doc_id"]
-    said = rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n")).collect()  # codes of two or three letters
-    total = sum(r.n for r in said)
-    languages = sorted(r.declared for r in said if r.n >= min(LEAST_DOCS, LEAST_SHARE * total))
+    declaring = rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
+    said = {r.declared: r.n for r in declaring.collect()}  # codes of two or three letters
+    total = sum(said.values())
+    languages, likelihoods = text_model(rows, said)
     kept = [F.col(f"kept_{c}").alias(c) for c in keep]
     if not languages:
         return rows.select(F.col("doc_id").alias(id_col), "declared", nothing.alias("language"), F.lit(0.0).alias("confidence"),
                            F.lit(0).cast("long").alias("n_letters"), F.lit(False).alias("kept"), *kept)
     width, number = len(languages), {name: i for i, name in enumerate(languages)}
-    declares = np.array([next(r.n for r in said if r.declared == x) for x in languages], float)
+    declares = np.array([said[x] for x in languages], float)
     first_prior = np.log(np.append(declares / declares.sum(), UNKNOWN))
-    frequencies = {r.declared: r.n / total for r in said}
-    model = spark.sparkContext.broadcast(text_model(rows, languages))
+    frequencies = {code: n / total for code, n in said.items()}
+    model = spark.sparkContext.broadcast(likelihoods)
     extra = [c for c in rows.columns if c.startswith("kept_")]
     extra_types = "".join(f", {c} {dict(rows.dtypes)[c]}" for c in extra)
 
