@@ -6,10 +6,9 @@
    (o: all but a millionth of such pairs do; for small sets it is exact), so whatever the common order of the
    values is, two sketches of m values share one of their first m - o + 1. The order is by list length, rarest
    first: a passage in very many texts, or the common part of many copies, comes last and is seldom needed.
-3. In every list the member with the fewest values of its own is the hub: long lists are cut into parts with
-   hubs of their own, and these have a hub. The estimate from the union sketch filters the pairs of hubs and
-   members, and the exact similarity of the full sets confirms them. So a list makes as many pairs as it has
-   members, however long it is.
+3. In every list the member with the fewest values of its own is the hub, which is sent to the parts that a
+   list is cut into. The estimate from the union sketch filters the pairs of hubs and members, and the exact
+   similarity of the full sets confirms them. So a list makes as many pairs as it has members, however long it is.
 4. What the hubs have linked is one component. Lists that still hold several are searched exactly: the full
    sets of their members, shingles rarest first, meet in the first n - tn + 1 of them, if their positions
    allow the overlap that t asks for; the exact similarity confirms. No list is cut, no partner is capped.
@@ -163,14 +162,15 @@ def _rare_first(classes: DataFrame, retained: int, percent: int) -> DataFrame:
 
 
 def _hub_pairs(lists_: DataFrame, classes: DataFrame, retained: int, percent: int) -> DataFrame:
-    """Members with the hubs of their parts of lists, and these with the lists' hubs, where the union sketch says they may be similar enough."""
+    """Each list's hub with its members, where the union sketch says they may be similar enough.
+
+    The hub goes to every part of its list, so no task meets a whole one.
+    """
     hub = F.min(F.struct("own", "node", "n")).alias("hub")
     held = lists_.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
     parts = held.groupBy("value", "part").agg(hub)
-    tops = parts.groupBy("value").agg(F.min("hub").alias("top"))
-    inner = held.join(parts, ["value", "part"]).select("hub", "node", "n")
-    outer = parts.join(tops, "value").select(F.col("top").alias("hub"), F.col("hub.node").alias("node"), F.col("hub.n").alias("n"))
-    pairs = inner.union(outer).where((F.col("node") != F.col("hub.node")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
+    hubs = parts.select("value", "part").join(parts.groupBy("value").agg(F.min("hub").alias("hub")), "value")
+    pairs = held.join(hubs, ["value", "part"]).where((F.col("node") != F.col("hub.node")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
     pairs = pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     sketches = classes.select("node", "sketch")
     union = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, retained)
