@@ -6,12 +6,13 @@
    (o: all but a millionth of such pairs do; for small sets it is exact), so whatever the common order of the
    values is, two sketches of m values share one of their first m - o + 1. The order is by list length, rarest
    first: a passage in very many texts, or the common part of many copies, comes last and is seldom needed.
-3. In every list the member with the fewest values of its own is the hub, which is sent to the parts that a
+3. In every list the member with the fewest values of its own, and the most shared ones, is the hub, which is sent to the parts that a
    list is cut into. The estimate from the union sketch filters the pairs of hubs and members, and the exact
    similarity of the full sets confirms them. So a list makes as many pairs as it has members, however long it is.
 4. What the hubs have linked is one component. Lists that still hold several are searched exactly: the full
-   sets of their members, shingles rarest first, meet in the first n - tn + 1 of them, if their positions
-   allow the overlap that t asks for; the exact similarity confirms. No list is cut, no partner is capped.
+   sets of their members, shingles rarest first, meet in the first n - tn + 1 of them, if their positions, and the
+   bits that say where a set has an odd number of shingles, allow the overlap that t asks for; the exact similarity
+   confirms. No list is cut, no partner is capped.
 5. Components of all links; a document's component is the least id it reaches.
 
 Hashes of shingles have 64 bits, names of sets 128.
@@ -26,6 +27,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,8 @@ from reqsieve.llm.words import Words, lists, mix, signed, slices
 
 #: Retained values of a sketch.
 RETAINED = 32
-#: Parts of a list.
-PARTS = 64
+#: Parts of a list; parts of all hashes, a power of two.
+PARTS, ODD_BITS = 64, 512
 #: Words of a shingle, and the similarity in percent from which two sets are linked.
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Share of pairs at the least similarity that may have fewer values in common than is asked for.
@@ -70,6 +73,11 @@ def shingles(words: Words, width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.int64)
 
 
+def odd_bits(hashes: np.ndarray) -> bytes:
+    """Of each of ``ODD_BITS`` parts of all hashes, does the set have an odd number? Sets differ by a hash at least where this does."""
+    return np.packbits(np.bincount(hashes & (ODD_BITS - 1), minlength=ODD_BITS) & 1).tobytes()
+
+
 SIGNATURE = "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>, tag1 long, tag2 long"
 
 
@@ -103,22 +111,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, retained
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """``node, shingles`` of the wanted classes (``node, least, key1, key2``), from a document of each."""
+    """``node, shingles, odd`` of the wanted classes (``node``, and ``least, tag1, tag2`` of a document of each)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1)):
                 found = list(shingles(part.words(), width))
-                name = np.frombuffer(b"".join(xxhash.xxh128_digest(f.tobytes()) for f in found), "<i8").reshape(-1, 2)
                 bounds = np.concatenate(([0], np.cumsum([len(f) for f in found])))
-                yield pa.record_batch([batch.column(0).slice(part.first, len(part)), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()),
-                                       lists(np.concatenate(found), bounds)], ["least", "key1", "key2", "shingles"])
+                odd = np.frombuffer(b"".join(map(odd_bits, found)), np.int64)
+                yield pa.record_batch([batch.column(0).slice(part.first, len(part)), lists(np.concatenate(found), bounds),
+                                       lists(odd, np.arange(len(found) + 1) * (ODD_BITS // 64))], ["node", "shingles", "odd"])
 
-    texts = only(docs, least=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
-    found = texts.join(wanted.select("least").distinct(), "least", "left_semi").mapInArrow(
-        rows, "least long, key1 long, key2 long, shingles array<long>")
-    named = wanted.select("node", "least", "key1", "key2")
-    return found.join(named, ["least", "key1", "key2"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    place = ["least", "tag1", "tag2"]
+    texts = only(docs, least=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"), **_tags(text_col))
+    found = texts.join(wanted.select("node", *place), place).dropDuplicates(place)  # repeated rows
+    return found.select("node", "text").mapInArrow(rows, "node long, shingles array<long>, odd array<long>")
 
 
 def least_overlap(k: int, percent: int, missed: float = MISSED) -> int:
@@ -150,15 +157,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rare_first(classes: DataFrame, retained: int, percent: int) -> DataFrame:
-    """``value, node, n, own``: the first retained values of each class that others have too; own: values no other has."""
+    """``value, node, n, rank``: the first retained values of each class that others have too.
+
+    rank: the values that no other class has, then how many others the rest is shared with; the least one is nearest to all.
+    """
     held = classes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     shared = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     least = F.least(_at_least(F.col("n"), percent), F.lit(least_overlap(retained, percent)))
     values = F.array_sort(F.collect_list(F.struct("df", "value")))  # at most as many as a sketch retains
     found = held.join(shared, "value").groupBy("node", "n", "m").agg(values.alias("values"))
     return found.withColumn("first", (F.size("values") - least + 1).cast("int")).where("first > 0").select(
-        F.explode(F.slice("values", 1, F.col("first"))).alias("v"), "node", "n", (F.col("m") - F.size("values")).alias("own")
-    ).select("v.value", "node", "n", "own")
+        F.explode(F.slice("values", 1, F.col("first"))).alias("v"), "node", "n",
+        F.struct((F.col("m") - F.size("values")).alias("own"), F.aggregate("values", F.lit(0).cast("long"), lambda s, v: s - v["df"]).alias("less")).alias("rank")
+    ).select("v.value", "node", "n", "rank")
 
 
 def _hub_pairs(lists_: DataFrame, classes: DataFrame, retained: int, percent: int) -> DataFrame:
@@ -166,7 +177,7 @@ def _hub_pairs(lists_: DataFrame, classes: DataFrame, retained: int, percent: in
 
     The hub goes to every part of its list, so no task meets a whole one.
     """
-    hub = F.min(F.struct("own", "node", "n")).alias("hub")
+    hub = F.min(F.struct("rank", "node", "n")).alias("hub")
     held = lists_.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
     parts = held.groupBy("value", "part").agg(hub)
     hubs = parts.select("value", "part").join(parts.groupBy("value").agg(F.min("hub").alias("hub")), "value")
@@ -191,11 +202,14 @@ def _exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     first = F.greatest(F.lit(0), F.col("n") - _at_least(F.col("n"), percent) + 1 - own).cast("int")
     keys = found.select("node", "component", "n", own.alias("own"), F.posexplode(F.slice("values", 1, first))).where("col.joins").select(
         F.col("col.s").alias("s"), "node", "component", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("rest"))
+    keys = keys.join(sets.select("node", "odd"), "node")
     a, b = keys.alias("a"), keys.alias("b")
     asked = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent) - 1e-6)
+    differ = reduce(add, [F.bit_count(F.col("a.odd")[i].bitwiseXOR(F.col("b.odd")[i])) for i in range(ODD_BITS // 64)])
     met = (
         (F.col("a.s") == F.col("b.s")) & (F.col("a.component") < F.col("b.component"))
         & _sizes_fit(F.col("a.n"), F.col("b.n"), percent) & (F.least("a.rest", "b.rest") >= asked)
+        & (differ <= F.col("a.n") + F.col("b.n") - 2 * asked)
     )
     return a.join(b, met).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
@@ -205,13 +219,13 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     signed_docs = settle(signatures(docs, id_col, text_col, width, retained))
     named = signed_docs.where("doc_id is not null and n_shingles > 0")
     classes = settle(named.groupBy("key1", "key2").agg(
-        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
-    ).withColumn("node", F.monotonically_increasing_id()))
+        F.min(F.struct("doc_id", "tag1", "tag2")).alias("of"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+    ).select("key1", "key2", F.col("of.doc_id").alias("least"), "of.tag1", "of.tag2", "n", "sketch", F.monotonically_increasing_id().alias("node")))
 
     prefixes = settle(_rare_first(classes, retained, percent))
     several = prefixes.groupBy("value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("value")
     members = settle(prefixes.join(several, "value", "left_semi"))
-    wanted = classes.select("node", "least", "key1", "key2").join(members.select("node").distinct(), "node", "left_semi")
+    wanted = classes.select("node", "least", "tag1", "tag2").join(members.select("node").distinct(), "node", "left_semi")
     sets = settle(full_sets(docs, id_col, text_col, width, wanted))
 
     links = _confirmed(_hub_pairs(members, classes, retained, percent), sets, percent)

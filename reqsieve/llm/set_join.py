@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqsieve.llm.components import components
-from reqsieve.llm.near_copies import least_overlap, shingles
+from reqsieve.llm.near_copies import least_overlap, odd_bits, shingles
 from reqsieve.llm.stored import only, settle
 from reqsieve.llm.words import lists, slices
 
@@ -50,8 +50,6 @@ SHINGLE_WORDS, PERCENT = 5, 80
 RADIUS = 1
 #: Least hashes by which the similarity with a hub is estimated, and parts of a list.
 SKETCH, PARTS = 32, 64
-#: Parts of all hashes, a power of two.
-ODD_BITS = 512
 #: Classes of a block, about.
 BLOCK = 256
 
@@ -70,11 +68,6 @@ def _head(n: int, percent: int) -> int:
 SIGNATURE = "doc_id long, n_shingles long, key1 long, key2 long, head array<long>, odd binary"
 
 
-def odd_bits(hashes: np.ndarray) -> bytes:
-    """Of each of ``ODD_BITS`` parts of all hashes, does the set have an odd number? Sets differ by a hash at least where this does."""
-    return np.packbits(np.bincount(hashes & (ODD_BITS - 1), minlength=ODD_BITS) & 1).tobytes()
-
-
 def _named(batches: Iterator[pa.RecordBatch], width: int, kept) -> Iterator[pa.RecordBatch]:
     """Id, size and name of each text's set, and of its ascending hashes as many as ``kept`` says.
 
