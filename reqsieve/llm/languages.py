@@ -50,6 +50,8 @@ LEAST_DOCS = 5
 MARGIN, DISPERSION = 0.05, 8.0
 #: Steps to the nearest mixture.
 ROUNDS = 50
+#: Text bytes that are turned into arrays at a time.
+SLICE = 400_000
 #: Codes whose letters a task counts at a time.
 HELD = 64
 #: Prior of the unknown language.
@@ -117,7 +119,7 @@ def letter_counts(rows: DataFrame, codes: list[str]) -> DataFrame:
         sums = {}
         for batch in batches:
             declared = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()])
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(0), SLICE):
                 found, begins = neighbours(part)
                 of = np.repeat(declared[part.first: part.first + len(part)], np.diff(begins))
                 order = np.argsort(of, kind="stable")
@@ -232,7 +234,7 @@ def identify(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def text_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE):
                 found, begins = neighbours(part)
                 logs = np.empty((len(part), width + 1))
                 for i in range(width):

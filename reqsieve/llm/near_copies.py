@@ -49,6 +49,9 @@ SHINGLE_WORDS, PERCENT = 5, 80
 #: Share of pairs at the least similarity that may have fewer values in common than is asked for.
 MISSED = 1e-6
 
+#: Text bytes that are turned into arrays at a time.
+SLICE = 400_000
+
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -92,7 +95,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, retained
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE):
                 sizes, names, kept = [], [], []
                 for found in shingles(part.words(), width):
                     sizes.append(len(found))
@@ -115,7 +118,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: D
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE):
                 found = list(shingles(part.words(), width))
                 bounds = np.concatenate(([0], np.cumsum([len(f) for f in found])))
                 odd = np.frombuffer(b"".join(map(odd_bits, found)), np.int64)
