@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reqsieve.functions.headers import header
 from reqsieve.functions.once import once
 from reqsieve.functions.urls import canonical_url, url_host
 from reqsieve.schemas import REQUEST_COLUMNS
-from reqsieve.session import written
 from reqsieve.sources.messages import (
     header_lines, header_values_of, headers_of, headers_ok, message_body, message_head, message_parts, request_line,
 )
@@ -31,23 +36,44 @@ def record_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
-def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """``req_seq`` of lines read with ``file, start`` (of their split) and ``at``: their order.
+def _plain_path(path: str) -> str:
+    """One spelling of a path: Spark writes it with one slash or with three."""
+    return re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", path)
 
-    Files by name, then lines by number, whatever the splits are. Lines are counted per split
-    first; the counts are one row per split and written down, so that Spark knows them to be
-    small and leaves the lines where they were read.
-    """
-    splits = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    earlier = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = written(splits.select("file", "start", (F.coalesce(earlier, F.lit(0)) - F.col("first")).alias("shift")))
-    return lines.join(shifts, ["file", "start"]).withColumn("req_seq", F.col("at") + F.col("shift")).drop("start", "at", "shift")
 
+def with_line_order(read: DataFrame, *columns: Column) -> DataFrame:
+    """``file``, the columns, and ``req_seq``: the order of lines by their files' names and their places.
 
-def places() -> list[Column]:
-    """Where a line was read, for ``with_line_numbers``."""
-    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("at")]
+    A line's place is the start of its split and its number inside it. A split holds at most as many lines as bytes, so
+    places rise within a file whatever the splits are, and nothing is counted beforehand: one reading, no shuffle, no
+    join, and no line is lost if the splits are cut differently when the query runs. The numbers have gaps, and only
+    their order is the same for all splits. The names of the files go to the tasks; files are ranked in the high bits.
+    """
+    ranks = {_plain_path(name): rank for rank, name in enumerate(sorted(read.inputFiles()))}
+    bits = min(43, 63 - len(ranks).bit_length())  # files of up to 8 TB, less where there are more than a million
+    placed = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), *columns)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, 0  # the split of the line before, and its lines so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, starts = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            codes, names = files.indices.to_numpy(), files.dictionary.to_pylist()
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = (starts[1:] != starts[:-1]) | (codes[1:] != codes[:-1])
+            new[0] = last != (names[codes[0]], starts[0])
+            at = np.arange(batch.num_rows)
+            begins = np.maximum.accumulate(np.where(new, at, -1))
+            inside = np.where(begins < 0, before + at, at - begins)
+            last, before = (names[codes[-1]], starts[-1]), int(inside[-1]) + 1
+            base = np.array([ranks[_plain_path(n)] for n in names], np.int64) << bits
+            # the first split may have a line more than bytes: the one that begins at its end
+            order = base[codes] + starts + inside + (starts > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(order)], [batch.schema.names[0], *batch.schema.names[2:], "req_seq"])
+
+    schema = StructType([f for f in placed.schema.fields if f.name != "start"]).add("req_seq", "long")
+    return placed.mapInArrow(ordered, schema)
 
 
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
@@ -59,8 +85,11 @@ def read_capture(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("lineSep", f"\n{SEPARATOR}").text(resolve_uri(path))
     value = F.col("value")
     # Separators at the edges of a file are not between records; what is left of a line end goes.
-    inner = F.regexp_replace(value, rf"^(?:\r?\n)?(?:{SEPARATOR}\r?\n)*", "")
-    inner = F.regexp_replace(inner, rf"(?:\r?\n{SEPARATOR})?\r?\z", "")
+    edged = value.rlike(rf"\A(?:\r?\n)?{SEPARATOR}|\A\r?\n")
+    inner = F.when(edged, F.regexp_replace(value, rf"^(?:\r?\n)?(?:{SEPARATOR}\r?\n)*", "")).otherwise(value)
+    inner = F.when(
+        F.endswith(inner, F.lit("\r")) | F.endswith(inner, F.lit(SEPARATOR)), F.regexp_replace(inner, rf"(?:\r?\n{SEPARATOR})?\r?\z", "")
+    ).otherwise(inner)
     pieces = F.when(F.contains(value, F.lit("\n1 ")), F.split(inner, _UNSEPARATED)).otherwise(F.array(inner))
     records = text.select(F.col("_metadata.file_path").alias("file"), F.explode(pieces).alias("value"))
     time = F.regexp_extract("value", _ID_LINE, 1).try_cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqsieve.functions.headers import header
-from reqsieve.sources.capture import places, record_id, with_line_numbers
+from reqsieve.sources.capture import record_id, with_line_order
 from reqsieve.sources.messages import header_lines, headers_of, message_body, message_head, message_parts, request_line
 from reqsieve.sources.requests import with_url_parts
 from reqsieve.sources.uris import resolve_uri
@@ -24,11 +24,11 @@ def scan_attack_corpus(spark: SparkSession, path: str, host: str = "localhost")
     """
     records = spark.read.option("lineSep", f"\n{_TITLE}").text(resolve_uri(path))
     blocks = (
-        with_line_numbers(records.select(
-            *places(),
+        with_line_order(
+            records,
             F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("category"),
             F.regexp_replace("value", f"^{_TITLE}", "").alias("value"),
-        ))
+        )
         .withColumn("title", F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1)))
         .withColumn(
             "parts",

@@ -10,7 +10,7 @@ from reqsieve.functions.once import once
 from reqsieve.functions.text import as_text
 from reqsieve.functions.urls import canonical_url, url_host
 from reqsieve.schemas import REQUEST_COLUMNS
-from reqsieve.sources.capture import places, record_id, with_line_numbers
+from reqsieve.sources.capture import record_id, with_line_order
 from reqsieve.sources.requests import request_problem, with_url_parts
 from reqsieve.sources.uris import resolve_uri
 
@@ -54,7 +54,7 @@ def _decode(strict: bool) -> tuple[Column, dict[str, Column]]:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row per line; ``req_seq`` follows the names of the files and the order of their lines."""
-    return with_line_numbers(spark.read.text(resolve_uri(path)).select(*places(), "value"))
+    return with_line_order(spark.read.text(resolve_uri(path)), F.col("value"))
 
 
 def parse_ndjson(lines: DataFrame, strict: bool = True) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reqsieve.functions.once import once
 from reqsieve.functions.text import as_text
 from reqsieve.functions.headers import empty_headers
 from reqsieve.functions.urls import url_host
 from reqsieve.schemas import REPORT, RESULT, TRIGGERED
+from reqsieve.sources.capture import with_line_order
 from reqsieve.sources.requests import with_url_parts
 from reqsieve.sources.uris import resolve_uri
 
@@ -57,12 +59,7 @@ def scan_report(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
 
 
 def scan_results(spark: SparkSession, path: str, run_id: str = "") -> DataFrame:
-    """Verdicts from JSON lines, one result of a report per line: the scalable layout."""
-    lines = spark.read.schema(RESULT).json(resolve_uri(path))
-    return _verdicts(
-        lines.select(
-            F.lit(run_id).alias("run_id"),
-            F.monotonically_increasing_id().alias("seq"),
-            F.struct(*lines.columns).alias("r"),
-        )
-    )
+    """Verdicts from JSON lines, one result of a report per line: the scalable layout. ``req_seq`` is the order of the lines."""
+    lines = with_line_order(spark.read.text(resolve_uri(path)), F.col("value")).where(F.trim("value") != "")
+    parsed = once(lines, r=F.from_json("value", RESULT))
+    return _verdicts(parsed.select(F.lit(run_id).alias("run_id"), F.col("req_seq").alias("seq"), "r"))
