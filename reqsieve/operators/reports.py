@@ -9,6 +9,7 @@ from reqsieve.functions.headers import header
 from reqsieve.functions.regex import subsequence
 from reqsieve.functions.text import body_size, ellipsize, placeholder
 from reqsieve.functions.urls import lenient_decode
+from reqsieve.session import written
 
 
 def totals(verdicts: DataFrame) -> DataFrame:
@@ -111,74 +112,38 @@ def sorted_headers(headers: Column) -> Column:
     )
 
 
-def numbered(df: DataFrame, *order: str, blocks: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
     """Add ``n``, the running number of a row in the given (unique) order.
 
-    A window over the whole table would be one task. Here the order is cut into blocks at
-    sampled values: the number is the rank inside a block plus the sizes of the blocks
-    before it. The cuts only decide how even the blocks are, never a number.
+    Rows are range-partitioned and sorted; a task numbers its own, and the sizes of the parts before it are added. The
+    ranges follow the data, and Spark joins small ones. The numbered rows are written down before their parts are counted, so
+    the source is read twice: for the ranges, and for the rows. Rows move with all their columns: pass few.
     """
-    spark = df.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(F.struct(*order).alias("o"))
-    coarse = max(1, round(blocks ** 0.5))
-    fine = -(-blocks // coarse)
-    cuts = _cut_points(keys, coarse * fine)
-    if not cuts:
-        return df.withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    schema = keys.schema["o"].dataType
-
-    def literal(cut) -> Column:
-        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, schema.fields)])
-
-    # Two short searches instead of one long one: among every fine-th cut, then between two of them.
-    o = F.struct(*order)
-    upper = [literal(c) for c in cuts[fine - 1::fine]]
-    groups = [[literal(c) for c in cuts[i * fine:(i + 1) * fine - 1]] for i in range(len(upper) + 1)]
-    kind = f"array<{schema.simpleString()}>"
-    nested = F.array(*[F.array(*g).cast(kind) for g in groups])
-
-    def with_block(rows: DataFrame) -> DataFrame:
-        part = F.size(F.filter(F.array(*upper).cast(kind), lambda c: c <= o))
-        inner = F.size(F.filter(F.element_at(nested, F.col("part") + 1), lambda c: c <= o))
-        return rows.withColumn("part", part).withColumn("block", F.col("part") * fine + inner).drop("part")
-
-    sizes = with_block(keys.select("o.*")).groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    before = F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("block", F.coalesce(before, F.lit(0)).alias("offset"))
-    ranked = with_block(df).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("block").orderBy(*order))
-    )
-    # One row per block: the number of blocks is an argument, not a property of the data.
-    return ranked.join(F.broadcast(offsets), "block").withColumn(
-        "n", (F.col("offset") + F.col("rank")).cast("long")
-    ).drop("block", "rank", "offset")
-
-
-def _cut_points(keys: DataFrame, blocks: int) -> list:
-    """At most ``blocks - 1`` ordered values that split the keys about evenly."""
-    total = keys.count()
-    wanted = blocks * 20
-    if not total or blocks < 2:
-        return []
-    sample = keys.sample(min(1.0, wanted / total), seed=7).limit(4 * wanted).collect()
-    values = sorted({tuple(r.o) for r in sample})
-    step = len(values) / blocks
-    return sorted({values[int(i * step)] for i in range(1, blocks)}) if len(values) > blocks else values
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    rows = written(ranged.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("__at", 33), F.col("__at") % (1 << 33)
+    sizes = rows.groupBy(part.alias("__part")).agg((F.max(inside) + 1).alias("size"))
+    before, offsets = 0, []
+    for r in sizes.orderBy("__part").collect():  # one row for each range
+        offsets.append((r["__part"], before))
+        before += r["size"]
+    shifts = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part long, __before long"))
+    return rows.withColumn("__part", part).join(shifts, "__part").withColumn("n", F.col("__before") + inside + 1).drop("__at", "__part", "__before")
 
 
 def list_requests(requests: DataFrame, *order: str, more: bool = False) -> DataFrame:
-    """Numbered listing: method, path, host and address; ``more`` adds the whole request."""
-    rows = numbered(requests, *(order or ("req_seq", "req_id")))
+    """Numbered listing: method, path, host and address; ``more`` adds the whole request, which then moves once."""
+    order = order or ("req_seq", "req_id")
     path = lenient_decode(F.col("path"), plus_is_space=False)
     if not more:
-        return rows.select(
+        narrow = requests.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(order)], "method", "path", "host", "client_ip")
+        return numbered(narrow, *[f"__{i}" for i in range(len(order))]).select(
             "n", "method",
             ellipsize(path, 50).alias("path"),
             ellipsize(placeholder(F.col("host"), "-"), 30).alias("host"),
             placeholder(F.col("client_ip"), "-").alias("client_ip"),
         )
-    return rows.select(
+    return numbered(requests, *order).select(
         "n", "method", path.alias("path"), "host", "proto", "client_ip",
         F.col("ts").alias("date"),
         sorted_headers(F.col("headers")).alias("headers"),

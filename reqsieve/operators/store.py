@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,21 +27,28 @@ from reqsieve.operators.catalog import baseline_state, freshness, latest_run, st
 from reqsieve.operators.compare import diff_runs
 from reqsieve.operators.matching import analyze
 from reqsieve.schemas import BASELINE_EVENT, QUERY_RESULT, RUN, VERDICT
-from reqsieve.session import children, exists, remove
+from reqsieve.session import create_new, exists, remove
 from reqsieve.sources.rules import Rule, load_rules, rules_hash
 
 
+#: How long a replaced result stays, in seconds.
+GRACE = 3600
+
+
 def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
 def _read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log table, empty as long as nothing was appended."""
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def _append(spark: SparkSession, path: str, schema: str, row: tuple) -> None:
-    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+    """Each row is a folder of its own: writers of one folder would clear up after each other."""
+    spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{path}/{uuid.uuid4().hex}")
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -122,40 +129,54 @@ def read_query_results(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, sql: str, root: str, ttl_seconds: int | None = None) -> str | None:
-    """Where the result of a query is stored, unless it is missing or too old."""
+    """Where the result of a query is stored, unless it is missing, gone from its place, or too old."""
     results = read_query_results(spark, root).where(F.col("key") == sql_hash(sql))
     row = results.select("location", "stored_at", F.unix_micros(F.current_timestamp()).alias("now"),
                          F.unix_micros("stored_at").alias("at")).first()
     if row is None or (ttl_seconds and row.now - row.at > ttl_seconds * 1_000_000):
         return None
-    return row.location
+    return row.location if exists(spark, f"{row.location}/_SUCCESS") else None
 
 
-def materialize(spark: SparkSession, sql: str, root: str, ttl_seconds: int = DEFAULT_TTL) -> DataFrame:
+def materialize(spark: SparkSession, sql: str, root: str, ttl_seconds: int = DEFAULT_TTL, grace_seconds: int = GRACE) -> DataFrame:
     """Result of a query, read from the store when it is there and fresh.
 
-    Otherwise the query runs, its result is stored, and then read from the store. When
-    storing fails the query itself is returned. A refreshed result gets a place of its
-    own; stale ones of the same query are dropped when the next one is complete.
+    Otherwise the query runs, its result is stored, and then read from the store; where nothing can be written to
+    the store, the query itself is returned. Every result has a place of its own, and the log names it when it is complete, so
+    of several writers each leaves a readable one and the newest counts. A result is removed ``grace_seconds`` after the
+    next one of its query was stored: until then, what is being read stays.
     """
     stored = lookup(spark, sql, root, ttl_seconds)
     if stored is not None:
         return spark.read.parquet(stored)
     result, key = spark.sql(sql), sql_hash(sql)
-    location = f"{root}/results/{key}/{uuid.uuid4().hex}"
+    version = uuid.uuid4().hex
+    location = f"{root}/results/{key}/{version}"
     try:
-        result.write.parquet(location)
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(location)
-        size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
-        _append(spark, f"{root}/query_results", QUERY_RESULT, (key, sql, location, size, _now()))
-        for version in children(spark, f"{root}/results/{key}"):
-            if version != location.rpartition("/")[2]:
-                remove(spark, f"{root}/results/{key}/{version}")
-    except Exception:
+        create_new(spark, f"{root}/results/{key}/_writing/{version}")
+    except OSError:
         return result
+    result.write.parquet(location)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(location)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+    _append(spark, f"{root}/query_results", QUERY_RESULT, (key, sql, location, size, _now()))
+    remove(spark, f"{root}/results/{key}/_writing/{version}")
+    remove_replaced(spark, root, key, grace_seconds)
     return spark.read.parquet(location)
 
 
+def remove_replaced(spark: SparkSession, root: str, key: str, grace_seconds: int = GRACE) -> list[str]:
+    """Remove the results of a query that were replaced longer ago than the grace time, and name them."""
+    log = _read_log(spark, f"{root}/query_results", QUERY_RESULT).where(F.col("key") == key)
+    places = Window.partitionBy("key").orderBy("stored_at", "location")
+    replaced = log.withColumn("next", F.lead("stored_at").over(places)).where("next is not null")
+    old = replaced.where(F.unix_micros(F.current_timestamp()) - F.unix_micros("next") > grace_seconds * 1_000_000)
+    gone = [r.location for r in old.select("location").distinct().collect() if exists(spark, r.location)]  # one query's results
+    for location in gone:
+        remove(spark, location)
+    return gone
+
+
 def find_fresh_run(spark: SparkSession, root: str, traffic_hash: str, rules: str, ttl_seconds: int) -> str | None:
     """Id of the newest run of this traffic with these rules, if it may be reused."""
     same = read_runs(spark, root).where((F.col("traffic_hash") == traffic_hash) & (F.col("rules_hash") == rules))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from reqsieve.plans.tables import DIRECTIVES, RULES_V1, RULES_V2
+from reqsieve.plans.tables import DIRECTIVES, PHRASE_RULES, RULES_V1, RULES_V2
 from reqsieve.sources.rules import Rule
 
 ORACLES: dict[str, str] = {}
@@ -557,4 +557,18 @@ ORACLES.update({
         select req_id, method, url, rules from verdicts where blocked""",
     "stream_totals": f"""{TRAFFIC_POSTS}, {verdict_cte(RULES_V1)}
         select count(*) as total_requests, count(*) filter (where blocked) as blocked_requests from verdicts""",
+    "stream_observed_totals": f"""{TRAFFIC_POSTS}, {verdict_cte(RULES_V1)}
+        select count(*) as total_requests, count(*) filter (where blocked) as blocked_requests from verdicts""",
+    "stream_rules": " union all ".join(
+        f"""(with {_RAW}, {_POSTS}, source as (select * from {source}), {_REQUESTS}, {verdict_cte(rules)}
+        select method, url, case when coalesce(headers['X-Forwarded-For'], '') <> '' then client_ip else '' end as client_ip,
+               rules, logs, {version} as rules_version from verdicts where blocked)"""
+        for source, rules, version in (("posts", RULES_V1, 1), ("raw", RULES_V2, 2))),
+    "match_many": f"""{TRAFFIC},
+        items as (select item_id, regexp_extract_all(text, '[A-Za-z]{{2,}}') as w from benchmark),
+        words as (select item_id, r, w[r * 3 + 1] as w1, w[r * 3 + 2] as w2, w[r * 3 + 3] as w3 from items, range(5) t(r)),
+        rules as ({PHRASE_RULES.replace("concat('b', item_id, '-', r)", "'b' || item_id || '-' || r")})
+        select req_id, ord, id as rule_id, action from requests, rules
+        where regexp_matches(body, pattern) or (location = 'all' and (
+          regexp_matches(url, pattern) or len(list_filter(map_values(headers), lambda v: regexp_matches(v, pattern))) > 0))""",
 })

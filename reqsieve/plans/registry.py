@@ -19,6 +19,7 @@ from reqsieve.operators import compare as Cmp
 from reqsieve.operators import coverage as Cov
 from reqsieve.operators import matching as M
 from reqsieve.operators import reports as R
+from reqsieve.operators import rule_index as Index
 from reqsieve.operators import store as S
 from reqsieve.plans import tables as T
 from reqsieve.session import shared_dir
@@ -27,6 +28,7 @@ from reqsieve.sources import requests as Q
 from reqsieve.sources import rules as Rules
 from reqsieve.sources import tables as Tab
 from reqsieve.streaming import analyze as Stream
+from reqsieve.streaming import rules as StreamRules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,6 +475,12 @@ def match_patterns_v2(spark, sf_dir):
     return M.match_pairs(spread_requests(spark, sf_dir), T.RULES_V2)
 
 
+@query
+def match_many(spark, sf_dir):
+    """All requests and hundreds of rules that are rows."""
+    return Index.match_many(spread_requests(spark, sf_dir), T.phrase_rules(spark, sf_dir))
+
+
 @query
 def match_headers(spark, sf_dir):
     rules = [Rules.Rule(1, "h1", "Address", "192[.]168[.]0[.]1[0-9]*,", location="headers"),
@@ -824,6 +832,28 @@ def stream_totals(spark, sf_dir):
     return Stream.read_stream_totals(spark, f"{root}/out")
 
 
+@query
+def stream_observed_totals(spark, sf_dir):
+    """The totals that the micro-batches counted while they wrote verdicts."""
+    root = shared_dir(spark)
+    requests = Stream.stream_ndjson(spark, _stream_source(spark, sf_dir), files_per_trigger=3)
+    Stream.stream_observed_totals(requests, T.RULES_V1, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return Stream.read_observed_totals(spark, f"{root}/out")
+
+
+@query
+def stream_rules(spark, sf_dir):
+    """Posts, then other requests, as a stream whose rules change in between."""
+    root = shared_dir(spark)
+    parts = {"posts": T.posts(spark, sf_dir), "requests": T.requests(spark, sf_dir)}
+    for version, rules in (("posts", T.RULES_V1), ("requests", T.RULES_V2)):
+        parts[version].select(F.to_json(F.struct("method", "url", "headers", "body")).alias("value")).write.mode("append").text(f"{root}/in")
+        StreamRules.publish_rules(spark, rules, f"{root}/rules")
+        requests = Stream.stream_ndjson(spark, f"{root}/in", files_per_trigger=4)
+        StreamRules.stream_with_rules(requests, f"{root}/rules", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("method", "url", "client_ip", rule_ids().alias("rules"), "logs", "rules_version")
+
+
 @query
 def stream_parquet(spark, sf_dir):
     """The documents as a stream of requests."""

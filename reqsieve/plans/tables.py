@@ -146,3 +146,22 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.sha2("text", 256).alias("key"), F.col("text").alias("query"), F.col("n_chars").alias("size")
     )
+
+
+#: A phrase rule table made of ``benchmark``: five rules for each item, from its words in a row.
+PHRASE_RULES = """
+    select cast(item_id * 5 + r as int) as ord, concat('b', item_id, '-', r) as id,
+           case r when 0 then concat(w1, ' ', w2, ' ', w3) when 1 then concat('(?i:', w1, ' ', w2, ' ', w3, ')')
+                  when 2 then concat(w1, ' ', w2, '|', w3, '[ ,.]+', w1) when 3 then concat(w1, '[ ,.]+', w2, '[ ,.]+', w3)
+                  else concat('(?:', w1, ') ', w2, '[ a-z]*', w3) end as pattern,
+           case r when 4 then 'all' else 'body' end as location, case r when 0 then 'block' else 'log' end as action
+    from words where w3 is not null
+"""
+
+
+def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundreds of rules as rows: what ``benchmark`` items say."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), 1).alias("w"))
+    words = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("r")).select(
+        "item_id", "r", *[F.get("w", F.col("r") * 3 + i).alias(f"w{i + 1}") for i in range(3)])
+    return spark.sql(PHRASE_RULES.replace("from words", "from {words}"), words=words)

@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that ``shared_dir`` has given out.
+_MADE: list[str] = []
+
+
 def local_session(cores: str = "8", app: str = "reqsieve", **settings: str) -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
     builder = (
@@ -38,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="reqsieve-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/reqsieve-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/reqsieve-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -48,6 +54,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def create_new(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Write a small file that does not exist yet; False if it does. Of several writers one succeeds."""
+    place, system = _file_system(spark, path)
+    try:
+        out = system.create(place, False)
+    except Py4JJavaError as error:
+        if system.exists(place):
+            return False
+        raise OSError(f"cannot write {path}") from error
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def remove_shared(spark: SparkSession) -> None:
+    """Remove the folders that this process has made by ``shared_dir``. What still reads from them fails afterwards."""
+    while _MADE:
+        remove(spark, _MADE.pop())
+
+
 def _file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())

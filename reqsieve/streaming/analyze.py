@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +13,7 @@ from reqsieve.operators.reports import totals
 from reqsieve.schemas import REQUEST_COLUMNS
 from reqsieve.sources.ndjson import parse_ndjson
 from reqsieve.sources.requests import map_columns, usable_rows
-from reqsieve.sources.rules import Rule
+from reqsieve.sources.rules import Rule, load_rules
 from reqsieve.sources.uris import resolve_uri
 
 
@@ -78,3 +78,31 @@ def read_stream_totals(spark: SparkSession, out_dir: str) -> DataFrame:
     """The totals after the last micro-batch."""
     history = spark.read.parquet(out_dir)
     return history.agg(F.max_by(F.struct("total_requests", "blocked_requests"), "batch_id").alias("t")).select("t.*")
+
+
+def stream_observed_totals(
+    requests: DataFrame, rules: DataFrame | Iterable[Rule], out_dir: str, checkpoint: str, **options
+) -> StreamingQuery:
+    """Blocked verdicts of a request stream in ``out_dir/verdicts``, and what each micro-batch counted in ``out_dir/totals``.
+
+    The tasks that write the verdicts count them, so there is no state, no shuffle and no second pass. Both are written under
+    the number of the batch before it is committed: a batch that is run again after a failure replaces what it left.
+    """
+    rules = load_rules(rules)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation(f"batch {batch_id}")
+        counted = analyze(batch, rules, **options).observe(
+            seen, F.count(F.lit(1)).alias("total_requests"), F.count_if("blocked").alias("blocked_requests"))
+        counted.where("blocked").write.mode("overwrite").parquet(f"{out_dir}/verdicts/batch={batch_id}")
+        row = (batch_id, seen.get["total_requests"], seen.get["blocked_requests"])
+        made = batch.sparkSession.createDataFrame([row], "batch_id long, total_requests long, blocked_requests long")
+        made.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/totals/batch={batch_id}")
+
+    return requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def read_observed_totals(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The running totals: what all micro-batches counted together."""
+    batches = spark.read.parquet(f"{out_dir}/totals")
+    return batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_requests", "blocked_requests")])

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import os
 import random
+import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,6 +13,7 @@ from reqsieve.functions.identity import sql_hash
 from reqsieve.operators import catalog, compare, reports, store
 from reqsieve.operators.matching import analyze
 from reqsieve.schemas import VERDICT
+from reqsieve.session import create_new, remove
 from reqsieve.sources.rules import Rule
 from reqsieve.sources.reports import scan_results
 from reqsieve.plans import tables as T
@@ -109,15 +112,29 @@ def test_search(spark):
     assert reports.search(v, "").count() == 2 and reports.search(v, "a.c").count() == 0
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 7, 64, 1000])
-def test_numbers_are_exact_however_the_order_is_cut(spark, blocks):
+@pytest.mark.parametrize("parts", [None, 1, 7, 64])
+def test_numbers_are_exact_however_the_order_is_cut(spark, parts):
     df = spark.range(20000).select((F.col("id") * 7919 % 20011).alias("k"), F.md5(F.col("id").cast("string")).alias("s"))
     want = {k: i + 1 for i, k in enumerate(sorted(r.k for r in df.collect()))}
-    assert {r.k: r.n for r in reports.numbered(df, "k", blocks=blocks).collect()} == want
-    text = {r.s: r.n for r in reports.numbered(df, "s", "k", blocks=blocks).collect()}
+    assert {r.k: r.n for r in reports.numbered(df, "k", parts=parts).collect()} == want
+    text = {r.s: r.n for r in reports.numbered(df, "s", "k", parts=parts).collect()}
     assert [s for s, _ in sorted(text.items(), key=lambda e: e[1])] == sorted(text)
 
 
+def test_numbers_of_nulls_ties_and_nothing(spark):
+    df = spark.createDataFrame([(None,), (3,), (1,), (3,), (3,), (None,)], "k int")
+    assert sorted((r.n, r.k) for r in reports.numbered(df, "k").collect() if r.k) == [(3, 1), (4, 3), (5, 3), (6, 3)]
+    assert sorted(r.n for r in reports.numbered(df, "k").collect()) == [1, 2, 3, 4, 5, 6]
+    assert reports.numbered(df.limit(0), "k").columns == ["k", "n"] and reports.numbered(df.limit(0), "k").count() == 0
+
+
+def test_a_listing_moves_no_bodies_and_has_no_window(spark):
+    rows = reports.list_requests(verdicts(spark, *[(f"r{i}", i, f"/{i}", []) for i in range(300)]))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "body" not in plan
+    assert [r.path for r in rows.orderBy("n").collect()] == [f"/{i}" for i in range(300)]
+
+
 def test_listing(spark):
     v = verdicts(spark, ("a", 2, "/b%20c/" + "x" * 60, []), ("b", 1, "/a", []))
     rows = reports.list_requests(v).orderBy("n").collect()
@@ -232,7 +249,7 @@ def test_fresh_runs_are_reused(spark, folder):
 
 def _age(spark, folder, log, column):
     """Make all rows of a log two hours older."""
-    rows = spark.read.parquet(f"{folder}/{log}")
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/{log}")
     older = rows.withColumn(column, F.col(column) - F.expr("interval 2 hours")).collect()
     spark.createDataFrame(older, rows.schema).write.mode("overwrite").parquet(f"{folder}/{log}")
 
@@ -248,14 +265,38 @@ def test_query_results_are_reused(spark, folder):
     _age(spark, folder, "query_results", "stored_at")
     assert store.lookup(spark, sql, folder) and store.lookup(spark, sql, folder, 0) and store.lookup(spark, sql, folder, 3 * 3600)
     assert store.lookup(spark, sql, folder, 3600) is None
+    first = store.lookup(spark, sql, folder)
+    read = spark.read.parquet(first)
     assert store.materialize(spark, sql, folder, 3600).count() == 7
-    assert len(os.listdir(f"{folder}/results/{sql_hash(sql)}")) == 1  # the stale one is gone
+    assert read.count() == 5 and store.lookup(spark, sql, folder) != first  # the stale one can still be read
+    assert store.remove_replaced(spark, folder, sql_hash(sql)) == []
+    time.sleep(1.1)
+    assert store.remove_replaced(spark, folder, sql_hash(sql), grace_seconds=1) == [first] and not os.path.exists(first)
     entries = store.read_query_results(spark, folder)
     assert {r.key for r in entries.collect()} == {sql_hash(sql), sql_hash(sql + " ")}
     stats = catalog.store_stats(entries).first()
     assert stats.entries == 2 and stats.total_mb > 0 and len(catalog.store_list(entries).first().key) == 12
 
 
+def test_two_refreshes_and_lost_places(spark, folder):
+    spark.range(3).createOrReplaceTempView("numbers")
+    sql = "select id from numbers"
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(lambda _: store.materialize(spark, sql, folder).count(), range(2)))
+    assert both == [3, 3] and store.read_query_results(spark, folder).count() == 1
+    place = store.lookup(spark, sql, folder)
+    assert spark.read.parquet(place).count() == 3
+    remove(spark, place)
+    assert store.lookup(spark, sql, folder) is None and store.materialize(spark, sql, folder).count() == 3
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        store.materialize(spark, "select 1 / (id - id) as x from numbers", folder)
+
+
+def test_a_file_is_made_once(spark, folder):
+    assert create_new(spark, f"{folder}/x", "one") and not create_new(spark, f"{folder}/x", "two")
+    assert open(f"{folder}/x").read() == "one"
+
+
 def test_a_result_that_cannot_be_stored_is_still_given(spark):
     assert store.materialize(spark, "select 1 as one", "/proc/no/such/place").first().one == 1
 

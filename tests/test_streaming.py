@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import os
+
+import pytest
 from fixtures import NDJSON, PATTERN_RULES, write_ndjson
 
 from reqsieve.operators import reports
@@ -7,6 +10,7 @@ from reqsieve.operators.matching import analyze
 from reqsieve.sources.ndjson import scan_ndjson
 from reqsieve.sources.rules import Rule
 from reqsieve.streaming import analyze as stream
+from reqsieve.streaming import rules
 
 RULES = [Rule(i, r["id"], r["name"], r["pattern"], location=r["location"], action=r["action"], severity=r["severity"])
          for i, r in enumerate(PATTERN_RULES["rules"])]
@@ -32,3 +36,53 @@ def test_stream_equals_batch_and_goes_on(spark, tmp_path):
     advance()
     write_ndjson(source / "c.json", NDJSON[2:])
     advance()
+
+
+def test_observed_totals_go_on_without_state(spark, tmp_path):
+    source, out, mark = tmp_path / "in", str(tmp_path / "out"), tmp_path / "mark"
+    source.mkdir()
+    for name, rows in (("a", NDJSON), ("b", NDJSON[1:3]), ("c", NDJSON[2:])):
+        write_ndjson(source / f"{name}.json", rows)
+        requests = stream.stream_ndjson(spark, str(source), files_per_trigger=1)
+        stream.stream_observed_totals(requests, RULES, out, str(mark)).awaitTermination()
+        batch = analyze(scan_ndjson(spark, str(source)), RULES)
+        assert stream.read_observed_totals(spark, out).first() == reports.totals(batch).first()
+        assert spark.read.parquet(f"{out}/verdicts").count() == batch.where("blocked").count()
+    assert not (mark / "state").exists()
+
+
+def _rerun_last(mark):
+    """As after a failure: the last batch was begun but not committed."""
+    last = max(int(n) for n in os.listdir(mark / "commits") if n.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        if (mark / "commits" / name).exists():
+            (mark / "commits" / name).unlink()
+
+
+def test_rules_change_between_batches(spark, tmp_path):
+    source, out, mark, root = tmp_path / "in", str(tmp_path / "out"), tmp_path / "mark", str(tmp_path / "rules")
+    source.mkdir()
+
+    def advance():
+        requests = stream.stream_ndjson(spark, str(source), files_per_trigger=1)
+        rules.stream_with_rules(requests, root, out, str(mark)).awaitTermination()
+        return sorted((r.url, r.rules_version, tuple(t.id for t in r.rules_triggered)) for r in spark.read.parquet(out).collect())
+
+    write_ndjson(source / "a.json", NDJSON)
+    with pytest.raises(Exception, match="no rules are published"):
+        advance()
+    assert rules.publish_rules(spark, RULES, root) == 1
+    first = advance()
+    assert first and {v for _, v, _ in first} == {1}
+    fewer = [r for r in RULES if r.id == first[0][2][0]]
+    assert rules.publish_rules(spark, fewer, root) == 2 and rules.published(spark, root) == [1, 2]
+    _rerun_last(mark)
+    assert advance() == first  # run again with the rules it had
+    write_ndjson(source / "b.json", NDJSON)
+    both = advance()
+    assert [r for r in both if r[1] == 1] == first
+    want = analyze(scan_ndjson(spark, str(source / "b.json")), fewer).where("blocked")
+    assert [(u, t) for u, v, t in both if v == 2] == sorted((r.url, tuple(t.id for t in r.rules_triggered)) for r in want.collect())
+    (tmp_path / "rules" / "version=3").mkdir()  # not complete
+    _rerun_last(mark)
+    assert advance() == both
