@@ -38,6 +38,8 @@ from reqsieve.llm.words import slices
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 BLOCK_DOCS = 256
+#: Text bytes that are turned into arrays at a time.
+SLICE = 400_000
 #: Draws of blocks that make up an output shard.
 SHARD_DRAWS = 1024
 MOST_SOURCES = 100_000
@@ -51,7 +53,7 @@ def word_counts(docs: DataFrame, text_col: str, size_col: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.schema.get_field_index(text_col)
-            sizes = [np.diff(part.words().bounds) for part in slices(batch.column(text))]
+            sizes = [np.diff(part.words().bounds) for part in slices(batch.column(text), SLICE)]
             sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
             yield pa.record_batch([*[batch.column(batch.schema.get_field_index(c)) for c in columns], pa.array(sizes, pa.int64())],
                                   [*columns, size_col])

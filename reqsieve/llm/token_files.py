@@ -45,7 +45,7 @@ FILE_BYTES = 24 << 20
 #: Stretches between spaces whose ids a worker keeps; it starts anew beyond.
 KEPT_STRETCHES = 2_000_000
 #: Text that is encoded at a time.
-ENCODED_BYTES = 2_000_000
+ENCODED_BYTES = 400_000
 
 _CODE = {2: "H", 4: "I"}
 _JOINING = "\u180e\u200b"
