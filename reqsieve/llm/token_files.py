@@ -41,7 +41,7 @@ from reqsieve.llm.stored import only, parts_for, settle
 from reqsieve.llm.words import Slice, hash_spans, slices
 
 #: Text that goes into one file. A task holds one file in memory.
-FILE_BYTES = 24 << 20
+FILE_BYTES = 16 << 20
 #: Stretches between spaces whose ids a worker keeps; it starts anew beyond.
 KEPT_STRETCHES = 2_000_000
 #: Text that is encoded at a time.
