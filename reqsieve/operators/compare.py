@@ -73,6 +73,17 @@ def _side(verdicts: DataFrame, side: int) -> DataFrame:
     )
 
 
+def last_by_key(verdicts: DataFrame) -> DataFrame:
+    """``req_key, r``: the last result of every request, as far as a comparison needs it."""
+    return _side(verdicts, 1).groupBy("req_key").agg(F.max_by("r", "o").alias("r"))
+
+
+def diff_keyed(k1: DataFrame, k2: DataFrame) -> DataFrame:
+    """``diff_runs`` of two runs given by ``last_by_key``. Where both are stored in the same buckets, nothing is shuffled."""
+    sides = [k.select("req_key", F.col("r").alias(f"r{s}")) for s, k in ((1, k1), (2, k2))]
+    return _changes(sides[0].join(sides[1], "req_key", "full_outer"))
+
+
 def diff_runs(v1: DataFrame, v2: DataFrame) -> DataFrame:
     """Requests blocked only in the second run (``added``), only in the first (``removed``),
     or in both by other rules (``modified``)."""
@@ -81,6 +92,11 @@ def diff_runs(v1: DataFrame, v2: DataFrame) -> DataFrame:
         F.max_by(F.when(F.col("side") == s, F.col("r")), F.when(F.col("side") == s, F.col("o"))).alias(f"r{s}")
         for s in (1, 2)
     ])
+    return _changes(last)
+
+
+def _changes(last: DataFrame) -> DataFrame:
+    """Changes from ``req_key, r1, r2``, the last results on both sides."""
     kind = (
         F.when(F.col("r1").isNull(), F.lit("added"))
         .when(F.col("r2").isNull(), F.lit("removed"))

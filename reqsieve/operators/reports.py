@@ -37,6 +37,9 @@ def user_agent_key() -> Column:
     return placeholder(ellipsize(header(F.col("headers"), "User-Agent"), 50, "detail"), "No User-Agent")
 
 
+#: Points of a found character: for itself, right after the one before it, at the start of a word.
+HIT, RUN, START = 1, 6, 4
+
 GROUPINGS = {"rule": first_rule_key, "ip": ip_key, "user-agent": user_agent_key}
 
 
@@ -91,13 +94,53 @@ def verdict_examples(verdicts: DataFrame, by: str = "rule", n: int = 5) -> DataF
     )
 
 
-def search(df: DataFrame, text: str, *fields: Column) -> DataFrame:
-    """Rows whose ``fields`` (by default method, URL and rule tags) contain the characters
-    of ``text`` in order, in any case."""
+def _searched(*fields: Column) -> Column:
+    """The text that a search looks at: by default method, URL and rule tags."""
     if not fields:
         tags = F.flatten(F.transform("rules_triggered", lambda t: t["tags"]))
         fields = (F.col("method"), F.col("url"), F.array_join(tags, " "))
-    return df.where(subsequence(F.concat_ws(" ", *fields), text))
+    return F.concat_ws(" ", *fields)
+
+
+def search(df: DataFrame, text: str, *fields: Column) -> DataFrame:
+    """Rows whose ``fields`` (by default method, URL and rule tags) contain the characters
+    of ``text`` in order, in any case."""
+    return df.where(subsequence(_searched(*fields), text))
+
+
+def match_score(value: Column, text: str) -> Column:
+    """How well the characters of ``text`` fit into a value, in the best of all ways to find them there in order.
+
+    A found character counts ``HIT``, ``START`` more at the start of a word and ``RUN`` more right after the one found
+    before it. One pass over the characters keeps, for each beginning of ``text``, the best score so far (``b``) and
+    the best that ends at the last character (``m``). Case does not count; NULL where the characters are not found.
+    """
+    wanted = text.lower()
+    if not wanted:
+        return F.when(value.isNotNull(), F.lit(0))
+    nothing, steps = F.lit(None).cast("int"), range(1, len(wanted) + 1)
+
+    def step(state: Column, c: Column) -> Column:
+        start = F.when(state["in_word"], F.lit(0)).otherwise(F.lit(START))
+        fields = [((F.upper(c) != c) | c.between("0", "9")).alias("in_word")]
+        for j in steps:
+            before = F.lit(0) if j == 1 else F.greatest(state[f"b{j - 1}"], state[f"m{j - 1}"] + RUN)
+            found = F.when(c == wanted[j - 1], before + HIT + start)
+            fields += [F.greatest(state[f"b{j}"], found).alias(f"b{j}"), found.alias(f"m{j}")]
+        return F.struct(*fields)
+
+    empty = F.struct(F.lit(False).alias("in_word"), *[nothing.alias(f"{k}{j}") for j in steps for k in "bm"])
+    return F.aggregate(F.split(F.lower(value), ""), empty, step, lambda state: state[f"b{len(wanted)}"])
+
+
+def search_ranked(df: DataFrame, text: str, n: int, *fields: Column, order: tuple[str, ...] = ("req_seq", "req_id")) -> DataFrame:
+    """The ``n`` best matches of a ``search`` with their ``score``, best first, equal scores in the given order.
+
+    Scores are taken of matches only, and a task sends on its ``n`` best rows.
+    """
+    value = _searched(*fields)
+    scored = df.where(subsequence(value, text)).withColumn("score", F.coalesce(match_score(value, text), F.lit(0)))
+    return scored.orderBy(F.desc("score"), *order).limit(n)
 
 
 def limit(df: DataFrame, n: int, *order: str) -> DataFrame:

@@ -4,6 +4,7 @@ Everything is written below one root that all executors share:
 
     root/verdicts/traffic_hash=../rules_hash=../run_id=..   blocked verdicts of a run
     root/runs                                               one row per finished run
+    root/keys/run_id=../buckets=../<version>                what a run's comparison needs, in buckets by request key
     root/results/<key>/<version>                            a stored query result
     root/query_results                                      one row per stored result
     root/baseline_log                                       one row per baseline change
@@ -14,6 +15,7 @@ way leaves nothing that is ever read.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterable
 from datetime import datetime, timezone
@@ -24,13 +26,15 @@ from pyspark.sql.types import StructType
 
 from reqsieve.functions.identity import DEFAULT_TTL, sql_hash
 from reqsieve.operators.catalog import baseline_state, freshness, latest_run, store_stats, swapped_baseline
-from reqsieve.operators.compare import diff_runs
+from reqsieve.operators.compare import diff_keyed, last_by_key
 from reqsieve.operators.matching import analyze
-from reqsieve.schemas import BASELINE_EVENT, QUERY_RESULT, RUN, VERDICT
-from reqsieve.session import create_new, exists, remove
+from reqsieve.schemas import BASELINE_EVENT, KEYED, QUERY_RESULT, RUN, VERDICT
+from reqsieve.session import children, create_new, exists, remove
 from reqsieve.sources.rules import Rule, load_rules, rules_hash
 
 
+#: Blocked requests for each bucket of a run that is stored by key.
+BUCKET_KEYS = 250_000
 #: How long a replaced result stays, in seconds.
 GRACE = 3600
 
@@ -103,6 +107,41 @@ def write_run(
     return run
 
 
+def _bucketed(spark: SparkSession, place: str, buckets: int) -> str:
+    """The name of the table at a place. Tables are known to a session only; their files tell buckets by their names."""
+    name = f"reqsieve_keys_{hashlib.sha256(place.encode()).hexdigest()[:32]}"
+    spark.sql(f"create table if not exists {name} ({KEYED}) using parquet clustered by (req_key) "
+              f"sorted by (req_key) into {buckets} buckets location '{place}'")
+    return name
+
+
+def read_keyed(spark: SparkSession, root: str, run_id: str, buckets: int) -> DataFrame:
+    """The last result of every request of a stored run (``compare.last_by_key``), in buckets by request key.
+
+    It is written when a run is first compared and only read from then on. Writers do not meet: each has a place of its
+    own, and the first complete one counts.
+    """
+    places = f"{root}/keys/run_id={run_id}/buckets={buckets}"
+    versions = sorted(children(spark, places)) if exists(spark, places) else []
+    done = [v for v in versions if exists(spark, f"{places}/{v}/_SUCCESS")]
+    if not done:
+        done = [uuid.uuid4().hex]
+        last = last_by_key(read_verdicts(spark, root, run_id)).repartition(buckets, "req_key")
+        name = _bucketed(spark, f"{places}/{done[0]}", buckets)
+        last.write.mode("append").format("parquet").bucketBy(buckets, "req_key").sortBy("req_key").saveAsTable(name)
+    return spark.table(_bucketed(spark, f"{places}/{done[0]}", buckets))
+
+
+def diff_stored(spark: SparkSession, root: str, run1: str, run2: str, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """Changes between two stored runs, bucket by bucket: neither verdicts nor keys are shuffled once both are stored by key.
+
+    The bigger run gives the number of buckets, a power of two, so a run is stored anew only when it meets a much bigger one.
+    """
+    sizes = read_runs(spark, root).where(F.col("run_id").isin(run1, run2)).agg(F.max("blocked_requests").alias("n")).first()
+    buckets = 1 << (max(0, (sizes.n or 0) - 1) // bucket_keys).bit_length()
+    return diff_keyed(*[read_keyed(spark, root, run, buckets) for run in (run1, run2)])
+
+
 def export_results(verdicts: DataFrame, path: str) -> None:
     """Blocked verdicts as JSON lines, each line one result of a report."""
     verdicts.where("blocked").select(
@@ -234,7 +273,7 @@ def diff_against_baseline(spark: SparkSession, root: str, traffic_hash: str, dir
     newest = latest_run(read_runs(spark, root).where(F.col("traffic_hash") == traffic_hash)).first()
     if newest is None:
         raise ValueError("no analysis results found")
-    return diff_runs(read_verdicts(spark, root, base.current), read_verdicts(spark, root, newest.run_id))
+    return diff_stored(spark, root, base.current, newest.run_id)
 
 
 def status(spark: SparkSession, root: str, traffic_hash: str, directory: str = "") -> dict:

@@ -264,6 +264,19 @@ _UA = "coalesce(headers['User-Agent'], '')"
 _UA_KEY = f"case when {_UA} = '' then 'No User-Agent' when length({_UA}) > 50 then {_UA}[1:50] || '...' else {_UA} end"
 
 
+def _match_scores(source: str, text: str) -> str:
+    """Best scores, a table for each character of the text: where it stands and the best score that ends there."""
+    start = "case when pos = 1 or not (upper(value[pos - 1]) <> value[pos - 1] or value[pos - 1] between '0' and '9') then 4 else 0 end"
+    ctes = [f"""places as (select req_id, pos, value[pos] as c, 1 + {start} as points
+                          from (select req_id, value, unnest(range(1, length(value) + 1)) as pos from {source}))"""]
+    for j, c in enumerate(text):
+        order = "over (partition by req_id order by pos"
+        before = f"greatest(max(m) {order} rows between unbounded preceding and 1 preceding), lag(m) {order}) + 6)" if j else "0"
+        ctes.append(f"m{j} as (select req_id, pos, c, points, case when c = {q(c)} then points + {before} end as m from {f'm{j - 1}' if j else 'places'})")
+    ctes.append(f"scores as (select req_id, max(m) as score from m{len(text) - 1} group by req_id having max(m) is not null)")
+    return ", ".join(ctes)
+
+
 def _subsequence(text: str) -> str:
     return q("(?is)" + ".*".join("[" + c + "]" if not c.isalnum() else c for c in text))
 
@@ -433,6 +446,11 @@ ORACLES.update({
     "search": f"""{V1}
         select req_id, url from verdicts where blocked and
           regexp_matches(method || ' ' || url || ' ' || array_to_string(list_transform(hits, lambda h: h.tags), ' '), {_subsequence('PoSt/deSrcPII')})""",
+    "search_ranked": f"""{V1},
+        found as (select req_id, url, lower(method || ' ' || url || ' ' || array_to_string(list_transform(hits, lambda h: h.tags), ' ')) as value
+                  from verdicts where blocked),
+        {_match_scores('found', 'po/docensrc1pii')}
+        select req_id, url, score from found join scores using (req_id) order by score desc, req_id limit 200""",
     "search_groups": f"""{V1}
         select {_IP_KEY} as key, count(*) as n from verdicts where blocked and regexp_matches({_IP_KEY}, {_subsequence('1.4')})
         group by 1""",
@@ -500,6 +518,7 @@ ORACLES.update({
     "diff_group_by_rule": f"{BOTH} select first_rule as key, count(*) as n from diff group by 1",
     "diff_group_examples": f"{BOTH}, {examples('diff', 'first_rule', chr(39) * 2 + ' || method || ' + q(' ') + ' || url', 'req_key', 5)}",
     "diff_baseline": f"{BOTH} select req_key, diff_type, rules1, rules2 from diff",
+    "diff_stored": f"{BOTH} select req_key, diff_type, rules1, rules2, id1, id2 from diff",
     # Aggregations
     "totals": f"""{V2}
         select count(*) as total_requests, count(*) filter (where blocked) as blocked_requests from verdicts""",
@@ -550,6 +569,9 @@ ORACLES.update({
     "stream_analyze": f"""{TRAFFIC_POSTS}, {verdict_cte(RULES_V1)}
         select method, url, case when coalesce(headers['X-Forwarded-For'], '') <> '' then client_ip else '' end as client_ip,
                rules, logs from verdicts where blocked""",
+    "stream_capture": f"""{TRAFFIC_POSTS}, {verdict_cte(RULES_V1)}
+        select method, url, case when coalesce(headers['X-Forwarded-For'], '') <> '' then client_ip else '' end as client_ip,
+               rules, logs from verdicts where blocked""",
     "stream_parquet": f"""
         with requests as (
           select cast(doc_id as varchar) as req_id, lang as method, source as url, text as body,

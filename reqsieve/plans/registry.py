@@ -130,9 +130,8 @@ def scan_partitioned(spark, sf_dir):
     return found.select("req_id", "method", "path", "query")
 
 
-@query
-def scan_capture(spark, sf_dir):
-    """Write requests as a capture with response records in between, and read it back."""
+def _capture_source(spark, sf_dir) -> str:
+    """The requests as captures with response records in between."""
     root = shared_dir(spark)
     source = all_posts_and_requests(spark, sf_dir)
     lines = F.array_join(
@@ -144,7 +143,12 @@ def scan_capture(spark, sf_dir):
     answer = F.concat(F.lit("2 "), stamp, F.lit(" 1 1\nHTTP/1.1 200 OK\r\n\r\nfine"))
     separator = f"\n{capture.SEPARATOR}\n"
     source.select(F.concat(record, F.lit(separator), answer).alias("value")).write.option("lineSep", separator).text(root)
-    found = capture.scan_capture(spark, root)
+    return root
+
+
+@query
+def scan_capture(spark, sf_dir):
+    found = capture.scan_capture(spark, _capture_source(spark, sf_dir))
     return found.select("method", "url", "host", "proto", map_text(F.col("headers")).alias("headers"), "body")
 
 
@@ -451,6 +455,11 @@ def search(spark, sf_dir):
     return R.search(run(spark, sf_dir), "PoSt/deSrcPII").select("req_id", "url")
 
 
+@query
+def search_ranked(spark, sf_dir):
+    return R.search_ranked(run(spark, sf_dir), "po/docEnsrc1pii", 200, order=("req_id",)).select("req_id", "url", "score")
+
+
 @query
 def search_groups(spark, sf_dir):
     return R.search(R.group_by_ip(run(spark, sf_dir)), "1.4", F.col("key"))
@@ -685,6 +694,17 @@ def diff_baseline(spark, sf_dir):
     return d.select("req_key", "diff_type", F.array_join("rules1", ",").alias("rules1"), F.array_join("rules2", ",").alias("rules2"))
 
 
+@query
+def diff_stored(spark, sf_dir):
+    """Two stored runs, compared by key, bucket by bucket."""
+    root, requests = shared_dir(spark), spread_requests(spark, sf_dir)
+    for i, rules in enumerate((T.RULES_V1, T.RULES_V2)):
+        S.write_run(M.analyze(requests, rules), "traffic00000", f"rules000000{i}", root, f"run{i}")
+    d = S.diff_stored(spark, root, "run0", "run1", bucket_keys=2000)
+    return d.select("req_key", "diff_type", F.array_join("rules1", ",").alias("rules1"), F.array_join("rules2", ",").alias("rules2"),
+                    F.col("req_id1").alias("id1"), F.col("req_id2").alias("id2"))
+
+
 # Aggregations
 
 
@@ -824,6 +844,15 @@ def stream_analyze(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("method", "url", "client_ip", rule_ids().alias("rules"), "logs")
 
 
+@query
+def stream_capture(spark, sf_dir):
+    """Captures as a stream of requests."""
+    root = shared_dir(spark)
+    requests = Stream.stream_capture(spark, _capture_source(spark, sf_dir), files_per_trigger=10)
+    Stream.stream_analyze(requests, T.RULES_V1, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("method", "url", "client_ip", rule_ids().alias("rules"), "logs")
+
+
 @query
 def stream_totals(spark, sf_dir):
     root = shared_dir(spark)

@@ -35,6 +35,9 @@ RUN = """
     total_requests long, blocked_requests long
 """
 
+# The last result of a request in a run, as far as a comparison needs it.
+KEYED = "req_key string, r struct<req_id:string,method:string,url:string,rules:array<string>,first_rule:string>"
+
 # One stored query result.
 QUERY_RESULT = "key string, query string, location string, size long, stored_at timestamp"
 

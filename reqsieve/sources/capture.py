@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 from pyspark.sql.types import StructType
 
 from reqsieve.functions.headers import header
@@ -76,13 +77,14 @@ def with_line_order(read: DataFrame, *columns: Column) -> DataFrame:
     return placed.mapInArrow(ordered, schema)
 
 
-def read_capture(spark: SparkSession, path: str) -> DataFrame:
+def read_capture(spark: SparkSession, path: str, stream: DataStreamReader | None = None) -> DataFrame:
     """One row per record. The separator is the line separator, so big files are split.
 
     Lines of the file may end in either way. A new id line starts a new record also where
     the separator is missing. ``req_seq`` is the time in the id line, 0 where there is none.
+    With the reader of a stream, files are read as they arrive, each once.
     """
-    text = spark.read.option("lineSep", f"\n{SEPARATOR}").text(resolve_uri(path))
+    text = (stream or spark.read).option("lineSep", f"\n{SEPARATOR}").text(resolve_uri(path))
     value = F.col("value")
     # Separators at the edges of a file are not between records; what is left of a line end goes.
     edged = value.rlike(rf"\A(?:\r?\n)?{SEPARATOR}|\A\r?\n")
@@ -143,7 +145,7 @@ def parse_capture(records: DataFrame) -> DataFrame:
     return with_url_parts(named)
 
 
-def scan_capture(spark: SparkSession, path: str) -> DataFrame:
+def scan_capture(spark: SparkSession, path: str, stream: DataStreamReader | None = None) -> DataFrame:
     """Requests of capture files, with ``header_values``; unreadable records are skipped."""
-    parsed = parse_capture(read_capture(spark, path))
+    parsed = parse_capture(read_capture(spark, path, stream))
     return parsed.where(F.col("problem").isNull()).select(*REQUEST_COLUMNS, "header_values")

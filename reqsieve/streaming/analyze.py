@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from reqsieve.operators.matching import analyze
 from reqsieve.operators.reports import totals
 from reqsieve.schemas import REQUEST_COLUMNS
+from reqsieve.sources.capture import scan_capture
 from reqsieve.sources.ndjson import parse_ndjson
 from reqsieve.sources.requests import map_columns, usable_rows
 from reqsieve.sources.rules import Rule, load_rules
@@ -29,6 +30,14 @@ def stream_ndjson(spark: SparkSession, in_dir: str, files_per_trigger: int = 100
     return parse_ndjson(lines, strict).where(F.col("problem").isNull()).select(*REQUEST_COLUMNS)
 
 
+def stream_capture(spark: SparkSession, in_dir: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Requests of capture files as a stream: the rows of ``scan_capture``, with the same ids and numbers.
+
+    The stream remembers files, so a capture must be complete when it appears in the folder. A big one is split.
+    """
+    return scan_capture(spark, in_dir, spark.readStream.option("maxFilesPerTrigger", files_per_trigger))
+
+
 def stream_parquet(
     spark: SparkSession, in_dir: str, columns: Mapping[str, str], files: str = "*.parquet", files_per_trigger: int = 1000
 ) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import os
 import random
 import time
@@ -105,6 +106,41 @@ def test_blocked_share(spark):
     assert [r[0] for r in df.select(reports.blocked_pct(F.col("b"), F.col("t"))).collect()] == [25.0, 0.0]
 
 
+def _best(value, text):
+    """The best score over all ways to find the text, tried one by one."""
+    value, text = value.lower(), text.lower()
+    scores = []
+    for places in itertools.combinations(range(len(value)), len(text)):
+        if [value[p] for p in places] == list(text):
+            starts = sum(p == 0 or not value[p - 1].isalnum() for p in places)
+            runs = sum(b == a + 1 for a, b in zip(places, places[1:]))
+            scores.append(reports.HIT * len(text) + reports.START * starts + reports.RUN * runs)
+    return max(scores, default=None)
+
+
+def test_match_score(spark):
+    draw = random.Random(5)
+    values = ["".join(draw.choice("aAb/1é ") for _ in range(draw.randint(0, 11))) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v string")
+    for text in ("a", "ab", "aab", "A/b", "1éa"):
+        rows = df.select("v", reports.match_score(F.col("v"), text).alias("s")).collect()
+        assert [r.s for r in rows] == [None if r.v is None else _best(r.v, text) for r in rows]
+    assert {r.s for r in df.select(reports.match_score(F.col("v"), "").alias("s")).collect()} == {0, None}
+
+
+def test_search_ranked(spark):
+    v = verdicts(spark, ("a", 1, "/xsearchx", ["7"]), ("b", 2, "/search", ["7"]), ("c", 3, "/s/e/arch", ["7"]), ("d", 4, "/search", ["7"]),
+                 ("e", 5, "/other", ["8"]))
+    found = reports.search_ranked(v, "SEARCH", 10)
+    assert [(r.req_id, r.score) for r in found.collect()] == [("b", 40), ("d", 40), ("a", 36), ("c", 36)]
+    assert all(r.score == _best(f"GET {r.url} tag7", "search") for r in found.collect())
+    assert [r.req_id for r in reports.search_ranked(v, "search", 1).collect()] == ["b"]
+    assert {r.req_id for r in found.collect()} == {r.req_id for r in reports.search(v, "SEARCH").collect()}
+    assert [(r.req_id, r.score) for r in reports.search_ranked(v, "", 2).collect()] == [("a", 0), ("b", 0)]
+    assert "TakeOrderedAndProject" in found._jdf.queryExecution().executedPlan().toString()
+    assert reports.search_ranked(v.limit(0), "x", 5).count() == 0
+
+
 def test_search(spark):
     v = verdicts(spark, ("a", 1, "/Search?q=1", ["7"]), ("b", 2, "/other", ["8"]))
     assert [r.req_id for r in reports.search(v, "gsrch").collect()] == ["a"]
@@ -324,6 +360,34 @@ def test_baseline_workflow(spark, folder):
         store.diff_against_baseline(spark, folder, "unknown")
 
 
+def test_stored_runs_meet_without_a_shuffle(spark, sf_dir, folder):
+    requests = T.requests(spark, sf_dir)
+    for i, rules in enumerate((T.RULES_V1, T.RULES_V2)):
+        store.write_run(analyze(requests, rules), "t", f"r{i}", folder, f"run{i}")
+    plain = compare.diff_runs(store.read_verdicts(spark, folder, "run0"), store.read_verdicts(spark, folder, "run1"))
+    want = sorted(map(str, plain.collect()))
+    d = store.diff_stored(spark, folder, "run0", "run1", bucket_keys=40)
+    assert sorted(map(str, d.collect())) == want and want
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    def kept():
+        return sorted(os.path.join(at, f) for at, _, files in os.walk(f"{folder}/keys") for f in files)
+    files = kept()
+    for row in spark.sql("show tables like 'reqsieve_keys_*'").collect():  # another session knows no tables
+        spark.sql(f"drop table {row.tableName}")
+    assert kept() == files
+    os.makedirs(f"{folder}/keys/run_id=run0/{os.listdir(f'{folder}/keys/run_id=run0')[0]}/0-not-complete")
+    assert sorted(map(str, store.diff_stored(spark, folder, "run0", "run1", bucket_keys=40).collect())) == want
+    assert kept() == files  # read, not written again
+    back = store.diff_stored(spark, folder, "run1", "run0", bucket_keys=1 << 20)  # other buckets
+    assert compare.diff_summary(back).first().asDict() == {
+        k: v for k, v in zip(("total", "removed", "added", "modified"), compare.diff_summary(plain).select("total", "added", "removed", "modified").first())}
+    store.write_run(analyze(requests.limit(0), T.RULES_V1), "t", "r2", folder, "none")
+    assert compare.diff_summary(store.diff_stored(spark, folder, "none", "none")).first().total == 0
+    gone = compare.diff_summary(store.diff_stored(spark, folder, "run0", "none")).first()
+    assert gone.total == gone.removed > 0
+
+
 def test_verdict_rows_carry_no_order_dependence(spark, sf_dir):
     a = analyze(T.requests(spark, sf_dir), T.RULES_V1).select("req_id", "logs").collect()
     b = analyze(T.requests(spark, sf_dir).repartition(13), T.RULES_V1).select("req_id", "logs").collect()

@@ -3,10 +3,11 @@ from __future__ import annotations
 import os
 
 import pytest
-from fixtures import NDJSON, PATTERN_RULES, write_ndjson
+from fixtures import CAPTURE_1, CAPTURE_2, NDJSON, PATTERN_RULES, write_capture, write_ndjson
 
 from reqsieve.operators import reports
 from reqsieve.operators.matching import analyze
+from reqsieve.sources.capture import scan_capture
 from reqsieve.sources.ndjson import scan_ndjson
 from reqsieve.sources.rules import Rule
 from reqsieve.streaming import analyze as stream
@@ -38,6 +39,20 @@ def test_stream_equals_batch_and_goes_on(spark, tmp_path):
     advance()
 
 
+def test_captures_as_a_stream(spark, tmp_path):
+    source, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    source.mkdir()
+    for name, lines in (("a", CAPTURE_1), ("b", CAPTURE_2), ("c", [*CAPTURE_1, "broken"])):
+        write_capture(source / f"{name}.gor", lines)
+        requests = stream.stream_capture(spark, str(source), files_per_trigger=1)
+        assert requests.isStreaming
+        stream.stream_analyze(requests, RULES, out, mark).awaitTermination()
+        batch = analyze(scan_capture(spark, str(source)), RULES).where("blocked")
+        columns = ["req_id", "req_seq", *COLUMNS]
+        want = sorted(batch.select(*columns).collect(), key=str)
+        assert sorted(spark.read.parquet(out).select(*columns).collect(), key=str) == want and want
+
+
 def test_observed_totals_go_on_without_state(spark, tmp_path):
     source, out, mark = tmp_path / "in", str(tmp_path / "out"), tmp_path / "mark"
     source.mkdir()
