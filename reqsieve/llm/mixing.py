@@ -13,8 +13,11 @@ draws the left half's part of every quota from the multivariate hypergeometric d
 exact. A shard's part of a source is the next stretch of its draws, so draws are disjoint. Rows have an ``order``
 by which a shard is sorted, a hash, which mixes its sources.
 
-Tables of sources, and of sources by shards, are on the driver: a mix has few sources, and more than ``MOST_SOURCES``
-are refused. Blocks are one row per ``BLOCK_DOCS`` documents and stay on the executors.
+Sources, blocks and shards are tables of their own and stay on the executors. Targets come from sums over the sources, as many
+as it takes until no more of them reach their limit. The tree deals groups of sources out to ranges of shards first, a table
+of at most ``GROUPS`` by ``RANGES`` on the driver; then a task per group deals its sources out to the ranges, and a task per
+range to its shards. Groups have the totals that the tree gave them, which leaves the distribution as it is. Sums along a
+source's blocks go over sorted ranges of rows, so a source of any size is spread. A mix has fewer than 10^9 draws of blocks.
 
 Defined results: a null text has no words. A null id is told apart by its text. Rows with one id are always taken
 together. A source without words takes nothing; an empty table gives no rows. Everything follows from the
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 
 from reqsieve.llm.stored import only, settle
 from reqsieve.llm.words import slices
+from reqsieve.operators.reports import numbered
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -42,7 +46,9 @@ BLOCK_DOCS = 256
 SLICE = 400_000
 #: Draws of blocks that make up an output shard.
 SHARD_DRAWS = 1024
-MOST_SOURCES = 100_000
+#: Groups of sources and ranges of shards that the tree deals with first.
+GROUPS = 256
+RANGES = 256
 SEED = 42
 
 
@@ -62,42 +68,104 @@ def word_counts(docs: DataFrame, text_col: str, size_col: str) -> DataFrame:
     return docs.mapInArrow(rows, f"{kinds}, `{size_col}` long")
 
 
-def targets(sizes: list[int], weights: list[float], most: float = MOST_REPEATS) -> list[float]:
-    """What each source is to contribute: by weight, none above ``most`` times its size, all words in sum if possible."""
-    out, left, open_ = [0.0] * len(sizes), float(sum(sizes)), set(range(len(sizes)))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        share = {i: left * weights[i] / total for i in open_}
-        above = {i for i in open_ if share[i] > most * sizes[i]}
-        if not above:
-            for i in open_:
-                out[i] = share[i]
+def with_targets(sources: DataFrame, weights: tuple[float, ...], most: float = MOST_REPEATS) -> DataFrame:
+    """``source, size`` (unique sources) with ``nr``, their place, and ``target``, what each is to contribute.
+
+    By weight, none above ``most`` times its size, all words in sum if possible: ``target = min(level * weight, most * size)``.
+    The level rises with the sources that have reached their limit, until no others do.
+    """
+    placed = numbered(sources.withColumn("__null", F.col("source").isNull()), "__null", "source")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("n") - 1) % len(weights)).cast("int"))
+    weighed = placed.withColumn("nr", F.col("n") - 1).withColumn("__weight", weight).withColumn("__limit", F.col("size") * most).drop("n", "__null")
+    sums = weighed.agg(F.sum("size").alias("size"), F.sum("__weight").alias("weight")).first()
+    level, before = (sums.size / sums.weight, 0) if sums.weight else (0.0, 0)
+    while sums.weight:
+        full = weighed.where(F.lit(level) * F.col("__weight") > F.col("__limit")).agg(
+            F.count("*").alias("n"), F.sum("__limit").alias("limit"), F.sum("__weight").alias("weight")).first()
+        if full.n <= before:
             break
-        for i in above:
-            out[i] = float(most * sizes[i])
-            left -= out[i]
-        open_ -= above
-    return out
+        before, open_ = full.n, sums.weight - full.weight
+        level = (sums.size - full.limit) / open_ if open_ > 0 else float("inf")
+    target = F.least(F.lit(level) * F.col("__weight"), F.col("__limit").cast("double"))
+    return weighed.withColumn("target", target).drop("__weight", "__limit")
+
 
+def split_tree(have: np.ndarray, draws: np.ndarray, seed: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Deal quotas out to parts that take so many draws each: a part, the places of its quotas and how much of them.
 
-def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Quotas by shard and source. All of a source's quota is dealt out; shards differ by a draw at most."""
-    out = np.zeros((shards, len(quotas)), np.int64)
+    Parts are halved again and again; the left half's share of every quota is multivariate hypergeometric. Parts come in order, and
+    what a part has nothing of is left out.
+    """
+    up_to = np.concatenate([[0], np.cumsum(draws)])
 
-    def split(first: int, last: int, have: np.ndarray) -> None:
+    def split(first: int, last: int, at: np.ndarray, have: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if not len(at):
+            return
         if last - first == 1:
-            out[first] = have
+            yield first, at, have
             return
-        middle, total = (first + last) // 2, int(have.sum())
-        # the first shards take the draws that do not divide evenly
-        each, extra = divmod(total, last - first)
-        draws = each * (middle - first) + min(extra, middle - first)
-        left = np.random.default_rng([seed, first, last]).multivariate_hypergeometric(have, draws, method="marginals")
-        split(first, middle, left)
-        split(middle, last, have - left)
+        middle = (first + last) // 2
+        left = np.random.default_rng([*seed, first, last]).multivariate_hypergeometric(have, int(up_to[middle] - up_to[first]), method="marginals")
+        for begin, end, part in ((first, middle, left), (middle, last, have - left)):
+            yield from split(begin, end, at[part > 0], part[part > 0])
+
+    have = np.asarray(have, np.int64)
+    yield from split(0, len(draws), np.flatnonzero(have), have[have > 0])
 
-    split(0, shards, np.array(quotas, np.int64))
-    return out
+
+def deal(quotas: DataFrame, total: int, shards: int, seed: int = SEED, groups: int = GROUPS, ranges: int = RANGES) -> DataFrame:
+    """Quotas (``nr, quota``, ``total`` in sum) as ``nr, shard, begin, end``: a shard gets the draws from begin up to end.
+
+    All of every quota is dealt out; shards differ by a draw at most.
+    """
+    ranges = min(ranges, shards)
+    cuts = [r * shards // ranges for r in range(ranges + 1)]
+
+    def up_to(shard: int) -> int:
+        return shard * (total // shards) + min(shard, total % shards)  # the first shards take the draws that do not divide evenly
+
+    grouped = settle(quotas.withColumn("group", F.expr(f"cast(pmod(nr, {groups}) as int)")))
+    sums = sorted(tuple(r) for r in grouped.groupBy("group").agg(F.sum("quota")).collect())  # one row per group
+    of_group = {g: np.zeros(ranges, np.int64) for g, _ in sums}
+    room = np.array([up_to(end) - up_to(begin) for begin, end in zip(cuts, cuts[1:])], np.int64)
+    for r, at, n in split_tree(np.array([q for _, q in sums], np.int64), room, [seed, 0]):
+        for i, x in zip(at, n):
+            of_group[sums[i][0]][r] = x
+
+    def dealt(nr: np.ndarray, have: np.ndarray, begin: np.ndarray, draws: np.ndarray, tree: list[int], first: int, part: str) -> pd.DataFrame:
+        begin, out = begin.copy(), [pd.DataFrame({"nr": [], part: [], "begin": [], "end": []}, dtype=np.int64)]
+        for p, at, n in split_tree(have, draws, tree):
+            out.append(pd.DataFrame({"nr": nr[at], part: first + p, "begin": begin[at], "end": begin[at] + n}))
+            begin[at] += n
+        return pd.concat(out)
+
+    def over_ranges(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, group = rows.sort_values("nr"), int(rows["group"].iloc[0])
+        nr = rows["nr"].to_numpy()
+        return dealt(nr, rows["quota"].to_numpy(), np.zeros(len(nr), np.int64), of_group[group], [seed, 1, group], 0, "range")
+
+    def over_shards(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, r = rows.sort_values("nr"), int(rows["range"].iloc[0])
+        draws = np.diff([up_to(s) for s in range(cuts[r], cuts[r + 1] + 1)])
+        begin = rows["begin"].to_numpy()
+        return dealt(rows["nr"].to_numpy(), rows["end"].to_numpy() - begin, begin, draws, [seed, 2, r], cuts[r], "shard")
+
+    of_range = settle(grouped.groupBy("group").applyInPandas(over_ranges, "nr long, range long, begin long, end long"))
+    return of_range.groupBy("range").applyInPandas(over_shards, "nr long, shard long, begin long, end long").withColumn("shard", F.col("shard").cast("int"))
+
+
+def running(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Add the sum of a value over a source's rows up to and with each one, in a unique order.
+
+    Rows are cut into sorted ranges, which split big sources; a range is summed up by itself, and what a source has in the ranges
+    before it is added.
+    """
+    ranged = settle(rows.repartitionByRange("nr", *order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("nr", "__part").agg(F.sum(value).alias("__sum"))
+    earlier = F.sum("__sum").over(Window.partitionBy("nr").orderBy("__part")) - F.col("__sum")
+    inside = F.sum(value).over(Window.partitionBy("nr", "__part").orderBy(*order))
+    return ranged.join(sums.select("nr", "__part", earlier.alias("__before")), ["nr", "__part"]).withColumn(
+        name, F.col("__before") + inside).drop("__part", "__before")
 
 
 def best_fit(sizes: list[int], room: int, fine: int = 200_000) -> list[int]:
@@ -147,57 +215,44 @@ def _placed(docs: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, block_docs: int = BLOCK_DOCS,
          shards: int | None = None, seed: int = SEED) -> Mix:
     """The mix of documents given as ``source, mark, size``."""
-    spark = sized.sparkSession
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    wanted = targets([r.size for r in found], [weights[i % len(weights)] for i in range(len(found))], most)
-    rows = []
-    for nr, (r, target) in enumerate(zip(found, wanted)):
-        passes = min(most, int(target // r.size)) if r.size else 0
-        rest = max(0, round(target) - passes * r.size) if r.size and passes < most else 0
-        rows.append((r.source, nr, r.size, target, max(1, -(-r.n // block_docs)), passes, rest))
+    found = settle(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")))
+    size, target, passes = F.col("size"), F.col("target"), F.col("passes")
+    full = F.when(size > 0, F.least(F.lit(most), F.floor(target / size))).otherwise(0).cast("int")
+    rest = F.when((size > 0) & (passes < most), F.greatest(F.lit(0), F.round(target).cast("long") - passes * size)).otherwise(0).cast("long")
     # Written down, as the other tables of a mix, so that Spark knows their sizes.
-    sources = settle(spark.createDataFrame(rows, "source string, nr int, source_size long, target double, blocks long, passes int, rest long"))
+    sources = settle(with_targets(found, weights, most).withColumn("passes", full).select(
+        "source", "nr", size.alias("source_size"), "target", F.ceil(F.col("docs") / block_docs).alias("blocks"), "passes", rest.alias("rest")))
 
     placed = _placed(sized, sources, seed)
     totals = placed.groupBy("nr", "block").agg(F.sum("size").alias("words"))
-    order = [F.expr(f"xxhash64({seed + 1}, nr, passes, block)"), F.col("block")]
-    up_to = F.sum("words").over(Window.partitionBy("nr").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    last = totals.join(sources.select("nr", "passes", "rest"), "nr").withColumn("at", F.expr(f"xxhash64({seed + 1}, nr, passes, block)"))
     blocks = settle(  # a row per block
-        totals.join(sources.select("nr", "passes", "rest"), "nr").withColumn("before", up_to - F.col("words"))
+        running(last, ["at", "block"], F.col("words"), "up_to").withColumn("before", F.col("up_to") - F.col("words"))
         .withColumn("last", F.col("before") < F.col("rest"))
-        .withColumn("gap", F.when(F.col("last") & (F.col("before") + F.col("words") > F.col("rest")), F.col("rest") - F.col("before"))))
+        .withColumn("gap", F.when(F.col("last") & (F.col("up_to") > F.col("rest")), F.col("rest") - F.col("before"))))
     runs = F.when(F.col("last"), F.col("passes") + 1).otherwise(F.col("passes"))
     drawn = blocks.where(runs > 0).select("nr", "block", "gap", "passes", F.explode(F.sequence(F.lit(0), runs - 1)).alias("epoch"))
-    slot = F.row_number().over(Window.partitionBy("nr").orderBy("epoch", F.expr(f"xxhash64({seed + 1}, nr, epoch, block)"), "block")) - 1
-    slots = settle(drawn.withColumn("partial", (F.col("epoch") == F.col("passes")) & F.col("gap").isNotNull()).withColumn("slot", slot))
-
-    quotas = {r.nr: r.n for r in slots.groupBy("nr").agg(F.count("*").alias("n")).collect()}
-    numbers = sorted(quotas)
-    shards = shards or max(1, sum(quotas.values()) // SHARD_DRAWS)
-    parts = []
-    if numbers:
-        dealt = split_quotas([quotas[nr] for nr in numbers], shards, seed)
-        begins = np.cumsum(dealt, axis=0) - dealt
-        parts = [(nr, s, int(begins[s, i]), int(begins[s, i] + dealt[s, i]))
-                 for i, nr in enumerate(numbers) for s in range(shards) if dealt[s, i]]
-    stretches = spark.createDataFrame(parts, "nr int, shard int, begin int, end int")
+    drawn = drawn.withColumn("partial", (F.col("epoch") == F.col("passes")) & F.col("gap").isNotNull()).withColumn(
+        "at", F.expr(f"xxhash64({seed + 1}, nr, epoch, block)"))
+    slots = settle(running(drawn, ["epoch", "at", "block"], F.lit(1), "slot").withColumn("slot", F.col("slot") - 1))
+
+    total = slots.count()
+    stretches = deal(slots.groupBy("nr").agg(F.count("*").alias("quota")), total, shards or max(1, total // SHARD_DRAWS), seed)
     of_slot = stretches.select("nr", "shard", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("slot"))
     draws = settle(slots.join(of_slot, ["nr", "slot"]).groupBy("nr", "block").agg(  # a few passes at most
         F.array_sort(F.collect_list(F.struct("epoch", "shard", "partial"))).alias("draws")))
 
     def fitting(rows: pd.DataFrame) -> pd.DataFrame:
-        nr, gap = int(rows["nr"].iloc[0]), int(rows["gap"].iloc[0])
-        docs = sorted(zip(rows["words"].tolist(), rows["mark"].tolist()), key=lambda d: (-d[0], d[1]))
-        taken = [docs[i][1] for i in best_fit([w for w, _ in docs], gap)]
-        return pd.DataFrame({"nr": np.full(len(taken), nr, np.int32), "mark": np.array(taken, np.int64)})
+        rows = rows.assign(less=-rows["words"]).sort_values(["nr", "less", "mark"])
+        nrs, words, marks, gaps = [rows[c].to_numpy() for c in ("nr", "words", "mark", "gap")]
+        begins = np.flatnonzero(np.diff(nrs, prefix=nrs[0] - 1))
+        taken = [begin + i for begin, end in zip(begins, [*begins[1:], len(nrs)]) for i in best_fit(words[begin:end].tolist(), int(gaps[begin]))]
+        return pd.DataFrame({"nr": nrs[taken], "mark": marks[taken]}, dtype=np.int64)
 
     ends = blocks.where("gap is not null").select("nr", "block", "gap")
     picks = settle(  # one block of each source
         placed.join(ends, ["nr", "block"]).groupBy("nr", "mark", "gap").agg(F.sum("size").alias("words"))
-        .groupBy("nr").applyInPandas(fitting, "nr int, mark long"))
+        .groupBy(F.expr(f"pmod(nr, {GROUPS})")).applyInPandas(fitting, "nr long, mark long"))
     return Mix(sources, draws, picks, seed)
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reqsieve.llm import mixing
 from reqsieve.llm.queries import QUERIES
@@ -82,20 +83,75 @@ def test_best_fit():
         assert sum(sizes[i] for i in mixing.best_fit(sizes, room, 20)) <= room
 
 
-def test_quotas_are_exact():
-    for shards in (1, 2, 7, 64):
-        quotas = [1000, 0, 37, 3, 12345]
-        out = mixing.split_quotas(quotas, shards)
-        assert out.sum(axis=0).tolist() == quotas and (out >= 0).all()
-        assert np.ptp(out.sum(axis=1)) <= 1
-        assert (out == mixing.split_quotas(quotas, shards)).all()
-
-
-def test_targets():
-    assert mixing.targets([10, 10, 10], [1, 1, 1]) == [10, 10, 10]
-    assert mixing.targets([1, 100], [1, 1]) == [3, 98]
-    assert mixing.targets([1, 0, 2], [1, 2, 3]) == pytest.approx([1 / 1 * 0.75, 0, 2.25])
-    assert mixing.targets([], []) == []
+def dealt(spark, quotas, shards, **options):
+    df = spark.createDataFrame(list(enumerate(quotas)), "nr long, quota long").where("quota > 0")
+    return sorted(map(tuple, mixing.deal(df, sum(quotas), shards, **options).collect()))
+
+
+def test_quotas_are_exact(spark):
+    quotas = [1000, 0, 37, 3, 12345]
+    for shards, options in ((1, {}), (2, {}), (7, {"ranges": 2, "groups": 2}), (64, {"ranges": 5, "groups": 3})):
+        rows, sizes, at = dealt(spark, quotas, shards, **options), Counter(), Counter()
+        for nr, shard, begin, end in sorted(rows, key=lambda r: (r[1], r[0])):
+            assert begin == at[nr] < end  # the next stretch of its draws
+            at[nr] = end
+            sizes[shard] += end - begin
+        assert [at[nr] for nr in range(len(quotas))] == quotas
+        assert set(sizes) == set(range(shards)) and max(sizes.values()) - min(sizes.values()) <= 1
+        assert rows == dealt(spark, quotas, shards, **options)
+    assert dealt(spark, [2], 5) and dealt(spark, [], 1) == []
+
+
+def test_tree_is_hypergeometric():
+    """Mean and variance of a quota in a part, against those of draws without putting back."""
+    have, draws = np.array([30, 10, 60]), np.array([25, 50, 25])
+    found = np.zeros((4000, 3, 3))
+    for i in range(len(found)):
+        for part, at, n in mixing.split_tree(have, draws, [i]):
+            found[i, part, at] = n
+    assert (found.sum(axis=1) == have).all() and (found.sum(axis=2) == draws).all()
+    share = have / 100
+    for part, n in enumerate(draws):
+        assert found[:, part].mean(axis=0) == pytest.approx(n * share, rel=0.03)
+        assert found[:, part].var(axis=0) == pytest.approx(n * share * (1 - share) * (100 - n) / 99, rel=0.1)
+
+
+def test_targets(spark):
+    def targets(sizes, weights=(1, 2, 3), most=3):
+        df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+        rows = mixing.with_targets(df, weights, most).collect()
+        assert sorted(r.nr for r in rows) == list(range(len(sizes)))
+        return {r.source: r.target for r in rows}
+
+    assert targets({"a": 10, "b": 10, "c": 10}, (1, 1, 1)) == {"a": 10, "b": 10, "c": 10}
+    assert targets({"a": 1, "b": 100}, (1, 1)) == {"a": 3, "b": 98}
+    assert targets({"a": 1, "b": 0, "c": 2}) == pytest.approx({"a": 0.75, "b": 0, "c": 2.25})
+    assert targets({}) == {} and targets({"a": 0, None: 0}) == {"a": 0, None: 0}
+    assert targets({"a": 5, "b": 5}, most=1) == pytest.approx({"a": 5, "b": 5})
+    draw = random.Random(4)
+    for _ in range(4):
+        sizes = {s: int(10 ** draw.uniform(0, 5)) for s in [None, "", "é", "𝄞", "ﬀ", *(f"s{i}" for i in range(40))]}
+        assert targets(sizes) == pytest.approx(plain_targets(sizes))
+
+
+def test_sums_along_a_source_of_many_ranges(spark):
+    rows = [(nr, i * 7919 % 1009, 1 + i % 5) for nr, n in ((0, 900), (1, 3), (2, 60)) for i in range(n)]
+    df = spark.createDataFrame(rows, "nr long, at long, v long").repartition(6)
+    got = {(r.nr, r.at): r.s for r in mixing.running(df, ["at"], F.col("v"), "s").collect()}
+    assert got == {(nr, at): sum(v for n, a, v in rows if n == nr and a <= at) for nr, at, _ in rows}
+
+
+def test_many_sources(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('s', id)) as source", "repeat('w ', cast(1 + id % 9 as int)) as text")
+    rows = mixing.mix_documents(docs, block_docs=64).select("source", "size", "source_size", "target", "taken").collect()
+    size, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(rows) == 3000 and len(size) == 2001 and target == pytest.approx(plain_targets(size))
+    assert abs(taken["hot"] - target["hot"]) <= 1 and all(r.taken <= 3 * r.size for r in rows)
+    assert all(taken[s] <= round(target[s]) + 1 for s in size)
 
 
 def test_rows_are_copied_as_drawn(spark, odd):
