@@ -245,7 +245,7 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     def fitting(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(less=-rows["words"]).sort_values(["nr", "less", "mark"])
         nrs, words, marks, gaps = [rows[c].to_numpy() for c in ("nr", "words", "mark", "gap")]
-        begins = np.flatnonzero(np.diff(nrs, prefix=nrs[0] - 1))
+        begins = np.flatnonzero(np.diff(nrs, prepend=nrs[0] - 1))
         taken = [begin + i for begin, end in zip(begins, [*begins[1:], len(nrs)]) for i in best_fit(words[begin:end].tolist(), int(gaps[begin]))]
         return pd.DataFrame({"nr": nrs[taken], "mark": marks[taken]}, dtype=np.int64)
 
