@@ -91,6 +91,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in system.listStatus(place)]
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that a path or pattern names."""
+    place, system = _file_system(spark, pattern)
+    return [status.getPath().toString() for status in system.globStatus(place) or [] if status.isDirectory()]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place, system = _file_system(spark, path)
     system.delete(place, True)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from reqsieve.operators.matching import analyze
 from reqsieve.operators.reports import totals
 from reqsieve.schemas import REQUEST_COLUMNS
+from reqsieve.session import folders
 from reqsieve.sources.capture import scan_capture
 from reqsieve.sources.ndjson import parse_ndjson
 from reqsieve.sources.requests import map_columns, usable_rows
@@ -41,11 +42,15 @@ def stream_capture(spark: SparkSession, in_dir: str, files_per_trigger: int = 10
 def stream_parquet(
     spark: SparkSession, in_dir: str, columns: Mapping[str, str], files: str = "*.parquet", files_per_trigger: int = 1000
 ) -> DataFrame:
-    """Requests of parquet files as a stream, by column mapping. The layout is that of the files there now."""
-    in_dir = resolve_uri(in_dir)
-    schema = spark.read.option("pathGlobFilter", files).parquet(in_dir).schema
-    options = {"pathGlobFilter": files, "maxFilesPerTrigger": files_per_trigger}
-    rows = spark.readStream.schema(schema).options(**options).parquet(in_dir)
+    """Requests of parquet files as a stream, by column mapping. The layout is that of the files there now.
+
+    ``files`` may also name tables that are folders of files.
+    """
+    in_dir, chosen = resolve_uri(in_dir), {"pathGlobFilter": files}
+    if folders(spark, f"{in_dir}/{files}"):
+        in_dir, chosen = f"{in_dir.rstrip('/')}/{files}", {}
+    schema = spark.read.options(**chosen).parquet(in_dir).schema
+    rows = spark.readStream.schema(schema).options(**chosen, maxFilesPerTrigger=files_per_trigger).parquet(in_dir)
     return map_columns(usable_rows(rows, columns), columns)
 
 

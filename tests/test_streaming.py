@@ -101,3 +101,22 @@ def test_rules_change_between_batches(spark, tmp_path):
     (tmp_path / "rules" / "version=3").mkdir()  # not complete
     _rerun_last(mark)
     assert advance() == both
+
+
+def test_parquet_tables_that_are_folders(spark, tmp_path):
+    source, columns = tmp_path / "in", {"id": "id", "method": "method", "path": "path", "body": "body"}
+    rows = spark.createDataFrame([(str(i), "GET", f"/{i}", "<script") for i in range(6)], list(columns))
+    rows.repartition(3).write.parquet(str(source / "t.parquet"))
+    rows.withColumn("id", (rows.id.cast("long") + 100).cast("string")).write.parquet(str(source / "other.parquet"))
+    rules_ = [Rule(1, "s", "s", "<script", location="body", action="block")]
+
+    def read(number, files):
+        out, mark = str(tmp_path / f"out{number}"), str(tmp_path / f"mark{number}")
+        requests = stream.stream_parquet(spark, str(source), columns, files=files, files_per_trigger=2)
+        stream.stream_analyze(requests, rules_, out, mark).awaitTermination()
+        return sorted(float(r.req_id) for r in spark.read.parquet(out).collect())
+
+    assert read(1, "t.parquet") == list(range(6))
+    assert read(2, "*.parquet") == [*range(6), *range(100, 106)]
+    rows.limit(2).write.mode("append").parquet(str(source / "t.parquet"))
+    assert len(read(1, "t.parquet")) == 8
