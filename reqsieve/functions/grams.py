@@ -6,7 +6,7 @@ The gram without bytes is 0, and every text has it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ LONGEST = 4
 PLACES = 1 << 20
 #: Text bytes that are turned into arrays at a time; a longer text is taken alone.
 SLICE_BYTES = 500_000
+_GRAM_BITS = 35
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -44,25 +45,28 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-def found_grams(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(rows, grams)``: each gram at a wanted place once for each text that has it."""
+def found_grams(texts: pa.Array, wanted: np.ndarray, sizes: Iterable[int] = range(LONGEST + 1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(rows, grams)``: each gram at a wanted place once for each text that has it, of the sizes that are wanted."""
     if not len(texts):
         return
+    sizes = set(sizes)
     for first, data, bounds in _slices(texts):
-        of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        rows, found = [], []
-        if wanted[place(np.zeros(1, np.int64))][0]:
-            rows.append(np.arange(len(bounds) - 1))
-            found.append(np.zeros(len(bounds) - 1, np.int64))
-        code = np.zeros(len(data), np.int64)
-        for n in range(1, LONGEST + 1):
+        found, n_rows = [], len(bounds) - 1
+        if 0 in sizes and wanted[place(np.zeros(1, np.int64))][0]:
+            found.append((np.arange(n_rows), np.zeros(n_rows, np.int64)))
+        code = np.zeros(len(data), np.uint64)
+        for n in range(1, max(sizes, default=0) + 1):
             size = len(data) - n + 1
             if size <= 0:
                 break
-            code = code[:size] | data[n - 1:].astype(np.int64) << 8 * (n - 1)
-            at = np.flatnonzero(wanted[place(code | n << 32)] & (of[:size] == of[n - 1:]))
-            rows.append(of[at])
-            found.append(code[at] | n << 32)
-        if rows:
-            pairs = np.unique(np.stack((np.concatenate(rows), np.concatenate(found))), axis=1)
-            yield pairs[0] + first, pairs[1]
+            code = code[:size] | data[n - 1:].astype(np.uint64) << np.uint64(8 * (n - 1))
+            if n in sizes:
+                grams = code | np.uint64(n << 32)
+                at = np.flatnonzero(wanted[place(grams)])
+                rows = np.searchsorted(bounds, at, "right") - 1
+                inside = at + n <= bounds[rows + 1]
+                found.append((rows[inside], grams[at[inside]].astype(np.int64)))
+        # one number for a row and a gram: a gram takes 35 bits, and a slice has fewer than 2**28 rows
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *[rows << _GRAM_BITS | grams for rows, grams in found]]))
+        if len(pairs):
+            yield (pairs >> _GRAM_BITS) + first, pairs & (1 << _GRAM_BITS) - 1

@@ -164,10 +164,10 @@ def _without_case(pattern: str) -> str | None:
     return pattern[4:-1] if end == len(pattern) else None
 
 
-def required_literals(pattern: str) -> tuple[list[str], bool] | None:
-    """``(literals, exact)``: every match holds one of ``literals``.
+def literal_runs(pattern: str) -> tuple[list[list[str]], bool] | None:
+    """``(alternatives, exact)``: every match holds all literals of one of the alternatives.
 
-    ``exact`` says that holding one of them is also enough. None when nothing can be
+    ``exact`` says that holding the literal of one is also enough. None when nothing can be
     said. Only text outside groups is looked at, which is enough for typical rules.
     """
     runs: list[list[str]] = [[""]]
@@ -211,8 +211,14 @@ def required_literals(pattern: str) -> tuple[list[str], bool] | None:
             runs[-1][-1] += tok[1]
         else:
             cut()
-    longest = [max(parts, key=len) for parts in runs]
-    return (longest, exact) if all(longest) else None
+    held = [[part for part in parts if part] for parts in runs]
+    return (held, exact) if all(held) else None
+
+
+def required_literals(pattern: str) -> tuple[list[str], bool] | None:
+    """``(literals, exact)``: every match holds one of ``literals``, the longest of each alternative; see ``literal_runs``."""
+    known = literal_runs(pattern)
+    return known and ([max(parts, key=len) for parts in known[0]], known[1])
 
 
 def caseless_literals(pattern: str) -> list[str] | None:

@@ -98,3 +98,17 @@ def test_grams(literal):
 
 def test_queries_against_plain_rules(spark, sf_dir):
     assert QUERIES["match_many"](spark, sf_dir).count() > 0
+
+
+def test_candidates_have_all_literals(spark):
+    """Words that each are in many requests make candidates only where they meet."""
+    texts = ["alpha beta", "beta gamma", "alpha gamma", "gamma beta", "alpha beta gamma", ""] * 5
+    requests = map_columns(spark.createDataFrame(
+        [(f"r{i}", "GET", f"/{i}", "", t) for i, t in enumerate(texts)], "id string, method string, path string, headers string, body string"), COLUMNS)
+    some = [Rule(1, "a", "m", "alpha.*gamma", location="body"), Rule(2, "b", "m", "gamma[ ]+beta|nowhere.*alpha", location="body"),
+            Rule(3, "c", "m", "(?i:ALPHA BETA G)", location="all")]
+    table = spark.createDataFrame([(r.ord, r.id, r.action, r.location, r.operator, r.pattern) for r in some],
+                                  "ord int, id string, action string, location string, operator string, pattern string")
+    pairs = rule_index.candidates(requests, rule_index.index_rules(table))
+    assert {r.ord: r["count"] for r in pairs.groupBy("ord").count().collect()} == {1: 10, 2: 15, 3: 5}
+    assert sorted(map(tuple, rule_index.match_many(requests, some).collect())) == sorted(map(tuple, match_pairs(requests, some).collect()))
