@@ -73,3 +73,39 @@ def test_without_both_labels(spark, odd, table):
     assert {(r.score, r.predicted) for r in preferences.rank(odd, labels).collect()} == {(0.5, 1)}
     assert {r.score for r in preferences.rank(odd, labels.limit(0)).collect()} == {0.5}
     assert preferences.rank(odd.limit(0), labels).count() == 0
+
+
+def _labelled(spark, better, worse):
+    rows = [(i, [float(x) for x in row], label) for i, (row, label) in enumerate([(r, 1) for r in better] + [(r, 0) for r in worse])]
+    return spark.createDataFrame(rows, "doc_id long, features array<double>, label int"), {1: len(better), 0: len(worse)}
+
+
+@pytest.mark.parametrize("sizes", [(900, 100), (3, 700)])
+def test_fit_takes_every_document(spark, sizes):
+    draw = np.random.default_rng(4)
+    better, worse = (draw.normal(m, 1, size=(n, preferences.WIDTH)) for m, n in zip((0.1, -0.1), sizes))
+    labelled, counts = _labelled(spark, better, worse)
+    groups = preferences.dealt(labelled, counts, 200).collect()
+    many, few = (better, worse) if len(better) > len(worse) else (worse, better)
+    assert sorted(map(tuple, (r for g in groups for r in g.many))) == sorted(map(tuple, many.tolist()))
+    assert {tuple(r) for g in groups for r in g.few} == set(map(tuple, few.tolist())) and all(g.few for g in groups)
+    for g in groups:
+        made = preferences.differences(np.array(g.many), np.array(g.few))
+        assert len(made) == len(g.many) * min(preferences.PARTNERS, len(g.few)) or len(made) >= len(g.few)
+    model = preferences.fit_all(labelled, counts)
+    below = (model.strength(np.concatenate([better, worse])) < model.threshold).sum()
+    assert below == len(worse)
+    before = model.threshold, model.weights
+    far = worse.copy()
+    far[0] += 5  # one document more or less is seen
+    changed = preferences.fit_all(*_labelled(spark, better, far))
+    assert np.abs(changed.weights - before[1]).max() > 1e-6
+
+
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_ranks_by_counts_in_ranges(spark, most):
+    draw = np.random.default_rng(5)
+    values = np.concatenate([draw.normal(size=300), np.full(200, 0.25), [1e9, -1e9]])
+    table, want = spark.createDataFrame([(float(v),) for v in values], "s double"), np.sort(values)
+    for rank in (0, 7, 250, 350, len(values) - 2):
+        assert preferences.at_ranks(table, rank, most) == (want[rank], want[rank + 1])
