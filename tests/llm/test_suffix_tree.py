@@ -107,6 +107,27 @@ def test_against_the_definition(spark, sf_dir):
     assert {len(c) for c in kept} == {0, 1, 2, 3}
 
 
+@pytest.mark.parametrize("most,most_grams", [(30, 0), (30, 60), (0, 1_000_000), (400, 500)])
+def test_contexts_outside_the_broadcast_tree_count(spark, sf_dir, most, most_grams):
+    """What is broadcast changes no score: contexts beyond it are joined, and none is too rare."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 30").select("doc_id", "text")
+    rows = [(r.doc_id, r.text[:600]) for r in docs.collect()] + [(1000, None), (1001, "ÿ zq"), (1002, "a"), (1002, "a"), (None, "b a")]
+    assert any(held(i) for i, _ in rows)
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = check(made, rows, depth=4, share=0.0, divergence=0.05, head_words=50, most=most, most_grams=most_grams)
+    assert len(kept) > 2000
+
+
+def test_defaults_keep_rare_contexts(spark):
+    """A context of one position in 250,000 is in the model."""
+    rows = [(i, "ab " * 900) for i in range(100) if not held(i)] + [(1000, "zyxwv")]
+    assert not held(1000)
+    got = {r.doc_id: r.score for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = plain_tree(rows, suffix_tree.DEPTH, 0.0, suffix_tree.LEAST_DIVERGENCE)
+    assert {b"z", b"y", b"x", b"w"} <= set(kept)
+    assert math.isclose(got[1000], plain_score(kept, "zyxwv", suffix_tree.DEPTH), rel_tol=1e-4)
+
+
 def test_odd_rows(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     check(odd.withColumn("n", odd.doc_id).withColumn("score", odd.text), rows, depth=2, share=0.001, divergence=0.01, head_words=5)
