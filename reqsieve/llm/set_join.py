@@ -13,7 +13,9 @@
    greatest of them as a header. In the list of the first hash that two sets share, all that stands before it differs, and
    what comes after it differs by the difference of its size at least: block pairs whose headers exceed what the
    similarity allows are never opened, and in opened ones the same test leaves out pairs, as do the bits that say where
-   a set has an odd number of hashes. The full sets confirm the rest.
+   a set has an odd number of hashes. The full sets confirm the rest. Large groups come together before: of each crowded
+   block and of it with the first block of its like, every class is first compared with two of those that these tests
+   leave, so that most of what is linked is one component by the time all pairs of different components are asked for.
 5. Derived answers. A confirmed pair of leaders that are no link, but near enough for their followers, gives the
    followers' answers: the common part of a follower and the other leader is the leader's, less the hashes it lost that the
    other has, plus those it gained. Applied to one side and then to the other, this gives all pairs of followers.
@@ -50,8 +52,8 @@ SHINGLE_WORDS, PERCENT = 5, 80
 RADIUS = 1
 #: Least hashes by which the similarity with a hub is estimated, and parts of a list.
 SKETCH, PARTS = 32, 64
-#: Classes of a block, about.
-BLOCK = 256
+#: Classes of a block, about, and from how many on its classes are first compared with a few others.
+BLOCK, CROWD = 256, 32
 
 
 def _lookups(n, percent: int):
@@ -192,8 +194,20 @@ def _blocks(entries: DataFrame, percent: int) -> DataFrame:
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("least"))
 
 
-def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """``a, b, distance``: pairs in different components that sizes and positions allow."""
+def _few(x: np.ndarray, y: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Of pairs of classes for each class the pair with the partner that has most pairs, and that with the least difference."""
+    some = []
+    for own, other in ((x, y), (y, x)):
+        for order in (np.lexsort((other, -np.bincount(other)[other], own)), np.lexsort((other, differ, own))):
+            some.append(order[np.flatnonzero(np.diff(own[order], prepend=-1))])
+    return np.unique(np.concatenate(some))
+
+
+def _block_pairs(blocks: DataFrame, percent: int, few: bool = False) -> DataFrame:
+    """``a, b, distance``: pairs in different components that sizes and positions allow.
+
+    ``few``: at most four for each class of a crowded block, in this block and in it and the first of its list and of each like.
+    """
     def side(batch: pa.RecordBatch, at: int, i: int) -> list[np.ndarray]:
         *numbers, odd = [batch.column(at + j)[i].values for j in range(len(ENTRY))]
         bits = np.frombuffer(b"".join(odd.to_pylist()), np.uint64).reshape(len(odd), -1)
@@ -210,7 +224,10 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
                 fit = (comp != comp2) & (pos + pos2 + np.abs((n - pos) - (n2 - pos2)) <= most)  # if this is the first common hash
                 fit &= np.minimum(n, n2) >= (1 - distance - 1e-6) * np.maximum(n, n2)
                 at = np.nonzero(fit)
-                near = np.bitwise_count(x[5][at[0]] ^ y[5][at[1]]).sum(axis=1) <= most[at]
+                differ = np.bitwise_count(x[5][at[0]] ^ y[5][at[1]]).sum(axis=1)
+                near = np.flatnonzero(differ <= most[at])
+                if few and len(near):
+                    near = near[_few(at[0][near], at[1][near], differ[near])]
                 at = at[0][near], at[1][near]
                 a, b = x[0][at[0]], y[0][at[1]]
                 out["a"].append(np.minimum(a, b))
@@ -222,6 +239,9 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
 
     x, y = blocks.alias("x"), blocks.alias("y")
     ordered = F.struct("x.least", "x.band", "x.place", "x.cut") <= F.struct("y.least", "y.band", "y.place", "y.cut")
+    if few:
+        x, y = (b.where(F.size("node") >= CROWD) for b in (x, y.where("y.cut = 0")))
+        ordered = ordered | (F.col("x.cut") > 0)
 
     def apart(lo: str, hi: str) -> Column:
         """How far two ranges are from each other."""
@@ -233,6 +253,9 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     sizes = (F.col("x.n1") >= (1 - distance) * F.col("y.n0")) & (F.col("y.n1") >= (1 - distance) * F.col("x.n0"))
     open_ = x.join(y, (F.col("x.value") == F.col("y.value")) & ordered & several & near & sizes)
     both = open_.select(*[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "xy" for c in ENTRY])
+    if few:
+        alone = blocks.where((F.size("node") >= CROWD) & (F.col("cut") > 0) & (F.col("c0") != F.col("c1")))
+        both = both.union(alone.select(*[F.col(c).alias(f"{k}_{c}") for k in "xy" for c in ENTRY]))
     return both.mapInArrow(opened, "a long, b long, distance double").distinct()
 
 
@@ -284,8 +307,15 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     leading = placed.join(open_lists, "value", "left_semi").select("node", "component", "n").distinct()
     leading = leading.join(followers.select(F.col("b").alias("node")), "node", "left_anti").join(reach, "node", "left")
     leaders = settle(leading.withColumn("reach", F.coalesce("reach", F.lit(0.0))).join(sets, "node"))
-    blocks = settle(_blocks(settle(_indexed(leaders, percent)), percent))
+    entries = settle(_indexed(leaders, percent))
+    blocks = settle(_blocks(entries, percent))
     common, na, nb = F.col("common"), F.col("na"), F.col("nb")
+    if not blocks.where((F.size("node") >= CROWD) & (F.col("c0") != F.col("c1"))).isEmpty():
+        first = _compared(_block_pairs(blocks, percent, few=True), sets).where(_linked(common, na, nb, percent))
+        related = settle(related.select("a", "b").union(first.select("a", "b")))
+        linked = settle(components(related))
+        entries = entries.drop("component").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        blocks = settle(_blocks(settle(entries), percent))
     answers = settle(_compared(_block_pairs(blocks, percent), sets).where(_near(common, na, nb, F.col("distance"))))
     found = related.select("a", "b").union(answers.where(_linked(common, na, nb, percent)).select("a", "b"))
 

@@ -137,6 +137,32 @@ def test_large_group_is_split(table, monkeypatch):
     assert found(set_join.join_sets(table(rows, DOCS), width=3, percent=90)) == expected(rows)
 
 
+def test_candidates_grow_with_a_group_and_not_with_its_square(table, monkeypatch):
+    made, pairs = [], set_join._block_pairs
+
+    def counted(*args, **options):
+        found = set_join.settle(pairs(*args, **options))
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(set_join, "_block_pairs", counted)
+    draw = random.Random(1)
+    base, rows = [f"b{i}" for i in range(150)], []
+    for i in range(600):
+        at = draw.sample(range(150), draw.choice([1, 2]))
+        rows.append((i, " ".join(f"e{draw.randint(0, 10**9)}" if k in at else w for k, w in enumerate(base))))
+    assert found(set_join.join_sets(table(rows, DOCS), width=3, percent=90)) == expected(rows)
+    assert sum(made) <= 12 * len(rows)
+
+
+@pytest.mark.parametrize("crowd,block", [(2, 4), (3, 20), (10, 1000)])
+def test_first_comparisons_lose_no_link(table, monkeypatch, crowd, block):
+    monkeypatch.setattr(set_join, "CROWD", crowd)
+    monkeypatch.setattr(set_join, "BLOCK", block)
+    rows = groups(5)
+    assert found(set_join.join_sets(table(rows, DOCS).repartition(4), width=3, percent=90)) == expected(rows)
+
+
 def test_blocks_that_are_far_apart_are_not_opened(spark):
     odd = set_join.odd_bits(np.arange(400))
     rows = [(7, i, i, 400, 10, 0.0, odd) for i in range(50)] + [(7, 100 + i, 100 + i, 400, 39, 0.0, odd) for i in range(50)]
