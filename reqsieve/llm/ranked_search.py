@@ -14,7 +14,9 @@ others are scored exactly from the stored counts; those with the highest bounds
 the tasks.
 
 So the documents' texts are read once, to build the index, and a block of items costs one reading of the index; what
-is shuffled is ``top`` rows for each item and task. Scores are whole numbers in 64 bits.
+is shuffled is ``top`` rows for each item and task. Scores are whole numbers in 64 bits. A task's memory does not grow with
+what it reads: texts come in slices, the index in small row groups and a few blocks at a time, and a block is asked for a
+bounded number of terms at once.
 
 Terms are told apart by 64-bit hashes of their bytes.
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reqsieve.llm.stored import only, settle
+from reqsieve.llm.stored import only, settle, setting
 from reqsieve.llm.words import Slice, Words, lists, mix, signed, slices
 from reqsieve.session import shared_dir
 
@@ -48,6 +50,12 @@ LEVELS = (1, 2, 4, 8)
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
 #: Terms of the items that are searched for in one reading of the index.
 ITEM_TERMS = 16_384
+#: Of these, terms that a block is asked for at once.
+ASKED_TERMS = 2048
+#: Text bytes that are turned into arrays at a time.
+SLICE_BYTES = 250_000
+#: Bytes of a row group of the stored index, and blocks of it that Spark hands to a task at a time.
+ROW_GROUP_BYTES, HANDED_BLOCKS = 4 << 20, 4
 
 _TERM = np.zeros(256, bool)
 _TERM[0x30:0x3A] = _TERM[0x41:0x5B] = _TERM[0x61:0x7B] = True
@@ -110,7 +118,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         waiting: dict[int, list] = {}
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE_BYTES):
                 found = terms_of(part)
                 words, which = np.unique(found.hashes(), return_inverse=True)
                 sizes = np.diff(found.bounds)
@@ -121,14 +129,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     mine = slice(cuts[i], cuts[i + 1])
                     bits = _bits_for(counts[mine])
                     docs_ = waiting.setdefault(bits, [])
-                    docs_.append((int(ids[part.first + i]), int(sizes[i]), words[which[mine]], counts[mine]))
+                    docs_.append((int(ids[part.first + i]), int(sizes[i]), words[which[mine]], counts[mine].astype(np.int32)))
                     if len(docs_) >= min(BLOCK_DOCS, max(8, 8 * BLOCK_BYTES // bits)):
                         yield _block(bits, waiting.pop(bits))
         for bits in sorted(waiting):
             yield _block(bits, waiting[bits])
 
     texts = only(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
-    return settle(texts.where("doc_id is not null and text is not null").mapInArrow(rows, INDEX))
+    small_groups = {"parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size.row.check.min": "1"}  # rows are large, so each is looked at
+    return settle(texts.where("doc_id is not null and text is not null").mapInArrow(rows, INDEX), small_groups)
 
 
 def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +146,7 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE_BYTES):
                 found = terms_of(part)
                 of = np.repeat(ids[part.first: part.first + len(part)], np.diff(found.bounds))
                 yield pa.record_batch([pa.array(of, pa.int64()), pa.array(signed(found.hashes()))], ["item_id", "term"])
@@ -155,6 +164,22 @@ class Items:
     places: list[np.ndarray]
     weights: list[np.ndarray]
 
+    def few(self) -> Iterator[tuple[slice, list[Items]]]:
+        """Some of the items at a time, with at most ``ASKED_TERMS`` terms; one item with more comes in several parts."""
+        first, n = 0, 0
+        for i, places in enumerate([*self.places, None]):
+            if places is None or n + len(places) > ASKED_TERMS:
+                if i > first:
+                    yield slice(first, i), [self._part(first, i, lo) for lo in range(0, n, ASKED_TERMS)]
+                first, n = i, 0
+            n += 0 if places is None else len(places)
+
+    def _part(self, first: int, last: int, lo: int) -> Items:
+        cut = slice(lo, lo + ASKED_TERMS) if last - first == 1 else slice(None)
+        mine = [p[cut] for p in self.places[first:last]]
+        used = np.unique(np.concatenate(mine))
+        return Items(self.ids[first:last], self.terms[used], [np.searchsorted(used, p) for p in mine], [w[cut] for w in self.weights[first:last]])
+
 
 def _item_blocks(weighted: DataFrame) -> Iterator[Items]:
     """Items with about ``ITEM_TERMS`` terms at a time; an item of more is a block of its own."""
@@ -241,28 +266,35 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _searched(items: Items, n_docs: int, n_terms: int, top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     best_score = [np.zeros(0, np.int64) for _ in items.ids]
     best_id = [np.zeros(0, np.int64) for _ in items.ids]
-    for row in _read(batches):
-        block = _Block(row, items, n_docs, n_terms)
-        bounds = block.bounds()
+    few = list(items.few())
+
+    def search_block(row: dict, some: slice, parts: list[Items]) -> None:
+        blocks = [_Block(row, part, n_docs, n_terms) for part in parts]
+        bounds = sum(block.bounds() for block in blocks)
         done = np.zeros(bounds.shape, bool)
         for first in (True, False):  # the highest bounds, then what they do not exclude
             wanted = []
-            for i, bound in enumerate(bounds):
-                open_ = (bound > 0) & ~done[i]
+            for k, bound in enumerate(bounds):
+                i, open_ = some.start + k, (bound > 0) & ~done[k]
                 if len(best_id[i]) == top:
-                    open_ &= (bound > best_score[i][-1]) | ((bound == best_score[i][-1]) & (block.ids < best_id[i][-1]))
+                    open_ &= (bound > best_score[i][-1]) | ((bound == best_score[i][-1]) & (row["ids"] < best_id[i][-1]))
                 mine = np.flatnonzero(open_)
                 if first and len(mine) > top:
                     mine = np.sort(mine[np.argpartition(bound[mine], -top)[-top:]])
-                done[i, mine] = True
+                done[k, mine] = True
                 wanted.append(mine)
             if not any(map(len, wanted)):
                 continue
-            for i, (mine, scores) in enumerate(zip(wanted, block.scores(wanted))):
+            for i, mine, *scores in zip(range(some.start, some.stop), wanted, *(block.scores(wanted) for block in blocks)):
+                scores = sum(scores)
                 held = scores > 0
-                score, ids = np.concatenate((best_score[i], scores[held])), np.concatenate((best_id[i], block.ids[mine[held]]))
+                score, ids = np.concatenate((best_score[i], scores[held])), np.concatenate((best_id[i], row["ids"][mine[held]]))
                 order = np.lexsort((ids, -score))[:top]
                 best_score[i], best_id[i] = score[order], ids[order]
+
+    for row in _read(batches):
+        for some, parts in few:
+            search_block(row, some, parts)
     for item, score, ids in zip(items.ids.tolist(), best_score, best_id):
         if len(ids):
             yield pa.record_batch([pa.array([item] * len(ids), pa.int64()), pa.array(ids), pa.array(score)], ["item_id", "doc_id", "score"])
@@ -285,9 +317,10 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
             F.collect_list(F.struct("term", weight.alias("weight"))).alias("terms")))
         for block in _item_blocks(weighted):
             sent = spark.sparkContext.broadcast(block)
-            index.drop("held").mapInArrow(
-                lambda batches: _searched(sent.value, n_docs, n_terms, top, batches), "item_id long, doc_id long, score long"
-            ).write.mode("append").parquet(path)
+            with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(HANDED_BLOCKS)):
+                index.drop("held").mapInArrow(
+                    lambda batches: _searched(sent.value, n_docs, n_terms, top, batches), "item_id long, doc_id long, score long"
+                ).write.mode("append").parquet(path)
     found = spark.read.schema("item_id long, doc_id long, score long").parquet(path)
     ranked = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", ranked).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")

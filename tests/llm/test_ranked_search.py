@@ -8,10 +8,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from reqsieve.llm import ranked_search
 from reqsieve.llm.queries import QUERIES
+from reqsieve.llm.stored import setting
+from reqsieve.llm.words import hash_word
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -126,3 +130,46 @@ def test_odd_rows(table, odd):
 
 def test_empty_tables(table):
     assert run(table, [], [(1, "a")]) == [] and run(table, [(1, "a")], []) == [] and run(table, [(1, None)], [(1, "a")]) == []
+
+
+def test_the_index_is_read_in_small_pieces(spark):
+    """A task holds a row group and a few blocks, whatever its part of the index."""
+    draw = random.Random(7)
+    docs = [(i, " ".join(f"w{draw.randrange(20_000)}" for _ in range(150))) for i in range(8000)]
+    index = ranked_search.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) > ranked_search.ROW_GROUP_BYTES > max(groups)
+
+
+def test_blocks_are_handed_over_a_few_at_a_time(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], ["n"])
+
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(50).coalesce(1)
+    before = spark.conf.get(key, None)
+    with pytest.raises(ZeroDivisionError), setting(spark, key, str(ranked_search.HANDED_BLOCKS)):
+        assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) == ranked_search.HANDED_BLOCKS
+        1 / 0
+    assert spark.conf.get(key, None) == before and max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) == 50
+
+
+def test_few_terms_are_asked_for_at_once(table, monkeypatch):
+    """Items in groups, and one with more terms than a group in parts, give what all at once give."""
+    docs, items = made(8, 400)
+    items = [(i, t) for i, t in items if terms(t)] + [(95, " ".join(t for _, t in docs[:40]))]
+    wanted = [(i, sorted({hash_word(t.encode()) for t in terms(x)})) for i, x in items]
+    all_terms = np.unique(np.array([t for _, ts in wanted for t in ts], np.uint64))
+    draw = random.Random(9)
+    block = ranked_search.Items(
+        np.array([i for i, _ in wanted]), all_terms, [np.searchsorted(all_terms, np.array(ts, np.uint64)) for _, ts in wanted],
+        [np.array([draw.randrange(1, 5000) for _ in ts]) for _, ts in wanted])
+    batches = ranked_search.build_index(table(docs, "doc_id long, text string").coalesce(1)).toArrow().to_batches()
+    monkeypatch.setattr(ranked_search, "ASKED_TERMS", 10**9)
+    whole = [b.to_pylist() for b in ranked_search._searched(block, 400, 20_000, 5, iter(batches))]
+    monkeypatch.setattr(ranked_search, "ASKED_TERMS", 50)
+    asked, bounds = [], ranked_search._Block.bounds
+    monkeypatch.setattr(ranked_search._Block, "bounds", lambda self: asked.append(len(self.items.terms)) or bounds(self))
+    assert [b.to_pylist() for b in ranked_search._searched(block, 400, 20_000, 5, iter(batches))] == whole
+    assert max(asked) <= 50 < max(map(len, block.places)) and len(whole) == len(items) - 1  # a word that no document has
