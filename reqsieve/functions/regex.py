@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import product
 from operator import or_
 
 from pyspark.sql import Column
@@ -215,6 +216,100 @@ def literal_runs(pattern: str) -> tuple[list[list[str]], bool] | None:
     return (held, exact) if all(held) else None
 
 
+#: Members of a bracket that are tried one by one, and repeats of one that are told apart.
+_MEMBERS, _REPEATS = 4, {1: 2, 2: 2, 3: 2, 4: 1}
+_RANGES = re.compile(r"(?:[A-Za-z0-9]-[A-Za-z0-9]|[^-\[\]&^\\])+")
+
+
+def _items(tokens: list[tuple[str, str]], at: int = 0) -> tuple[list[list], int]:
+    """``(alternatives, end)`` of a group: lists of ``(members, least, most)``, and None for what is not looked into. Many members are not
+    listed."""
+    runs: list[list] = [[]]
+    while at < len(tokens):
+        kind, tok = tokens[at]
+        at += 1
+        if kind == "char" and tok == ")":
+            break
+        if kind in ("named", "special", "flags") or (kind == "char" and tok == "("):
+            inner, at = _items(tokens, at)
+            plain = tok in ("(", "(?:") or kind == "named"
+            repeated = at < len(tokens) and tokens[at][0] == "repeat"
+            runs[-1] += inner[0] if plain and not repeated and len(inner) == 1 else [None]
+        elif kind == "char" and tok == "[":
+            members, fresh, first = set(), True, at
+            while at < len(tokens):
+                kind, tok = tokens[at]
+                at += 1
+                if kind == "char" and tok == "]" and not fresh:
+                    break
+                known = (kind == "char" and tok not in "^-[]&") or (kind == "escape" and not tok[1].isalnum())
+                members.add(tok[-1] if known else None)
+                fresh = fresh and kind == "char" and tok == "^"
+            simple = None not in members or _RANGES.fullmatch("".join(tok for _, tok in tokens[first:at - 1]))
+            runs[-1].append((sorted(members) if None not in members and len(members) <= _MEMBERS else [], 1, 1) if simple else None)
+        elif kind == "repeat":
+            least, _, most = {"*": "0,", "+": "1,", "?": "0,1"}.get(tok[0], tok.rstrip("?")[1:-1]).partition(",")
+            most = most or (least if "," not in tok and tok[0] == "{" else "")
+            if runs[-1] and runs[-1][-1] is not None:
+                runs[-1][-1] = (runs[-1][-1][0], int(least), int(most) if most else None)
+            runs[-1].append(None) if not runs[-1] else None
+        elif kind == "char" and tok == "|":
+            runs.append([])
+        elif (kind == "char" and tok not in ".^$") or (kind == "escape" and not tok[1].isalnum()):
+            runs[-1].append(([tok[-1]], 1, 1))
+        else:
+            runs[-1].append(None)
+    return runs, at
+
+
+def _spelled(before: str, members: list[str], least: int, most: int | None, after: str) -> list[str] | None:
+    """Texts of which one is where some members stand between two literals."""
+    if not before or not after:
+        return [before + c + after for c in members] if least else None
+    repeats = _REPEATS[len(members)]
+    sizes = [n for n in range(least, repeats + 1) if most is None or n <= most]
+    out = [before + "".join(some) + after for n in sizes for some in product(members, repeat=n)]
+    if most is None or most > repeats:
+        out += [before + "".join(some) for some in product(members, repeat=repeats + 1)]
+    return out
+
+
+def needed_texts(pattern: str) -> list[list[list[str]]] | None:
+    """Every match holds, for one of these alternatives, one text of each of its lists.
+
+    These are the literals, and what stands where two of them meet over a small bracket or a repeated character. None when
+    nothing can be said.
+    """
+    tokens = [(m.lastgroup, m.group()) for m in _TOKEN.finditer(pattern)]
+    if any(kind == "flags" and tok.endswith(")") for kind, tok in tokens):
+        return None
+    out = []
+    alternatives, end = _items(tokens)
+    if end < len(tokens):
+        return None
+    for items in alternatives:
+        parts: list = [""]  # literals, brackets and unknown things in turn
+        for item in items:
+            if item is not None and item[1:] == (1, 1) and len(item[0]) == 1:
+                parts[-1] += item[0][0]
+            else:
+                parts += [item if item and item[0] else None, ""]
+        needed = [[text] for text in parts[::2] if text]
+        for i in range(1, len(parts), 2):
+            if parts[i] is not None and (parts[i - 1] or parts[i + 1]):
+                needed.append(_spelled(parts[i - 1][-6:], *parts[i], parts[i + 1][:6]) or [])
+        out.append([texts for texts in needed if texts])
+    return out if all(out) else None
+
+
+def is_plain(pattern: str) -> bool:
+    """Is a pattern made of ASCII characters, small brackets of them, repeats and alternatives only? Such a pattern is found in the
+    same texts by every engine."""
+    tokens = [(m.lastgroup, m.group()) for m in _TOKEN.finditer(pattern)]
+    alternatives, end = _items(tokens)
+    return pattern.isascii() and end == len(tokens) and all(None not in items for items in alternatives)
+
+
 def required_literals(pattern: str) -> tuple[list[str], bool] | None:
     """``(literals, exact)``: every match holds one of ``literals``, the longest of each alternative; see ``literal_runs``."""
     known = literal_runs(pattern)

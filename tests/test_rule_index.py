@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reqsieve.functions.grams import PLACES, found_grams, grams_of, place
+from reqsieve.functions.grams import PLACES, found_grams, grams_of, long_grams_of, place
+from reqsieve.functions.regex import is_plain, needed_texts
 from reqsieve.operators import rule_index
 from reqsieve.operators.matching import match_pairs
 from reqsieve.plans.registry import QUERIES
@@ -112,3 +114,81 @@ def test_candidates_have_all_literals(spark):
     pairs = rule_index.candidates(requests, rule_index.index_rules(table))
     assert {r.ord: r["count"] for r in pairs.groupBy("ord").count().collect()} == {1: 10, 2: 15, 3: 5}
     assert sorted(map(tuple, rule_index.match_many(requests, some).collect())) == sorted(map(tuple, match_pairs(requests, some).collect()))
+
+
+@pytest.mark.parametrize("literal", [b"abcde", b"ABCDEF", b"abcdefgh", "日本é".encode()])
+def test_long_grams(literal):
+    texts = ["", "xxABCDEFGHxx", "abcde", "abcd", "é日日本é", "abcdef", "ab" * 30_000 + "abcdefgh"]
+    wanted, grams = np.zeros(PLACES, bool), long_grams_of(literal)
+    wanted[place(np.array(grams))] = True
+    held = {}
+    for rows, codes in found_grams(pa.array(texts), wanted, {g >> 32 for g in grams}):
+        for r, c in zip(rows.tolist(), codes.tolist()):
+            held.setdefault(r, set()).add(c)
+    assert min(g >> 32 for g in grams) > 4
+    assert [set(grams) <= held.get(i, set()) for i in range(len(texts))] == [literal.lower() in t.encode().lower() for t in texts]
+
+
+def test_needed_texts_are_in_all_matches():
+    draw, seen = random.Random(4), 0
+    parts = ["a", "b", "ab", "ba", "aa", "[ab]", "[ ,]", "[ab ]", "(?:ab)", "(a|b)", "(?:b a)", ".", "[^b]", "[a-c]"]
+    for _ in range(3000):
+        pattern = "".join(draw.choice(parts) + draw.choice(["", "", "", "+", "*", "?", "{2}", "{1,3}", "{0}", "{3,}", "+?"]) for _ in range(draw.randint(1, 5)))
+        pattern += draw.choice(["", "", "|" + draw.choice(parts) + "b"])
+        needed, text = needed_texts(pattern), "".join(draw.choice("ab ,") for _ in range(draw.randint(0, 12)))
+        if needed and re.search(pattern, text):
+            seen += 1
+            assert any(all(any(t in text for t in texts) for texts in lists) for lists in needed), (pattern, text, needed)
+    assert seen > 300
+
+
+@pytest.mark.parametrize("pattern,needed,plain", [
+    ("lo[ck]al", [[["lo"], ["al"], ["local", "lokal"]]], True), ("(?:ci) de[ a-z]*Ci", [[["ci de"], ["Ci"]]], True),
+    ("a{3}b", [[["b"], ["ab"]]], True), ("x?", None, True), ("(?i:x)abc", [[["abc"]]], False), ("(?i)abc", None, False),
+    ("^/a", [[["/a"]]], False), ("(ab)+cd", [[["cd"]]], False), ("[]a]b", [[["b"]]], False), ("a)b", None, False), ("é.", [[["é"]]], False)])
+def test_needed_texts(pattern, needed, plain):
+    assert needed_texts(pattern) == needed and is_plain(pattern) is plain
+
+
+def made_requests(spark, texts):
+    return map_columns(spark.createDataFrame(
+        [(f"r{i}", "GET", f"/{i}", '{"A":"%s","B":"x y"}' % t, t) for i, t in enumerate(texts)],
+        "id string, method string, path string, headers string, body string"), COLUMNS)
+
+
+def test_only_requests_that_hold_neighbours_are_candidates(spark):
+    """Frequent words that are all in a request, though not side by side, make no candidate."""
+    requests = made_requests(spark, ["the one in", "the, in one", "in the one", "in  the", "one"])
+    some = [Rule(1, "a", "m", "the[ ,.]+in", location="body"), Rule(2, "b", "m", "(?:in) the[ a-z]*one", location="body")]
+    table = spark.createDataFrame([(r.ord, r.id, r.action, r.location, r.operator, r.pattern) for r in some],
+                                  "ord int, id string, action string, location string, operator string, pattern string")
+    indexed = rule_index.index_rules(table)
+    texts = requests.select("req_id", "url", "body").withColumn("__values", F.lit(""))
+    [block] = rule_index._rule_blocks(indexed, "needs")
+    for search, sure in ((False, 0), (True, 1)):
+        found = sorted((r.req_id, x >> 1, x & 1) for r in rule_index._with_candidates(texts, block, search).collect() for x in r.ords)
+        assert found == [("r1", 1, sure), ("r2", 2, sure)]
+
+
+def test_requests_are_not_shuffled(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = rule_index.match_many(traffic(spark), rules())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_rules_in_many_blocks_and_with_one_number(spark, monkeypatch):
+    monkeypatch.setattr(rule_index, "BLOCK_GRAMS", 40)
+    texts = ["alpha beta", "beta, alpha", "gamma", "alpha  beta gamma", "x"]
+    patterns = ["alpha beta", "alpha[ ,]+beta", "beta|gamma", "(?i:GAMMA)", "beta[ ,.]+alpha", "a\ny", "y\nalpha", "x{2000}|gam+a", "x y"]
+    some = [Rule(i // 2 - 2, f"id{i}", "m", p, location=["body", "all", "headers"][i % 3]) for i, p in enumerate(patterns)]
+    requests = made_requests(spark, texts)
+    want = sorted((f"r{k}", r.ord, r.id, r.action) for k, t in enumerate(texts) for r in some
+                  if any(re.search(r.pattern, v) for v in {"body": [t], "headers": [t, "x y"], "all": [t, f"/{k}", "x y"]}[r.location]))
+    blocks = len(list(rule_index._rule_blocks(rule_index.index_rules(rule_index.as_rule_table(spark.createDataFrame(
+        [(r.ord, r.id, r.action, r.location, r.operator, r.pattern) for r in some], "ord int, id string, action string, location string, operator string, pattern string"))), "needs")))
+    assert sorted(map(tuple, rule_index.match_many(requests, some).collect())) == want and blocks > 2
